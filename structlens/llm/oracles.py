@@ -46,3 +46,48 @@ FROM g
 """
 
 SQL = {"op3_url_filter": OP3, "op9_warc": OP9}
+
+_SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
+OP2 = f"""
+WITH d AS (SELECT doc_id, source, CAST({_SIZE} AS BIGINT) AS size, length(text) AS chars FROM documents),
+k AS (SELECT *, -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || '0'), 1, 13) AS BIGINT) + 0.5)
+             / 4503599627370496.0)
+        / CASE WHEN size > 0 AND chars / size >= 3.5 AND chars / size <= 12 THEN 1.0 ELSE 0.25 END AS key FROM d),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 3 * source_size AS cap,
+        list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)) AS w FROM s),
+lv AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER before, 0))
+        / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+       FROM w WINDOW before AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, arg_min(level, cap / w) FILTER (cap >= w * level) OVER () AS free FROM lv),
+t AS (SELECT source, source_size, CASE WHEN free IS NULL THEN CAST(cap AS DOUBLE) ELSE least(CAST(cap AS DOUBLE), w * free) END AS target FROM f),
+e AS (SELECT *, least(3, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END) AS epochs FROM t),
+j AS (SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs, round(e.target - e.epochs * e.source_size)
+        - coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room
+      FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+       CAST(epochs * size + CASE WHEN epochs >= 3 THEN 0 ELSE least(size, greatest(0, room)) END AS BIGINT) AS taken
+FROM j
+"""
+
+SQL["op2_mixing"] = OP2
+
+_WORDS = f"regexp_extract_all({lower("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP1 = f"""
+WITH b AS (SELECT item_id, w, len(w) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, least(n, 13) AS size, array_to_string(w[i:i + least(n, 13) - 1], ' ') AS win
+       FROM (SELECT *, unnest(range(1, greatest(n - 13, 0) + 2)) AS i FROM b)),
+sizes AS (SELECT DISTINCT size FROM bw),
+d AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+dw AS (SELECT doc_id, size, i, array_to_string(w[i:i + size - 1], ' ') AS win
+       FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes)),
+h AS (SELECT dw.doc_id, dw.size, dw.i, bw.item_id FROM dw JOIN bw ON dw.size = bw.size AND dw.win = bw.win),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS pos FROM h) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+SQL["op1_decontaminate"] = OP1

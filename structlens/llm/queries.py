@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import oracles, url_filter, warc
+from . import decontaminate, mixing, oracles, url_filter, warc
 
 RULES = [
     ("allow", "org/"),
@@ -22,6 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages; listed are the URLs of the pages whose id is divisible by 100."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -35,7 +44,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_url_filter, op9_warc)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_url_filter, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
