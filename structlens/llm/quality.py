@@ -24,6 +24,8 @@ CUTOFF = 25.74
 #: Share of a group that a concentration step keeps, and what corrects the covariance of so trimmed normal data.
 CORE, CONSISTENCY = 0.75, 1.41
 STEPS = 3
+#: Characters a word about which short texts are damped: their averages vary more.
+USUAL_CHARS = 5
 #: Groups of fewer documents share one estimate of all such groups; if these are fewer still, nothing is an outlier.
 LEAST_GROUP = 50
 #: More groups than this are joined by a salted shuffle, not broadcast.
@@ -83,7 +85,7 @@ def vector() -> list[Column]:
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     raw = [
         F.log(n),
-        F.log(chars / n) * F.sqrt(n / (n + 30)),
+        F.log(chars / n / USUAL_CHARS) * F.sqrt(n / (n + 30)),
         F.log1p(F.col("n_symbols") * 100 / chars),
         F.log1p(F.col("n_dup_lines")),
         F.col("n_repeat_words") / n,
