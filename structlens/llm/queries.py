@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, oracles, quality, secrets, url_filter, warc
+from . import decontaminate, mixing, oracles, quality, secrets, sharding, url_filter, warc
 
 RULES = [
     ("allow", "org/"),
@@ -38,6 +38,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, listed, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -53,7 +57,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_url_filter, op5_quality, op6_secrets, op9_warc)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_url_filter, op4_sharding, op5_quality, op6_secrets, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
