@@ -104,3 +104,19 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(kept.
 FROM d LEFT JOIN kept USING (doc_id)
 """
 SQL["op7_substring_dedup"] = OP7
+
+_BLANK_WORDS = f"coalesce(regexp_extract_all({lower("text")}, '[^\\x20\\x09-\\x0D]+'), [])"
+OP8 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_BLANK_WORDS} AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+       FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS met FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * met >= 80 * (x.n + y.n - met)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, seen) AS (SELECT doc_id, doc_id FROM d UNION SELECT reach.doc_id, ways.b FROM reach JOIN ways ON ways.a = reach.seen),
+comp AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+SQL["op8_minhash"] = OP8

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, oracles, quality, secrets, sharding, substring, url_filter, warc
+from . import decontaminate, minhash, mixing, oracles, quality, secrets, sharding, substring, url_filter, warc
 
 RULES = [
     ("allow", "org/"),
@@ -55,13 +55,18 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), digest_only=True)
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_url_filter, op4_sharding, op5_quality, op6_secrets, op7_substring_dedup, op9_warc)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_url_filter, op4_sharding, op5_quality, op6_secrets, op7_substring_dedup, op8_minhash, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
