@@ -259,3 +259,45 @@ def judge(docs: DataFrame, benchmark: DataFrame, percent: int = 5, **how) -> Dat
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent)).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of docs that judge() doesn't call contaminated, with their columns.
+
+    With a benchmark of one block the documents are filtered as they are read; else contaminated rows are taken out of
+    a stored, numbered copy.
+    """
+    from pyspark.sql import functions as F
+
+    parts = blocks(benchmark, block_words)
+    if len(parts) > 1:
+        from ._common import Stored
+
+        numbered = Stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered").df
+        rows = numbered.select("__row", F.col("__row").alias("doc_id"), "text")
+        bad = None
+        for part in parts:
+            got = _pass(rows, Index(part, WINDOW, SHINGLE))
+            bad = got if bad is None else bad.unionByName(got)
+        merged = bad.groupBy("__row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit_runs")).alias("hit_runs"))
+        n_hit = _covered(F.col("hit_runs"))
+        bad = merged.where((n_hit > 0) & (n_hit * 100 >= F.col("n_words") * percent)).select("__row")
+        return numbered.join(bad, "__row", "left_anti").select(*docs.columns)
+    index = Index(parts[0], WINDOW, SHINGLE)
+    windows = [np.array(w, np.int64) for w in index.windows]
+    known = prefixes(index, count_shingles(docs, index))
+    shared = docs.sparkSession.sparkContext.broadcast((index.vocabulary, known, windows))
+
+    def run(batches):
+        import pyarrow as pa
+
+        vocabulary, keyed, all_windows = shared.value
+        for batch, texts in _texts(batches):
+            keep = []
+            for text in texts:
+                ids = _numbered(text, vocabulary)
+                n = int(hits(ids, keyed, all_windows)[0].sum())
+                keep.append(not (n and n * 100 >= len(ids) * percent))
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -214,3 +214,11 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     out = named.unionByName(alone)
     null = lambda c: F.when(F.col(c) != LAST, F.col(c)).alias(c)
     return out.select(null("doc_id"), "mark", F.col("n").alias("n_shingles"), null("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def one_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs but near-duplicates of others: of each component the document with the smallest id stays."""
+    gone = components(docs, shingle, percent).where("not kept").select(F.coalesce("doc_id", F.lit(LAST)).alias("__id"), F.col("mark").alias("__mark"))
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__id")) & (mark == F.col("__mark"))
+    return docs.join(gone, same, "left_anti")

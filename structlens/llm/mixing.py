@@ -63,8 +63,10 @@ def mix(
     seed: int = 0,
     quality: Column | None = None,
     slice_rows: int = SLICE_ROWS,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(doc_id, source, size, source_size, target, epochs, taken) for each row of docs (doc_id, text, source).
+    """(doc_id, source, size, source_size, target, epochs, taken) for each row of docs (doc_id, text, source), and the
+    columns in keep.
 
     Size is the number of words. A source with target t and size s takes every document floor(t / s) times in whole
     epochs; the rest of the target goes to its documents in the order of the keys -ln(u) / quality, smallest first,
@@ -76,11 +78,11 @@ def mix(
     a key, and their order is settled by size. Repeated rows count as documents of their own. No rows give no rows.
     """
     weight = quality if quality is not None else quality_weight(F.col("text"), F.col("size"))
-    narrow = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text").withColumn("size", n_words(F.col("text")))
+    narrow = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", *keep).withColumn("size", n_words(F.col("text")))
     narrow = narrow.withColumn("w", weight).withColumn(
         "key", -F.log(uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))) / F.col("w")
     )
-    held = Stored(narrow.select("doc_id", "source", "size", "key"), "mix").df
+    held = Stored(narrow.select("doc_id", "source", "size", "key", *keep), "mix").df
     per_source = held.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     slices = F.least(F.ceil(F.col("n") / slice_rows), F.lit(MOST_SLICES)).cast("long")
     known = targets(per_source.select("source", "source_size"), weights, most)
@@ -96,7 +98,7 @@ def mix(
     plan = left.join(right, F.expr("a.source <=> b.source")).select("a.source", "slice", "ahead", "source_size", "target")
     a, b = cut.alias("a"), plan.alias("b")
     joined = a.join(b, F.expr("a.source <=> b.source and a.slice = b.slice")).select(
-        "a.doc_id", "a.source", "a.size", "a.key", "a.slice", "ahead", "source_size", "target"
+        "a.doc_id", "a.source", "a.size", "a.key", "a.slice", "ahead", "source_size", "target", *[f"a.{k}" for k in keep]
     )
     inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -105,4 +107,16 @@ def mix(
     rest = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - F.col("ahead")))
     taken = F.when(F.col("epochs") >= most, F.col("epochs") * F.col("size")).otherwise(F.col("epochs") * F.col("size") + part)
-    return out.withColumn("taken", taken.cast("long")).select("doc_id", "source", "size", "source_size", "target", "epochs", "taken")
+    return out.withColumn("taken", taken.cast("long")).select("doc_id", "source", "size", "source_size", "target", "epochs", "taken", *keep)
+
+
+def mixture(docs: DataFrame, **how) -> DataFrame:
+    """The rows of docs as often as mix() takes them, to the nearest whole time; those it doesn't take are left out."""
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")))
+    marked = docs.withColumn("__mark", mark)
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    drawn = mix(marked, keep=("__mark",), **how).select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__m"), times.alias("__times"))
+    drawn = drawn.where("__times > 0").groupBy("__id", "__m").agg(F.max("__times").alias("__times"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("__times")))
+    return marked.join(drawn, same).select(*docs.columns, copies.alias("__copy")).drop("__copy")

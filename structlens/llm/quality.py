@@ -183,7 +183,7 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     Repeated rows each count and are each judged; no rows give no rows.
     """
     columns = list(dict.fromkeys(("doc_id", "lang", "source", *keep)))
-    stats = statistics(docs.select(*columns, "text"))
+    stats = statistics(docs.select(*dict.fromkeys((*columns, "text"))))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     held = Stored(stats.select(*columns, *names, base_failed().alias("base_failed")), "quality").df
     own = F.xxhash64("lang", F.col("lang").isNull(), "source", F.col("source").isNull())
@@ -198,3 +198,8 @@ def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     out = measured.withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUTOFF))
     return out.withColumn("kept", kept).select(*dict.fromkeys(("doc_id", *keep, *names)), "base_failed", "distance", "kept")
+
+
+def good(docs: DataFrame) -> DataFrame:
+    """The rows of docs that judge() keeps, with their columns."""
+    return judge(docs, tuple(docs.columns)).where("kept").select(*docs.columns)
