@@ -61,13 +61,26 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: With it, Spark deletes the shuffle files of a query when the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stored:
-    """A table written to the shared folder: it cuts lineage and survives lost executors."""
+    """A table written to the shared folder: it cuts lineage and survives lost executors. The shuffle files that went
+    into it are deleted at once."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
         self.schema = df.schema
-        df.write.option("compression", "zstd").parquet(self.path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path)
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
 
     @property
     def df(self) -> DataFrame:

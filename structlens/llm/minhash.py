@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from . import _hashing
 from ._common import Stored
 from ._graph import link
-from .substring import LAST, _release
+from .substring import LAST
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS, BITS = 52, 5, 2
@@ -205,7 +205,6 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         return confirmed(likely.df, nodes.df.select("node", "doc_id", "mark"), source, shingle, percent).distinct()
 
     labels, _ = link(members, confirm)
-    _release(docs)
     placed = nodes.df.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     firsts = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     known = Stored(placed.join(firsts, "label").select("node", "component_id"), "components")

@@ -13,7 +13,6 @@ costs one record a pack, not one an occurrence, and nothing grows with the squar
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -353,12 +352,6 @@ def removed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("pack").applyInArrow(run, "doc_id long, mark long, runs binary")
 
 
-def _release(df: DataFrame) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more."""
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-
-
 def _merged(rows: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "mark").agg(F.collect_list("runs").alias("runs"))
 
@@ -378,12 +371,10 @@ def dedup(docs: DataFrame, digest_only: bool = False) -> DataFrame:
     keys = even_keys(spark, n)
     rows = source.select("doc_id", "mark", "text")
     found = Stored(candidates(probe(anchors(rows, keys).repartition(n, "bucket"))), "anchors")
-    _release(docs)
     runs = _merged(found.df)
     both = rows.join(runs, ["doc_id", "mark"])
     gone = Stored(removed(later(windows(both, keys).repartition(n, "bucket"))), "repeats")
     found.drop()
-    _release(docs)
     joined = source.join(_merged(gone.df), ["doc_id", "mark"], "left")
 
     def finish(batches):
