@@ -1,0 +1,3 @@
+"""Structural analytics of software projects on Spark DataFrames."""
+
+__version__ = "0.1.0"
