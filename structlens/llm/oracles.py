@@ -120,3 +120,24 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, d
 FROM d JOIN comp USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 SQL["op8_minhash"] = OP8
+
+OP10 = r"""
+WITH RECURSIVE o AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+w AS (SELECT * FROM o WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+d AS (SELECT row_number() OVER (ORDER BY line) AS node, line FROM (SELECT DISTINCT line FROM w)),
+words AS (SELECT node, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws, regexp_split_to_array(line, '[^\x20\x09-\x0D]+') AS gaps FROM d),
+starts AS (SELECT node, line, unnest(range(1, len(ws) + 1)) AS i, ws, gaps FROM words),
+sh AS (SELECT DISTINCT node, substr(line, CAST(1 + list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x))), 0) AS BIGINT), 9) AS s FROM starts),
+n AS (SELECT node, count(*) AS n FROM sh GROUP BY 1),
+c AS (SELECT a.node AS a, b.node AS b, count(*) AS met FROM sh a JOIN sh b ON a.s = b.s AND a.node < b.node GROUP BY ALL),
+links AS (SELECT a, b FROM c JOIN n x ON x.node = a JOIN n y ON y.node = b WHERE 100 * met >= 80 * (x.n + y.n - met)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(node, seen) AS (SELECT DISTINCT a, a FROM ways UNION SELECT reach.node, ways.b FROM reach JOIN ways ON ways.a = reach.seen),
+comp AS (SELECT node, min(seen) AS label FROM reach GROUP BY 1),
+placed AS (SELECT w.doc_id, w.pos, coalesce(label, d.node) AS label FROM w JOIN d USING (line) LEFT JOIN comp ON comp.node = d.node),
+nth AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id, pos) AS k FROM placed)
+SELECT doc.doc_id, CAST(count(nth.pos) AS BIGINT) AS n_lines, CAST(count(nth.pos) FILTER (k > 1) AS BIGINT) AS n_removed,
+       coalesce(string_agg(CAST(nth.pos AS VARCHAR), ',' ORDER BY nth.pos) FILTER (k > 1), '') AS removed
+FROM documents doc LEFT JOIN nth USING (doc_id) GROUP BY doc.doc_id
+"""
+SQL["op10_line_dedup"] = OP10

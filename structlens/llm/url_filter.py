@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._bloom import MOST_BLOCKS, blocks_for, bloom, probed
 from ._common import ascii_lower
 
 #: More rules than this belong in the URL list or in a rule table of their own.
 MOST_RULES = 1000
-#: Bounds the broadcast filter: 2**20 blocks of 64 bits.
-MOST_BLOCKS = 1 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -42,25 +39,6 @@ def _fits(host: Column, path: Column, rule: str) -> Column:
     return ((host == name) | host.endswith("." + name)) & path.startswith(slash + rest)
 
 
-def _bits(key: Column) -> Column:
-    """Four of the 64 bits of a block, as a long."""
-    seed = F.xxhash64(key, F.lit(17))
-    one = F.lit(1).cast("long")
-    bits = [
-        F.call_function("shiftleft", one, F.shiftrightunsigned(seed, 6 * i).bitwiseAND(63).cast("int")) for i in range(4)
-    ]
-    return reduce(Column.bitwiseOR, bits)
-
-
-def bloom(listed: DataFrame, key: str, blocks: int) -> DataFrame:
-    """(__fblock, __fbits) of a blocked Bloom filter: every key sets four bits of one 64-bit block; at most `blocks` rows."""
-    return (
-        listed.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("__fblock"), _bits(F.col(key)).alias("__b"))
-        .groupBy("__fblock")
-        .agg(F.bit_or("__b").alias("__fbits"))
-    )
-
-
 def filter_urls(
     pages: DataFrame,
     listed: DataFrame,
@@ -83,10 +61,7 @@ def filter_urls(
         pages = pages.drop(name)
     names = pages.columns
     known = listed.select(canonical(F.col(listed_url)).alias("__canon")).where("__canon is not null").distinct()
-    blocks = 1 << 10
-    n = known.limit(MOST_BLOCKS).count()
-    while blocks < MOST_BLOCKS and blocks * 4 < n:
-        blocks *= 2
+    blocks = blocks_for(known.limit(MOST_BLOCKS * 4).count())
     host, path = F.col("host"), F.col("path")
     ranked = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
     rule = F.coalesce(*[F.when(_fits(host, path, r), F.lit(r)) for _, r in ranked], F.lit(None).cast("string"))
@@ -98,19 +73,11 @@ def filter_urls(
         .withColumn("rule", rule)
         .withColumn("verdict", verdicts)
         .withColumn("__canon", F.when(F.col("rule").isNull(), canonical(F.col(url))))
-        .withColumns(
-            {"__block": F.pmod(F.xxhash64("__canon"), F.lit(blocks)), "__bits": _bits(F.col("__canon"))}
-        )
-    )
-    filtered = F.broadcast(bloom(known, "__canon", blocks))
-    probed = base.join(filtered, base["__block"] == filtered["__fblock"], "left").withColumn(
-        "__maybe",
-        F.col("__canon").isNotNull()
-        & F.coalesce(F.col("__fbits").bitwiseAND(F.col("__bits")) == F.col("__bits"), F.lit(False)),
     )
+    flagged = probed(base, "__canon", bloom(known, "__canon", blocks), blocks)
     out = [*names, "host", "path", "rule", "verdict"]
-    rest = probed.where(~F.col("__maybe")).withColumn("verdict", F.coalesce("verdict", F.lit("allow"))).select(*out)
-    maybe = probed.where("__maybe").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    rest = flagged.where(~F.col("__maybe")).withColumn("verdict", F.coalesce("verdict", F.lit("allow"))).select(*out)
+    maybe = flagged.where("__maybe").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
     exact = known.withColumnRenamed("__canon", "__listed").withColumn(
         "__at", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     )
