@@ -28,7 +28,7 @@ def uniform(*parts: Column) -> Column:
 
 def quality_weight(text: Column, size: Column) -> Column:
     """1 for texts whose characters per word are usual in prose, 0.25 for others."""
-    per_word = F.length(text) / size
+    per_word = F.try_divide(F.length(text), size)
     return F.when((per_word >= 3.5) & (per_word <= 12), F.lit(1.0)).otherwise(F.lit(0.25))
 
 
@@ -101,7 +101,7 @@ def mix(
         "a.doc_id", "a.source", "a.size", "a.key", "a.slice", "ahead", "source_size", "target", *[f"a.{k}" for k in keep]
     )
     inside = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(F.lit(0))
     out = joined.withColumn("ahead", F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     out = out.withColumn("epochs", F.least(epochs, F.lit(most)).cast("long"))
     rest = F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
@@ -114,7 +114,7 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs as often as mix() takes them, to the nearest whole time; those it doesn't take are left out."""
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")))
     marked = docs.withColumn("__mark", mark)
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
+    times = F.when(F.col("size") > 0, F.round(F.try_divide("taken", "size"))).otherwise(0).cast("int")
     drawn = mix(marked, keep=("__mark",), **how).select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__m"), times.alias("__times"))
     drawn = drawn.where("__times > 0").groupBy("__id", "__m").agg(F.max("__times").alias("__times"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m"))
