@@ -4,28 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._bloom import blocks_for, bloom, probed
 from ._common import Stored
 
 
-def _signature(edges: DataFrame) -> tuple:
-    """Count and order-free digest of an edge table."""
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    return tuple(row)
-
-
 def components(edges: DataFrame) -> Stored:
     """(node, label): for each node of edges (a, b) the smallest node it reaches.
 
     Union-find by alternating star operations: every node's larger neighbours move to its smallest neighbour, then its
-    smaller ones do. Each round is two aggregations and two joins over the edges and is written out; rounds grow with
-    the logarithm of the longest path, and no adjacency list is ever gathered.
+    smaller ones do, until every node but the roots points at one root. Each round is a few aggregations and joins over
+    the edges and is written out; rounds grow with the logarithm of the longest path, and no adjacency list is ever
+    gathered.
     """
     now = Stored(_oriented(edges), "edges")
-    seen = _signature(now.df)
-    while True:
+    while not _is_forest(now.df):
         both = now.df.unionByName(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(least, both["a"] == least["k"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -34,9 +29,7 @@ def components(edges: DataFrame) -> Stored:
         moved = large.join(small, large["a"] == small["k"])
         after = Stored(_oriented(moved.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("k").alias("a"), F.col("m").alias("b")))), "edges")
         now.drop()
-        now, before, seen = after, seen, _signature(after.df)
-        if seen == before:
-            break
+        now = after
     heads = now.df.select(F.col("b").alias("node")).distinct()
     out = Stored(now.df.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(heads.select("node", F.col("node").alias("label"))), "labels")
     now.drop()
@@ -48,58 +41,81 @@ def _oriented(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
 
-def link(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], star_rounds: int = 3) -> tuple[DataFrame, list[Stored]]:
-    """(node, label) components of the links among nodes that share a bucket of members (bucket, node).
+def _is_forest(edges: DataFrame) -> bool:
+    """Whether every node that points at a smaller one points at just one, and at none that points on: by node, at most one
+    way down and not both a way down and one up."""
+    down, up = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")), edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
+    ways = down.unionByName(up).groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
+    return ways.where("down > 1 or (down = 1 and up = 1)").isEmpty()
+
+
+#: Buckets of at most so many nodes are compared pair by pair; larger ones are cut by further bands first.
+TOGETHER = 40
+#: Bands that cut a large bucket at a time, and how often; what is still too large then is compared in full.
+NEXT, LEVELS = 8, 4
+
 
-    confirm takes pairs (a, b) and returns those that are links. Pairs are not listed bucket by bucket: each round
-    tests the members of a bucket against one centre, and only where they aren't in one component yet. First the
-    centre is the smallest node over all buckets of a member; then a random member of each bucket; and after
-    star_rounds of those, every pair left in a bucket that spans components. So no link that would join two components
-    is lost, while groups of copies cost one test a member. Also returns the stored tables, to be dropped later.
+def link(nodes: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, label) components of the links among nodes (node, n, bands): n is the size of a set, bands its band keys.
+
+    confirm takes pairs (a, b) of nodes that share a band and returns those that are links. First the members of each
+    bucket are tested against the smallest of them: groups of copies cost a test or two a member. Buckets whose members
+    aren't in one component then are compared pair by pair across components, as far as the sizes allow a similarity of
+    percent. Large ones, made of nodes that share a passage but are no near-duplicates, are cut before: by the keys of
+    each of the NEXT bands that follow, again and again. Two nodes that are similar enough share many bands, so they
+    meet in some part; those that aren't hardly do. Nothing is dropped for its bucket's size.
     """
-    centres = members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    live = Stored(members.join(centres.select("bucket", "centre"), "bucket"), "live")
-    first = live.df.where("node <> centre").groupBy("node").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b"))
-    tested = Stored(first, "tested")
-    tests, edges, labels = [tested], [Stored(confirm(tested.df), "links")], None
-    changed = True
-    for number in range(1, star_rounds + 2):
-        if changed:
-            labels = _relabelled(labels, edges)
-        at = live.df.join(labels.df, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        spread = at.groupBy("bucket").agg(
-            F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", F.xxhash64("node", F.lit(number))).alias("centre"), F.min_by("label", F.xxhash64("node", F.lit(number))).alias("centre_label")
-        )
-        open_buckets = spread.where("low <> high").select("bucket", "centre", "centre_label")
-        if number <= star_rounds:
-            met = at.join(open_buckets, "bucket").where("label <> centre_label")
-            pairs = met.groupBy("node", "centre_label").agg(F.min("centre").alias("centre"))
-        else:
-            held = Stored(at.join(open_buckets.select("bucket"), "bucket"), "open")
-            tests.append(held)
-            x, y = held.df, held.df.select("bucket", F.col("node").alias("centre"), F.col("label").alias("centre_label"))
-            pairs = x.join(y, "bucket").where("label <> centre_label and node > centre")
-        pairs = pairs.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
-        fresh = Stored(pairs.join(_union(tests_of(tests)).distinct(), ["a", "b"], "left_anti"), "tested")
-        tests.append(fresh)
-        changed = not fresh.df.isEmpty()
-        if changed:
-            edges.append(Stored(confirm(fresh.df), "links"))
-    if changed:
-        labels = _relabelled(labels, edges)
-    for x in (live, *tests, *edges):
+    every = nodes.select("node", "n", F.posexplode("bands").alias("at", "bucket"))
+    shared = Stored(every.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
+    blocks = blocks_for(shared.df.count())
+    maybe = probed(every, "bucket", bloom(shared.df, "bucket", blocks), blocks).where("__maybe").drop("__maybe")
+    members = Stored(maybe.join(shared.df, "bucket", "left_semi"), "members")
+    first = members.df.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("a_n"))
+    met = members.df.join(first, "bucket").where(F.col("node") != F.col("a")).where(_fits("n", "a_n", percent))
+    tested = Stored(met.select("a", F.col("node").alias("b")).distinct(), "tested")
+    edges = Stored(confirm(tested.df), "links")
+    labels = components(edges.df)
+    labelled = members.df.join(labels.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    cut = Stored(_open(labelled), "open")
+    steps, pairs = [shared, members, tested, edges, cut], [Stored(_across(cut.df.where(F.col("size") <= TOGETHER), percent), "pairs")]
+    for level in range(LEVELS):
+        large = cut.df.where(F.col("size") > TOGETHER)
+        if large.isEmpty():
+            break
+        n_bands = F.size("bands")
+        further = F.explode(F.sequence(F.lit(1), F.least(F.lit(NEXT), n_bands - 1)))
+        moved = large.select("bucket", "at", "node", "n", "label").join(nodes.select("node", "bands"), "node").select("*", further.alias("step"))
+        moved = moved.withColumn("at", F.pmod(F.col("at") + F.col("step"), n_bands))
+        moved = moved.select(F.xxhash64("bucket", F.get("bands", F.col("at"))).alias("bucket"), "at", "node", "n", "label")
+        cut = Stored(_open(moved), "open")
+        steps.append(cut)
+        last = level == LEVELS - 1
+        pairs.append(Stored(_across(cut.df if last else cut.df.where(F.col("size") <= TOGETHER), percent), "pairs"))
+    fresh = Stored(_union(pairs).distinct().join(tested.df, ["a", "b"], "left_anti"), "tested")
+    more = Stored(confirm(fresh.df), "links")
+    if not more.df.isEmpty():
+        labels.drop()
+        labels = components(edges.df.unionByName(more.df))
+    for x in (*steps, *pairs, fresh, more):
         x.drop()
-    return labels.df, [labels]
+    return labels.df
 
 
-def _relabelled(labels: Stored | None, edges: list[Stored]) -> Stored:
-    if labels:
-        labels.drop()
-    return components(_union(edges))
+def _fits(n: str, other: str, percent: int) -> Column:
+    return F.least(n, other) * 100 >= F.greatest(n, other) * percent
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that span components, with the bucket's size."""
+    spread = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
+    return rows.join(spread.select("bucket", "size"), "bucket")
 
 
-def tests_of(tables: list[Stored]) -> list[Stored]:
-    return [t for t in tables if t.schema.fieldNames() == ["a", "b"]]
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs of a bucket that aren't in one component and whose sizes allow the similarity."""
+    other = rows.select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
+    met = rows.join(other, "bucket").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("b_label")) & _fits("n", "b_n", percent))
+    return met.select(F.col("node").alias("a"), "b").distinct()
 
 
 def _union(tables: list[Stored]) -> DataFrame:

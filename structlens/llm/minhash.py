@@ -191,10 +191,9 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     held = Stored(sketches(source, shingle), "sketches")
     full = held.df.where("n > 0")
     nodes = Stored(
-        full.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.max("n").alias("n"), F.min_by("planes", F.struct("doc_id", "mark")).alias("planes")).select("node", "at.doc_id", "at.mark", "n", "planes"),
+        full.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("at"), F.max("n").alias("n"), F.min_by(F.struct("planes", "bands"), F.struct("doc_id", "mark")).alias("s")).select("node", "at.doc_id", "at.mark", "n", "s.planes", "s.bands"),
         "nodes",
     )
-    members = full.select(F.explode("bands").alias("bucket"), "node").distinct()
     facts = nodes.df.select("node", "n", "planes")
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -204,7 +203,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         likely = Stored(both.where(fits & (estimate(F.col("a_planes"), F.col("b_planes")) >= least_estimate(percent))).select("a", "b"), "likely")
         return confirmed(likely.df, nodes.df.select("node", "doc_id", "mark"), source, shingle, percent).distinct()
 
-    labels, _ = link(members, confirm)
+    labels = link(nodes.df.select("node", "n", "bands"), confirm, percent)
     placed = nodes.df.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     firsts = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     known = Stored(placed.join(firsts, "label").select("node", "component_id"), "components")
