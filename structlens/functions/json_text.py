@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -80,11 +81,15 @@ def conditions(schema: dict, value: Column, path: str = "") -> list[tuple[str, s
             out += [(p, r, at.isNotNull() & c) for p, r, c in conditions(part, at, here)]
         if part.get("type") == "array" and part.get("items", {}).get("type") == "object":
             for p, r, _ in conditions(part["items"], F.lit(None).cast(from_json_schema(part["items"])), here + "/*"):
-                broken = lambda x, p=p, r=r, items=part["items"], here=here: next(c for q, s, c in conditions(items, x, here + "/*") if (q, s) == (p, r))
-                out.append((p, r, F.coalesce(F.exists(at, broken), F.lit(False))))
+                out.append((p, r, F.coalesce(F.exists(at, _breaks(part["items"], here + "/*", p, r)), F.lit(False))))
     return out
 
 
+def _breaks(items: dict, path: str, where: str, rule: str) -> Callable[[Column], Column]:
+    """Whether an entry of a list breaks one of its conditions."""
+    return lambda x: next(c for p, r, c in conditions(items, x, path) if (p, r) == (where, rule))
+
+
 def violations(rows: DataFrame, text: str, schema: dict, key: str) -> DataFrame:
     """(key, path, rule) of what is wrong with a JSON column; a text that is no JSON object breaks ("", "json").
 
