@@ -9,7 +9,8 @@ dropped (length bound), and the remaining are verified word by word.
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -179,18 +180,49 @@ def _pass(docs: DataFrame, index: Index) -> DataFrame:
     return docs.select("__row", "doc_id", "text").mapInArrow(run, kinds)
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> list[list[tuple[object, str | None]]]:
-    """The items in blocks of at most so many words of windows (an item with more is a block of its own)."""
-    out: list[list] = [[]]
+def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[object, str | None]]]:
+    """The items in blocks of at most so many words of windows (an item with more is a block of its own), one at a time."""
+    block: list[tuple[object, str | None]] = []
     held = 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         n = len(words(row[1])) * WINDOW
         if held and held + n > most:
-            out.append([])
-            held = 0
-        out[-1].append((row[0], row[1]))
+            yield block
+            block, held = [], 0
+        block.append((row[0], row[1]))
         held += n
-    return out
+    yield block
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_words: int) -> tuple[DataFrame, DataFrame]:
+    """(docs with __row, their _pass): one pass, or, for a benchmark of several blocks, one over a numbered copy for each
+    block, written out and merged by row."""
+    from pyspark.sql import functions as F
+
+    parts = blocks(benchmark, block_words)
+    first, second = next(parts), next(parts, None)
+    if second is None:
+        rows = docs.withColumn("__row", F.lit(0).cast("long"))
+        return rows, _pass(_plain(rows), Index(first, window, shingle))
+    from ._common import Stored
+
+    rows = Stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered").df
+    out = None
+    for part in chain((first, second), parts):
+        got = Stored(_pass(_plain(rows), Index(part, window, shingle)), "hits").df
+        out = got if out is None else out.unionByName(got)
+    merged = out.groupBy("__row", "doc_id").agg(
+        F.first("n_words").alias("n_words"),
+        F.flatten(F.collect_list("hit_runs")).alias("hit_runs"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    return rows, merged
+
+
+def _plain(rows: DataFrame) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    return rows.select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -203,23 +235,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: i
     """
     from pyspark.sql import functions as F
 
-    rows = docs.select(F.lit(0).cast("long").alias("__row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = blocks(benchmark, block_words)
-    if len(parts) == 1:
-        out = _pass(rows, Index(parts[0], window, shingle))
-    else:
-        from ._common import Stored
-
-        rows = Stored(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered").df
-        out = None
-        for part in parts:
-            got = _pass(rows, Index(part, window, shingle))
-            out = got if out is None else out.unionByName(got)
-        out = out.groupBy("__row", "doc_id").agg(
-            F.first("n_words").alias("n_words"),
-            F.flatten(F.collect_list("hit_runs")).alias("hit_runs"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-        )
+    _, out = _passes(docs, benchmark, window, shingle, block_words)
     return out.select("doc_id", "n_words", _covered(F.col("hit_runs")).alias("n_hit"), "items")
 
 
@@ -242,10 +258,6 @@ def _covered(runs):
     )["n"]
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
-
-
 def judge(docs: DataFrame, benchmark: DataFrame, percent: int = 5, **how) -> DataFrame:
     """find() with n_items, items_sha256 and contaminated: at least `percent` of the words are hit."""
     from pyspark.sql import functions as F
@@ -270,20 +282,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 5, block_words:
     from pyspark.sql import functions as F
 
     parts = blocks(benchmark, block_words)
-    if len(parts) > 1:
-        from ._common import Stored
-
-        numbered = Stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered").df
-        rows = numbered.select("__row", F.col("__row").alias("doc_id"), "text")
-        bad = None
-        for part in parts:
-            got = _pass(rows, Index(part, WINDOW, SHINGLE))
-            bad = got if bad is None else bad.unionByName(got)
-        merged = bad.groupBy("__row").agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hit_runs")).alias("hit_runs"))
+    first = next(parts)
+    if next(parts, None) is not None:
+        rows, found = _passes(docs, benchmark, WINDOW, SHINGLE, block_words)
         n_hit = _covered(F.col("hit_runs"))
-        bad = merged.where((n_hit > 0) & (n_hit * 100 >= F.col("n_words") * percent)).select("__row")
-        return numbered.join(bad, "__row", "left_anti").select(*docs.columns)
-    index = Index(parts[0], WINDOW, SHINGLE)
+        bad = found.where((n_hit > 0) & (n_hit * 100 >= F.col("n_words") * percent)).select("__row")
+        return rows.join(bad, "__row", "left_anti").select(*docs.columns)
+    index = Index(first, WINDOW, SHINGLE)
     windows = [np.array(w, np.int64) for w in index.windows]
     known = prefixes(index, count_shingles(docs, index))
     shared = docs.sparkSession.sparkContext.broadcast((index.vocabulary, known, windows))
