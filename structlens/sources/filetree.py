@@ -81,3 +81,13 @@ def read_text(root: str, path: str) -> str:
             return f.read()
     except (OSError, UnicodeDecodeError) as e:
         return f"ERROR: {type(e).__name__}"
+
+
+def with_text(files: DataFrame, root: str) -> DataFrame:
+    """(path, filename, text) of a listing, read by the executors; unreadable files have read_text()'s message."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(text=[read_text(root, p) for p in batch.path])
+
+    return files.select("path", "filename").mapInPandas(run, "path STRING, filename STRING, text STRING")

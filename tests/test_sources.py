@@ -127,4 +127,6 @@ def test_file_tree(spark, tmp_path):
         "a.txt": ("", "a.txt", 8, 4), "empty": ("", "empty", 0, 0), ".git/config": (".git", "config", 2, 1), "src/p/A.java": ("src/p", "A.java", 4, 2), "src/p/B.java": ("src/p", "B.java", 4, 2),
     }
     assert filetree.read_text(str(tmp_path), "a.txt") == "a\nb\r\nc\rd"
+    texts = filetree.with_text(filetree.read(spark, str(tmp_path)).where("directory = ''"), str(tmp_path))
+    assert {(r.filename, r.text) for r in texts.collect()} == {("a.txt", "a\nb\r\nc\rd"), ("empty", "")}
     assert filetree.read_text(str(tmp_path), "../x") == "ERROR" and filetree.read_text(str(tmp_path), "no") == "ERROR: FileNotFoundError"
