@@ -49,23 +49,16 @@ def _is_forest(edges: DataFrame) -> bool:
     return ways.where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
 
-#: Buckets of at most so many nodes are compared pair by pair; larger ones are cut by further bands first.
-TOGETHER = 40
-#: Bands that cut a large bucket at a time, and how often; what is still too large then is compared in full.
-NEXT, LEVELS = 8, 4
-
-
-def link(nodes: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def link(nodes: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, likely: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(node, label) components of the links among nodes (node, n, bands): n is the size of a set, bands its band keys.
 
     confirm takes pairs (a, b) of nodes that share a band and returns those that are links. First the members of each
-    bucket are tested against the smallest of them: groups of copies cost a test or two a member. Buckets whose members
-    aren't in one component then are compared pair by pair across components, as far as the sizes allow a similarity of
-    percent. Large ones, made of nodes that share a passage but are no near-duplicates, are cut before: by the keys of
-    each of the NEXT bands that follow, again and again. Two nodes that are similar enough share many bands, so they
-    meet in some part; those that aren't hardly do. Nothing is dropped for its bucket's size.
+    bucket are tested against the smallest of them: groups of copies cost a test or two a member. Then, in buckets whose
+    members aren't in one component, pairs across components are taken as far as their sizes allow a similarity of
+    percent and, given likely, as far as it holds for their sketches (nodes has a column sketch then): the join
+    evaluates that itself, so unlikely pairs never become rows. Nothing is dropped for its bucket's size.
     """
-    every = nodes.select("node", "n", F.posexplode("bands").alias("at", "bucket"))
+    every = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     shared = Stored(every.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
     blocks = blocks_for(shared.df.count())
     maybe = probed(every, "bucket", bloom(shared.df, "bucket", blocks), blocks).where("__maybe").drop("__maybe")
@@ -76,27 +69,17 @@ def link(nodes: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: i
     edges = Stored(confirm(tested.df), "links")
     labels = components(edges.df)
     labelled = members.df.join(labels.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    cut = Stored(_open(labelled), "open")
-    steps, pairs = [shared, members, tested, edges, cut], [Stored(_across(cut.df.where(F.col("size") <= TOGETHER), percent), "pairs")]
-    for level in range(LEVELS):
-        large = cut.df.where(F.col("size") > TOGETHER)
-        if large.isEmpty():
-            break
-        n_bands = F.size("bands")
-        further = F.explode(F.sequence(F.lit(1), F.least(F.lit(NEXT), n_bands - 1)))
-        moved = large.select("bucket", "at", "node", "n", "label").join(nodes.select("node", "bands"), "node").select("*", further.alias("step"))
-        moved = moved.withColumn("at", F.pmod(F.col("at") + F.col("step"), n_bands))
-        moved = moved.select(F.xxhash64("bucket", F.get("bands", F.col("at"))).alias("bucket"), "at", "node", "n", "label")
-        cut = Stored(_open(moved), "open")
-        steps.append(cut)
-        last = level == LEVELS - 1
-        pairs.append(Stored(_across(cut.df if last else cut.df.where(F.col("size") <= TOGETHER), percent), "pairs"))
-    fresh = Stored(_union(pairs).distinct().join(tested.df, ["a", "b"], "left_anti"), "tested")
+    spread = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
+    still = labelled.join(spread.select("bucket"), "bucket")
+    if likely is not None:
+        still = still.join(nodes.select("node", "sketch"), "node")
+    cut = Stored(still, "open")
+    fresh = Stored(_across(cut.df, percent, likely).join(tested.df, ["a", "b"], "left_anti"), "tested")
     more = Stored(confirm(fresh.df), "links")
     if not more.df.isEmpty():
         labels.drop()
         labels = components(edges.df.unionByName(more.df))
-    for x in (*steps, *pairs, fresh, more):
+    for x in (shared, members, tested, edges, cut, fresh, more):
         x.drop()
     return labels.df
 
@@ -105,21 +88,10 @@ def _fits(n: str, other: str, percent: int) -> Column:
     return F.least(n, other) * 100 >= F.greatest(n, other) * percent
 
 
-def _open(rows: DataFrame) -> DataFrame:
-    """The rows of buckets that span components, with the bucket's size."""
-    spread = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high")
-    return rows.join(spread.select("bucket", "size"), "bucket")
-
-
-def _across(rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs of a bucket that aren't in one component and whose sizes allow the similarity."""
-    other = rows.select("bucket", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"))
-    met = rows.join(other, "bucket").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("b_label")) & _fits("n", "b_n", percent))
-    return met.select(F.col("node").alias("a"), "b").distinct()
-
-
-def _union(tables: list[Stored]) -> DataFrame:
-    out = tables[0].df
-    for t in tables[1:]:
-        out = out.unionByName(t.df)
-    return out
+def _across(rows: DataFrame, percent: int, likely: Callable[[Column, Column], Column] | None) -> DataFrame:
+    """(a, b): pairs of a bucket that aren't in one component and whose sizes and sketches allow the similarity."""
+    other = rows.select(F.col("bucket"), *[F.col(c).alias(f"b_{c}") for c in rows.columns if c != "bucket"])
+    fits = (F.col("node") < F.col("b_node")) & (F.col("label") != F.col("b_label")) & _fits("n", "b_n", percent)
+    if likely is not None:
+        fits = fits & likely(F.col("sketch"), F.col("b_sketch"))
+    return rows.join(other, "bucket").where(fits).select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()

@@ -8,6 +8,8 @@ the full sets. With 52 bands of 5, a pair at exactly 0.8 shares no band with pro
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,7 +23,7 @@ from .substring import LAST
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS, BITS = 52, 5, 2
 #: Standard deviations below the threshold at which an estimate rejects a candidate.
-MARGIN = 6.5
+MARGIN = 5
 #: Members confirmed together with a copy of their centre's set, so that no centre is too large for a task.
 TOGETHER = 400
 PACK_BYTES = 1 << 20
@@ -113,12 +115,8 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 def estimate(a: Column, b: Column) -> Column:
     """Similarity from two arrays of planes: the share of equal minima, less what chance makes equal."""
     lanes = -(-BANDS * ROWS // 64)
-    plane = lambda x, i: F.slice(x, i * lanes + 1, lanes)
-    differ = F.zip_with(plane(a, 0), plane(b, 0), lambda x, y: x.bitwiseXOR(y))
-    for i in range(1, BITS):
-        other = F.zip_with(plane(a, i), plane(b, i), lambda x, y: x.bitwiseXOR(y))
-        differ = F.zip_with(differ, other, lambda x, y: x.bitwiseOR(y))
-    unequal = F.aggregate(differ, F.lit(0), lambda n, x: n + F.bit_count(x))
+    differ = [reduce(Column.bitwiseOR, [F.get(a, F.lit(p * lanes + i)).bitwiseXOR(F.get(b, F.lit(p * lanes + i))) for p in range(BITS)]) for i in range(lanes)]
+    unequal = reduce(Column.__add__, [F.bit_count(x) for x in differ])
     chance = 0.5**BITS
     return (1 - unequal / (BANDS * ROWS) - chance) / (1 - chance)
 
@@ -195,15 +193,16 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         "nodes",
     )
     facts = nodes.df.select("node", "n", "planes")
+    likely = lambda a, b: estimate(a, b) >= least_estimate(percent)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         a, b = (facts.select(*[F.col(c).alias(f"{side}_{c}") for c in facts.columns]) for side in "ab")
         both = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
         fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-        likely = Stored(both.where(fits & (estimate(F.col("a_planes"), F.col("b_planes")) >= least_estimate(percent))).select("a", "b"), "likely")
-        return confirmed(likely.df, nodes.df.select("node", "doc_id", "mark"), source, shingle, percent).distinct()
+        chosen = Stored(both.where(fits & likely(F.col("a_planes"), F.col("b_planes"))).select("a", "b"), "likely")
+        return confirmed(chosen.df, nodes.df.select("node", "doc_id", "mark"), source, shingle, percent).distinct()
 
-    labels = link(nodes.df.select("node", "n", "bands"), confirm, percent)
+    labels = link(nodes.df.select("node", "n", "bands", F.col("planes").alias("sketch")), confirm, percent, likely)
     placed = nodes.df.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     firsts = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     known = Stored(placed.join(firsts, "label").select("node", "component_id"), "components")
