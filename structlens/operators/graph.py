@@ -19,7 +19,7 @@ def _trimmed(edges: DataFrame) -> DataFrame:
         kept = edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
         kept = written(kept.select("src", "dst"))
         m = kept.count()
-        if m > n * LEAST_TRIMMED:
+        if not m or m > n * LEAST_TRIMMED:
             return kept
         edges, n = kept, m
 
