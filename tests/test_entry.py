@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -21,7 +22,7 @@ def tables():
 
 def rows(df):
     names = sorted(df.columns)
-    value = lambda v: None if v is None or v != v else round(float(v), 4) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    value = lambda v: None if pd.isna(v) else round(float(v), 4) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted((tuple(map(value, r)) for r in df[names].astype(object).itertuples(index=False)), key=str)
 
 
