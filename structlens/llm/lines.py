@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash over character shingles.
 
-Equal lines are one node from the start. A line's shingles are the SHINGLE characters from each of its word starts,
-blanks included. BANDS bands of ROWS minima propose candidates, the exact Jaccard similarity of the shingle sets
+Equal lines are one node from the start. A line's shingles are the SHINGLE characters from each of its characters on,
+blanks included; a shorter line is one shingle. BANDS bands of ROWS minima propose candidates, the exact Jaccard similarity of the shingle sets
 confirms them, and distributed union-find makes components, of which the first occurrence stays. DataFrame operations
 only: the minima are ordinary aggregates over exploded shingles, grouped where the lines already are.
 """
@@ -19,11 +19,12 @@ SHINGLE, PERCENT = 9, 80
 #: A pair at exactly 0.8 shares no band with probability 2e-5, one at 0.9 with 1e-9.
 BANDS, ROWS = 16, 3
 LAST = (1 << 63) - 1
-_STARTS = r"(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D](?s:.{0,%d})))" % (SHINGLE - 1)
+#: Looks ahead from each character; taking that one along keeps surrogate pairs whole.
+_EACH = r"(?s)(?=(.{%d}))." % SHINGLE
 
 
 def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(_STARTS), F.lit(1))
+    return F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_EACH), F.lit(1)))
 
 
 def occurrences(docs: DataFrame, with_line: bool = True) -> DataFrame:
@@ -35,34 +36,37 @@ def occurrences(docs: DataFrame, with_line: bool = True) -> DataFrame:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(node, line, first, n, size, bands) of the distinct lines: first occurrence, number of occurrences, size of the
-    shingle set, band keys."""
+    """(node, first, n, size, bands) of the distinct lines: first occurrence, number of occurrences, size of the shingle
+    set, band keys."""
     distinct = occurrences(docs).groupBy("node").agg(F.min("line").alias("line"), F.min(F.struct("doc_id", "mark", "pos")).alias("first"), F.count("*").alias("n"))
-    sets = distinct.select("node", shingles(F.col("line")).alias("all"))
-    parts = sets.select("node", F.size(F.array_distinct("all")).alias("size"), F.explode("all").alias("s"))
-    parts = parts.select("node", "size", F.xxhash64("s").alias("h"), F.xxhash64("s", F.lit(1)).alias("g"))
+    # The size is taken before the explosion: beside it, it would be computed anew for each shingle.
+    sets = distinct.select("node", "first.*", "n", shingles(F.col("line")).alias("all")).withColumn("size", F.size(F.array_distinct("all")))
+    kept = ["doc_id", "mark", "pos", "n", "size"]
+    parts = sets.select("node", *kept, F.explode("all").alias("s"))
+    parts = parts.select("node", *kept, F.xxhash64("s").alias("h"), F.xxhash64("s", F.lit(1)).alias("g"))
     # Each function shifts other bits of a second hash to the top: that orders the shingles anew.
     value = lambda i: F.col("h").bitwiseXOR(F.call_function("shiftleft", F.col("g"), F.lit(i)))
-    minima = parts.groupBy("node").agg(F.max("size").alias("size"), *[F.min(value(i)).alias(f"m{i}") for i in range(BANDS * ROWS)])
+    minima = parts.groupBy("node").agg(*[F.max(c).alias(c) for c in kept], *[F.min(value(i)).alias(f"m{i}") for i in range(BANDS * ROWS)])
     keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return distinct.join(minima.select("node", "size", F.array(*keys).alias("bands")), "node")
+    return minima.select("node", F.struct("doc_id", "mark", "pos").alias("first"), "n", "size", F.array(*keys).alias("bands"))
 
 
 def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, first): for each line that repeats or is similar to others, the occurrence that stays for it."""
     lines = Stored(sketches(docs), "lines").df
-    hashed = F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         blocks = blocks_for(wanted.count())
-        some = probed(lines.select("node", "line"), "node", bloom(wanted, "node", blocks), blocks).where("__maybe")
-        sets = Stored(some.join(wanted, "node", "left_semi").select("node", hashed.alias("set")), "sets").df
-        a, b = (sets.select(F.col("node").alias(x), F.col("set").alias(f"{x}_set")) for x in "ab")
+        some = probed(occurrences(docs).select("node", "line"), "node", bloom(wanted, "node", blocks), blocks).where("__maybe")
+        texts = some.groupBy("node").agg(F.min("line").alias("line"))
+        texts = Stored(texts.join(lines.select("node", "size"), "node").join(wanted, "node", "left_semi"), "texts").df
+        a, b = (texts.select(F.col("node").alias(x), F.col("line").alias(f"{x}_line"), F.col("size").alias(f"{x}_size")) for x in "ab")
         both = pairs.join(a, "a").join(b, "b")
-        met, n = F.size(F.array_intersect("a_set", "b_set")), F.size("a_set") + F.size("b_set")
-        fits = F.least(F.size("a_set"), F.size("b_set")) * 100 >= F.greatest(F.size("a_set"), F.size("b_set")) * percent
-        return both.where(fits & (met * 100 >= (n - met) * percent)).select("a", "b")
+        # Lines travel, not their sets, which are far larger.
+        met = F.size(F.array_intersect(shingles(F.col("a_line")), shingles(F.col("b_line"))))
+        fits = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent
+        return both.where(fits).where(met * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent).select("a", "b")
 
     labels = link(lines.select("node", "size", "bands").withColumnRenamed("size", "n"), confirm, percent)
     placed = lines.select("node", "first", "n").join(labels, "node", "left").where("n > 1 or label is not null")
