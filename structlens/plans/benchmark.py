@@ -269,7 +269,7 @@ def json_pointer_explode(v: Views) -> DataFrame:
 
 @query
 def json_repair(v: Views) -> DataFrame:
-    line = F.concat(F.lit('```json{\n"html" : "'), F.regexp_replace(F.substring("html", 1, 400), r"[\\\n\r\t]", " "), F.lit('",\n"id" : '), F.col("page_id").cast("string"), F.lit("\n}```"))
+    line = F.concat(F.lit('```json{\n"html" : "'), F.regexp_replace("html", r"[\\\n\r\t]", " "), F.lit('",\n"id" : '), F.col("page_id").cast("string"), F.lit("\n}```"))
     fixed = v.table("pages").select("page_id", json_text.repaired(line).alias("fixed"))
     return fixed.select("page_id", F.get_json_object("fixed", "$.id").cast("long").alias("id"), F.length(F.get_json_object("fixed", "$.html")).cast("long").alias("n"))
 
