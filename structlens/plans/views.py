@@ -64,7 +64,7 @@ class Views:
 
     def package_edges(self) -> DataFrame:
         """(src, dst) nations with the number of supplier edges behind each."""
-        edges = self.supplier_edges().where("src % 3 = 0")
+        edges = self.supplier_edges()
         home = self.table("supplier").select(F.col("s_suppkey").alias("dst"), F.col("s_nationkey").alias("to"))
         lifted = edges.join(home, "dst").where("nation <> to")
         return lifted.groupBy(F.col("nation").alias("src"), F.col("to").alias("dst")).agg(F.count("*").alias("evidence"))
