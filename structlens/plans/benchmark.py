@@ -178,7 +178,7 @@ def inter_module_matrix(v: Views) -> DataFrame:
 
 @query
 def inter_module_instability(v: Views) -> DataFrame:
-    return coupling.instability(coupling.weights(v.module_uses()), v.modules())
+    return coupling.instability(coupling.weights(v.module_surplus()), v.modules())
 
 
 @query
@@ -354,13 +354,13 @@ def rules_findings(v: Views) -> DataFrame:
 
 @query
 def rules_grouped(v: Views) -> DataFrame:
-    stability = coupling.instability(coupling.weights(v.module_uses()), v.modules())
+    stability = coupling.instability(coupling.weights(v.module_surplus()), v.modules())
     return thresholds.grouped(thresholds.evaluate(stability, thresholds.STABILITY_RULES))
 
 
 @query
 def unstable_dependencies(v: Views) -> DataFrame:
-    edges = coupling.weights(v.module_uses())
+    edges = coupling.weights(v.module_surplus())
     return thresholds.unstable_dependencies(edges, coupling.instability(edges, v.modules()), low=50, high=50)
 
 

@@ -70,13 +70,20 @@ class Views:
         return lifted.groupBy(F.col("nation").alias("src"), F.col("to").alias("dst")).agg(F.count("*").alias("evidence"))
 
     def module_uses(self) -> DataFrame:
-        """(from, to, n): customers' nations that buy from suppliers' nations, for a narrow set of lineitems."""
-        sold = self.table("lineitem").where("l_quantity = 50 and l_returnflag = 'R' and l_linenumber = 1").select("l_orderkey", "l_suppkey")
+        """(from, to, n): customers' nations that buy from suppliers' nations, over all lineitems."""
+        sold = self.table("lineitem").select("l_orderkey", "l_suppkey")
         name = self.table("nation").select("n_nationkey", "n_name")
         seller = self.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("n_nationkey")).join(name, "n_nationkey").select("l_suppkey", F.col("n_name").alias("to"))
         buyer = self.classes().select(F.col("class").alias("l_orderkey"), F.col("module").alias("from"))
         return sold.join(buyer, "l_orderkey").join(seller, "l_suppkey").groupBy("from", "to").agg(F.count("*").alias("n"))
 
+    def module_surplus(self) -> DataFrame:
+        """(from, to, n): by how many lineitems a nation buys more from another than that buys from it. Every lineitem
+        counts in it; the uses themselves join nearly all nations both ways, which leaves every instability at 50."""
+        uses = self.module_uses()
+        back = uses.select(F.col("to").alias("from"), F.col("from").alias("to"), (-F.col("n")).alias("n"))
+        return uses.unionByName(back).groupBy("from", "to").agg(F.sum("n").alias("n")).where("n > 0")
+
     def files(self) -> DataFrame:
         """Pages as files: host and path without the last part are the directory."""
         page = self.table("pages").select("page_id", F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"[?#].*$", "").alias("path"), F.col("html"))

@@ -10,14 +10,18 @@ from structlens.plans import benchmark, sql
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.fixture(scope="module")
-def tables():
+def connected(folder):
     con = duckdb.connect()
-    for name in os.listdir(SF):
-        con.sql(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{name}'")
+    for name in os.listdir(folder):
+        con.sql(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM '{folder}/{name}'")
     return con
 
 
+@pytest.fixture(scope="module")
+def tables():
+    return connected(SF)
+
+
 def test_json_repair_takes_whole_pages(spark, tmp_path):
     pages = [
         (1, '<a href="/x">short</a>'), (2, "a" * 399 + '"b" ' * 200 + "end"), (3, "\n\t\\" * 300 + '<p class="c" id="d">é😀</p>'), (4, '"' * 1000 + "."), (5, ""), (6, None),
@@ -34,3 +38,30 @@ def test_package_tangles_lift_every_edge(spark, tables):
     assert sorted(map(tuple, got)) == sorted(tables.sql(f"SELECT component, src, dst, evidence FROM ({whole})").fetchall())
     crossing = "SELECT count(*) FROM supplier a JOIN supplier b ON (a.s_suppkey * 7 + a.s_nationkey) % (SELECT count(*) FROM supplier) = b.s_suppkey WHERE a.s_nationkey <> b.s_nationkey"
     assert 0 < sum(r.evidence for r in got) <= tables.sql(crossing).fetchall()[0][0]
+
+
+CUT = "l_quantity = 50 AND l_returnflag = 'R' AND l_linenumber = 1 AND "
+NET = """, surplus AS (SELECT a."from", a."to", a.import_count - coalesce(b.import_count, 0) AS import_count FROM uses a LEFT JOIN uses b ON a."from" = b."to" AND a."to" = b."from"
+  WHERE a.import_count > coalesce(b.import_count, 0))"""
+
+
+@pytest.mark.parametrize("name", ["inter_module_matrix", "inter_module_instability", "rules_grouped", "unstable_dependencies"])
+def test_module_uses_count_every_lineitem(spark, name):
+    """The matrix has all uses; the others take each pair's surplus instead of its uses. Of unstable dependencies there
+    are none before sf0.1."""
+    folder = "/root/testdata/sf0.1" if name == "unstable_dependencies" else SF
+    whole = sql.SQL[name].replace(CUT, "")
+    if name != "inter_module_matrix":
+        assert whole.count(", stability AS") == 1
+        head, tail = whole.split(", stability AS")
+        whole = f"{head}{NET}, stability AS{tail.replace('FROM uses', 'FROM surplus')}"
+    got, expected = benchmark.QUERIES[name](spark, folder).toPandas(), connected(folder).sql(whole).df()
+    rows = lambda df: sorted(tuple(map(str, r)) for r in df[sorted(expected.columns)].itertuples(index=False))
+    assert len(got) and rows(got) == rows(expected)
+
+
+def test_matrix_counts_add_up(spark, tables):
+    between = """SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
+      WHERE c_nationkey <> s_nationkey"""
+    got = benchmark.QUERIES["inter_module_matrix"](spark, SF).agg({"import_count": "sum"}).first()[0]
+    assert got == tables.sql(between).fetchall()[0][0]
