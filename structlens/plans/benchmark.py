@@ -372,5 +372,4 @@ def top_prefix_share(v: Views) -> DataFrame:
 
 @query
 def csv_by_category(v: Views) -> DataFrame:
-    one = metrics.histogram(v.methods().where("module = 'NATION_1'"), "complexity")
-    return sinks.by_category(one, numeric=True)
+    return sinks.by_category(metrics.histogram(v.methods(), "complexity"), True, "module")

@@ -42,11 +42,11 @@ def by_number(distribution: DataFrame) -> DataFrame:
     return distribution.select(F.col("value").cast("int").alias("Value"), F.col("count").alias("Count")).orderBy("Value")
 
 
-def by_category(distribution: DataFrame, numeric: bool = False) -> DataFrame:
-    """Category, Key (or Value), Count: production, test, generated, then by key."""
+def by_category(distribution: DataFrame, numeric: bool = False, *keep: str) -> DataFrame:
+    """Category, Key (or Value), Count after the columns keep: in the order of these, production, test, generated, then by key."""
     order = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
     key = F.col("value").cast("int") if numeric else F.col("value")
-    return distribution.select(F.col("category").alias("Category"), key.alias("Value" if numeric else "Key"), F.col("count").alias("Count"), order.alias("o")).orderBy("o", key).drop("o")
+    return distribution.select(*keep, F.col("category").alias("Category"), key.alias("Value" if numeric else "Key"), F.col("count").alias("Count"), order.alias("o")).orderBy(*keep, "o", key).drop("o")
 
 
 def matrix(edges: DataFrame) -> DataFrame:

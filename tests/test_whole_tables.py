@@ -65,3 +65,9 @@ def test_matrix_counts_add_up(spark, tables):
       WHERE c_nationkey <> s_nationkey"""
     got = benchmark.QUERIES["inter_module_matrix"](spark, SF).agg({"import_count": "sum"}).first()[0]
     assert got == tables.sql(between).fetchall()[0][0]
+
+
+def test_csv_has_the_rows_of_every_module(spark, tables):
+    whole = sql.SQL["csv_by_category"].replace("SELECT category AS", "SELECT module, category AS").replace("WHERE module = 'NATION_1' ", "")
+    got = [tuple(r) for r in benchmark.QUERIES["csv_by_category"](spark, SF).collect()]
+    assert len({r[0] for r in got}) == 25 and sorted(got) == sorted(tables.sql(whole).fetchall())
