@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import threading
+import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
@@ -116,42 +118,54 @@ def runnable(needs: DataFrame, met: DataFrame) -> DataFrame:
 
 
 class StateTable:
-    """Task states in a JSON file, rewritten whole by a rename."""
+    """Task states in a JSON file, rewritten whole by a rename. Threads share a table; one at a time changes it."""
 
     def __init__(self, path: str):
         self.path = path
         self.rows: dict[str, dict] = {}
+        self._lock = threading.RLock()
         if os.path.exists(path):
             with open(path, encoding="utf-8") as f:
                 self.rows = {r["task_id"]: r for r in json.load(f)}
 
     def mark(self, task: str, state: str, index: int | None = None) -> None:
         """FAILED keeps the indices that were done; they are not run again."""
-        row = self.rows.setdefault(task, {"task_id": task, "successful_indices": []})
-        row["last_execution"], row["state"] = datetime.now(timezone.utc).isoformat(), state
-        if index is not None and index not in row["successful_indices"]:
-            row["successful_indices"] = sorted([*row["successful_indices"], index])
-        self._save()
+        with self._lock:
+            row = self.rows.setdefault(task, {"task_id": task, "successful_indices": []})
+            row["last_execution"], row["state"] = datetime.now(timezone.utc).isoformat(), state
+            if index is not None and index not in row["successful_indices"]:
+                row["successful_indices"] = sorted([*row["successful_indices"], index])
+            self._save()
 
     def drop(self, *tasks: str) -> None:
-        for t in tasks or list(self.rows):
-            self.rows.pop(t, None)
-        self._save()
+        with self._lock:
+            for t in tasks or list(self.rows):
+                self.rows.pop(t, None)
+            self._save()
 
     def done(self, task: Task) -> bool:
-        return task.active and self.rows.get(task.id, {}).get("state") == "SUCCESSFUL"
+        with self._lock:
+            return task.active and self.rows.get(task.id, {}).get("state") == "SUCCESSFUL"
 
     def indices(self, task: str) -> set[int]:
-        return set(self.rows.get(task, {}).get("successful_indices", ()))
+        with self._lock:
+            return set(self.rows.get(task, {}).get("successful_indices", ()))
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(r["task_id"], datetime.fromisoformat(r["last_execution"]), r["successful_indices"], r["state"]) for r in self.rows.values()]
+        with self._lock:
+            rows = [(r["task_id"], datetime.fromisoformat(r["last_execution"]), r["successful_indices"], r["state"]) for r in self.rows.values()]
         return spark.createDataFrame(rows, TASK_STATE)
 
     def _save(self) -> None:
-        with open(self.path + ".new", "w", encoding="utf-8") as f:
-            json.dump(list(self.rows.values()), f, indent=1)
-        os.replace(self.path + ".new", self.path)
+        """Called with the lock held. The draft's own name keeps tables of other processes from renaming it."""
+        draft = f"{self.path}.{uuid.uuid4().hex}"
+        try:
+            with open(draft, "w", encoding="utf-8") as f:
+                json.dump(list(self.rows.values()), f, indent=1)
+            os.replace(draft, self.path)
+        finally:
+            if os.path.exists(draft):
+                os.remove(draft)
 
 
 def remaining(items: DataFrame, state: DataFrame) -> DataFrame:

@@ -148,6 +148,16 @@ def test_failure_blocks_dependents_only(tmp_path):
         scheduler.run([tasks.Task("x", depends_on=("gone",))], lambda t, i: 1, tasks.StateTable(str(tmp_path / "t.json")))
 
 
+@pytest.mark.parametrize("attempt", range(5))
+def test_state_survives_many_threads(tmp_path, attempt):
+    found = [tasks.Task(f"t{i}", loop_on="/x", tags=(f"g{i}",), depends_on=(f"g{i - 4}",) if i >= 4 else ()) for i in range(8)]
+    path = str(tmp_path / "state.json")
+    got = scheduler.run(found, lambda t, i: None if (t.id, i) == ("t7", 3) else i + 1, tasks.StateTable(path), size=lambda t: 12, parallel=4, loop_parallel=4)
+    assert got == {f"t{i}": "FAILED" if i == 7 else "SUCCESSFUL" for i in range(8)}
+    again = tasks.StateTable(path)
+    assert [len(again.indices(t.id)) for t in found] == [12] * 7 + [11] and list(tmp_path.iterdir()) == [tmp_path / "state.json"]
+
+
 def test_runnable_and_remaining(spark):
     needs = spark.createDataFrame([("B", "a"), ("C", "a"), ("C", "b")], "id STRING, tag STRING")
     assert {r.id for r in tasks.runnable(needs, spark.createDataFrame([("a",), ("a",)], "tag STRING")).collect()} == {"B"}
