@@ -31,13 +31,16 @@ def native_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured, as in tests."""
+    """The folder that driver and executors share, spark.checkpoint.dir; a temporary one only where none is configured and
+    all runs on one machine, as in tests."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there is None:
         set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_before.isDefined():
             there = set_before.get()
     if there is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="structlens-")
         spark.conf.set("spark.checkpoint.dir", there)
         atexit.register(delete, spark, there)
@@ -51,6 +54,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there, wherever it lives."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder, wherever it lives."""
     try:
@@ -94,6 +103,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return Stored(df, name).df
 
 
+def packs(batches, size: int, *names: str):
+    """Lists of rows of the named columns, the first of them bytes: about `size` bytes of it in each list, a longer row alone."""
+    rows, held = [], 0
+    for batch in batches:
+        for row in zip(*[batch.column(n).to_pylist() for n in names], strict=True):
+            rows.append(row)
+            held += len(row[0])
+            if held >= size:
+                yield rows
+                rows, held = [], 0
+    if rows:
+        yield rows
+
+
 def small(df: DataFrame, most: int) -> bool:
     """Whether a table has at most so many rows; counts no further than that."""
     return df.limit(most + 1).count() <= most

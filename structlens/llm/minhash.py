@@ -16,16 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _hashing
-from ._common import Stored
-from ._graph import link
+from ._common import Stored, packs
+from ._link import Measure, link
 from .substring import LAST
 
 SHINGLE, PERCENT = 5, 80
 BANDS, ROWS, BITS = 52, 5, 2
 #: Standard deviations below the threshold at which an estimate rejects a candidate.
 MARGIN = 5
-#: Members confirmed together with a copy of their centre's set, so that no centre is too large for a task.
-TOGETHER = 400
 PACK_BYTES = 1 << 20
 _RANDOM = np.random.default_rng(7)
 _TIMES = _RANDOM.integers(0, 1 << 63, size=(BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,19 +71,6 @@ def planes(least: np.ndarray) -> np.ndarray:
     return np.concatenate([np.pad(b, (0, lanes * 8 - len(b))) for b in bits]).view(np.int64)
 
 
-def _packs(batches, *names):
-    rows, held = [], 0
-    for batch in batches:
-        for row in zip(*[batch.column(n).to_pylist() for n in names], strict=True):
-            rows.append(row)
-            held += len(row[0])
-            if held >= PACK_BYTES:
-                yield rows
-                rows, held = [], 0
-    if rows:
-        yield rows
-
-
 def node_of(shingles: np.ndarray) -> bytes:
     """128 bits that name a set."""
     import xxhash
@@ -97,19 +82,19 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """(doc_id, mark, n, node, planes, bands) of (text, doc_id, mark); node, planes and bands are null without words."""
 
     def run(batches):
-        for rows in _packs(batches, "text", "doc_id", "mark"):
+        for rows in packs(batches, PACK_BYTES, "text", "doc_id", "mark"):
             sets = shingle_sets([r[0] for r in rows], shingle)
             out = []
             for (_, doc_id, mark), s in zip(rows, sets, strict=True):
                 if len(s):
                     least = minima(s)
-                    out.append((doc_id, mark, len(s), node_of(s), planes(least), bands(least)))
+                    out.append((doc_id, mark, len(s), node_of(s), planes(least), bands(least).tobytes()))
                 else:
                     out.append((doc_id, mark, 0, None, None, None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "mark", "n", "node", "planes", "bands"])
 
-    return docs.select("text", "doc_id", "mark").mapInArrow(run, "doc_id long, mark long, n long, node binary, planes array<long>, bands array<long>")
+    return docs.select("text", "doc_id", "mark").mapInArrow(run, "doc_id long, mark long, n long, node binary, planes array<long>, bands binary")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -127,53 +112,24 @@ def least_estimate(percent: int) -> float:
     return j - MARGIN * (equal * (1 - equal) / (BANDS * ROWS)) ** 0.5 / (1 - chance)
 
 
-def confirmed(pairs: DataFrame, where: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets reach the threshold.
+def likely(sketch: np.ndarray, others: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sketches in others allow the threshold, by the same estimate."""
+    a, b, lanes = sketch.view(np.uint64), others.view(np.uint64), -(-BANDS * ROWS // 64)
+    differ = np.bitwise_or.reduce([a[p * lanes : (p + 1) * lanes] ^ b[:, p * lanes : (p + 1) * lanes] for p in range(BITS)])
+    chance = 0.5**BITS
+    return (1 - np.bitwise_count(differ).sum(axis=1) / (BANDS * ROWS) - chance) / (1 - chance) >= least_estimate(percent)
 
-    where has (node, doc_id, mark), one document for each node. A document's set is sent to each of its centres, at
-    most TOGETHER members to one copy of a centre.
-    """
-    sized = pairs.join(pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).alias("parts")), "a")
-    dealt = sized.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    member = dealt.select(F.col("b").alias("node"), F.struct("a", "part", F.lit(False).alias("is_centre")).alias("to"))
-    centre = dealt.select(F.col("a").alias("node"), F.struct("a", "part", F.lit(True).alias("is_centre")).alias("to")).distinct()
-    wanted = member.unionByName(centre).groupBy("node").agg(F.collect_list("to").alias("to"))
-    sent = docs.join(wanted.join(where, "node"), ["doc_id", "mark"]).select("text", "node", "to")
-
-    def spread(batches):
-        for rows in _packs(batches, "text", "node", "to"):
-            sets = shingle_sets([r[0] for r in rows], shingle)
-            out, held = [], 0
-            for (_, node, to), s in zip(rows, sets, strict=True):
-                data = s.tobytes()
-                for t in to:
-                    out.append((t["a"], t["part"], t["is_centre"], node, data))
-                    held += len(data)
-                    if held >= 8 * PACK_BYTES:
-                        yield _rows(out)
-                        out, held = [], 0
-            if out:
-                yield _rows(out)
-
-    def _rows(out):
-        kinds = (pa.binary(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["centre", "part", "is_centre", "node", "shingles"])
-
-    def compare(table: pa.Table) -> pa.Table:
-        rows = table.to_pydict()
-        head = np.frombuffer(rows["shingles"][rows["is_centre"].index(True)], np.uint64)
-        a, b = [], []
-        for c, is_centre, node, data in zip(rows["centre"], rows["is_centre"], rows["node"], rows["shingles"], strict=True):
-            if not is_centre:
-                s = np.frombuffer(data, np.uint64)
-                both = len(np.intersect1d(head, s, assume_unique=True))
-                if 100 * both >= percent * (len(head) + len(s) - both):
-                    a.append(c)
-                    b.append(node)
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    rows = sent.mapInArrow(spread, "centre binary, part long, is_centre boolean, node binary, shingles binary")
-    return rows.groupBy("centre", "part").applyInArrow(compare, "a binary, b binary")
+
+def full_sets(docs: DataFrame, where: DataFrame, shingle: int) -> DataFrame:
+    """(node, data): the shingle sets of the documents in where (node, doc_id, mark), one of each node, as bytes."""
+    found = docs.join(where, ["doc_id", "mark"]).groupBy("doc_id", "mark", "node").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        for rows in packs(batches, PACK_BYTES, "text", "node"):
+            data = [s.tobytes() for s in shingle_sets([r[0] for r in rows], shingle)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.binary()), pa.array(data, pa.binary())], ["node", "data"])
+
+    return found.select("text", "node").mapInArrow(run, "node binary, data binary")
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -193,16 +149,22 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         "nodes",
     )
     facts = nodes.df.select("node", "n", "planes")
-    likely = lambda a, b: estimate(a, b) >= least_estimate(percent)
 
-    def confirm(pairs: DataFrame) -> DataFrame:
+    def screen(pairs: DataFrame) -> DataFrame:
         a, b = (facts.select(*[F.col(c).alias(f"{side}_{c}") for c in facts.columns]) for side in "ab")
         both = pairs.join(a, F.col("a") == F.col("a_node")).join(b, F.col("b") == F.col("b_node"))
         fits = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-        chosen = Stored(both.where(fits & likely(F.col("a_planes"), F.col("b_planes"))).select("a", "b"), "likely")
-        return confirmed(chosen.df, nodes.df.select("node", "doc_id", "mark"), source, shingle, percent).distinct()
-
-    labels = link(nodes.df.select("node", "n", "bands", F.col("planes").alias("sketch")), confirm, percent, likely)
+        return both.where(fits & (estimate(F.col("a_planes"), F.col("b_planes")) >= least_estimate(percent))).select("a", "b", "bytes")
+
+    measure = Measure(lambda data: [np.frombuffer(x, np.uint64) for x in data], percent, lambda a, b: likely(a, b, percent))
+    labels = link(
+        nodes.df.select("node", (F.col("n") * 8).alias("bytes"), "bands"),
+        BANDS,
+        lambda wanted: full_sets(source, nodes.df.select("node", "doc_id", "mark").join(wanted, "node"), shingle),
+        measure,
+        nodes.df.select("node", F.col("planes").alias("sketch")),
+        screen,
+    )
     placed = nodes.df.join(labels, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"))
     firsts = placed.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     known = Stored(placed.join(firsts, "label").select("node", "component_id"), "components")
