@@ -101,7 +101,7 @@ def parse(data: bytes) -> dict:
 def scan(files: DataFrame) -> DataFrame:
     """A row for each class of (module, production, generated, content): the shape that report.merge() takes, scan 0.
 
-    Files that aren't class files give no row.
+    Files that aren't class files, or are corrupt or null, give no row.
     """
     from ..schemas import CLASS
 
@@ -115,7 +115,7 @@ def scan(files: DataFrame) -> DataFrame:
             for f in batch.itertuples():
                 try:
                     found = parse(bytes(f.content))
-                except (ValueError, IndexError, KeyError, struct.error):
+                except (ValueError, IndexError, KeyError, TypeError, AttributeError, struct.error):  # whatever a corrupt pool leads to
                     continue
                 clazz = found["clazz"] | {"documentation": None}
                 clazz["methods"] = [m | {"documentation": None, "cyclomaticComplexity": None, "linesOfCode": None} for m in clazz["methods"]]

@@ -90,17 +90,29 @@ def _statement(body: list[str], i: int) -> tuple[int, int]:
             i, d = _statement(body, i)
             deepest = max(deepest, d)
         return i + 1, deepest
-    if t in ("if", "for", "while", "switch", "synchronized"):
+    if _is_word(t) and i + 1 < len(body) and body[i + 1] == ":":  # a label
+        return _statement(body, i + 2)
+    if t == "if":
+        # A chain of else-ifs is walked, as it may be long; each deepens by one.
+        deepest = chain = 0
+        while True:
+            i, d = _statement(body, _after(body, i + 1, "(", ")"))
+            deepest, chain = max(deepest, chain + d + 1), chain + 1
+            if i >= len(body) or body[i] != "else":
+                return i, deepest
+            i += 1
+            if i >= len(body) or body[i] != "if":
+                i, d = _statement(body, i)
+                return i, max(deepest, chain + d)
+    if t in ("for", "while", "switch", "synchronized"):
         i = _after(body, i + 1, "(", ")")
         if t == "switch":
             end = _after(body, i, "{", "}")
             return end, 1 + _cases(body[i + 1 : end - 1])
         i, d = _statement(body, i)
-        d += t != "synchronized"
-        if t == "if" and i < len(body) and body[i] == "else":
-            i, e = _statement(body, i + 1)
-            d = max(d, 1 + e)
-        return i, d
+        return i, d + (t != "synchronized")
+    if (end := _local_type(body, i)) is not None:
+        return end, 0
     if t == "do":
         i, d = _statement(body, i + 1)
         return _to_semicolon(body, i), d + 1
@@ -120,6 +132,28 @@ def _statement(body: list[str], i: int) -> tuple[int, int]:
     return _to_semicolon(body, i), 0
 
 
+def _is_word(t: str) -> bool:
+    return bool(re.fullmatch(r"[\w$]+", t)) and t not in ("case", "default")
+
+
+def _local_type(body: list[str], i: int) -> int | None:
+    """The index after a class, interface, enum or record declared at i; None if there is none."""
+    while i < len(body) and (body[i] in MODIFIERS or body[i] == "@"):
+        if body[i] == "@":
+            i += 2
+            while i + 1 < len(body) and body[i] == ".":
+                i += 2
+            if i < len(body) and body[i] == "(":
+                i = _after(body, i, "(", ")")
+        else:
+            i += 1
+    if i + 2 >= len(body) or body[i] not in ("class", "interface", "enum", "record") or not _is_word(body[i + 1]) or body[i + 2] not in ("{", "<", "(", "extends", "implements", "permits"):
+        return None
+    while i < len(body) and body[i] != "{":
+        i += 1
+    return _after(body, i, "{", "}")
+
+
 def _cases(body: list[str]) -> int:
     i, deepest = 0, 0
     while i < len(body):
@@ -205,7 +239,7 @@ def parse(text: str) -> dict:
                     out["imports"].append(f"static {name}" if static else name)
             else:
                 _declaration(ts, out, out["package"], None)
-    except (IndexError, KeyError, ValueError):
+    except (IndexError, KeyError, ValueError, RecursionError):
         pass
     return out
 
@@ -355,7 +389,7 @@ def scan(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for f in batch.itertuples():
-                found = parse(f.text)
+                found = parse(f.text if isinstance(f.text, str) else "")
                 stem = f.filename.removesuffix(".java")
                 unit = f"{found['package']}.{stem}" if found["package"] else stem
                 rows += [(f.module, found["package"], unit, f.production, f.generated, found["imports"], c, 1) for c in found["classes"]]

@@ -1,8 +1,10 @@
 """File trees, Java sources, class files, merging and module status."""
 
 import os
+import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from structlens.sources import classfile, filetree, javasource, report
@@ -130,3 +132,25 @@ def test_file_tree(spark, tmp_path):
     texts = filetree.with_text(filetree.read(spark, str(tmp_path)).where("directory = ''"), str(tmp_path))
     assert {(r.filename, r.text) for r in texts.collect()} == {("a.txt", "a\nb\r\nc\rd"), ("empty", "")}
     assert filetree.read_text(str(tmp_path), "../x") == "ERROR" and filetree.read_text(str(tmp_path), "no") == "ERROR: FileNotFoundError"
+
+
+@pytest.mark.parametrize(("body", "statements", "nesting"), [
+    ("int a = 1; outer: for (int i = 0; i < 3; i++) { for (;;) { if (a > 1) { break outer; } } } g();", 3, 3),
+    ("final class L extends Q { void x() { if (a) { } } } g(); h();", 3, 0), ("class L<T> { } g();", 2, 0), ("@SuppressWarnings(\"x\") class B { } z();", 2, 0),
+    ("if (a) b(); else if (c) { if (d) e(); } else { for (;;) x(); }", 1, 3), ("switch (a) { case 1: f(); break; default: if (b) { c(); } } z();", 2, 2), ("x = a ? b : c; y();", 2, 0),
+    ("if (x == 1) y(); " + " ".join(f"else if (x == {i}) y();" for i in range(1500)), 1, 1501),
+])
+def test_statements_and_nesting(body, statements, nesting):
+    method = javasource.parse(f"class A {{ void f() {{ {body} }} }}")["classes"][0]["methods"][0]
+    assert (method["linesOfCode"], method["nestingDepth"]) == (statements, nesting)
+
+
+def test_no_file_fails_a_scan(spark):
+    deep = "class A { void f() { " + "{" * 5000 + "}" * 5000 + " } }"
+    rows = [("m", True, False, "A.java", t) for t in (None, "", "class", "class A {", deep, "class B { int x; }", "\x00 class ) ( {")]
+    found = javasource.scan(spark.createDataFrame(rows, "module STRING, production BOOLEAN, generated BOOLEAN, filename STRING, text STRING"))
+    assert "B" in {r.clazz.qualifiedName for r in found.collect()}
+    rng = random.Random(4)
+    head = bytes.fromhex("cafebabe00000034")
+    rows = [("m", True, False, bytes(c)) for c in (b"", b"\xca\xfe", head, head + b"\x00\x02\x07\x00\x09" + b"\x00" * 40, *[head + rng.randbytes(60) for _ in range(200)])] + [("m", True, False, None)]
+    assert classfile.scan(spark.createDataFrame(rows, "module STRING, production BOOLEAN, generated BOOLEAN, content BINARY")).count() >= 0
