@@ -5,43 +5,86 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import Written, written
 
 #: Trimming goes on while a round leaves at most this share of the edges.
 LEAST_TRIMMED = 0.8
 
 
-def _trimmed(edges: DataFrame) -> DataFrame:
+def _trimmed(edges: DataFrame) -> Written:
     """Edges whose ends both have a way in and a way out: all others lie on no cycle."""
-    n = edges.count()
+    now = Written(edges)
+    n = now.df.count()
+    while n:
+        ends = now.df.select(F.col("src").alias("node")).intersect(now.df.select(F.col("dst").alias("node")))
+        kept = now.df.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        after = Written(kept.select("src", "dst"))
+        m = after.df.count()
+        now.drop()
+        now = after
+        if m > n * LEAST_TRIMMED:
+            break
+        n = m
+    return now
+
+
+def _colours(edges: DataFrame) -> Written:
+    """(node, colour): for each node of (src, dst) the smallest node that reaches it, itself included.
+
+    Each round only nodes whose colour changed pass it on.
+    """
+    nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    now = Written(nodes.withColumn("colour", F.col("node")).withColumn("new", F.lit(True)))
+    while True:
+        passed = now.df.where("new").join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("colour").alias("offered"))
+        both = now.df.join(passed, F.col("node") == F.col("dst"), "left")
+        after = Written(both.select("node", F.least("colour", "offered").alias("colour"), F.coalesce(F.col("offered") < F.col("colour"), F.lit(False)).alias("new")))
+        now.drop()
+        now = after
+        if now.df.where("new").isEmpty():
+            return now
+
+
+def _reaching(edges: DataFrame, colours: DataFrame) -> Written:
+    """(node, colour): the nodes that reach the node their colour is named after, over edges inside the colour."""
+    a, b = colours.select(F.col("node").alias("src"), "colour"), colours.select(F.col("node").alias("dst"), F.col("colour").alias("other"))
+    inside = Written(edges.join(a, "src").join(b, "dst").where("colour = other").select("src", "dst", "colour"))
+    now = Written(colours.where("node = colour").select("node", "colour", F.lit(True).alias("new")))
     while True:
-        ends = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
-        kept = edges.join(ends.withColumnRenamed("node", "src"), "src", "left_semi").join(ends.withColumnRenamed("node", "dst"), "dst", "left_semi")
-        kept = written(kept.select("src", "dst"))
-        m = kept.count()
-        if not m or m > n * LEAST_TRIMMED:
-            return kept
-        edges, n = kept, m
+        back = now.df.where("new").select(F.col("node").alias("dst")).join(inside.df, "dst").select(F.col("src").alias("node"), "colour").distinct()
+        fresh = back.join(now.df, "node", "left_anti").withColumn("new", F.lit(True))
+        after = Written(now.df.withColumn("new", F.lit(False)).unionByName(fresh))
+        now.drop()
+        now = after
+        if now.df.where("new").isEmpty():
+            inside.drop()
+            return now
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
     """(component, node) of the cycles of (src, dst): components of more than one node, named by their smallest.
 
-    Nodes off every cycle are trimmed first. What is left is labelled by repeated squaring of reachability, log2 of the
-    longest path rounds, each written out. A node's component is the smallest node that it reaches and that reaches it.
+    Nodes off every cycle are trimmed. Every other node is coloured with the smallest node that reaches it; those that
+    reach their colour's node are its component. They are taken out, and what is left is trimmed and coloured again.
+    All tables are of the size of the edges; rounds grow with the longest of the shortest paths.
     """
     kept = _trimmed(edges.select("src", "dst").where("src <> dst").distinct())
-    reach, n = kept, kept.count()
-    while n:
-        step = reach.alias("a").join(reach.alias("b"), F.expr("a.dst = b.src")).select("a.src", "b.dst")
-        reach = written(reach.unionByName(step).distinct())
-        m = reach.count()
-        if m == n:
-            break
-        n = m
-    back = reach.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    both = reach.intersect(back).where("src <> dst")
-    return both.groupBy("src").agg(F.least(F.col("src"), F.min("dst")).alias("component")).select("component", F.col("src").alias("node"))
+    out = None
+    while not kept.df.isEmpty():
+        colours = _colours(kept.df)
+        found = _reaching(kept.df, colours.df)
+        colours.drop()
+        part = found.df.select(F.col("colour").alias("component"), "node")
+        out = part if out is None else out.unionByName(part)
+        gone = found.df.select("node")
+        rest = kept.df.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        left = _trimmed(rest.select("src", "dst"))
+        kept.drop()
+        kept = left
+    if out is None:
+        return edges.select(F.col("src").alias("component"), F.col("src").alias("node")).limit(0)
+    several = out.groupBy("component").count().where("count > 1").select("component")
+    return out.join(several, "component", "left_semi")
 
 
 def chain_depth(classes: DataFrame) -> DataFrame:
@@ -51,7 +94,7 @@ def chain_depth(classes: DataFrame) -> DataFrame:
     Pointers double each round, so rounds grow with the logarithm of the deepest chain. A chain that comes back to a
     class ends there; the few classes on or above such cycles are walked one step a round.
     """
-    nodes = written(classes.select("module", "class", "super_class").dropDuplicates(["module", "class"]))
+    nodes = written(classes.groupBy("module", "class").agg(F.min("super_class").alias("super_class")))
     up = nodes.alias("c").join(nodes.alias("p"), F.expr("c.module = p.module and c.super_class = p.class"), "left")
     state = up.select("c.module", "c.class", F.col("p.class").alias("to"), F.when(F.col("c.super_class").isNull(), 0).otherwise(1).alias("hops"))
     state = written(state)

@@ -26,6 +26,8 @@ def session(name: str = "structlens", master: str | None = None, **conf: str) ->
 def _shared(spark: SparkSession) -> str:
     there = spark.conf.get("spark.checkpoint.dir", None)
     if there is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="structlens-")
         spark.conf.set("spark.checkpoint.dir", there)
         atexit.register(_delete, spark, there)
@@ -40,10 +42,22 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+class Written:
+    """A table in the folder that all executors share: cuts lineage and survives lost executors."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = f"{_shared(self.spark).rstrip('/')}/step-{uuid.uuid4().hex}"
+        atexit.register(_delete, self.spark, self.path)
+        df.write.parquet(self.path)
+
+    @property
+    def df(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        _delete(self.spark, self.path)
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the folder that all executors share: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{_shared(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Written(df).df
