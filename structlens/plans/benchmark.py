@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json_text, scalars
-from ..operators import coupling, files, graph, metrics
+from ..operators import coupling, files, graph, manifest, metrics
 from ..pipeline import tasks
 from ..report import sinks
-from ..rules import thresholds
+from ..rules import facts, thresholds
 from ..sources import report as reports
 from ..streaming import progress
 from .views import Views
@@ -114,7 +114,7 @@ def coverage_untested(v: Views) -> DataFrame:
 
 @query
 def cycles_class(v: Views) -> DataFrame:
-    return graph.strong_components(v.supplier_edges())
+    return graph.strong_components(graph.class_graph(v.supplier_imports(), v.supplier_classes()))
 
 
 @query
@@ -129,24 +129,23 @@ def doc_ratio(v: Views) -> DataFrame:
 
 @query
 def data_class_candidates(v: Views) -> DataFrame:
-    return v.class_counts().where("n_methods > 0 and n_other = 0").select("module", "category", "class")
+    return v.nested().where("is_data_class").select("module", "category", "class")
 
 
 @query
 def boolean_params(v: Views) -> DataFrame:
-    found = F.length("text") - F.length(F.replace("text", F.lit("Z"), F.lit("")))
-    return v.table("documents").select("doc_id", found.alias("n")).where("n >= 3")
+    return reports.methods(v.nested()).where("n_booleans >= 3").select("module", "category", "class", "name", "n_booleans")
 
 
 @query
 def dist_annotation(v: Views) -> DataFrame:
-    both = v.classes().select("module", "category", "annotation").unionAll(v.methods().select("module", "category", "annotation"))
-    return metrics.histogram(both, "annotation")
+    return metrics.histogram(reports.annotations(v.nested()), "name")
 
 
 @query
 def package_tangles(v: Views) -> DataFrame:
-    edges = v.package_edges()
+    """Edges between packages of a cycle, with the number of class imports behind each."""
+    edges = graph.package_graph(v.supplier_imports(), v.supplier_classes()).groupBy("src", "dst").agg(F.count("*").alias("evidence"))
     found = graph.strong_components(edges)
     a, b = found.select(F.col("node").alias("src"), "component"), found.select(F.col("node").alias("dst"), F.col("component").alias("other"))
     return edges.join(a, "src").join(b, "dst").where("component = other").select("component", "src", "dst", "evidence")
@@ -158,12 +157,17 @@ def import_diversity(v: Views) -> DataFrame:
     return metrics.all_categories(metrics.import_diversity(v.imports(), names))
 
 
+#: Queries of metrics by module and category that batch_metrics puts together.
+BATCH = (
+    "dist_visibility", "dist_interface_count", "dist_param_count", "dist_loc_null_skip", "dist_nesting", "dist_complexity", "dist_field_visibility", "dist_field_count",
+    "dist_field_method_ratio", "dist_coupling", "dist_module_deps", "dist_method_count", "doc_ratio", "dist_annotation",
+)
+
+
 @query
 def batch_metrics(v: Views) -> DataFrame:
-    """Several metrics of all modules at once: members and classes are joined once, then counted by metric and value."""
-    methods = v.methods().select("module", "category", F.explode(F.create_map(F.lit("params"), "parameter_count", F.lit("statements"), "lines_of_code", F.lit("nesting"), "nesting")).alias("metric", "v"))
-    classes = v.class_counts().select("module", "category", F.explode(F.create_map(F.lit("methods"), "n_methods", F.lit("fields"), "n_fields")).alias("metric", "v"))
-    return metrics.histogram(methods.unionByName(classes.withColumn("v", F.col("v").cast("int"))), "v", ("metric", "module", "category"))
+    """The distributions of all modules at once, in one table."""
+    return metrics.batch({name: QUERIES[name](v.spark, v.sf_dir) for name in BATCH})
 
 
 @query
@@ -173,7 +177,8 @@ def rollup_metric(v: Views) -> DataFrame:
 
 @query
 def inter_module_matrix(v: Views) -> DataFrame:
-    return coupling.weights(v.module_uses())
+    classes = v.nested()
+    return coupling.matrix(reports.imports(classes), classes)
 
 
 @query
@@ -217,27 +222,30 @@ def list_matching(v: Views) -> DataFrame:
 
 @query
 def list_directory(v: Views) -> DataFrame:
-    return v.files().groupBy("directory").agg(F.count("*").alias("n"), F.max("filename").alias("last"))
+    """The files directly in one directory, the first by name."""
+    files_ = v.files()
+    first = files_.agg(F.min("directory")).first()[0]
+    return files.in_directory(files_, first or "").select("directory", "filename", "lines")
 
 
 @query
 def sbom_direct_deps(v: Views) -> DataFrame:
-    nation = v.table("nation").select(F.col("n_regionkey").alias("src"), F.col("n_nationkey").alias("ref"))
-    supplier = v.table("supplier").select(F.col("s_nationkey").alias("ref"), "s_suppkey", "s_name")
-    root = v.table("region").where("r_name = 'ASIA'").select(F.col("r_regionkey").alias("src"))
-    return nation.join(root, "src", "left_semi").join(supplier, "ref").select("s_suppkey", F.concat_ws(":", F.col("ref").cast("string"), "s_name").alias("label"))
+    """Regions depend on their nations' suppliers; what ASIA depends on."""
+    nation, supplier = v.table("nation"), v.table("supplier")
+    root = v.table("region").where("r_name = 'ASIA'").select(F.col("r_regionkey").cast("string").alias("ref"))
+    edges = nation.join(supplier, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("n_regionkey").cast("string").alias("src"), F.col("s_name").alias("dst"))
+    components = supplier.select(F.col("s_name").alias("ref"), scalars.component_label(F.col("s_nationkey").cast("string"), F.col("s_name")).alias("label"))
+    return manifest.direct_dependencies(root, edges, components)[0].select("ref", "label")
 
 
 @query
 def sbom_licenses(v: Views) -> DataFrame:
-    part = v.table("part").select(F.explode(F.array("p_brand", F.when(F.col("p_size") > 25, F.col("p_type")))).alias("license"))
-    return part.where("license is not null").distinct()
+    return manifest.licenses(manifest.components(v.sbom()))
 
 
 @query
 def sbom_dep_licenses(v: Views) -> DataFrame:
-    part = v.table("part").select("p_partkey", F.array_compact(F.array("p_brand", F.when(F.col("p_size") > 25, F.col("p_type")))).alias("licenses"))
-    return part.select(F.col("p_partkey").alias("id"), F.array_join("licenses", ", ").alias("licenses"))
+    return manifest.by_component(manifest.components(v.sbom()))
 
 
 @query
@@ -280,11 +288,16 @@ def schema_violations(v: Views) -> DataFrame:
     return json_text.violations(v.table("events").select("event_id", "props"), "props", schema, "event_id")
 
 
+SECTION = "== {{name}}\n{{#each nations}}| {{n_name}} | {{n_nationkey}} |{{#if @last}}{{else}}\n{{/if}}{{/each}}"
+
+
 @query
 def render_table(v: Views) -> DataFrame:
-    row = F.concat(F.lit("| "), F.col("n_name"), F.lit(" | "), F.col("n_nationkey").cast("string"), F.lit(" |"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", row.alias("row")))), lambda x: x["row"]), "\n")
-    return v.table("nation").groupBy("n_regionkey").agg(body.alias("body")).join(v.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("== "), F.col("r_name"), F.lit("\n"), F.col("body")).alias("section"))
+    """A section of a document for each region, from a template; the tables are of the size of a document."""
+    nations = F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations")
+    rows = v.table("nation").join(v.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("name")).agg(nations).collect()
+    section = sinks.Template(SECTION)
+    return v.spark.createDataFrame([(section.render(r.asDict(recursive=True)),) for r in rows], "section STRING")
 
 
 @query
@@ -347,11 +360,49 @@ def tool_filter(v: Views) -> DataFrame:
 
 @query
 def rules_findings(v: Views) -> DataFrame:
-    methods = v.methods().select("module", "class", "parameter_count", "lines_of_code", (F.col("complexity") * 3).alias("complexity"), "nesting", F.lit(0).alias("n_booleans"))
-    found = thresholds.evaluate(methods, thresholds.METHOD_RULES)
+    found = thresholds.evaluate(reports.methods(v.nested()), thresholds.METHOD_RULES)
     return found.groupBy("module", "aspect", "finding", "urgency", "criticality").agg(F.count("*").alias("occurrences"))
 
 
+def _class_facts(v: Views, classes: DataFrame) -> DataFrame:
+    depths = graph.chain_depth(classes.select("module", "class", "super_class"))
+    return facts.class_facts(classes, reports.fields(classes), reports.imports(classes), depths)
+
+
+@query
+def rules_classes(v: Views) -> DataFrame:
+    found = thresholds.evaluate(_class_facts(v, v.nested()), thresholds.CLASS_RULES)
+    return found.groupBy("module", "aspect", "finding", "urgency", "criticality").agg(F.count("*").alias("occurrences"))
+
+
+@query
+def rules_modules(v: Views) -> DataFrame:
+    classes = v.nested()
+    names = classes.select("module", F.when(F.col("category") == "test", "test").otherwise("production").alias("category"), F.concat(F.expr("concat('C', unit)"), F.when(F.col("category") == "test", "Test").otherwise("")).alias("name"))
+    found = facts.module_facts(classes, reports.methods(classes), _class_facts(v, classes), metrics.coverage(names)[0])
+    return thresholds.evaluate(found, thresholds.MODULE_RULES).drop("subject")
+
+
+@query
+def rules_annotations(v: Views) -> DataFrame:
+    classes = v.nested()
+    found = facts.annotation_facts(classes, reports.methods(classes), reports.annotations(classes))
+    return thresholds.evaluate(found, thresholds.ANNOTATION_RULES).drop("subject")
+
+
+@query
+def rules_imports(v: Views) -> DataFrame:
+    classes = v.nested()
+    found = facts.import_facts(reports.imports(classes), classes.select("module", F.col("package").alias("namespace")).distinct())
+    return thresholds.evaluate(found, thresholds.IMPORT_RULES).drop("subject")
+
+
+@query
+def rules_cycles(v: Views) -> DataFrame:
+    found = facts.cycle_facts(graph.strong_components(graph.class_graph(v.supplier_imports(), v.supplier_classes())))
+    return thresholds.evaluate(found, thresholds.CYCLE_RULES, "module", "component")
+
+
 @query
 def rules_grouped(v: Views) -> DataFrame:
     stability = coupling.instability(coupling.weights(v.module_surplus()), v.modules())

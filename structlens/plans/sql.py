@@ -14,13 +14,24 @@ full_classes AS (SELECT c.*, coalesce(n_methods, 0) AS n_methods, coalesce(n_fie
 _IMPORTS = f"""{_CLASSES}, used AS (SELECT DISTINCT l_orderkey AS class, p_brand || '.' || p_type || '.' || p_name AS import FROM lineitem JOIN part ON l_partkey = p_partkey),
 imports AS (SELECT module, category, class, import, import IS NOT NULL AND import <> 'Brand#11' AND NOT starts_with(import, 'Brand#11.') AS outside FROM classes LEFT JOIN used USING (class))"""
 _GRID = "grid AS (SELECT n_name AS module, category FROM nation, (VALUES ('production'), ('test'), ('generated')) t(category))"
-_EDGES = "edges AS (SELECT s_suppkey AS src, (s_suppkey * 7 + s_nationkey) % (SELECT count(*) FROM supplier) AS dst, s_nationkey AS nation FROM supplier)"
+_EDGES = """suppliers AS (SELECT s_suppkey AS k, s_nationkey AS nation, 'n' || s_nationkey AS package, 'n' || s_nationkey || '.s' || s_suppkey AS class FROM supplier),
+edges AS (SELECT a.class AS src, b.class AS dst, a.package AS home, b.package AS "to" FROM suppliers a JOIN suppliers b ON (a.k * 7 + a.nation) % (SELECT count(*) FROM supplier) = b.k)"""
+_NESTED = f"""{_CLASSES}, home AS (SELECT n_name AS module, 'pkg.n' || n_nationkey AS package FROM nation),
+lines AS (SELECT module, category, package, l_orderkey AS id, l_quantity > 25 AS large, 'org.C' || l_orderkey AS class, l.*,
+  CASE l_returnflag WHEN 'N' THEN 'get' WHEN 'A' THEN 'set' ELSE 'run' END || l_partkey AS name,
+  CASE WHEN l_linenumber % 2 = 0 THEN 'org.C' || (l_orderkey + l_partkey) ELSE 'pkg.n' || (l_suppkey % 25) || '.X' END AS import
+  FROM lineitem l JOIN classes ON l_orderkey = class JOIN home USING (module)),
+each_method AS (SELECT *, l_linenumber AS params, CASE WHEN l_tax <> 0 THEN CAST(l_quantity AS INTEGER) * 2 END AS loc, l_linenumber * 3 AS cc, l_linenumber - 1 AS nest, l_linenumber % 5 AS bools FROM lines WHERE NOT large),
+each_annotation AS (SELECT module, category, annotation AS name FROM classes UNION ALL SELECT module, category, CASE WHEN l_returnflag = 'N' THEN 'Override' ELSE 'org.frame.Bean' END FROM each_method WHERE l_returnflag = 'N' OR l_tax = 0),
+data_classes AS (SELECT class FROM lines GROUP BY class HAVING count(*) FILTER (large) > 0 AND ((bool_and(NOT large OR l_linestatus = 'O') AND bool_and(large OR name NOT LIKE 'run%')) OR (bool_and(NOT large OR l_linestatus <> 'O') AND bool_and(large)))),
+full_class AS (SELECT c.module, c.category, package, c.class AS id, 'org.C' || c.class AS class, c.unit, documented, c.class % 8 AS n_interfaces, CASE WHEN c.class % 3 = 0 THEN 'org.C' || (c.class // 3) END AS parent FROM classes c JOIN home USING (module))"""
 _USES = f"""{_CLASSES}, uses AS (SELECT c.module AS "from", n_name AS "to", count(*) AS import_count FROM lineitem JOIN classes c ON l_orderkey = class
-  JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE l_quantity = 50 AND l_returnflag = 'R' AND l_linenumber = 1 AND c.module <> n_name GROUP BY ALL)"""
+  JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey WHERE c.module <> n_name GROUP BY ALL),
+surplus AS (SELECT a."from", a."to" FROM uses a LEFT JOIN uses b ON a."from" = b."to" AND a."to" = b."from" WHERE a.import_count > coalesce(b.import_count, 0))"""
 _STABILITY = f"""{_USES}, stability AS (SELECT n_name AS module, coalesce(ce, 0) AS ce, coalesce(ca, 0) AS ca,
   CAST(CASE WHEN coalesce(ce, 0) + coalesce(ca, 0) > 0 THEN coalesce(ce, 0) * 100 // (coalesce(ce, 0) + coalesce(ca, 0)) ELSE 0 END AS INTEGER) AS instability
-  FROM nation LEFT JOIN (SELECT "from" AS module, count(DISTINCT "to") AS ce FROM uses GROUP BY 1) a ON n_name = a.module
-  LEFT JOIN (SELECT "to" AS module, count(DISTINCT "from") AS ca FROM uses GROUP BY 1) b ON n_name = b.module)"""
+  FROM nation LEFT JOIN (SELECT "from" AS module, count(DISTINCT "to") AS ce FROM surplus GROUP BY 1) a ON n_name = a.module
+  LEFT JOIN (SELECT "to" AS module, count(DISTINCT "from") AS ca FROM surplus GROUP BY 1) b ON n_name = b.module)"""
 _FILES = r"""paths AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path, html FROM pages),
 files AS (SELECT page_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, string_split(path, '/')[-1] AS filename,
   length(html) - length(replace(html, chr(10), '')) + CASE WHEN html = '' OR ends_with(html, chr(10)) THEN 0 ELSE 1 END AS lines FROM paths),
@@ -62,6 +73,46 @@ _STABLE = [
     ("ca > 2 AND instability > 70", "unstable but widely used", "HIGH", "HIGH"),
 ]
 
+_CLASS_RULES = [
+    ("fields", "n_fields > 10 AND n_methods > 20", "god class", "HIGH", "HIGH"),
+    ("methods", "n_methods > 20", "more than 20 methods", "MEDIUM", "MEDIUM"),
+    ("fields", "n_open > 0", "public fields that are no constants", "LOW", "MEDIUM"),
+    ("inheritance", "depth > 3", "more than 3 superclasses", "MEDIUM", "MEDIUM"),
+    ("inheritance", "n_interfaces > 5", "more than 5 interfaces", "MEDIUM", "MEDIUM"),
+    ("coupling", "n_external > 20", "more than 20 external imports", "MEDIUM", "MEDIUM"),
+    ("data", "is_data_class", "data class", "NONE", "LOW"),
+]
+_MODULE_RULES = [
+    ("visibility", "2 * n_public > n_all", "more than half of the methods are public", "LOW", "LOW"),
+    ("visibility", "10 * n_public > 8 * n_all AND n_private = 0 AND n_protected = 0", "nothing is hidden", "MEDIUM", "MEDIUM"),
+    ("visibility", "10 * n_static > 4 * n_all", "more than 40 % of the methods are static", "LOW", "MEDIUM"),
+    ("documentation", "2 * n_documented < n_classes", "fewer than half of the classes are documented", "LOW", "LOW"),
+    ("tests", "n_classes > 0 AND n_tests = 0", "no tests", "HIGH", "HIGH"),
+    ("tests", "coverage < 50", "fewer than half of the classes have a test of their name", "MEDIUM", "HIGH"),
+    ("coupling", "n_external > 10 * n_classes", "more than 10 external imports a class on average", "MEDIUM", "MEDIUM"),
+    ("inheritance", "n_classes > 0 AND max_depth = 0", "no class extends another", "NONE", "NONE"),
+]
+_ANNOTATION_RULES = [
+    ("annotations", "n * all_classes > all_n * n_classes", "more annotations a class than on average", "LOW", "LOW"),
+    ("annotations", "n_overridable > 0 AND 5 * n_overriding < n_overridable", "fewer than 20 % of the methods that could override are marked", "LOW", "LOW"),
+    ("annotations", "n_framework > 0 AND 10 * n_framework > 6 * n", "more than 60 % of the annotations are of one framework", "LOW", "MEDIUM"),
+]
+_IMPORT_RULES = [
+    ("imports", "10 * n_external > 8 * n_imports", "more than 80 % of the imports are external", "LOW", "MEDIUM"),
+    ("imports", "2 * n_top > n_external", "more than 50 % of the external imports have one prefix", "LOW", "MEDIUM"),
+    ("imports", "false", "more than 40 % of the external imports are of the standard library", "NONE", "NONE"),
+]
+
+
+def _found(rows: str, rules: list[tuple]) -> str:
+    """Occurrences of each rule in each module."""
+    return " UNION ALL ".join(f"SELECT module, '{a}' AS aspect, '{f}' AS finding, '{u}' AS urgency, '{k}' AS criticality, count(*) AS occurrences FROM {rows} WHERE {c} GROUP BY module" for a, c, f, u, k in rules)
+
+
+def _of_modules(rows: str, rules: list[tuple]) -> str:
+    return " UNION ALL ".join(f"SELECT module, '{a}' AS aspect, '{f}' AS finding, '{u}' AS urgency, '{k}' AS criticality FROM {rows} WHERE {c}" for a, c, f, u, k in rules)
+
+
 SQL: dict[str, str] = {
     "dist_visibility": f"WITH {_METHODS}, {_GRID} SELECT module, category, coalesce(visibility, 'UNKNOWN') AS value, count(*) AS count FROM methods GROUP BY ALL UNION ALL "
     + _totals("methods", {"STATIC": "is_static", "FINAL": "is_final"}),
@@ -87,23 +138,23 @@ SELECT class, CAST(CASE WHEN class // 3 > 0 AND class // 3 NOT IN (SELECT s_supp
 SELECT module, 'TOTAL' AS value, total AS count FROM c UNION ALL SELECT module, 'TESTED', tested FROM c UNION ALL SELECT module, 'UNTESTED', total - tested FROM c
 UNION ALL SELECT module, 'COVERAGE_RATIO_PERCENT', tested * 100 // total FROM c WHERE total > 0""",
     "coverage_untested": f"WITH {_NAMES} SELECT module, name FROM marked WHERE NOT tested",
-    "cycles_class": f"WITH RECURSIVE {_reach(_EDGES + ', kept AS (SELECT src, dst FROM edges WHERE src <> dst)')} SELECT component, node FROM scc",
+    "cycles_class": f"WITH RECURSIVE {_reach(_EDGES + ', kept AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst)')} SELECT component, node FROM scc",
     "dist_method_count": _histogram(_COUNTS, "full_classes", "n_methods"),
     "doc_ratio": f"WITH {_METHODS}, {_GRID} " + _totals("classes", {"DOCUMENTED_CLASSES": "documented", "TOTAL_CLASSES": "true"}) + " UNION ALL " + _totals("methods", {"DOCUMENTED_METHODS": "documented", "TOTAL_METHODS": "true"}),
-    "data_class_candidates": f"WITH {_COUNTS} SELECT module, category, class FROM full_classes WHERE n_methods > 0 AND n_other = 0",
-    "boolean_params": "SELECT doc_id, CAST(length(text) - length(replace(text, 'Z', '')) AS INTEGER) AS n FROM documents WHERE length(text) - length(replace(text, 'Z', '')) >= 3",
-    "dist_annotation": f"WITH {_METHODS}, a AS (SELECT module, category, annotation FROM classes UNION ALL SELECT module, category, annotation FROM methods) SELECT module, category, annotation AS value, count(*) AS count FROM a WHERE annotation IS NOT NULL GROUP BY ALL",
+    "data_class_candidates": f"WITH {_NESTED} SELECT module, category, class FROM full_class WHERE class IN (SELECT class FROM data_classes)",
+    "boolean_params": f"WITH {_NESTED} SELECT module, category, class, name, bools AS n_booleans FROM each_method WHERE bools >= 3",
+    "dist_annotation": f"WITH {_NESTED} SELECT module, category, name AS value, count(*) AS count FROM each_annotation GROUP BY ALL",
     "package_tangles": "WITH RECURSIVE "
-    + _reach(_EDGES + """, lifted AS (SELECT e.nation AS src, s_nationkey AS dst, count(*) AS evidence FROM edges e JOIN supplier ON e.dst = s_suppkey WHERE e.src % 3 = 0 AND e.nation <> s_nationkey GROUP BY ALL),
-kept AS (SELECT src, dst FROM lifted)""")
+    + _reach(_EDGES + """, lifted AS (SELECT home AS src, "to" AS dst, count(DISTINCT (src, dst)) AS evidence FROM edges WHERE home <> "to" GROUP BY ALL), kept AS (SELECT src, dst FROM lifted)""")
     + " SELECT a.component, l.src, l.dst, l.evidence FROM lifted l JOIN scc a ON a.node = l.src JOIN scc b ON b.node = l.dst AND a.component = b.component",
     "import_diversity": f"""WITH {_IMPORTS}, p AS (SELECT module, string_split(import, '.')[1] || '.' || string_split(import, '.')[2] AS prefix, 'Brand#' || (length(module) + 8) || '.STANDARD' AS ns FROM imports WHERE import IS NOT NULL)
 SELECT module, prefix || CASE WHEN prefix = ns OR starts_with(ns, prefix) THEN ' (internal)' ELSE ' (external)' END AS value, count(*) AS count FROM p GROUP BY ALL""",
-    "batch_metrics": f"""WITH {_COUNTS}, {_METHODS.split(_CLASSES + ', ')[1]}, v AS (SELECT module, category, 'params' AS metric, params AS v FROM methods UNION ALL SELECT module, category, 'statements', loc FROM methods
-UNION ALL SELECT module, category, 'nesting', params - 1 FROM methods UNION ALL SELECT module, category, 'methods', n_methods FROM full_classes UNION ALL SELECT module, category, 'fields', n_fields FROM full_classes)
-SELECT metric, module, category, CAST(v AS VARCHAR) AS value, count(*) AS count FROM v WHERE v IS NOT NULL GROUP BY ALL""",
+
     "rollup_metric": f"WITH {_METHODS} SELECT module, category, count(*) AS count, CAST(sum(params) AS BIGINT) AS complexity FROM methods GROUP BY ROLLUP (module, category)",
-    "inter_module_matrix": f'WITH {_USES} SELECT "from", "to", import_count FROM uses',
+    "inter_module_matrix": f"""WITH {_NESTED}, used AS (SELECT module AS "from", import FROM lines),
+to_class AS (SELECT "from", f.module AS "to" FROM used JOIN full_class f ON f.class = import),
+to_package AS (SELECT "from", h.module AS "to" FROM used JOIN home h ON import = h.package || '.X' WHERE h.package IN (SELECT package FROM full_class))
+SELECT "from", "to", count(*) AS import_count FROM (SELECT * FROM to_class UNION ALL SELECT * FROM to_package) WHERE "from" <> "to" GROUP BY ALL""",
     "inter_module_instability": f"WITH {_STABILITY} SELECT * FROM stability",
     "longest_prefix_owner": f"""WITH {_FILES}, one AS (SELECT string_split(path, '/')[1] AS p1, array_to_string(string_split(path, '/')[1:2], '/') AS p2 FROM files),
 known AS (SELECT prefix FROM (SELECT p1 AS prefix FROM one UNION ALL SELECT p2 FROM one) GROUP BY 1 HAVING count(*) >= 2),
@@ -114,10 +165,10 @@ SELECT page_id, 'M:' || prefix AS owner, prefix FROM files LEFT JOIN best USING
     "count_per_type": f"WITH {_FILES} SELECT wildcard, count(*) AS count FROM matched GROUP BY 1",
     "count_per_type_dir": f"WITH {_FILES} SELECT directory, wildcard, count(*) AS count FROM matched GROUP BY ALL",
     "list_matching": rf"WITH {_FILES} SELECT directory, array_to_string(list_sort(list_distinct(list(filename))), ',') AS files FROM files WHERE (filename LIKE '%.html' OR filename LIKE '%1%') AND NOT regexp_matches(directory, '(^|/)\.[^/]') GROUP BY 1",
-    "list_directory": f"WITH {_FILES} SELECT directory, count(*) AS n, max(filename) AS last FROM files GROUP BY 1",
-    "sbom_direct_deps": "SELECT s_suppkey, n_nationkey || ':' || s_name AS label FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE r_name = 'ASIA'",
+    "list_directory": f"WITH {_FILES} SELECT directory, filename, lines FROM files WHERE directory = (SELECT min(directory) FROM files)",
+    "sbom_direct_deps": "SELECT DISTINCT s_name AS ref, n_nationkey || ':' || s_name AS label FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE r_name = 'ASIA'",
     "sbom_licenses": "SELECT p_brand AS license FROM part UNION SELECT p_type FROM part WHERE p_size > 25",
-    "sbom_dep_licenses": "SELECT p_partkey AS id, p_brand || CASE WHEN p_size > 25 THEN ', ' || p_type ELSE '' END AS licenses FROM part",
+    "sbom_dep_licenses": "SELECT CASE WHEN p_size % 2 = 0 THEN p_brand || ':' ELSE '' END || p_name AS id, CAST(p_partkey AS VARCHAR) AS version, p_brand || CASE WHEN p_size > 25 THEN ', ' || p_type ELSE '' END AS licenses FROM part",
     "runnable_tasks": "SELECT l_orderkey AS id FROM lineitem GROUP BY 1 HAVING bool_and(l_linestatus = 'F')",
     "resume_anti_join": "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS task_id, l_linenumber AS index FROM lineitem WHERE NOT (l_linenumber IN (1, 2) AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))",
     "module_status": """SELECT CASE WHEN length(text) >= 60 THEN CAST(doc_id AS VARCHAR) END AS module, CASE WHEN length(text) < 60 OR text IS NULL THEN 'ERROR' WHEN lang IS DISTINCT FROM 'en' THEN 'SKIPPED'
@@ -141,13 +192,42 @@ SELECT o_orderkey, CASE WHEN o_orderkey < 1000 THEN CAST(o_orderkey AS VARCHAR)
     "names": r"""WITH q AS (SELECT p_partkey, p_brand || '.' || p_type || '.' || p_name AS q, p_brand || '.' || p_type AS b FROM part)
 SELECT p_partkey, string_split(q, '.')[-1] AS simple, regexp_extract(q, '^(.*)\.[^.]*$', 1) AS package, array_to_string(string_split(q, '.')[1:2], '.') AS prefix, regexp_replace(q, '[^\w.-]', '_', 'g') AS file FROM q""",
     "tool_filter": "SELECT p_partkey, p_type AS tool FROM part WHERE ((p_type LIKE 'STANDARD%' OR p_type LIKE 'PROMO %') AND (p_type LIKE '%BRASS' OR p_type LIKE 'PROMO%')) OR p_type LIKE 'ECONOMY%'",
-    "rules_findings": f"WITH {_METHODS}, m AS (SELECT module, params, loc, params * 3 AS cc, params - 1 AS nest FROM methods) "
-    + " UNION ALL ".join(f"SELECT module, '{a}' AS aspect, '{f}' AS finding, '{u}' AS urgency, '{k}' AS criticality, count(*) AS occurrences FROM m WHERE {c} GROUP BY module" for a, c, f, u, k in _RULES),
+    "rules_findings": f"WITH {_NESTED} " + _found("each_method", [*_RULES, ("booleans", "bools >= 3", "three or more boolean parameters", "LOW", "LOW")]),
+    "rules_classes": f"""WITH RECURSIVE {_NESTED}, up AS (SELECT c.module, c.class, c.parent FROM full_class c),
+depth AS (SELECT u.module, u.class, CASE WHEN u.parent IS NULL THEN 0 ELSE 1 END AS depth FROM up u LEFT JOIN up p ON p.module = u.module AND p.class = u.parent AND p.class <> u.class WHERE p.class IS NULL AND NOT (u.parent = u.class AND u.parent IS NOT NULL)
+  UNION ALL SELECT u.module, u.class, d.depth + 1 FROM depth d JOIN up u ON u.module = d.module AND u.parent = d.class AND u.class <> d.class),
+counted AS (SELECT class, count(*) FILTER (large) AS n_fields, count(*) FILTER (NOT large) AS n_methods, count(*) FILTER (large AND l_linestatus <> 'O' AND NOT (l_discount = 0 AND l_tax = 0)) AS n_open,
+  count(*) FILTER (import <> package AND NOT starts_with(import, package || '.')) AS n_external FROM lines GROUP BY class),
+f AS (SELECT c.module, c.class, coalesce(n_fields, 0) AS n_fields, coalesce(n_methods, 0) AS n_methods, coalesce(n_open, 0) AS n_open, coalesce(n_external, 0) AS n_external, n_interfaces, coalesce(depth, 0) AS depth,
+  c.class IN (SELECT class FROM data_classes) AS is_data_class FROM full_class c LEFT JOIN counted USING (class) LEFT JOIN depth ON depth.class = c.class) """
+    + _found("f", _CLASS_RULES),
     "rules_grouped": f"WITH {_STABILITY}, f AS ("
     + " UNION ALL ".join(f"SELECT module, '{f}' AS finding, '{u}' AS urgency, '{k}' AS criticality FROM stability WHERE {c}" for c, f, u, k in _STABLE)
     + ") SELECT 'stability' AS aspect, finding, urgency, criticality, string_agg(module, ', ' ORDER BY module) AS modules, count(*) AS occurrences FROM f GROUP BY ALL",
-    "unstable_dependencies": f"""WITH {_STABILITY} SELECT "from", "to" FROM uses WHERE "from" IN (SELECT module FROM stability WHERE ce + ca > 0 AND instability < 50) AND "to" IN (SELECT module FROM stability WHERE instability > 50)""",
+    "unstable_dependencies": f"""WITH {_STABILITY} SELECT "from", "to" FROM surplus WHERE "from" IN (SELECT module FROM stability WHERE ce + ca > 0 AND instability < 50) AND "to" IN (SELECT module FROM stability WHERE instability > 50)""",
     "top_prefix_share": f"""WITH {_IMPORTS}, p AS (SELECT module, string_split(import, '.')[1] AS value, count(*) AS n FROM imports WHERE import IS NOT NULL GROUP BY ALL),
 t AS (SELECT module, sum(n) AS total, max(n) AS most, arg_max(value, (n, value)) AS subject FROM p GROUP BY 1) SELECT module, subject FROM t WHERE most * 100 > total * 4""",
-    "csv_by_category": f"""WITH {_METHODS} SELECT category AS "Category", params AS "Value", count(*) AS "Count" FROM methods WHERE module = 'NATION_1' GROUP BY ALL""",
+    "csv_by_category": f"""WITH {_METHODS} SELECT module, category AS "Category", params AS "Value", count(*) AS "Count" FROM methods GROUP BY ALL""",
 }
+_DEPTHS = SQL["rules_classes"].split("SELECT module, 'fields' AS aspect", 1)[0].rstrip()
+SQL["rules_modules"] = f"""{_DEPTHS}, m AS (SELECT module, count(*) AS n_all, count(*) FILTER (l_returnflag = 'N') AS n_public, count(*) FILTER (l_returnflag = 'A') AS n_private, 0 AS n_protected,
+  count(*) FILTER (l_linestatus = 'F') AS n_static FROM each_method WHERE category = 'production' GROUP BY 1),
+k AS (SELECT module, count(*) FILTER (category = 'production') AS n_classes, count(*) FILTER (category = 'production' AND documented) AS n_documented, count(*) FILTER (category = 'test') AS n_tests FROM full_class GROUP BY 1),
+d AS (SELECT f.module, max(depth) AS max_depth, sum(n_external) AS n_external FROM f JOIN full_class c USING (class) WHERE c.category = 'production' GROUP BY 1),
+p AS (SELECT DISTINCT module, unit FROM full_class WHERE category <> 'test'), t AS (SELECT DISTINCT module, unit FROM full_class WHERE category = 'test'),
+cov AS (SELECT p.module, count(t.unit) * 100 // count(*) AS coverage FROM p LEFT JOIN t USING (module, unit) GROUP BY 1),
+all_facts AS (SELECT * FROM k LEFT JOIN m USING (module) LEFT JOIN d USING (module) LEFT JOIN cov USING (module)) {_of_modules("all_facts", _MODULE_RULES)}"""
+SQL["rules_annotations"] = f"""WITH {_NESTED}, n AS (SELECT module, count(*) AS n, count(*) FILTER (name = 'org.frame.Bean') AS n_framework FROM each_annotation GROUP BY 1),
+k AS (SELECT module, count(*) AS n_classes FROM full_class GROUP BY 1),
+o AS (SELECT module, count(*) AS n_overridable, count(*) FILTER (l_returnflag = 'N') AS n_overriding FROM each_method WHERE id % 3 = 0 OR id % 8 > 0 GROUP BY 1),
+whole AS (SELECT *, sum(n) OVER () AS all_n, sum(n_classes) OVER () AS all_classes FROM n JOIN k USING (module) LEFT JOIN o USING (module)) {_of_modules("whole", _ANNOTATION_RULES)}"""
+SQL["rules_imports"] = f"""WITH {_NESTED}, p AS (SELECT module, array_to_string(string_split(import, '.')[1:2], '.') AS prefix, count(*) AS n, count(*) FILTER (NOT starts_with(import, package || '.')) AS outside FROM lines GROUP BY ALL),
+i AS (SELECT module, sum(n) AS n_imports, sum(outside) AS n_external, max(outside) AS n_top FROM p GROUP BY 1) {_of_modules("i", _IMPORT_RULES)}"""
+SQL["rules_cycles"] = f"""{SQL["cycles_class"].rsplit(" SELECT component, node FROM scc", 1)[0]}, sized AS (SELECT component, count(*) AS size FROM scc GROUP BY 1)
+SELECT 'all' AS module, component AS subject, 'cycles' AS aspect, 'cycle' AS finding, 'HIGH' AS urgency, 'HIGH' AS criticality FROM sized
+UNION ALL SELECT 'all', component, 'cycles', 'cycle of more than 3', 'HIGH', 'HIGH' FROM sized WHERE size > 3"""
+_BATCH = (
+    "dist_visibility", "dist_interface_count", "dist_param_count", "dist_loc_null_skip", "dist_nesting", "dist_complexity", "dist_field_visibility", "dist_field_count",
+    "dist_field_method_ratio", "dist_coupling", "dist_module_deps", "dist_method_count", "doc_ratio", "dist_annotation",
+)
+SQL["batch_metrics"] = " UNION ALL ".join(f"SELECT '{name}' AS metric, module, category, value, count FROM ({SQL[name]})" for name in _BATCH)

@@ -1,7 +1,7 @@
 """The benchmark tables in the roles of code views.
 
 nation is a module, customer a build unit whose market segment gives the category, orders are classes and lineitems
-their members; parts are what a class imports. Suppliers form the class and package graphs.
+their members; parts are what a class imports. Suppliers form the class and package graphs, parts a manifest.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_data_class
+
 
 class Views:
     """Lazy views over one folder of tables; columns that a query doesn't use never leave the scan."""
@@ -56,18 +58,67 @@ class Views:
         used = self.table("lineitem").select(F.col("l_orderkey").alias("class"), "l_partkey").distinct().join(part, "l_partkey").select("class", "import").distinct()
         return self.classes().select("module", "category", "class", "unit").join(used, "class", "left").withColumn("package", F.lit("Brand#11"))
 
-    def supplier_edges(self) -> DataFrame:
-        """supplier k to (7 k + nation) modulo the number of suppliers, as (src, dst)."""
-        supplier = self.table("supplier").select("s_suppkey", "s_nationkey")
-        n = supplier.agg(F.count("*").alias("n"))
-        return supplier.join(F.broadcast(n)).select(F.col("s_suppkey").alias("src"), F.pmod(F.col("s_suppkey") * 7 + F.col("s_nationkey"), F.col("n")).alias("dst"), F.col("s_nationkey").alias("nation"))
-
-    def package_edges(self) -> DataFrame:
-        """(src, dst) nations with the number of supplier edges behind each."""
-        edges = self.supplier_edges()
-        home = self.table("supplier").select(F.col("s_suppkey").alias("dst"), F.col("s_nationkey").alias("to"))
-        lifted = edges.join(home, "dst").where("nation <> to")
-        return lifted.groupBy(F.col("nation").alias("src"), F.col("to").alias("dst")).agg(F.count("*").alias("evidence"))
+    def nested(self) -> DataFrame:
+        """Classes in the shape that structlens.sources.report.classes() gives them, with fields, methods and annotations nested.
+
+        Lineitems of more than 25 pieces are fields, others methods, named by their return flag. A class extends a third of
+        the orders, has up to 7 interfaces, and imports a class or a package for each lineitem.
+        """
+        none = F.lit(None).cast("string")
+        part, flag = F.col("l_partkey").cast("string"), F.col("l_returnflag")
+        name = F.concat(F.when(flag == "N", "get").when(flag == "A", "set").otherwise("run"), part)
+        annotation = F.when(flag == "N", F.array(F.struct(F.lit("Override").alias("name"), none.alias("qualifiedName")))).when(
+            F.col("l_tax") == 0, F.array(F.struct(F.lit("Bean").alias("name"), F.lit("org.frame.Bean").alias("qualifiedName")))
+        )
+        method = F.struct(
+            name.alias("name"), F.concat(name, F.lit("(I"), F.expr("repeat('Z', l_linenumber % 5)"), F.lit("LZed;[Z)Z")).alias("descriptor"), F.when(F.col("l_tax") > 0, "says").alias("documentation"),
+            F.coalesce(annotation, F.array().cast("array<struct<name:string,qualifiedName:string>>")).alias("annotations"), (F.col("l_linenumber") * 3).cast("int").alias("cyclomaticComplexity"),
+            F.when(flag == "N", "PUBLIC").when(flag == "A", "PRIVATE").alias("visibility"), (F.col("l_linestatus") == "F").alias("isStatic"), (F.col("l_discount") == 0).alias("isFinal"),
+            F.col("l_linenumber").alias("parameterCount"), F.when(F.col("l_tax") != 0, F.col("l_quantity").cast("int") * 2).alias("linesOfCode"), (F.col("l_linenumber") - 1).cast("int").alias("nestingDepth"),
+        )
+        field = F.struct(
+            F.concat(F.lit("f"), part).alias("name"), F.lit("int").alias("type"), F.when(F.col("l_linestatus") == "O", "PRIVATE").otherwise("PUBLIC").alias("visibility"),
+            (F.col("l_discount") == 0).alias("isStatic"), (F.col("l_tax") == 0).alias("isFinal"),
+        )
+        used = F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("org.C"), (F.col("l_orderkey") + F.col("l_partkey")).cast("string"))).otherwise(F.concat(F.lit("pkg.n"), (F.col("l_suppkey") % 25).cast("string"), F.lit(".X")))
+        large = F.col("l_quantity") > 25
+        members = self.table("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(
+            F.collect_list(F.when(large, field)).alias("fields"), F.collect_list(F.when(~large, method)).alias("methods"), F.collect_list(used).alias("unit_imports")
+        )
+        order = self.classes().select("module", "category", "unit", F.col("class").alias("id"), "documented", F.col("annotation").alias("priority"))
+        home = self.table("nation").select(F.col("n_name").alias("module"), F.concat(F.lit("pkg.n"), F.col("n_nationkey").cast("string")).alias("package"))
+        both = order.join(home, "module").join(members, "id", "left")
+        schema = dict(both.dtypes)
+        empty = lambda c: F.coalesce(c, F.array().cast(schema[c]))
+        qualified = lambda k: F.concat(F.lit("org.C"), k.cast("string"))
+        return both.select(
+            "module", "category", "package", F.col("unit").cast("string").alias("unit"), empty("unit_imports").alias("unit_imports"), qualified(F.col("id")).alias("class"),
+            F.when(F.col("id") % 3 == 0, qualified(F.expr("id div 3"))).alias("super_class"), (F.col("id") % 8).cast("int").alias("n_interfaces"), F.size(empty("fields")).alias("n_fields"),
+            F.size(empty("methods")).alias("n_methods"), "documented", is_data_class(empty("fields"), empty("methods")).alias("is_data_class"), empty("fields").alias("fields"),
+            empty("methods").alias("methods"), F.array(F.struct(F.col("priority").alias("name"), F.lit(None).cast("string").alias("qualifiedName"))).alias("annotations"),
+        )
+
+    def supplier_classes(self) -> DataFrame:
+        """(module, package, class): suppliers as classes of their nation's package."""
+        package = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
+        return self.table("supplier").select(F.lit("all").alias("module"), package.alias("package"), F.concat(package, F.lit(".s"), F.col("s_suppkey").cast("string")).alias("class"), "s_suppkey", "s_nationkey")
+
+    def supplier_imports(self) -> DataFrame:
+        """(module, package, class, import): supplier k imports supplier (7 k + nation) modulo the number of suppliers."""
+        classes = self.supplier_classes()
+        n = classes.agg(F.count("*").alias("n"))
+        wanted = classes.join(F.broadcast(n)).withColumn("dst", F.pmod(F.col("s_suppkey") * 7 + F.col("s_nationkey"), F.col("n"))).select("module", "package", "class", "dst")
+        return wanted.join(classes.select(F.col("s_suppkey").alias("dst"), F.col("class").alias("import")), "dst").select("module", "package", "class", "import")
+
+    def sbom(self) -> DataFrame:
+        """Manifests of parts, one for each brand and size; licences are the brand by name, large parts' types by expression."""
+        license = F.struct(F.struct(F.lit(None).cast("string").alias("id"), F.col("p_brand").alias("name")).alias("license"), F.lit(None).cast("string").alias("expression"))
+        expression = F.struct(F.lit(None).cast("struct<id:string,name:string>").alias("license"), F.col("p_type").alias("expression"))
+        component = F.struct(
+            F.col("p_partkey").cast("string").alias("bom-ref"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).alias("group"), F.col("p_name").alias("name"), F.col("p_partkey").cast("string").alias("version"),
+            F.when(F.col("p_size") > 25, F.array(license, expression)).otherwise(F.array(license)).alias("licenses"),
+        )
+        return self.table("part").groupBy("p_brand", "p_size").agg(F.collect_list(component).alias("components"))
 
     def module_uses(self) -> DataFrame:
         """(from, to, n): customers' nations that buy from suppliers' nations, over all lineitems."""

@@ -36,12 +36,13 @@ METHOD_RULES = (
 CLASS_RULES = (
     Rule("fields", "n_fields > 10 and n_methods > 20", "god class", "HIGH", "HIGH"),
     Rule("methods", "n_methods > 20", "more than 20 methods"),
+    Rule("fields", "n_open > 0", "public fields that are no constants", "LOW"),
     Rule("inheritance", "depth > 3", "more than 3 superclasses"),
     Rule("inheritance", "n_interfaces > 5", "more than 5 interfaces"),
     Rule("coupling", "n_external > 20", "more than 20 external imports"),
     Rule("data", "is_data_class", "data class", "NONE", "LOW"),
 )
-#: Over module totals of production code, see module_facts().
+#: Over totals of each module's production code; facts.module_facts() makes them.
 MODULE_RULES = (
     Rule("visibility", "2 * n_public > n_all", "more than half of the methods are public", "LOW", "LOW"),
     Rule("visibility", "10 * n_public > 8 * n_all and n_private = 0 and n_protected = 0", "nothing is hidden"),
@@ -49,7 +50,18 @@ MODULE_RULES = (
     Rule("documentation", "2 * n_documented < n_classes", "fewer than half of the classes are documented", "LOW", "LOW"),
     Rule("tests", "n_classes > 0 and n_tests = 0", "no tests", "HIGH", "HIGH"),
     Rule("tests", "coverage < 50", "fewer than half of the classes have a test of their name", "MEDIUM", "HIGH"),
-    Rule("coupling", "mean_external > 10", "more than 10 external imports a class on average"),
+    Rule("coupling", "n_external > 10 * n_classes", "more than 10 external imports a class on average"),
+    Rule("inheritance", "n_classes > 0 and max_depth = 0", "no class extends another", "NONE", "NONE"),
+)
+ANNOTATION_RULES = (
+    Rule("annotations", "n_annotations * all_classes > all_annotations * n_classes", "more annotations a class than on average", "LOW", "LOW"),
+    Rule("annotations", "n_overridable > 0 and 5 * n_overriding < n_overridable", "fewer than 20 % of the methods that could override are marked", "LOW", "LOW"),
+    Rule("annotations", "n_qualified > 0 and 10 * n_framework > 6 * n_annotations", "more than 60 % of the annotations are of one framework", "LOW"),
+)
+IMPORT_RULES = (
+    Rule("imports", "10 * n_external > 8 * n_imports", "more than 80 % of the imports are external", "LOW"),
+    Rule("imports", "2 * n_top > n_external", "more than 50 % of the external imports have one prefix", "LOW"),
+    Rule("imports", "10 * n_java > 4 * n_external", "more than 40 % of the external imports are of the standard library", "NONE", "NONE"),
 )
 STABILITY_RULES = (
     Rule("stability", "ce = 0 and ca = 0", "coupled with no other module", "LOW", "LOW"),
@@ -77,19 +89,6 @@ def evaluate(rows: DataFrame, rules: tuple[Rule, ...], key: str = "module", *sub
     return rows.select(F.col(key).cast("string").alias("module"), about.alias("subject"), found).select("module", "subject", "f.*")
 
 
-def module_facts(classes: DataFrame, methods: DataFrame) -> DataFrame:
-    """Totals of each module for MODULE_RULES."""
-    of_methods = methods.where("category = 'production'").groupBy("module").agg(
-        F.count("*").alias("n_all"), F.count_if(F.col("visibility") == "PUBLIC").alias("n_public"), F.count_if(F.col("visibility") == "PRIVATE").alias("n_private"),
-        F.count_if(F.col("visibility") == "PROTECTED").alias("n_protected"), F.count_if("is_static").alias("n_static"),
-    )
-    of_classes = classes.groupBy("module").agg(
-        F.count_if(F.col("category") == "production").alias("n_classes"), F.count_if((F.col("category") == "production") & F.col("documented")).alias("n_documented"),
-        F.count_if(F.col("category") == "test").alias("n_tests"),
-    )
-    return of_classes.join(of_methods, "module", "left")
-
-
 def shares(distribution: DataFrame, percent: int, finding: str, aspect: str) -> DataFrame:
     """Findings for modules where one value has more than a share of a distribution."""
     total = distribution.groupBy("module").agg(F.sum("count").alias("total"), F.max_by(F.col("value"), F.struct("count", "value")).alias("top"), F.max("count").alias("most"))

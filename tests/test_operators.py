@@ -1,10 +1,13 @@
 """Metrics, graphs, coupling, files and manifests on small hand-made inputs."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from structlens.functions import scalars
 from structlens.operators import coupling, files, graph, manifest, metrics
+from structlens.rules import facts, thresholds
 from structlens.sources import report
 
 
@@ -201,3 +204,48 @@ def test_manifest(spark, tmp_path):
     assert [r.license for r in manifest.licenses(parts).collect()] == ["Apache", "MIT", "MIT OR GPL"]
     assert [tuple(r) for r in manifest.by_component(parts).collect()] == [("g:na", "1", "MIT, Apache"), ("nb", "1", "MIT OR GPL"), ("nc", "1", "")]
     assert manifest.application(sbom).first()[0] == "g:nroot in version 1"
+
+
+def test_strong_components_by_brute_force(spark):
+    rng = random.Random(5)
+    for n in (20, 45):
+        edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(n)] + [(100, 101), (101, 102), (102, 100), (102, 103), (103, 104), (104, 103)]
+        reach = {a: {b for x, b in edges if x == a} for e in edges for a in e}
+        for _ in reach:
+            reach = {a: r.union(*(reach[b] for b in r)) for a, r in reach.items()}
+        expected = {(min(b for b in r if a in reach[b]), a) for a, r in reach.items() if any(b != a and a in reach[b] for b in r)}
+        assert table(graph.strong_components(spark.createDataFrame(edges, "src INT, dst INT")), "component", "node") == expected
+    assert graph.strong_components(spark.createDataFrame([(1, 1), (1, 2)], "src INT, dst INT")).count() == 0
+    assert graph.strong_components(spark.createDataFrame([], "src INT, dst INT")).count() == 0
+
+
+def test_chain_depth_takes_the_smallest_superclass(spark):
+    rows = [("m", "a", None), ("m", "b", "a"), ("m", "c", "b"), ("m", "c", "z")]
+    assert table(graph.chain_depth(spark.createDataFrame(rows, "module STRING, class STRING, super_class STRING"))) == {("m", "a", 0), ("m", "b", 1), ("m", "c", 2)}
+
+
+def test_facts_and_rules_of_every_table(views):
+    classes, methods, fields, imports, _ = views
+    depths = graph.chain_depth(classes.select("module", "class", "super_class"))
+    of_classes = facts.class_facts(classes, fields, imports, depths)
+    got = {r["class"]: (r.n_open, r.n_external, r.depth, r.is_data_class) for r in of_classes.collect()}
+    assert got["a.G"] == (1, 0, 1, True) and got["a.A"] == (0, 3, 0, False) and got["b.B"] == (0, 1, 2, True) and got["b.AbstractX"][2] == 1
+    found = table(thresholds.evaluate(of_classes, thresholds.CLASS_RULES, "module", "class"), "subject", "finding")
+    assert found == {("a.G", "public fields that are no constants"), ("a.G", "data class"), ("b.B", "data class")}
+    names = classes.select("module", "category", scalars.simple_name(F.col("class")).alias("name"))
+    of_modules = facts.module_facts(classes, methods, of_classes, metrics.coverage(names)[0])
+    found = table(thresholds.evaluate(of_modules, thresholds.MODULE_RULES), "module", "finding")
+    assert found == {
+        ("core", "more than half of the methods are public"), ("core", "fewer than half of the classes are documented"), ("api", "fewer than half of the classes are documented"), ("api", "no tests"),
+        ("api", "fewer than half of the classes have a test of their name"), ("api", "no class extends another"),
+    }
+    of_annotations = facts.annotation_facts(classes, methods, report.annotations(classes))
+    row = {r.module: r for r in of_annotations.collect()}
+    assert (row["core"].n_annotations, row["core"].n_classes, row["core"].all_classes, row["core"].n_overridable, row["core"].n_overriding) == (2, 6, 7, 3, 1)
+    assert table(thresholds.evaluate(of_annotations, thresholds.ANNOTATION_RULES), "module", "finding") == {("core", "more annotations a class than on average")}
+    of_imports = facts.import_facts(imports, metrics.namespaces(classes))
+    row = {r.module: tuple(r)[1:] for r in of_imports.collect()}
+    assert row["api"] == (6, 5, 1, 1)
+    assert ("core", "more than 40 % of the external imports are of the standard library") not in table(thresholds.evaluate(of_imports, thresholds.IMPORT_RULES), "module", "finding")
+    cycles = facts.cycle_facts(graph.strong_components(graph.class_graph(imports, classes)))
+    assert table(cycles, "component", "size") == {("a.A", 2)} and thresholds.evaluate(cycles, thresholds.CYCLE_RULES).count() == 1
