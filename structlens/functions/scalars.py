@@ -83,10 +83,13 @@ def matches_glob(name: Column, glob: str) -> Column:
 
 
 def boolean_parameters(descriptor: Column) -> Column:
-    """How many parameters of a method descriptor name(params)result are boolean; letters elsewhere don't count."""
+    """How many parameters of a method are boolean, by the descriptor of its byte code, name(params)result, or by its types
+    as written in the source, (boolean,int)void; letters elsewhere don't count."""
     inside = F.regexp_extract(descriptor, r"\(([^)]*)\)", 1)
     plain = F.regexp_replace(F.regexp_replace(inside, r"L[^;]*;", ""), r"\[+.", "")
-    return F.length(plain) - F.length(F.replace(plain, F.lit("Z"), F.lit("")))
+    coded = F.length(plain) - F.length(F.replace(plain, F.lit("Z"), F.lit("")))
+    written = F.size(F.filter(F.split(inside, ","), lambda t: F.trim(t) == "boolean"))
+    return F.when(inside.rlike(r"^(\[*([BCDFIJSZ]|L[^;]+;))*$"), coded).otherwise(written)
 
 
 def is_data_class(fields: Column, methods: Column) -> Column:

@@ -31,8 +31,8 @@ def licenses(components: DataFrame) -> DataFrame:
 
 
 def by_component(components: DataFrame) -> DataFrame:
-    """(id, version, licenses): licences joined by ", ", "" without one, in order of id."""
-    return components.select(F.col("label").alias("id"), "version", F.array_join("licenses", ", ").alias("licenses")).orderBy("id", "version")
+    """(id, name, version, licenses): licences joined by ", ", "" without one, in order of id."""
+    return components.select(F.col("ref").alias("id"), F.col("label").alias("name"), "version", F.array_join("licenses", ", ").alias("licenses")).orderBy("id", "name")
 
 
 def application(sbom: DataFrame) -> DataFrame:

@@ -168,7 +168,7 @@ SELECT page_id, 'M:' || prefix AS owner, prefix FROM files LEFT JOIN best USING
     "list_directory": f"WITH {_FILES} SELECT directory, filename, lines FROM files WHERE directory = (SELECT min(directory) FROM files)",
     "sbom_direct_deps": "SELECT DISTINCT s_name AS ref, n_nationkey || ':' || s_name AS label FROM region JOIN nation ON n_regionkey = r_regionkey JOIN supplier ON s_nationkey = n_nationkey WHERE r_name = 'ASIA'",
     "sbom_licenses": "SELECT p_brand AS license FROM part UNION SELECT p_type FROM part WHERE p_size > 25",
-    "sbom_dep_licenses": "SELECT CASE WHEN p_size % 2 = 0 THEN p_brand || ':' ELSE '' END || p_name AS id, CAST(p_partkey AS VARCHAR) AS version, p_brand || CASE WHEN p_size > 25 THEN ', ' || p_type ELSE '' END AS licenses FROM part",
+    "sbom_dep_licenses": "SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_size % 2 = 0 THEN p_brand || ':' ELSE '' END || p_name AS name, CAST(p_partkey AS VARCHAR) AS version, p_brand || CASE WHEN p_size > 25 THEN ', ' || p_type ELSE '' END AS licenses FROM part",
     "runnable_tasks": "SELECT l_orderkey AS id FROM lineitem GROUP BY 1 HAVING bool_and(l_linestatus = 'F')",
     "resume_anti_join": "SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS task_id, l_linenumber AS index FROM lineitem WHERE NOT (l_linenumber IN (1, 2) AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'))",
     "module_status": """SELECT CASE WHEN length(text) >= 60 THEN CAST(doc_id AS VARCHAR) END AS module, CASE WHEN length(text) < 60 OR text IS NULL THEN 'ERROR' WHEN lang IS DISTINCT FROM 'en' THEN 'SKIPPED'

@@ -52,3 +52,36 @@ def describe(schema: dict) -> str:
 
 def schema_name(schema: dict) -> str:
     return schema.get("title") or "Result"
+
+
+_KINDS = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "object": (dict,), "array": (list,), "null": (type(None),)}
+
+
+def problems(value, schema: dict, path: str = "") -> list[str]:
+    """What is wrong with a value under a JSON Schema: types, enums, bounds, lengths, required and additional properties."""
+    here, kinds = path or "/", schema.get("type")
+    if kinds is not None:
+        allowed = [k for name in ([kinds] if isinstance(kinds, str) else kinds) for k in _KINDS[name]]
+        if not isinstance(value, tuple(allowed)) or (isinstance(value, bool) and bool not in allowed):
+            return [f"{here}: is no {kinds if isinstance(kinds, str) else ' or '.join(kinds)}"]
+    out = [f"{here}: is none of {', '.join(map(str, schema['enum']))}"] if "enum" in schema and value not in schema["enum"] else []
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        out += [f"{here}: is less than {schema['minimum']}"] if value < schema.get("minimum", value) else []
+        out += [f"{here}: is more than {schema['maximum']}"] if value > schema.get("maximum", value) else []
+    if isinstance(value, str) and len(value) < schema.get("minLength", 0):
+        out.append(f"{here}: is shorter than {schema['minLength']}")
+    if isinstance(value, list):
+        out += [f"{here}: has fewer than {schema['minItems']} entries"] if len(value) < schema.get("minItems", 0) else []
+        for i, x in enumerate(value):
+            out += problems(x, schema.get("items", {}), f"{path}/{i}")
+    if isinstance(value, dict):
+        out += [f"{here}: has no {n}" for n in schema.get("required", ()) if n not in value]
+        known, more = schema.get("properties", {}), schema.get("additionalProperties", True)
+        for k, v in value.items():
+            if k in known:
+                out += problems(v, known[k], f"{path}/{k}")
+            elif more is False:
+                out.append(f"{path}/{k}: is unknown")
+            elif isinstance(more, dict):
+                out += problems(v, more, f"{path}/{k}")
+    return out

@@ -10,6 +10,7 @@ import os
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "path STRING, directory STRING, filename STRING, length BIGINT, lines BIGINT"
@@ -83,11 +84,35 @@ def read_text(root: str, path: str) -> str:
         return f"ERROR: {type(e).__name__}"
 
 
-def with_text(files: DataFrame, root: str) -> DataFrame:
-    """(path, filename, text) of a listing, read by the executors; unreadable files have read_text()'s message."""
+def with_text(files: DataFrame, root: str, *keep: str) -> DataFrame:
+    """(path, filename, text and the columns in keep) of a listing, read by the executors; unreadable files have read_text()'s
+    message."""
 
     def run(batches):
         for batch in batches:
             yield batch.assign(text=[read_text(root, p) for p in batch.path])
 
-    return files.select("path", "filename").mapInPandas(run, "path STRING, filename STRING, text STRING")
+    narrow = files.select("path", "filename", *keep)
+    return narrow.mapInPandas(run, T.StructType(narrow.schema.fields + [T.StructField("text", T.StringType())]))
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """The rows of a listing with content, their files' bytes, read by the executors; null for unreadable files."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.assign(content=[read_bytes(root, p) for p in batch.path])
+
+    return files.mapInPandas(run, T.StructType(files.schema.fields + [T.StructField("content", T.BinaryType())]))
+
+
+def read_bytes(root: str, path: str) -> bytes | None:
+    from ..operators.files import allowed
+
+    try:
+        if not allowed(root, path):
+            return None
+        with open(os.path.join(root, path), "rb") as f:
+            return f.read()
+    except OSError:
+        return None

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,14 @@ def write(reports: DataFrame, path: str) -> None:
     reports.withColumn("module", F.col("name")).write.mode("overwrite").partitionBy("module").parquet(path)
 
 
+def write_json(reports: DataFrame, path: str) -> None:
+    """The report of one module as an indented JSON file."""
+    text = reports.select(F.to_json(F.struct("name", "packages"))).first()[0]
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(json.loads(text), f, indent=1, ensure_ascii=False)
+
+
 def report_name(module: str) -> str:
     return "Java_" + module.replace(" ", "_")
 

@@ -119,7 +119,7 @@ def test_data_classes_and_booleans(views):
 
 
 def test_boolean_parameters_count_only_parameters(spark):
-    rows = spark.createDataFrame([("fooZZ(Z)V", 1), ("f(LZed;[Z[[ZZ)Z", 1), ("f()Z", 0), ("f(IZJZ)V", 2)], "d STRING, n INT")
+    rows = spark.createDataFrame([("fooZZ(Z)V", 1), ("f(LZed;[Z[[ZZ)Z", 1), ("f()Z", 0), ("f(IZJZ)V", 2), ("(boolean,Zebra,boolean[],boolean)int", 2), ("(Z)boolean", 1), ("<init>()", 0)], "d STRING, n INT")
     assert rows.where(scalars.boolean_parameters(F.col("d")) != F.col("n")).count() == 0
 
 
