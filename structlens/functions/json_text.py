@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +31,7 @@ def fix_line(line: str) -> str:
             i += 2
             continue
         if c == '"':
-            tail = rest[i + 1 :].lstrip()
+            tail = rest[i + 1 :].lstrip(" \t\n\x0b\f\r")
             if not tail or tail[0] in ",}":
                 return head + "".join(out) + rest[i:]
             c = '\\"'
@@ -49,13 +48,36 @@ def fix(text: str | None) -> str | None:
     return "\n".join(fix_line(x) for x in text.split("\n"))
 
 
-def _fixed(texts: pd.Series) -> pd.Series:
-    return texts.map(fix)
+#: Marks what is no bare quote while a line is repaired; where a text has it, it is marked itself.
+_MARK = "\ue000"
 
 
 def repaired(text: Column) -> Column:
-    """fix() of a column. The scan for the closing quote has a state, so this is a pandas function, batch by batch."""
-    return F.pandas_udf(_fixed, "string")(text)
+    """fix() of a column, by regular expressions: escaped characters are marked first, so that a bare quote is one
+    without a mark before it, and the first one that can close the value is found by its place."""
+
+    def once(value: Column, body: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def line(x: Column) -> Column:
+        head = F.regexp_extract(x, r'(?s)^(\s*"(?:[^"\\]++|\\.)*+"\s*:\s*")', 1)
+        return once(head, lambda h: F.when(F.length(h) > 0, F.concat(h, once(F.substring(x, F.length(h) + 1, F.length(x)), value))).otherwise(x))
+
+    def value(rest: Column) -> Column:
+        marked = F.regexp_replace(F.replace(rest, F.lit(_MARK), F.lit(_MARK + "a")), r"(?s)\\(.)", _MARK + "b$1")
+        return once(marked, closed)
+
+    def closed(x: Column) -> Column:
+        at = F.regexp_instr(x, F.lit(rf'(?<!{_MARK}b)"[ \t\n\x0b\f\r]*(?:[,}}]|\z)'))
+        return once(at, lambda i: plain(F.concat(bare(F.when(i > 0, F.substring(x, F.lit(1), i - 1)).otherwise(x)), F.when(i > 0, F.substring(x, i, F.length(x))).otherwise(""))))
+
+    def bare(x: Column) -> Column:
+        return F.regexp_replace(x, rf'(?<!{_MARK}b)"', r'\\"')
+
+    def plain(x: Column) -> Column:
+        return F.replace(F.replace(x, F.lit(_MARK + "b"), F.lit("\\")), F.lit(_MARK + "a"), F.lit(_MARK))
+
+    return F.array_join(F.transform(F.split(unfenced(text), "\n"), line), "\n")
 
 
 def unfenced(text: Column) -> Column:
@@ -85,6 +107,22 @@ def conditions(schema: dict, value: Column, path: str = "") -> list[tuple[str, s
     return out
 
 
+#: Kinds of JSON values as Spark names those of variants (fixed values).
+_KINDS = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*"}
+
+
+def _types(schema: dict, path: str = "", at: str = "$") -> list[tuple[str, str, str]]:
+    """(path, JSON path, pattern of its kind) of the typed properties of an object and of objects in it."""
+    out = []
+    for name, part in schema.get("properties", {}).items():
+        kinds = part.get("type")
+        if kinds:
+            out.append((f"{path}/{name}", f"{at}['{name}']", "|".join(_KINDS[k] for k in ([kinds] if isinstance(kinds, str) else kinds) if k in _KINDS)))
+        if kinds == "object":
+            out += _types(part, f"{path}/{name}", f"{at}['{name}']")
+    return out
+
+
 def _breaks(items: dict, path: str, where: str, rule: str) -> Callable[[Column], Column]:
     """Whether an entry of a list breaks one of its conditions."""
     return lambda x: next(c for p, r, c in conditions(items, x, path) if (p, r) == (where, rule))
@@ -93,16 +131,30 @@ def _breaks(items: dict, path: str, where: str, rule: str) -> Callable[[Column],
 def violations(rows: DataFrame, text: str, schema: dict, key: str) -> DataFrame:
     """(key, path, rule) of what is wrong with a JSON column; a text that is no JSON object breaks ("", "json").
 
-    Rows are judged in one pass; nothing is dropped from them.
+    A value of another kind than its type breaks "type" and nothing else. Rows are judged in one pass; nothing is dropped
+    from them.
     """
-    parsed = rows.withColumn("__v", F.from_json(text, from_json_schema(schema), {"mode": "PERMISSIVE"}))
-    is_json = F.get_json_object(text, "$").isNotNull() & F.trim(F.col(text)).startswith("{")
-    checks = [F.when(~F.coalesce(is_json, F.lit(False)), F.struct(F.lit("").alias("path"), F.lit("json").alias("rule")))]
-    checks += [F.when(F.coalesce(is_json, F.lit(False)) & F.coalesce(c, F.lit(False)), F.struct(F.lit(p).alias("path"), F.lit(r).alias("rule"))) for p, r, c in conditions(schema, F.col("__v"))]
+    parsed = rows.withColumns({"__v": F.from_json(text, from_json_schema(schema), {"mode": "PERMISSIVE"}), "__j": F.expr(f"try_parse_json({text})")})
+    is_object = F.coalesce(F.expr("schema_of_variant(__j)").startswith("OBJECT"), F.lit(False))
+    kinds = {p: F.expr(f'schema_of_variant(try_variant_get(__j, "{at}", "variant"))') for p, at, _ in _types(schema)}
+    wrong = {p: F.coalesce((kinds[p] != "VOID") & ~kinds[p].rlike(f"^({pattern})$"), F.lit(False)) for p, _, pattern in _types(schema)}
+    mark = lambda c, p, r: F.when(c, F.struct(F.lit(p).alias("path"), F.lit(r).alias("rule")))
+    checks = [mark(~is_object, "", "json")]
+    checks += [mark(is_object & c, p, "type") for p, c in wrong.items()]
+    for p, r, c in conditions(schema, F.col("__v")):
+        checks.append(mark(is_object & ~wrong.get(p, F.lit(False)) & F.coalesce(c, F.lit(False)), p, r))
     found = F.filter(F.array(*checks), lambda x: x.isNotNull())
     return parsed.select(key, F.explode(found).alias("f")).select(key, "f.path", "f.rule")
 
 
+def validated(rows: DataFrame, text: str, schema: dict, key: str) -> DataFrame:
+    """The strict reading of violations(): the rows as they are, or a ValueError that names the first few of them."""
+    found = violations(rows, text, schema, key).limit(5).collect()
+    if found:
+        raise ValueError("; ".join(f"{r[0]}: {r.path or '/'} breaks {r.rule}" for r in found))
+    return rows
+
+
 def elements(docs: DataFrame, text: str, path: str, *keep: str) -> DataFrame:
     """(keep, position, element): the entries of the array at a path like $.modules.modules of a JSON column."""
     array = F.expr(f"try_variant_get(try_parse_json({text}), '{path}', 'array<variant>')")

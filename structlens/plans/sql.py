@@ -231,3 +231,8 @@ _BATCH = (
     "dist_field_method_ratio", "dist_coupling", "dist_module_deps", "dist_method_count", "doc_ratio", "dist_annotation",
 )
 SQL["batch_metrics"] = " UNION ALL ".join(f"SELECT '{name}' AS metric, module, category, value, count FROM ({SQL[name]})" for name in _BATCH)
+SQL["json_repair"] = r"""
+WITH p AS (SELECT page_id, html, regexp_replace(html, '[\\\n\r\t]', ' ', 'g') AS plain FROM pages),
+c AS (SELECT *, regexp_extract(plain || '",', '(?s)^(.*?)"[ \t\n\x0b\f\r]*(?:[,}]|$)', 1) = plain AS whole FROM p)
+SELECT page_id, CASE WHEN whole THEN page_id END AS id, CASE WHEN whole THEN length(html) END AS n FROM c
+"""

@@ -1,5 +1,7 @@
 """JSON text, schemas, sinks, templates, rules, tasks, scheduling and streams."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,8 +22,11 @@ def test_repair(text, fixed):
 
 
 def test_repaired_column(spark):
-    rows = spark.createDataFrame([('```json\n"k" : "a "b" c"\n```',), (None,)], "t STRING")
-    assert [r[0] for r in rows.select(json_text.repaired(F.col("t"))).collect()] == ['\n"k" : "a \\"b\\" c"\n', None]
+    rng = random.Random(8)
+    texts = ['```json\n"k" : "a "b" c"\n```', None, "", '"k": "' + 'x" y ' * 20_000 + '"', '"k": "a \\\\" b"', '"k": "\\', '"k": "\ue000b" \ue000a"', '"a" : "b" , "c": "d"', "```json```"]
+    texts += ["".join(rng.choices(['"', "\\", ",", "}", " ", "\n", ":", "a", '"k": "', "\t", "\ue000", "b"], k=rng.randrange(40))) for _ in range(400)]
+    got = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", json_text.repaired(F.col("t")).alias("f")).collect()
+    assert [r.f for r in got] == [json_text.fix(t) for t in texts]
 
 
 SCHEMA = {"title": "Thing", "type": "object", "required": ["id"], "properties": {"id": {"type": "integer"}, "kind": {"enum": ["A", "B"]}, "parts": {"type": "array", "items": {"title": "Part", "type": "object", "required": ["n"], "properties": {"n": {"type": "string"}}}}}}
@@ -34,9 +39,13 @@ def test_schema():
 
 
 def test_violations(spark):
-    rows = [(1, '{"id": 1, "kind": "A"}'), (2, '{"kind": "C"}'), (3, "oops"), (4, '{"id": 4, "parts": [{"n": "x"}, {}]}'), (5, None)]
+    rows = [(1, '{"id": 1, "kind": "A"}'), (2, '{"kind": "C"}'), (3, "oops"), (4, '{"id": 4, "parts": [{"n": "x"}, {}]}'), (5, None), (6, '{"id": "6", "parts": {}}'), (7, "[1]"), (8, '{"id": null}'), (9, '{"id": 1.5}')]
     got = {tuple(r) for r in json_text.violations(spark.createDataFrame(rows, "k INT, t STRING"), "t", SCHEMA, "k").collect()}
-    assert got == {(2, "/id", "required"), (2, "/kind", "enum"), (3, "", "json"), (4, "/parts/*/n", "required"), (5, "", "json")}
+    assert got == {(2, "/id", "required"), (2, "/kind", "enum"), (3, "", "json"), (4, "/parts/*/n", "required"), (5, "", "json"), (6, "/id", "type"), (6, "/parts", "type"), (7, "", "json"), (8, "/id", "required"), (9, "/id", "type")}
+    good = spark.createDataFrame(rows[:1], "k INT, t STRING")
+    assert json_text.validated(good, "t", SCHEMA, "k") is good
+    with pytest.raises(ValueError, match="/id breaks required"):
+        json_text.validated(spark.createDataFrame(rows[1:2], "k INT, t STRING"), "t", SCHEMA, "k")
 
 
 def test_elements_and_properties(spark):
