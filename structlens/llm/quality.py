@@ -1,9 +1,12 @@
 """Quality rules: text statistics, fixed base rules, and robust multivariate outliers per language and source.
 
-Statistics become a transformed vector; minimum-covariance-determinant estimates (started at medians and quartile
-ranges, then concentration steps on the nearest three quarters) give each group a centre and a covariance, and
-documents beyond a Mahalanobis distance are rejected. All of it is DataFrame expressions. Vectors are whole numbers
-(units of 1/SCALE) and their sums exact, so estimates don't depend on how rows are dealt to tasks.
+Statistics become a transformed vector. Each group's centre and covariance are minimum-covariance-determinant estimates:
+from several deterministic starts, concentration steps re-estimate them on the nearest three quarters until the
+determinants settle, and the start that ends at the least determinant counts. Estimates of a group are drawn towards
+those of its language, and these towards those of all documents, by as much as PRIOR documents weigh; so small groups
+need no rule of their own. Documents beyond a Mahalanobis distance are rejected. All of it is DataFrame expressions.
+Vectors are whole numbers (units of 1/SCALE) and their sums exact, so estimates don't depend on how rows are dealt to
+tasks.
 """
 
 from __future__ import annotations
@@ -23,11 +26,14 @@ DIMS = len(FLOORS)
 CUTOFF = 25.74
 #: Share of a group that a concentration step keeps, and what corrects the covariance of so trimmed normal data.
 CORE, CONSISTENCY = 0.75, 1.41
-STEPS = 3
+#: Starts: medians and quartile ranges; the same with half of the group in the first step; means and covariances.
+STARTS = ("quartiles", "half", "moments")
+#: Concentration steps end when no logarithm of a determinant moves further, or after so many.
+SETTLED, MOST_STEPS = 1e-2, 8
+#: Documents that a parent's estimate weighs in its groups' estimates.
+PRIOR = 50
 #: Characters a word about which short texts are damped: their averages vary more.
 USUAL_CHARS = 5
-#: Groups of fewer documents share one estimate of all such groups; if these are fewer still, nothing is an outlier.
-LEAST_GROUP = 50
 #: More groups than this are joined by a salted shuffle, not broadcast.
 MOST_BROADCAST, SALTS = 20_000, 32
 MIN_WORDS, MAX_REPEAT_PERCENT, SPAN = 10, 20, 5
@@ -102,8 +108,14 @@ def _with(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
     return dealt.join(salted, ["group", "salt"], how).drop("salt")
 
 
-def _inverse(params: DataFrame) -> DataFrame:
-    """(group, m0.., i00, i10..) from m0.. and covariances c00, c10..: the inverse of their Cholesky factor."""
+_MEANS = [f"m{i}" for i in range(DIMS)]
+_PAIRS = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+_COVS = [f"c{i}{j}" for i, j in _PAIRS]
+
+
+def _inverse(params: DataFrame, *keep: str) -> DataFrame:
+    """(keep, m0.., i00, i10.., det) from m0.. and covariances c00, c10..: the inverse of their Cholesky factor, and the
+    logarithm of their determinant."""
     for i in range(DIMS):
         row = {}
         for j in range(i + 1):
@@ -116,7 +128,8 @@ def _inverse(params: DataFrame) -> DataFrame:
         for i in range(j + 1, DIMS):
             dot = reduce(Column.__add__, [F.col(f"l{i}{k}") * F.col(f"i{k}{j}") for k in range(j, i)])
             params = params.withColumn(f"i{i}{j}", -dot / F.col(f"l{i}{i}"))
-    return params.select("group", *[f"m{i}" for i in range(DIMS)], *[f"i{i}{j}" for i in range(DIMS) for j in range(i + 1)])
+    det = reduce(Column.__add__, [2 * F.log(f"l{i}{i}") for i in range(DIMS)])
+    return params.select(*keep, *_MEANS, *[f"i{i}{j}" for i, j in _PAIRS], det.alias("det"))
 
 
 def _distance() -> Column:
@@ -126,80 +139,102 @@ def _distance() -> Column:
     return reduce(Column.__add__, [x * x for x in z])
 
 
-def estimates(rows: DataFrame) -> DataFrame:
-    """Robust centre and inverse Cholesky factor of each group of (group, x0..)."""
-    long = rows.select("group", F.posexplode(F.array(*[f"x{i}" for i in range(DIMS)])).alias("dim", "x"))
-    counts = long.groupBy("group", "dim", F.floor(F.col("x") / 10).alias("bin")).count()
-    upto = Window.partitionBy("group", "dim").orderBy("bin")
-    whole = Window.partitionBy("group", "dim")
+def _sums() -> list[Column]:
+    """Numbers, sums and sums of products of x0.., exact."""
+    return [
+        F.count("*").alias("n"),
+        *[F.sum(F.col(f"x{i}").cast("decimal(20,0)")).alias(f"s{i}") for i in range(DIMS)],
+        *[F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).alias(f"p{i}{j}") for i, j in _PAIRS],
+    ]
+
+
+_TOTALS = ["n", *[f"s{i}" for i in range(DIMS)], *[f"p{i}{j}" for i, j in _PAIRS]]
+
+
+def _moments(sums: DataFrame, factor: float, *keep: str) -> DataFrame:
+    """(keep, n, m0.., c00..) of _sums(): covariances times factor, with the floors added."""
+    mean = [F.col(f"s{i}").cast("double") / F.col("n") / SCALE for i in range(DIMS)]
+    cov = lambda i, j: (F.col(f"p{i}{j}").cast("double") / F.col("n") / SCALE**2 - mean[i] * mean[j]) * factor
+    return sums.select(*keep, "n", *[m.alias(f"m{i}") for i, m in enumerate(mean)], *[(cov(i, j) + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c{i}{j}") for i, j in _PAIRS])
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """(group, start, m0.., c00..) of rows (levels, x0..): one row for each of STARTS."""
+    own = rows.groupBy("levels").agg(*_sums())
+    every = own.withColumn("group", F.explode("levels")).groupBy("group").agg(*[F.sum(c).alias(c) for c in _TOTALS])
+    moments = _moments(every, 1.0, "group").select("group", F.lit(2).alias("start"), *_MEANS, *_COVS)
+    long = rows.select("levels", F.posexplode(F.array(*[f"x{i}" for i in range(DIMS)])).alias("dim", "x"))
+    counts = long.groupBy("levels", "dim", F.floor(F.col("x") / 10).alias("bin")).count()
+    counts = counts.withColumn("group", F.explode("levels")).groupBy("group", "dim", "bin").agg(F.sum("count").alias("count"))
+    upto, whole = Window.partitionBy("group", "dim").orderBy("bin"), Window.partitionBy("group", "dim")
     ranked = counts.withColumns({"below": F.sum("count").over(upto), "all": F.sum("count").over(whole)})
     at = lambda q: F.min(F.when(F.col("below") >= F.col("all") * q, F.col("bin"))) * (10 / SCALE)
     quartiles = ranked.groupBy("group").pivot("dim", list(range(DIMS))).agg(at(0.5).alias("mid"), ((at(0.75) - at(0.25)) / 1.349).alias("spread"))
-    zero = F.lit(0.0)
-    start = quartiles.select(
-        "group",
-        *[F.col(f"{i}_mid").alias(f"m{i}") for i in range(DIMS)],
-        *[(F.pow(f"{i}_spread", F.lit(2)) + FLOORS[i] ** 2 if i == j else zero).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i + 1)],
-    )
-    params = Stored(_inverse(start), "mcd").df
-    for _ in range(STEPS):
-        near = _with(rows, params).select("group", *[f"x{i}" for i in range(DIMS)], F.floor(F.log1p(_distance()) * 64).alias("bin"))
-        per_bin = near.groupBy("group", "bin").agg(
-            F.count("*").alias("n"),
-            *[F.sum(F.col(f"x{i}").cast("decimal(20,0)")).alias(f"s{i}") for i in range(DIMS)],
-            *[F.sum((F.col(f"x{i}") * F.col(f"x{j}")).cast("decimal(20,0)")).alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)],
-        )
-        order, group = Window.partitionBy("group").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("group")
-        core = per_bin.withColumns({"before": F.coalesce(F.sum("n").over(order), F.lit(0)), "all": F.sum("n").over(group)}).where(F.col("before") < F.col("all") * CORE)
-        sums = core.groupBy("group").agg(
-            F.sum("n").alias("n"),
-            *[F.sum(f"s{i}").cast("double").alias(f"s{i}") for i in range(DIMS)],
-            *[F.sum(f"p{i}{j}").cast("double").alias(f"p{i}{j}") for i in range(DIMS) for j in range(i + 1)],
-        )
-        mean = [F.col(f"s{i}") / F.col("n") / SCALE for i in range(DIMS)]
-        params = Stored(
-            _inverse(
-                sums.select(
-                    "group",
-                    *[m.alias(f"m{i}") for i, m in enumerate(mean)],
-                    *[
-                        ((F.col(f"p{i}{j}") / F.col("n") / SCALE**2 - mean[i] * mean[j]) * CONSISTENCY + (FLOORS[i] ** 2 if i == j else 0)).alias(f"c{i}{j}")
-                        for i in range(DIMS)
-                        for j in range(i + 1)
-                    ],
-                )
-            ),
-            "mcd",
-        ).df
-    return params
-
-
-def judge(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, the columns in keep, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept)
-    for each row of docs (doc_id, text, lang, source).
+    cov = lambda i, j: F.pow(f"{i}_spread", F.lit(2)) + FLOORS[i] ** 2 if i == j else F.lit(0.0)
+    robust = quartiles.select("group", F.explode(F.array(F.lit(0), F.lit(1))).alias("start"), *[F.col(f"{i}_mid").alias(f"m{i}") for i in range(DIMS)], *[cov(i, j).alias(f"c{i}{j}") for i, j in _PAIRS])
+    return robust.unionByName(moments)
+
+
+def estimates(rows: DataFrame) -> DataFrame:
+    """(group, n, m0.., c00..): the robust centre and covariance of each group of rows (levels, x0..), where levels are the
+    keys of the groups that a row belongs to."""
+    flat = rows.select(F.explode("levels").alias("group"), *[f"x{i}" for i in range(DIMS)])
+    now = Stored(_inverse(_starts(rows), "group", "start"), "mcd").df
+    order, group = Window.partitionBy("group", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("group", "start")
+    for step in range(MOST_STEPS):
+        near = _with(flat, now).select("group", "start", *[f"x{i}" for i in range(DIMS)], F.floor(F.log1p(_distance()) * 64).alias("bin"))
+        per_bin = near.groupBy("group", "start", "bin").agg(*_sums())
+        share = F.when((F.col("start") == 1) & F.lit(step == 0), 0.5).otherwise(CORE)
+        core = per_bin.withColumns({"before": F.coalesce(F.sum("n").over(order), F.lit(0)), "all": F.sum("n").over(group)}).where(F.col("before") < F.col("all") * share)
+        sums = core.groupBy("group", "start").agg(*[F.sum(c).alias(c) for c in _TOTALS], F.max("all").alias("all"))
+        after = Stored(_inverse(_moments(sums, CONSISTENCY, "group", "start", "all"), "group", "start", "all", *_COVS), "mcd").df
+        moved = after.join(now.select("group", "start", F.col("det").alias("was")), ["group", "start"])
+        now = after
+        if moved.where(F.abs(F.col("det") - F.col("was")) > SETTLED).isEmpty():
+            break
+    best = now.groupBy("group").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
+    return now.join(best, ["group", "start"]).select("group", F.col("all").alias("n"), *_MEANS, *_COVS)
+
+
+def _shrunk(child: DataFrame, parent: DataFrame) -> DataFrame:
+    """Estimates of child (parent, ...) drawn towards those of their parents."""
+    names = [*_MEANS, *_COVS]
+    known = parent.select(F.col("group").alias("parent"), *[F.col(c).alias(f"p_{c}") for c in names])
+    mixed = [((F.col("n") * F.col(c) + PRIOR * F.col(f"p_{c}")) / (F.col("n") + PRIOR)).alias(c) for c in names]
+    return child.join(known, "parent").select("group", *mixed)
+
+
+_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+
+
+def judge(docs: DataFrame, with_rows: bool = False) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept) for each row of docs
+    (doc_id, text, lang, source), and given with_rows the row itself in one column, row.
 
     base_failed documents are not kept and not part of the estimates; of the others those within CUTOFF of their
     group are. Null texts have no words and fail the base rules; null languages and sources are groups like others.
-    Repeated rows each count and are each judged; no rows give no rows.
+    Repeated rows each count and are each judged; no rows give no rows. Other columns are ignored, whatever their names.
     """
-    columns = list(dict.fromkeys(("doc_id", "lang", "source", *keep)))
-    stats = statistics(docs.select(*dict.fromkeys((*columns, "text"))))
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    held = Stored(stats.select(*columns, *names, base_failed().alias("base_failed")), "quality").df
-    own = F.xxhash64("lang", F.col("lang").isNull(), "source", F.col("source").isNull())
-    keyed = held.withColumns({f"x{i}": x for i, x in enumerate(vector())}).withColumn("group", own)
-    xs = [f"x{i}" for i in range(DIMS)]
-    enough = lambda rows: Stored(rows.groupBy("group").count().where(F.col("count") >= LEAST_GROUP).select("group"), "groups").df
-    large = enough(keyed.where("not base_failed")).withColumn("__large", F.lit(True))
-    keyed = _with(keyed, large, "left")
-    keyed = keyed.withColumn("group", F.when(F.col("__large"), F.col("group")).otherwise(F.lit(0).cast("long"))).drop("__large")
-    fit = keyed.where("not base_failed").select("group", *xs)
-    measured = _with(keyed, estimates(_with(fit, enough(fit))), "left")
-    out = measured.withColumn("distance", _distance())
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_rows else []
+    stats = statistics(docs.select("doc_id", "lang", "source", "text", *row))
+    keep = ["doc_id", *(["row"] if with_rows else [])]
+    own = F.xxhash64(F.lit(2), "lang", F.col("lang").isNull(), "source", F.col("source").isNull())
+    above = F.xxhash64(F.lit(1), "lang", F.col("lang").isNull())
+    keys = F.array(own, above, F.lit(0).cast("long")).alias("levels")
+    held = Stored(stats.select(*keep, *_NAMES, base_failed().alias("base_failed"), keys), "quality").df
+    keyed = held.withColumns({f"x{i}": x for i, x in enumerate(vector())})
+    fit = keyed.where("not base_failed").select("levels", *[f"x{i}" for i in range(DIMS)])
+    found = Stored(estimates(fit), "estimates").df
+    pairs = fit.select("levels").distinct()
+    whole = found.where("group = 0")
+    languages = _shrunk(found.join(pairs.select(F.col("levels")[1].alias("group"), F.lit(0).cast("long").alias("parent")).distinct(), "group"), whole)
+    groups = _shrunk(found.join(pairs.select(F.col("levels")[0].alias("group"), F.col("levels")[1].alias("parent")).distinct(), "group"), languages)
+    params = Stored(_inverse(groups, "group"), "mcd").df
+    out = _with(keyed.withColumn("group", F.col("levels")[0]), params, "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUTOFF))
-    return out.withColumn("kept", kept).select(*dict.fromkeys(("doc_id", *keep, *names)), "base_failed", "distance", "kept")
+    return out.withColumn("kept", kept).select(*keep, *_NAMES, "base_failed", "distance", "kept")
 
 
 def good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns."""
-    return judge(docs, tuple(docs.columns)).where("kept").select(*docs.columns)
+    """The rows of docs that judge() keeps, with their columns, whatever their names."""
+    return judge(docs, with_rows=True).where("kept").select("row.*")
