@@ -39,7 +39,9 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))
+    """What the store's newest version holds of each document, and whether its shard keeps to the target size."""
+    out = sharding.shard(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "text_sha256", (F.col("shard_bytes") <= sharding.TARGET_BYTES).alias("in_target"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,14 @@
 """Sharding by size-tiered compaction, under a versioned manifest.
 
-A store is a folder with immutable Parquet shards and manifests. append() writes an arrival as small shards, one for
-each task, without a shuffle. compact() puts shards in tiers of similar size and merges runs of a tier into files of a
-target size, each by one task that reads just its run, again without a shuffle. Both commit a new manifest version by
-an atomic rename that fails if that version exists, so readers see a version whole or not at all. Shards of a lost
-attempt are in no manifest.
+A store is a folder with immutable Parquet shards and manifests. An arrival is written as small shards, one for each
+task, without a shuffle. compact() puts shards in tiers of similar size and merges runs of a tier into files of a target
+size, each by one task that reads just its run, again without a shuffle. Every change is a new manifest version,
+committed by an atomic rename that fails if that version exists, so readers see a version whole or not at all; a writer
+that comes second takes the newer version as its base and tries again. A version names only the shards that it adds and
+removes; every SNAPSHOT versions one names all. Shards of a lost attempt are in no version.
+
+Renames without overwriting are atomic on HDFS and on local file systems. Object stores without them need a file system
+connector that has conditional writes.
 """
 
 from __future__ import annotations
@@ -13,15 +17,21 @@ import json
 import math
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TARGET_BYTES, FANOUT = 128 << 20, 4
+#: Arrivals that shard() commits one after another.
+ARRIVALS = 4
 #: Merged files that one job writes: bounds the size of its plan, not of the data.
 MERGES_A_JOB = 128
+#: Versions from one that names all shards to the next.
+SNAPSHOT = 16
 
 
 @dataclass(frozen=True)
@@ -46,45 +56,85 @@ class ShardStore:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def version(self) -> int:
-        """The newest committed version, 0 for a new store."""
+    def _file(self, version: int) -> str:
+        return f"{self.folder}/manifests/v{version:08d}.json"
+
+    def versions(self) -> list[int]:
+        """The committed versions whose manifests are there, in order."""
         at, fs = self._hadoop(f"{self.folder}/manifests")
         if not fs.exists(at):
-            return 0
+            return []
         names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return max([int(m[1]) for n in names if (m := re.fullmatch(r"v(\d+)\.json", n))], default=0)
+        return sorted(int(m[1]) for n in names if (m := re.fullmatch(r"v(\d+)\.json", n)))
 
-    def _manifest(self, version: int | None = None) -> dict:
-        version = self.version() if version is None else version
-        if not version:
-            return {"version": 0, "schema": None, "shards": []}
-        at, fs = self._hadoop(f"{self.folder}/manifests/v{version:08d}.json")
+    def version(self) -> int:
+        """The newest committed version, 0 for a new store."""
+        return max(self.versions(), default=0)
+
+    def _load(self, version: int) -> dict:
+        at, fs = self._hadoop(self._file(version))
         stream = fs.open(at)
         try:
             return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
+    def _manifest(self, version: int | None = None) -> dict:
+        """version, schema and shards of a version: the last snapshot up to it with the changes since."""
+        version = self.version() if version is None else version
+        if not version:
+            return {"version": 0, "schema": None, "shards": []}
+        changes, at = [], version
+        while "shards" not in (now := self._load(at)):
+            changes.append(now)
+            at -= 1
+        held = {s["path"]: s for s in now["shards"]}
+        for change in reversed(changes):
+            for path in change["removed"]:
+                del held[path]
+            held |= {s["path"]: s for s in change["added"]}
+        return {"version": version, "schema": (changes or [now])[0]["schema"], "shards": list(held.values())}
+
     def shards(self, version: int | None = None) -> list[Shard]:
         return [Shard(**x) for x in self._manifest(version)["shards"]]
 
-    def _commit(self, base: int, shards: list[Shard], schema: str) -> int:
-        """Version base + 1 with these shards; raises Conflict if it exists."""
-        text = json.dumps({"version": base + 1, "schema": schema, "shards": [asdict(s) for s in shards]})
+    def _commit(self, base: int, added: list[Shard], removed: list[str], schema: str) -> int:
+        """Version base + 1 with these changes; raises Conflict if it exists."""
+        body = {"version": base + 1, "schema": schema}
+        if base % SNAPSHOT == 0:
+            gone = set(removed)
+            body["shards"] = [asdict(s) for s in self.shards(base) if s.path not in gone] + [asdict(s) for s in added]
+        else:
+            body |= {"added": [asdict(s) for s in added], "removed": removed}
         draft, fs = self._hadoop(f"{self.folder}/manifests/.draft-{uuid.uuid4().hex}")
         stream = fs.create(draft, False)
-        stream.write(bytearray(text.encode()))
+        stream.write(bytearray(json.dumps(body).encode()))
         stream.close()
-        final = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifests/v{base + 1:08d}.json")
+        final = self._hadoop(self._file(base + 1))[0]
         context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), self.spark._jsc.hadoopConfiguration())
         none = self.spark.sparkContext._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
             context.rename(draft, final, none)  # without OVERWRITE: fails if the version exists
-        except Exception as e:
+        except Py4JJavaError as e:
             fs.delete(draft, False)
-            raise Conflict(f"version {base + 1} exists") from e
+            if fs.exists(final):
+                raise Conflict(f"version {base + 1} exists") from e
+            raise
         return base + 1
 
+    def _change(self, change: Callable[[dict], tuple[list[Shard], list[str], str] | None]) -> int:
+        """Commits what change makes of the newest manifest; again if another writer was first. The current version if it
+        makes nothing."""
+        while True:
+            now = self._manifest()
+            wanted = change(now)
+            if wanted is None:
+                return now["version"]
+            try:
+                return self._commit(now["version"], *wanted)
+            except Conflict:
+                continue
+
     # -- shards ---------------------------------------------------------------------------------------------------
 
     def _tier(self, size: int) -> int:
@@ -104,25 +154,44 @@ class ShardStore:
 
     def append(self, arrival: DataFrame) -> int:
         """Adds an arrival as small shards, in a new version."""
-        old = self._manifest()
-        schema = arrival.schema.json()
-        if old["schema"] is not None and T.StructType.fromJson(json.loads(old["schema"])).simpleString() != arrival.schema.simpleString():
-            raise ValueError("the arrival has other columns than the store")
-        return self._commit(old["version"], [Shard(**x) for x in old["shards"]] + self._save(arrival), schema)
+        return self.append_all(arrival, 1)
+
+    def append_all(self, rows: DataFrame, arrivals: int, compacting: bool = False) -> int:
+        """Adds rows in several arrivals: all are written by one job, and their shards committed group by group, each in a
+        version of its own, with a compaction after each if asked for."""
+        schema = rows.schema.json()
+
+        def same(now: dict) -> None:
+            if now["schema"] is not None and T.StructType.fromJson(json.loads(now["schema"])).simpleString() != rows.schema.simpleString():
+                raise ValueError("the arrival has other columns than the store")
+
+        same(self._manifest())
+        saved = self._save(rows)
+        version = 0
+        for i in range(max(1, min(arrivals, len(saved)))):
 
-    def plan(self, shards: list[Shard], whole: bool = False) -> list[list[Shard]]:
+            def add(now: dict, group: list[Shard] = saved[i::arrivals]):
+                same(now)
+                return group, [], schema
+
+            version = self._change(add)
+            if compacting:
+                version = self.compact()
+        return version
+
+    def plan(self, shards: list[Shard]) -> list[list[Shard]]:
         """Runs of similarly sized shards to merge, each of at most the target size.
 
         Tiers with `fanout` shards or more are packed; a run that doesn't reach the target is left for later arrivals
-        unless it joins `fanout` shards. With whole, all small shards are packed across tiers.
+        unless it joins `fanout` shards.
         """
         tiers: dict[int, list[Shard]] = {}
         for s in shards:
             if s.tier:
-                tiers.setdefault(0 if whole else s.tier, []).append(s)
+                tiers.setdefault(s.tier, []).append(s)
         runs = []
         for tier in sorted(tiers, reverse=True):
-            if len(tiers[tier]) < (2 if whole else self.fanout):
+            if len(tiers[tier]) < self.fanout:
                 continue
             run, held = [], 0
             for s in sorted(tiers[tier], key=lambda s: (s.bytes, s.path)):
@@ -131,16 +200,15 @@ class ShardStore:
                     run, held = [], 0
                 run.append(s)
                 held += s.bytes
-            if len(run) >= (2 if whole else self.fanout):
+            if len(run) >= self.fanout:
                 runs.append(run)
         return [r for r in runs if len(r) > 1]
 
-    def compact(self, whole: bool = False) -> int:
+    def compact(self) -> int:
         """Merges until no tier has a run to merge; one new version for each round. The current version if none."""
         while True:
             now = self._manifest()
-            shards = [Shard(**x) for x in now["shards"]]
-            runs = self.plan(shards, whole)
+            runs = self.plan([Shard(**x) for x in now["shards"]])
             if not runs:
                 return now["version"]
             schema = T.StructType.fromJson(json.loads(now["schema"]))
@@ -151,57 +219,73 @@ class ShardStore:
                     part = self.spark.read.schema(schema).parquet(*[s.path for s in run]).coalesce(1)
                     union = part if union is None else union.unionAll(part)
                 merged += self._save(union)
-            gone = {s.path for run in runs for s in run}
-            self._commit(now["version"], [s for s in shards if s.path not in gone] + merged, now["schema"])
+            gone = [s.path for run in runs for s in run]
+
+            void = False
+
+            def replace(newest: dict, merged: list[Shard] = merged, gone: list[str] = gone):
+                nonlocal void
+                # Another writer may have merged some of them: then these merges are void.
+                void = not set(gone) <= {x["path"] for x in newest["shards"]}
+                return None if void else (merged, gone, newest["schema"])
+
+            self._change(replace)
+            if void:
+                self._delete(s.path for s in merged)
 
     def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with shard (its file's name), shard_bytes and tier."""
+        """The rows of a version."""
+        return self.located(version).select("row.*")
+
+    def located(self, version: int | None = None) -> DataFrame:
+        """(row, shard, shard_bytes): the rows of a version, all columns in one, with the name and size of their file."""
         now = self._manifest(version)
         schema = T.StructType.fromJson(json.loads(now["schema"]))
         paths = [x["path"] for x in now["shards"]]
+        row = F.struct(*[F.col(f"`{n}`") for n in schema.fieldNames()]).alias("row")
         if not paths:
-            return self.spark.createDataFrame([], schema).withColumns({"shard": F.lit(""), "shard_bytes": F.lit(0).cast("long")})
-        read = self.spark.read.schema(schema).parquet(*paths)
-        return read.select(
-            *schema.fieldNames(),
-            F.concat_ws("/", F.element_at(F.split("_metadata.file_path", "/"), -2), "_metadata.file_name").alias("shard"),
-            F.col("_metadata.file_size").alias("shard_bytes"),
-        )
+            return self.spark.createDataFrame([], schema).select(row, F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_bytes"))
+        name = F.concat_ws("/", F.element_at(F.split("_metadata.file_path", "/"), -2), "_metadata.file_name")
+        return self.spark.read.schema(schema).parquet(*paths).select(row, name.alias("shard"), F.col("_metadata.file_size").alias("shard_bytes"))
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes what only versions before the newest `keep` name; the number of files deleted."""
-        newest = self.version()
-        first = max(1, newest - keep + 1)
-        held = {s.path for v in range(first, newest + 1) for s in self.shards(v)}
-        gone = {s.path for v in range(1, first) for s in (self.shards(v) if self._exists(v) else [])} - held
-        for path in gone:
+    def _delete(self, paths) -> None:
+        for path in paths:
             at, fs = self._hadoop(path)
             fs.delete(at, False)
-        for v in range(1, first):
-            at, fs = self._hadoop(f"{self.folder}/manifests/v{v:08d}.json")
-            fs.delete(at, False)
-        return len(gone)
 
-    def _exists(self, version: int) -> bool:
-        at, fs = self._hadoop(f"{self.folder}/manifests/v{version:08d}.json")
-        return fs.exists(at)
+    def vacuum(self, keep: int = 1) -> int:
+        """Deletes what only versions before the newest `keep` name; the number of shards deleted. Manifests stay from the
+        snapshot that the oldest version kept builds on."""
+        there = self.versions()
+        old, kept = there[:-keep], there[-keep:]
+        held = {s.path for v in kept for s in self.shards(v)}
+        gone = {s.path for v in old for s in self.shards(v)} - held
+        self._delete(gone)
+        base = kept[0] - (kept[0] - 1) % SNAPSHOT if kept else 0
+        # The newest first: a version that still stands has all it builds on.
+        self._delete(self._file(v) for v in reversed([v for v in old if v < base]))
+        return len(gone)
 
 
-def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES, folder: str | None = None) -> DataFrame:
-    """(doc_id, n_bytes, text_sha256, shard, shard_bytes) for each row of docs, read back from the newest version.
+def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES, folder: str | None = None, arrivals: int = ARRIVALS) -> DataFrame:
+    """(doc_id, n_bytes, text_sha256, shard, shard_bytes) for each row of docs, read back from the newest version of the
+    store in folder, to which docs come in several arrivals, with a compaction by tiers after each.
 
-    All columns of docs are stored. Nulls stay null (n_bytes and text_sha256 too); repeated rows are stored each; an
-    empty table makes a version without rows. Columns named shard or shard_bytes are stored under other names.
+    All columns of docs are stored under their own names, whatever these are. Nulls stay null (n_bytes and text_sha256
+    too); repeated rows are stored each; an empty table makes a version without rows. Without a folder the store is a
+    temporary one, deleted when the driver ends.
     """
     from ._common import new_path
 
-    for name in ("shard", "shard_bytes"):
-        if name in docs.columns:
-            docs = docs.withColumnRenamed(name, f"{name}_")
     store = ShardStore(docs.sparkSession, folder or new_path(docs.sparkSession, "shards"), target_bytes)
-    store.append(docs)
-    store.compact(whole=True)
+    store.append_all(docs, arrivals, compacting=True)
     store.vacuum()
-    rows = store.read()
-    text = F.col("text").cast("string")
-    return rows.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), "shard", "shard_bytes")
+    return locations(store)
+
+
+def locations(store: ShardStore) -> DataFrame:
+    """(doc_id, n_bytes, text_sha256, shard, shard_bytes) of the newest version of a store of documents."""
+    text = F.col("row.text").cast("string")
+    return store.located().select(
+        F.col("row.doc_id").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), "shard", "shard_bytes"
+    )
