@@ -1,4 +1,14 @@
-"""From documents to shards in five stages, each written as Parquet before the next one reads it."""
+"""From documents to shards in five stages, each written as Parquet before the next one reads it.
+
+A stage takes any documents (doc_id, text, lang, source and further columns, whatever their names) and keeps their columns;
+the last one says where each document went. Empty tables stay empty. Null texts go in quality_rules, which wants words;
+null languages and sources are values like others; of repeated rows near_dedup keeps the first id's, all of them if
+they are equal in id and text.
+
+The setting structlens.pipeline.output names a folder, shared by driver and executors, that keeps the product: stages
+go to folders of their own there, the shards to one with versioned manifests. A run that finds a stage complete there
+takes it as it is and goes on with the next one. Without the setting all of it is temporary.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +17,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from structlens.llm import decontaminate, minhash, mixing, quality, sharding
-from structlens.llm._common import stored
+from structlens.llm._common import exists, stored
 
+#: The setting that names the folder of the product.
+OUTPUT = "structlens.pipeline.output"
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -34,7 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The shard that holds each document, read back from the committed manifest."""
-    return sharding.shard(docs)
+    output = spark.conf.get(OUTPUT, None)
+    return sharding.shard(docs, folder=f"{output}/shards" if output else None)
 
 
 STAGES: list[tuple[str, Stage]] = [
@@ -50,7 +63,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Where each document of the product is: the rows of the last stage."""
+    docs, output = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(OUTPUT, None)
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        if output is None:
+            docs = stored(stage(spark, docs, sf_dir), name)
+            continue
+        path = f"{output}/{name}"
+        if not exists(spark, f"{path}/_SUCCESS"):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+    if output is not None and exists(spark, f"{output}/shards/manifests"):
+        return sharding.locations(sharding.ShardStore(spark, f"{output}/shards"))
     return STAGES[-1][1](spark, docs, sf_dir)
