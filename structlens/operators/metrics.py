@@ -28,19 +28,29 @@ def histogram(rows: DataFrame, value: Column | str, keys: tuple[str, ...] = KEYS
     return named.where("value is not null").groupBy(*keys, "value").agg(F.count("*").alias("count"))
 
 
+def _grid(modules: DataFrame, values: list[str]) -> DataFrame:
+    """A row with count 0 for each module, category and value."""
+    every = modules.select("module").distinct().withColumn("category", F.explode(F.array(*map(F.lit, CATEGORIES))))
+    return every.select(*KEYS, F.explode(F.array(*map(F.lit, values))).alias("value"), F.lit(0).cast("long").alias("count"))
+
+
 def totals(rows: DataFrame, modules: DataFrame, flags: dict[str, Column]) -> DataFrame:
     """A row for each flag, module and category, also at 0: how many rows have it."""
     counted = rows.groupBy(*KEYS).agg(*[F.count_if(c).alias(n) for n, c in flags.items()])
-    every = modules.select("module").distinct().withColumn("category", F.explode(F.array(*map(F.lit, CATEGORIES))))
-    full = every.join(counted, list(KEYS), "left")
-    pairs = F.map_from_arrays(F.array(*map(F.lit, flags)), F.array(*[F.coalesce(n, F.lit(0)) for n in flags]))
-    return full.select(*KEYS, F.explode(pairs).alias("value", "count"))
+    each = counted.select(*KEYS, F.inline(F.array(*[F.struct(F.lit(n).alias("value"), F.col(n).alias("count")) for n in flags])))
+    return each.unionByName(_grid(modules, list(flags))).groupBy(*KEYS, "value").agg(F.sum("count").alias("count"))
 
 
 def visibility(members: DataFrame, modules: DataFrame, with_total: bool = False) -> DataFrame:
-    """Members by visibility (UNKNOWN without one), and how many are static and final (and all, with_total)."""
+    """Members by visibility (UNKNOWN without one), and how many are static and final (and all, with_total).
+
+    Members are read and shuffled once: flags are counted beside the visibilities.
+    """
     flags = {"STATIC": F.col("is_static"), "FINAL": F.col("is_final")} | ({"TOTAL": F.lit(True)} if with_total else {})
-    return histogram(members, F.coalesce("visibility", F.lit("UNKNOWN"))).unionByName(totals(members, modules, flags))
+    counted = members.groupBy(*KEYS, F.coalesce("visibility", F.lit("UNKNOWN")).alias("value")).agg(F.count("*").alias("count"), *[F.count_if(c).alias(n) for n, c in flags.items()])
+    pairs = F.array(F.struct("value", "count"), *[F.struct(F.lit(n).alias("value"), F.col(n).alias("count")) for n in flags])
+    each = counted.select(*KEYS, F.inline(pairs))
+    return each.unionByName(_grid(modules, list(flags))).groupBy(*KEYS, "value").agg(F.sum("count").alias("count"))
 
 
 def field_method_ratio(classes: DataFrame) -> DataFrame:
