@@ -1,26 +1,33 @@
-"""Connected components and link building with DataFrame operations only."""
+"""Connected components."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bloom import blocks_for, bloom, probed
 from ._common import Stored
 
+#: Edges that one task contracts in memory.
+CHUNK = 1 << 20
+
 
 def components(edges: DataFrame) -> Stored:
     """(node, label): for each node of edges (a, b) the smallest node it reaches.
 
-    Union-find by alternating star operations: every node's larger neighbours move to its smallest neighbour, then its
-    smaller ones do, until every node but the roots points at one root. Each round is a few aggregations and joins over
-    the edges and is written out; rounds grow with the logarithm of the longest path, and no adjacency list is ever
-    gathered.
+    Tasks contract chunks of at most about CHUNK edges to forests whose nodes point at their roots. Where there are
+    several chunks, union-find goes on by alternating star operations: every node's larger neighbours move to its
+    smallest neighbour, then its smaller ones do, until every node but the roots points at one root. Each round is a few
+    aggregations and joins over the edges and is written out; rounds grow with the logarithm of the longest path, and no
+    adjacency list is ever gathered.
     """
-    now = Stored(_oriented(edges), "edges")
-    while not _is_forest(now.df):
+    first = Stored(_oriented(edges), "edges")
+    chunks = -(-max(1, first.df.count()) // CHUNK)
+    now = Stored(_contracted(first.df, chunks), "edges")
+    first.drop()
+    while chunks > 1 and not _is_forest(now.df):
         both = now.df.unionByName(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(least, both["a"] == least["k"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -36,6 +43,34 @@ def components(edges: DataFrame) -> Stored:
     return out
 
 
+def _contracted(edges: DataFrame, chunks: int) -> DataFrame:
+    """Forests with the components of each chunk of edges: every node points at the smallest one."""
+
+    def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+
+        def root(x):
+            top = x
+            while (above := up.get(top, top)) != top:
+                top = above
+            while (above := up.get(x, x)) != top and x != top:
+                up[x], x = top, above
+            return top
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                x, y = root(a), root(b)
+                if x != y:
+                    up[max(x, y)] = min(x, y)
+        if schema is not None:
+            pairs = [(x, root(x)) for x in list(up)]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], schema.field(n).type) for i, n in enumerate("ab")], ["a", "b"])
+
+    return edges.select("a", "b").repartition(chunks).mapInArrow(contract, edges.select("a", "b").schema)
+
+
 def _oriented(edges: DataFrame) -> DataFrame:
     """Distinct edges from the larger to the smaller node, without loops."""
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
@@ -47,51 +82,3 @@ def _is_forest(edges: DataFrame) -> bool:
     down, up = edges.select(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")), edges.select(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up"))
     ways = down.unionByName(up).groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up"))
     return ways.where("down > 1 or (down = 1 and up = 1)").isEmpty()
-
-
-def link(nodes: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, likely: Callable[[Column, Column], Column] | None = None) -> DataFrame:
-    """(node, label) components of the links among nodes (node, n, bands): n is the size of a set, bands its band keys.
-
-    confirm takes pairs (a, b) of nodes that share a band and returns those that are links. First the members of each
-    bucket are tested against the smallest of them: groups of copies cost a test or two a member. Then, in buckets whose
-    members aren't in one component, pairs across components are taken as far as their sizes allow a similarity of
-    percent and, given likely, as far as it holds for their sketches (nodes has a column sketch then): the join
-    evaluates that itself, so unlikely pairs never become rows. Nothing is dropped for its bucket's size.
-    """
-    every = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    shared = Stored(every.groupBy("bucket").count().where("count > 1").select("bucket"), "buckets")
-    blocks = blocks_for(shared.df.count())
-    maybe = probed(every, "bucket", bloom(shared.df, "bucket", blocks), blocks).where("__maybe").drop("__maybe")
-    members = Stored(maybe.join(shared.df, "bucket", "left_semi"), "members")
-    first = members.df.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("c")).select("bucket", F.col("c.node").alias("a"), F.col("c.n").alias("a_n"))
-    met = members.df.join(first, "bucket").where(F.col("node") != F.col("a")).where(_fits("n", "a_n", percent))
-    tested = Stored(met.select("a", F.col("node").alias("b")).distinct(), "tested")
-    edges = Stored(confirm(tested.df), "links")
-    labels = components(edges.df)
-    labelled = members.df.join(labels.df, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    spread = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    still = labelled.join(spread.select("bucket"), "bucket")
-    if likely is not None:
-        still = still.join(nodes.select("node", "sketch"), "node")
-    cut = Stored(still, "open")
-    fresh = Stored(_across(cut.df, percent, likely).join(tested.df, ["a", "b"], "left_anti"), "tested")
-    more = Stored(confirm(fresh.df), "links")
-    if not more.df.isEmpty():
-        labels.drop()
-        labels = components(edges.df.unionByName(more.df))
-    for x in (shared, members, tested, edges, cut, fresh, more):
-        x.drop()
-    return labels.df
-
-
-def _fits(n: str, other: str, percent: int) -> Column:
-    return F.least(n, other) * 100 >= F.greatest(n, other) * percent
-
-
-def _across(rows: DataFrame, percent: int, likely: Callable[[Column, Column], Column] | None) -> DataFrame:
-    """(a, b): pairs of a bucket that aren't in one component and whose sizes and sketches allow the similarity."""
-    other = rows.select(F.col("bucket"), *[F.col(c).alias(f"b_{c}") for c in rows.columns if c != "bucket"])
-    fits = (F.col("node") < F.col("b_node")) & (F.col("label") != F.col("b_label")) & _fits("n", "b_n", percent)
-    if likely is not None:
-        fits = fits & likely(F.col("sketch"), F.col("b_sketch"))
-    return rows.join(other, "bucket").where(fits).select(F.col("node").alias("a"), F.col("b_node").alias("b")).distinct()

@@ -76,9 +76,10 @@ def _stars(others: DataFrame, held: DataFrame, measure: Measure, screen) -> Data
     """(a, b): links of members with a, the smallest member of one of their buckets."""
     pairs = others.select("a", F.col("node").alias("b"), "bytes").distinct()
     tested = Stored(screen(pairs) if screen else pairs, "tested")
-    sized = tested.df.groupBy("a").agg(_parts().alias("parts"))
-    dealt = tested.df.join(sized, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    centres = sized.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    # Few centres have more members than a part takes.
+    large = tested.df.groupBy("a").agg(_parts().alias("parts")).where("parts > 1")
+    dealt = tested.df.join(large, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    centres = dealt.select("a", "part").distinct()
     goes = dealt.select("a", "part", F.lit(1).alias("side"), F.col("b").alias("node"))
     goes = goes.unionByName(centres.select("a", "part", F.lit(0).alias("side"), F.col("a").alias("node")))
     sent = goes.join(held, "node").select("a", "part", "side", "node", "data")
@@ -109,12 +110,12 @@ def _blocks(others: DataFrame, sketches: DataFrame | None, labels: DataFrame, he
     """
     labelled = others.drop("a").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     buckets = labelled.groupBy("bucket").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), _parts().alias("parts"),
+        F.min(F.xxhash64("label")).alias("low"), F.max(F.xxhash64("label")).alias("high"), _parts().alias("parts"),
         F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("n"),
     )
     # Of buckets with the same members one is enough.
-    several = buckets.where("low <> high").groupBy("x", "y", "n").agg(F.min(F.struct("bucket", "parts")).alias("at"))
-    still = Stored(labelled.join(several.select("at.bucket", "at.parts"), "bucket").select("node", "label", "bucket", "parts"), "open")
+    several = buckets.where("low <> high").groupBy("x", "y", "n").agg(F.min("bucket").alias("bucket"), F.max("parts").alias("parts"))
+    still = Stored(labelled.join(several.select("bucket", "parts"), "bucket").select("node", "label", "bucket", "parts"), "open")
     mine = still.df.groupBy("node").agg(F.sort_array(F.collect_list("bucket")).alias("mine"))  # at most one bucket a band
     facts = held.join(mine, "node")
     if sketches is not None:

@@ -1,78 +1,173 @@
 """Fuzzy line dedup by MinHash over character shingles.
 
 Equal lines are one node from the start. A line's shingles are the SHINGLE characters from each of its characters on,
-blanks included; a shorter line is one shingle. BANDS bands of ROWS minima propose candidates, the exact Jaccard similarity of the shingle sets
-confirms them, and distributed union-find makes components, of which the first occurrence stays. DataFrame operations
-only: the minima are ordinary aggregates over exploded shingles, grouped where the lines already are.
+blanks included; a shorter line is one shingle. Their hashes fall into BANDS * ROWS bins by one permutation, whose
+minima are the signature; an empty bin borrows from others in an order of its own. BANDS bands of ROWS minima propose
+candidates, the exact Jaccard similarity of the shingle sets confirms them, and distributed union-find makes components,
+of which the first occurrence stays. Signatures and comparisons run over Arrow batches, all else in SQL operators.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _hashing
 from ._bloom import blocks_for, bloom, probed
-from ._common import Stored
-from ._graph import link
+from ._common import Stored, packs
+from ._link import Measure, link
 
 SHINGLE, PERCENT = 9, 80
 #: A pair at exactly 0.8 shares no band with probability 2e-5, one at 0.9 with 1e-9.
 BANDS, ROWS = 16, 3
+BINS = BANDS * ROWS
 LAST = (1 << 63) - 1
-#: Looks ahead from each character; taking that one along keeps surrogate pairs whole.
-_EACH = r"(?s)(?=(.{%d}))." % SHINGLE
+#: Bytes of text whose lines are signed together.
+PACK_BYTES = 256 << 10
+_RANDOM = np.random.default_rng(12)
+#: Of each bin, the order in which it looks for another when empty; what tells borrowed values apart; a seed of each band.
+_ORDER = np.stack([_RANDOM.permutation(BINS) for _ in range(BINS)])
+_SALT = _RANDOM.integers(0, 1 << 32, size=BINS, dtype=np.uint64).astype(np.uint32)
+_SEED = _RANDOM.integers(0, 1 << 63, size=BANDS, dtype=np.uint64)
+_KIND = "doc_id long, mark long, pos int, node binary, bytes long, bands binary"
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _windows(codes: np.ndarray, size: int) -> np.ndarray:
+    """Polynomial hashes of the `size` numbers from each place on, taken as zero beyond the end."""
+    done, length, power, step = codes, 0, codes, 1
+    ahead = lambda x, n: np.concatenate((x[n:], np.zeros(min(n, len(x)), x.dtype)))
+    factor = np.array([_BASE]).astype(codes.dtype)
+    while True:
+        if size & step:
+            done = done * factor + ahead(power, length) if length else power
+            length += step
+            if length == size:
+                return done
+        power = power * factor + ahead(power, step)
+        factor, step = factor * factor, step * 2
+
+
+def _codes(lines: list[bytes]) -> tuple[np.ndarray, list[int]]:
+    """The code points of lines one after the other, each plus one, and where each line ends; lines hold no newline."""
+    codes = np.frombuffer(b"\n".join(lines).decode(errors="replace").encode("utf-32-le"), np.uint32) + np.uint32(1)
+    return codes, np.append(np.flatnonzero(codes == 11), len(codes)).tolist()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    x = (x ^ (x >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return x ^ (x >> np.uint32(16))
+
+
+def signatures(lines: list[bytes]) -> np.ndarray:
+    """A key of each band for each line."""
+    codes, ends = _codes(lines)
+    hashes = _mixed(_windows(codes, SHINGLE))
+    valid, counts, start = np.ones(len(codes), bool), np.ones(len(lines), np.int64), 0
+    for i, end in enumerate(ends):
+        if end - start >= SHINGLE:
+            hashes[start : end - SHINGLE + 1].sort()
+            valid[end - SHINGLE + 1 : end + 1] = False
+            counts[i] = end - SHINGLE + 1 - start
+        elif end > start:
+            hashes[start] = _mixed(_windows(codes[start:end], end - start)[:1])[0]
+            valid[start + 1 : end + 1] = False
+        else:  # an empty line has no shingle
+            valid[end : end + 1] = False
+            counts[i] = 0
+        start = end + 1
+    line, value = np.repeat(np.arange(len(lines)), counts), hashes[valid]
+    bins = (value.astype(np.uint64) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    first = np.ones(len(value), bool)
+    first[1:] = (bins[1:] != bins[:-1]) | (line[1:] != line[:-1])
+    least, full = np.zeros((len(lines), BINS), np.uint32), np.zeros((len(lines), BINS), bool)
+    least[line[first], bins[first]] = value[first]
+    full[line[first], bins[first]] = True
+    some = np.flatnonzero(~full.all(axis=1))
+    if len(some):
+        own, has = least[some], full[some]
+        for b in range(BINS):
+            empty = np.flatnonzero(~has[:, b])
+            lender = _ORDER[b][has[empty][:, _ORDER[b]].argmax(axis=1)]
+            least[some[empty], b] = _mixed(own[empty, lender] ^ _SALT[b])
+    keys = np.broadcast_to(_SEED, (len(lines), BANDS))
+    for r in range(ROWS):
+        keys = _hashing.join(keys, least[:, r * BANDS : (r + 1) * BANDS].astype(np.uint64))
+    return keys.view(np.int64)
+
+
+def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each line; lines hold no newline."""
+    codes, ends = _codes(lines)
+    codes = codes.astype(np.uint64)
+    hashes = _hashing.mix(_windows(codes, SHINGLE))
+    out, start = [], 0
+    for end in ends:
+        if end - start >= SHINGLE:
+            own = np.sort(hashes[start : end - SHINGLE + 1])
+            new = own[1:] != own[:-1]
+            out.append(own if new.all() else own[np.concatenate(([True], new))])
+        else:
+            out.append(_hashing.mix(_windows(codes[start:end], end - start)[:1] if end > start else np.zeros(1, np.uint64)))
+        start = end + 1
+    return out
+
+
+def _marked(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
 
 
-def shingles(line: Column) -> Column:
-    return F.when(F.length(line) <= SHINGLE, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(_EACH), F.lit(1)))
+def occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, pos, node, bytes, bands) of every line with a word, and for every row of docs one without node, with
+    pos -1 and the number of such lines in bytes.
 
+    node is the line's MD5. bands is null where a line was signed before in the same pack. Null ids come last.
+    """
 
-def occurrences(docs: DataFrame, with_line: bool = True) -> DataFrame:
-    """(node, doc_id, mark, pos, line): every line with a word; node is its MD5. Null ids come last."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    each = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    worded = each.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
-    return worded.select(F.unhex(F.md5("line")).alias("node"), "doc_id", "mark", "pos", *["line"] * with_line)
-
-
-def sketches(docs: DataFrame) -> DataFrame:
-    """(node, first, n, size, bands) of the distinct lines: first occurrence, number of occurrences, size of the shingle
-    set, band keys."""
-    distinct = occurrences(docs).groupBy("node").agg(F.min("line").alias("line"), F.min(F.struct("doc_id", "mark", "pos")).alias("first"), F.count("*").alias("n"))
-    # The size is taken before the explosion: beside it, it would be computed anew for each shingle.
-    sets = distinct.select("node", "first.*", "n", shingles(F.col("line")).alias("all")).withColumn("size", F.size(F.array_distinct("all")))
-    kept = ["doc_id", "mark", "pos", "n", "size"]
-    parts = sets.select("node", *kept, F.explode("all").alias("s"))
-    parts = parts.select("node", *kept, F.xxhash64("s").alias("h"), F.xxhash64("s", F.lit(1)).alias("g"))
-    # Each function shifts other bits of a second hash to the top: that orders the shingles anew.
-    value = lambda i: F.col("h").bitwiseXOR(F.call_function("shiftleft", F.col("g"), F.lit(i)))
-    minima = parts.groupBy("node").agg(*[F.max(c).alias(c) for c in kept], *[F.min(value(i)).alias(f"m{i}") for i in range(BANDS * ROWS)])
-    keys = [F.xxhash64(F.lit(b), *[f"m{b * ROWS + r}" for r in range(ROWS)]) for b in range(BANDS)]
-    return minima.select("node", F.struct("doc_id", "mark", "pos").alias("first"), "n", "size", F.array(*keys).alias("bands"))
-
-
-def keepers(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(node, first): for each line that repeats or is similar to others, the occurrence that stays for it."""
-    lines = Stored(sketches(docs), "lines").df
-
-    def confirm(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def run(batches):
+        for rows in packs(batches, PACK_BYTES, "text", "doc_id", "mark"):
+            seen: set[bytes] = set()
+            lines, found = [], []
+            for text, doc_id, mark in rows:
+                held = len(found)
+                for pos, line in enumerate(text.split(b"\n")):
+                    if line.strip(b" \t\x0b\x0c\r"):
+                        node = hashlib.md5(line).digest()
+                        new = node not in seen
+                        if new:
+                            seen.add(node)
+                            lines.append(line)
+                        found.append((doc_id, mark, pos, node, len(line), len(lines) - 1 if new else -1))
+                found.append((doc_id, mark, -1, None, len(found) - held, -1))
+            keys, size = signatures(lines).tobytes() if lines else b"", 8 * BANDS
+            bands = pa.array([keys[x[5] * size : (x[5] + 1) * size] if x[5] >= 0 else None for x in found], pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)), bands], ["doc_id", "mark", "pos", "node", "bytes", "bands"])
+
+    plain = _marked(docs)
+    return plain.select(F.col("text").cast("binary").alias("text"), "doc_id", "mark").mapInArrow(run, _KIND)
+
+
+def groups(docs: DataFrame, seen: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, label): for each line of seen, the occurrences of docs, that repeats or is similar to others, the smallest node
+    of its component."""
+
+    def texts(wanted: DataFrame) -> DataFrame:
         blocks = blocks_for(wanted.count())
-        some = probed(occurrences(docs).select("node", "line"), "node", bloom(wanted, "node", blocks), blocks).where("__maybe")
-        texts = some.groupBy("node").agg(F.min("line").alias("line"))
-        texts = Stored(texts.join(lines.select("node", "size"), "node").join(wanted, "node", "left_semi"), "texts").df
-        a, b = (texts.select(F.col("node").alias(x), F.col("line").alias(f"{x}_line"), F.col("size").alias(f"{x}_size")) for x in "ab")
-        both = pairs.join(a, "a").join(b, "b")
-        # Lines travel, not their sets, which are far larger.
-        met = F.size(F.array_intersect(shingles(F.col("a_line")), shingles(F.col("b_line"))))
-        fits = F.least("a_size", "b_size") * 100 >= F.greatest("a_size", "b_size") * percent
-        return both.where(fits).where(met * (100 + percent) >= (F.col("a_size") + F.col("b_size")) * percent).select("a", "b")
-
-    labels = link(lines.select("node", "size", "bands").withColumnRenamed("size", "n"), confirm, percent)
-    placed = lines.select("node", "first", "n").join(labels, "node", "left").where("n > 1 or label is not null")
-    named = placed.select("node", "first", F.coalesce("label", "node").alias("label"))
-    heads = named.groupBy("label").agg(F.min("first").alias("kept"))
-    return Stored(named.join(heads, "label").select("node", F.col("kept").alias("first")), "keepers").df
+        lines = _marked(docs).select(F.explode(F.split("text", "\n")).alias("line")).select(F.unhex(F.md5("line")).alias("node"), "line")
+        some = probed(lines, "node", bloom(wanted, "node", blocks), blocks).where("__maybe").drop("__maybe").join(wanted, "node", "left_semi")
+        return some.groupBy("node").agg(F.min("line").cast("binary").alias("data"))
+
+    labels = link(seen.where("bands is not null").select("node", "bytes", "bands"), BANDS, texts, Measure(shingle_sets, percent))
+    repeated = seen.where("node is not null").groupBy("node").count().where("count > 1").select("node")
+    return repeated.join(labels, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def decisions(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -80,15 +175,16 @@ def decisions(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Lines are what stands between newlines; lines without a word always stay and don't count in n_lines. Of each
     component the occurrence with the smallest (doc_id, text hash, position) stays. Null texts have no lines; null ids
-    come last; rows equal in id and text are one document and treated alike. No rows give no rows.
+    come last; rows equal in id and text are one document and treated alike. No rows give no rows. Other columns are
+    ignored.
     """
-    stays = keepers(docs, percent)
-    each = occurrences(docs, with_line=False)
-    gone = each.join(stays, "node").where(F.struct("doc_id", "mark", "pos") != F.col("first")).select("doc_id", "mark", "pos").distinct()
+    seen = Stored(occurrences(docs), "lines").df
+    each = seen.where("node is not null").select("node", "doc_id", "mark", "pos")
+    grouped = Stored(each.join(groups(docs, seen, percent), "node").select("label", "doc_id", "mark", "pos"), "grouped").df
+    kept = grouped.groupBy("label").agg(F.min(F.struct("doc_id", "mark", "pos")).alias("kept"))
+    gone = grouped.join(kept, "label").where(F.struct("doc_id", "mark", "pos") != F.col("kept")).select("doc_id", "mark", "pos").distinct()
     by_doc = gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    n = F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("mark"), n.cast("long").alias("n_lines"))
+    rows = seen.where("node is null").select("doc_id", "mark", F.col("bytes").alias("n_lines"))
     out = rows.join(by_doc, ["doc_id", "mark"], "left")
     return out.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "mark", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 

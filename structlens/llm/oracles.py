@@ -49,10 +49,10 @@ SQL = {"op3_url_filter": OP3, "op9_warc": OP9}
 
 _SIZE = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
 OP2 = f"""
-WITH d AS (SELECT doc_id, source, CAST({_SIZE} AS BIGINT) AS size, length(text) AS chars FROM documents),
+WITH d AS (SELECT doc_id, source, CAST({_SIZE} AS BIGINT) AS size, length(text) AS chars, length(regexp_replace(text, '[\\p{{L}}\\s]+', '', 'g')) AS odd FROM documents),
+q AS (SELECT *, greatest(0.05::DOUBLE, CASE WHEN size > 0 THEN pow(1 - odd / chars, 2) / (1 + 4 * pow(ln(chars / size / 6), 2)) ELSE 0 END) AS quality FROM d),
 k AS (SELECT *, -ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || '0'), 1, 13) AS BIGINT) + 0.5)
-             / 4503599627370496.0)
-        / CASE WHEN size > 0 AND chars / size >= 3.5 AND chars / size <= 12 THEN 1.0 ELSE 0.25 END AS key FROM d),
+             / 4503599627370496.0) / quality AS key FROM q),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 3 * source_size AS cap,
         list_extract([5, 2, 1], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)) AS w FROM s),
@@ -125,9 +125,7 @@ OP10 = r"""
 WITH RECURSIVE o AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 w AS (SELECT * FROM o WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 d AS (SELECT row_number() OVER (ORDER BY line) AS node, line FROM (SELECT DISTINCT line FROM w)),
-words AS (SELECT node, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws, regexp_split_to_array(line, '[^\x20\x09-\x0D]+') AS gaps FROM d),
-starts AS (SELECT node, line, unnest(range(1, len(ws) + 1)) AS i, ws, gaps FROM words),
-sh AS (SELECT DISTINCT node, substr(line, CAST(1 + list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ws[1:i - 1], lambda x: length(x))), 0) AS BIGINT), 9) AS s FROM starts),
+sh AS (SELECT DISTINCT node, substr(line, i, 9) AS s FROM (SELECT node, line, unnest(range(1, greatest(length(line) - 8, 1) + 1)) AS i FROM d)),
 n AS (SELECT node, count(*) AS n FROM sh GROUP BY 1),
 c AS (SELECT a.node AS a, b.node AS b, count(*) AS met FROM sh a JOIN sh b ON a.s = b.s AND a.node < b.node GROUP BY ALL),
 links AS (SELECT a, b FROM c JOIN n x ON x.node = a JOIN n y ON y.node = b WHERE 100 * met >= 80 * (x.n + y.n - met)),
@@ -141,3 +139,48 @@ SELECT doc.doc_id, CAST(count(nth.pos) AS BIGINT) AS n_lines, CAST(count(nth.pos
 FROM documents doc LEFT JOIN nth USING (doc_id) GROUP BY doc.doc_id
 """
 SQL["op10_line_dedup"] = OP10
+
+_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_TOKEN = "[A-Za-z0-9+/_=-]{20,}"
+_KINDS = ((_ASSIGN, 1, "length(inn) >= 6"), ("AKIA[A-Z0-9]+", 0, "length(hit) >= 20"), ("[0-9a-f]{24,}", 0, "true"), (_TOKEN, 0, "true"))
+_PIECES = " UNION ALL ".join(
+    f"SELECT row, {i} AS kind, string_split_regex(text, '{p}') AS gaps, regexp_extract_all(text, '{p}', 0) AS hits, regexp_extract_all(text, '{p}', {g}) AS inners FROM d WHERE regexp_matches(text, '{p}')"
+    for i, (p, g, _) in enumerate(_KINDS)
+)
+_KEPT = " OR ".join(f"kind = {i} AND {c}" for i, (_, _, c) in enumerate(_KINDS))
+OP6 = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+p AS ({_PIECES}),
+m AS (SELECT row, kind, unnest(range(1, len(hits) + 1)) AS pos, unnest(hits) AS hit, unnest(inners) AS inn, unnest(gaps[1:len(hits)]) AS gap FROM p),
+placed AS (SELECT *, CAST(sum(length(gap) + length(hit)) OVER (PARTITION BY row, kind ORDER BY pos) AS BIGINT) AS e FROM m),
+spans AS (SELECT row, kind, e - length(hit) AS s, e, hit FROM placed WHERE {_KEPT}),
+base AS (SELECT row, kind, s, e FROM spans WHERE kind < 3),
+t AS (SELECT row_number() OVER () AS id, row, s, e, hit, CAST(length(hit) AS DOUBLE) AS n, CAST(floor(log2(length(hit))) AS INT) AS band,
+        CASE WHEN regexp_full_match(hit, '[0-9]+') THEN 1 WHEN regexp_full_match(hit, '[0-9a-f]+|[0-9A-F]+') THEN 2 WHEN regexp_full_match(hit, '[A-Z2-7]+=*|[a-z0-9]+') THEN 3 ELSE 4 END AS enc
+      FROM spans WHERE kind = 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.row = spans.row AND b.s < spans.e AND spans.s < b.e)),
+c AS (SELECT id, i, CAST(ascii(ch) AS DOUBLE) AS x FROM (SELECT id, unnest(range(1, length(hit) + 1)) AS i, unnest(string_split(hit, '')) AS ch FROM t)),
+pairs AS (SELECT id, CAST(sum(k * (k - 1)) AS DOUBLE) AS pairs FROM (SELECT id, x, count(*) AS k FROM c GROUP BY ALL) GROUP BY id),
+sums AS (SELECT id, sum(x) AS s1, sum(x * x) AS q, coalesce(sum(x * nx), 0) AS cr, arg_min(x, i) AS first, arg_max(x, i) AS last FROM (SELECT *, lead(x) OVER (PARTITION BY id ORDER BY i) AS nx FROM c) GROUP BY id),
+v AS (SELECT t.*, pairs, [0.2, 0.12, 0.06, 0.05][enc]::DOUBLE AS s2, [0.05, 0.02, 0.0042, 0.003][enc]::DOUBLE AS s3, s1, q, cr, first, last, s1 / n AS mean,
+        CAST(greatest(length(regexp_replace(hit, '[+/_=-]+', '', 'g')) - 1, 1) AS DOUBLE) AS m,
+        CAST(greatest(length(regexp_replace(regexp_replace(hit, '[+/_=-]+', '', 'g'), '[0-9]+|[A-Z]+|[a-z]+', 'x', 'g')) - 1, 0) AS DOUBLE) AS changes
+      FROM t JOIN pairs USING (id) JOIN sums USING (id)),
+z AS (SELECT *, (n * (n - 1) * s2 - pairs) / sqrt(2 * n * (n - 1) * (s2 + 2 * (n - 2) * s3 - (2 * n - 3) * s2 * s2)) AS uniform,
+        CASE WHEN enc > 1 THEN (changes - m * 0.27::DOUBLE) / sqrt(m * (0.27::DOUBLE * (1 - 0.27::DOUBLE))) ELSE 0 END AS runs,
+        CASE WHEN q - n * mean * mean > 0.5 THEN (-abs((cr - mean * (2 * s1 - first - last) + (n - 1) * mean * mean) / (q - n * mean * mean)) + 0.1::DOUBLE) * sqrt(n) ELSE -sqrt(n) END AS serial FROM v),
+y AS (SELECT *, (uniform + runs + serial) / sqrt(CASE WHEN enc > 1 THEN 3.0::DOUBLE ELSE 2.0::DOUBLE END) AS zz FROM z),
+tested AS (SELECT *, CAST(least(400, floor(10 * CASE WHEN zz > 0 THEN (zz * zz / 2 - ln(4 / sqrt(2 * pi()) / (3 * zz + sqrt(zz * zz + 8)))) / ln(10) ELSE 0 END)) AS INT) AS bin FROM y),
+ranked AS (SELECT band, bin, sum(count(*)) OVER (PARTITION BY band ORDER BY bin DESC) AS rank, sum(count(*)) OVER (PARTITION BY band) AS total FROM tested GROUP BY band, bin),
+cuts AS (SELECT band, min(bin) AS cut FROM ranked WHERE pow(10, -bin / 10) <= 0.001 * rank / total GROUP BY band),
+found AS (SELECT row, kind, s, e FROM base UNION ALL SELECT row, 3, s, e FROM tested JOIN cuts USING (band) WHERE bin >= cut),
+named AS (SELECT *, ['assign', 'access', 'hex', 'random'][kind + 1] || ':' || s || ':' || e AS span FROM found),
+agg AS (SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+          string_agg(span, ',' ORDER BY s, kind) FILTER (kind < 3) AS base, string_agg(span, ',' ORDER BY s, kind) AS spans FROM named GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN agg USING (row)
+"""
+SQL["op6_secrets"] = OP6
+
+SQL["op4_sharding"] = """
+SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, true AS in_target FROM documents
+"""
