@@ -2,23 +2,35 @@
 
 Every benchmark item is cut into windows of its words. A window is a set of shingles with offsets; shingles are
 ordered by rarity, which is their count over all documents, and the window is indexed under its necessary prefix: of
-|S| shingles that all must occur (exact containment), the single rarest. A document position holding that shingle
-proposes one start by the shingle's offset (positional bound); starts before the document or ending past it are
-dropped (length bound), and the remaining are verified word by word.
+|S| shingles that all must occur (exact containment), the single rarest. Documents are read twice, whatever the size of
+the benchmark: first the shingles that items have are counted, then every position that holds a prefix shingle proposes
+starts by the shingle's offsets in a join of positions with windows (positional bound). Starts before the document or
+ending past it are dropped (length bound), and the remaining windows are verified word by word.
+
+Both passes let only those positions go that a Bloom filter of bounded size may hold; fuller filters pass more, never
+less, and the joins are exact. Neither windows nor positions are ever gathered in the driver or in one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from . import _hashing
+from ._common import Stored, packs, small
 
 #: Words of a window, and of a shingle in it.
 WINDOW, SHINGLE = 13, 5
-#: Most words of benchmark windows that one pass over the documents holds in a task; more take further passes.
-BLOCK_WORDS = 2_000_000
+LAST = (1 << 63) - 1
+PACK_BYTES = 1 << 20
+#: Blocks of 64 bits of a filter at most.
+MOST_BLOCKS = 1 << 20
+#: Contaminated documents that a broadcast takes; more are taken out by a shuffled join.
+MOST_BROADCAST = 500_000
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 #: A-Z to a-z; all other ASCII but a-z and 0-9 to a blank; bytes of other characters stay.
 TABLE = bytes(
@@ -26,283 +38,196 @@ TABLE = bytes(
 )
 
 
-def words(text: str | bytes | None) -> list[bytes]:
-    """The words of a text: runs of ASCII letters, lower-cased, digits and all characters beyond ASCII."""
-    if text is None:
-        return []
-    return (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).translate(TABLE).split()
-
-
-class Index:
-    """Windows of benchmark items by their rarest shingle. Word numbers start at 1; 0 is a word of no item."""
-
-    def __init__(self, items: list[tuple[object, str | None]], window: int, shingle: int):
-        self.vocabulary: dict[bytes, int] = {}
-        by_window: dict[tuple[int, ...], set] = {}
-        number = self.vocabulary.setdefault
-        for item, text in items:
-            ids = [number(w, len(self.vocabulary) + 1) for w in words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                by_window.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.windows = sorted(by_window)
-        self.items = [sorted((str(x) for x in by_window[w] if x is not None)) for w in self.windows]
-        self.shingle = shingle
-        self.codes: np.ndarray | None = None
-
-    def of(self, n: int) -> int:
-        """Words of a shingle in a window of n words."""
-        return min(self.shingle, n)
-
-    def shingles(self) -> dict[int, list[np.ndarray]]:
-        """By shingle size: of each window of that size, the codes of its shingles."""
-        out: dict[int, list[np.ndarray]] = {}
-        for w in self.windows:
-            k = self.of(len(w))
-            out.setdefault(k, []).append(codes(np.array(w, np.int64), k))
-        return out
-
-
-def codes(ids: np.ndarray, k: int) -> np.ndarray:
-    """A number for each run of k word numbers; -1 where one of them is 0. Equal runs have equal codes."""
-    n = len(ids) - k + 1
-    if n <= 0:
-        return np.empty(0, np.int64)
-    with np.errstate(over="ignore"):
-        out, known = np.zeros(n, np.uint64), np.ones(n, bool)
-        for j in range(k):
-            part = ids[j : j + n]
-            out = (out ^ part.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-            known &= part > 0
-    return np.where(known, (out >> np.uint64(1)).astype(np.int64), -1)
-
-
-def _numbered(text: bytes | None, vocabulary: dict[bytes, int]) -> np.ndarray:
-    get = vocabulary.get
-    return np.array([get(w, 0) for w in words(text)], np.int64)
-
-
-def _texts(batches):
-    """(row's other columns as a batch, its texts as bytes)."""
-    import pyarrow as pa
-
-    for batch in batches:
-        yield batch, batch.column("text").cast(pa.binary()).to_pylist()
-
-
-def count_shingles(docs: DataFrame, index: Index) -> dict[int, dict[int, int]]:
-    """Occurrences over all documents of the shingles of the index: rarity. At most one row for each shingle returns."""
-    sorted_codes = {k: np.unique(np.concatenate(v)) for k, v in index.shingles().items()}
-    shared = docs.sparkSession.sparkContext.broadcast((index.vocabulary, sorted_codes))
-
-    def run(batches):
-        import pyarrow as pa
-
-        vocabulary, known = shared.value
-        totals = {k: np.zeros(len(v), np.int64) for k, v in known.items()}
-        for _, texts in _texts(batches):
-            for text in texts:
-                ids = _numbered(text, vocabulary)
-                for k, v in known.items():
-                    got = codes(ids, k)
-                    got = got[got >= 0]
-                    at = np.searchsorted(v, got)
-                    at = at[(at < len(v)) & (v[np.minimum(at, len(v) - 1)] == got)]
-                    totals[k] += np.bincount(at, minlength=len(v))
-        for k, v in known.items():
-            some = totals[k] > 0
-            yield pa.RecordBatch.from_pydict({"k": pa.array([k] * int(some.sum()), pa.int32()), "code": v[some], "n": totals[k][some]})
-
-    rows = docs.select("text").mapInArrow(run, "k int, code long, n long").groupBy("k", "code").agg({"n": "sum"}).collect()
-    out: dict[int, dict[int, int]] = {k: {} for k in sorted_codes}
-    for k, code, n in rows:
-        out[k][code] = n
+def codes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Numbers of all runs of `size` words, also those across texts; other sizes have other numbers."""
+    return _hashing.mix(_hashing.rolling(hashes, size) + np.uint64(size))
+
+
+# -- filters ------------------------------------------------------------------------------------------------------
+
+
+def _bits(keys: np.ndarray) -> np.ndarray:
+    """Four of the 64 bits of a block."""
+    mixed, out = _hashing.mix(keys + np.uint64(17)), np.zeros(len(keys), np.uint64)
+    for i in range(4):
+        out |= np.uint64(1) << (mixed >> np.uint64(6 * i)) % np.uint64(64)
     return out
 
 
-def prefixes(index: Index, rarity: dict[int, dict[int, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """By shingle size: sorted codes, and of each its window and its offset there."""
-    found: dict[int, list[tuple[int, int, int]]] = {}
-    for number, w in enumerate(index.windows):
-        k = index.of(len(w))
-        got = codes(np.array(w, np.int64), k)
-        _, code, offset = min((rarity[k].get(int(c), 0), int(c), i) for i, c in enumerate(got))
-        if rarity[k].get(code, 0):  # a shingle that no document has: nor has any the window
-            found.setdefault(k, []).append((code, number, offset))
-    return {k: tuple(np.array(x, np.int64) for x in zip(*sorted(v), strict=True)) for k, v in found.items()}
-
-
-def hits(ids: np.ndarray, index, windows: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
-    """Of a document's word numbers: which words are hit, and the numbers of the occurring windows."""
-    hit, found = np.zeros(len(ids) + 1, np.int64), set()
-    for k, (keys, numbers, offsets) in index.items():
-        got = codes(ids, k)
-        at = np.flatnonzero(got >= 0)
-        if not len(at):
-            continue
-        low = np.searchsorted(keys, got[at], "left")
-        high = np.searchsorted(keys, got[at], "right")
-        for p, a, b in zip(at[high > low], low[high > low], high[high > low], strict=True):
-            for i in range(a, b):
-                window, start = windows[numbers[i]], p - offsets[i]
-                if start >= 0 and start + len(window) <= len(ids) and np.array_equal(ids[start : start + len(window)], window):
-                    hit[start] += 1
-                    hit[start + len(window)] -= 1
-                    found.add(int(numbers[i]))
-    return np.cumsum(hit[:-1]) > 0, sorted(found)
-
-
-def _pass(docs: DataFrame, index: Index) -> DataFrame:
-    """Each row of docs with n_words, its hit words as runs, and the occurring items."""
-    known = prefixes(index, count_shingles(docs, index))
-    windows = [np.array(w, np.int64) for w in index.windows]
-    shared = docs.sparkSession.sparkContext.broadcast((index.vocabulary, known, windows, index.items))
-
-    def run(batches):
-        import pyarrow as pa
-
-        vocabulary, keyed, all_windows, items = shared.value
-        for batch, texts in _texts(batches):
-            n_words, runs, names = [], [], []
-            for text in texts:
-                ids = _numbered(text, vocabulary)
-                hit, found = hits(ids, keyed, all_windows)
-                edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-                n_words.append(len(ids))
-                runs.append(edges.tolist())
-                names.append(sorted({x for i in found for x in items[i]}))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("__row"), batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))],
-                ["__row", "doc_id", "n_words", "hit_runs", "items"],
-            )
-
-    kinds = "__row long, doc_id long, n_words long, hit_runs array<long>, items array<string>"
-    return docs.select("__row", "doc_id", "text").mapInArrow(run, kinds)
-
-
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> Iterator[list[tuple[object, str | None]]]:
-    """The items in blocks of at most so many words of windows (an item with more is a block of its own), one at a time."""
-    block: list[tuple[object, str | None]] = []
-    held = 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        n = len(words(row[1])) * WINDOW
-        if held and held + n > most:
-            yield block
-            block, held = [], 0
-        block.append((row[0], row[1]))
-        held += n
-    yield block
-
-
-def _passes(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int, block_words: int) -> tuple[DataFrame, DataFrame]:
-    """(docs with __row, their _pass): one pass, or, for a benchmark of several blocks, one over a numbered copy for each
-    block, written out and merged by row."""
-    from pyspark.sql import functions as F
-
-    parts = blocks(benchmark, block_words)
-    first, second = next(parts), next(parts, None)
-    if second is None:
-        rows = docs.withColumn("__row", F.lit(0).cast("long"))
-        return rows, _pass(_plain(rows), Index(first, window, shingle))
-    from ._common import Stored
-
-    rows = Stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered").df
-    out = None
-    for part in chain((first, second), parts):
-        got = Stored(_pass(_plain(rows), Index(part, window, shingle)), "hits").df
-        out = got if out is None else out.unionByName(got)
-    merged = out.groupBy("__row", "doc_id").agg(
-        F.first("n_words").alias("n_words"),
-        F.flatten(F.collect_list("hit_runs")).alias("hit_runs"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-    )
-    return rows, merged
+def _filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A blocked Bloom filter of a column of numbers: at least four keys a block, at most MOST_BLOCKS blocks."""
+    blocks, n = min(1 << 10, MOST_BLOCKS), keys.count()
+    while blocks < MOST_BLOCKS and blocks * 4 < n:
+        blocks *= 2
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = np.zeros(blocks, np.uint64)
+        for batch in batches:
+            own = batch.column(0).to_numpy().view(np.uint64)
+            np.bitwise_or.at(filled, own % np.uint64(blocks), _bits(own))
+        at = np.flatnonzero(filled)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(filled[at].view(np.int64))], ["block", "bits"])
 
-def _plain(rows: DataFrame) -> DataFrame:
-    from pyspark.sql import functions as F
+    parts = keys.select(F.col(column).cast("long")).mapInArrow(run, "block long, bits long").groupBy("block").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(blocks, np.uint64)
+    out[parts["block"].to_numpy()] = parts["bits"].to_numpy().view(np.uint64)
+    return out
 
-    return rows.select("__row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
+def _may_hold(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bits = _bits(keys)
+    return filled[keys % np.uint64(len(filled))] & bits == bits
+
+
+# -- windows ------------------------------------------------------------------------------------------------------
+
+
+def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
+    """(words, n, k, codes, items): the distinct windows of benchmark (item_id, text), their words joined by blanks; the codes
+    of their shingles of k words in order, and the items that have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in packs(batches, PACK_BYTES, "text", "item"):
+            out = []
+            for text, item in rows:
+                held = text.translate(TABLE).split()
+                if not held:
+                    continue
+                n = min(window, len(held))
+                k = min(shingle, n)
+                runs = codes(_hashing.words([b" ".join(held)])[1][0], k).view(np.int64)
+                for i in range(len(held) - n + 1):
+                    out.append((b" ".join(held[i : i + n]), n, k, runs[i : i + n - k + 1], item))
+            kinds = (pa.binary(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["words", "n", "k", "codes", "item"])
+
+    plain = benchmark.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.col("item_id").cast("string").alias("item"))
+    each = plain.mapInArrow(run, "words binary, n int, k int, codes array<long>, item string")
+    return each.groupBy("words").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.first("codes").alias("codes"), F.collect_set("item").alias("items"))
+
+
+def _runs(texts: list[bytes], sizes: list[int]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """(where each text's words begin, with the end of the last; by shingle size the places and codes of its runs)."""
+    starts, (h,) = _hashing.words([t.translate(TABLE) for t in texts])
+    left = np.repeat(starts[1:], np.diff(starts)) - np.arange(starts[-1])
+    out = {}
+    for k in sizes:
+        at = np.flatnonzero(left >= k)
+        out[k] = at, codes(h, k)[at] if len(at) else np.empty(0, np.uint64)
+    return starts, out
+
+
+def _rarity(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame:
+    """(code, count): how often the shingles (code) occur in all of docs, and some others that the filter lets pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(shingles, "code"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in packs(batches, PACK_BYTES, "text"):
+            _, found = _runs([r[0] for r in rows], sizes)
+            every = np.concatenate([c[_may_hold(shared.value, c)] for _, c in found.values()] or [np.empty(0, np.uint64)])
+            code, n = np.unique(every, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n, pa.int64())], ["code", "n"])
+
+    return docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("count"))
+
+
+def _prefixes(found: DataFrame, docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """(code, offset, words, n, items): every window under its rarest shingle; windows with one that no document has are left
+    out, as no document has them."""
+    each = found.select("words", F.posexplode("codes").alias("offset", "code"))
+    counted = each.join(_rarity(docs, found.select(F.explode("codes").alias("code")).distinct(), sizes), "code", "left")
+    rarest = counted.groupBy("words").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "code", "offset")).alias("r")).where("r.count > 0")
+    return found.select("words", "n", "items").join(rarest, "words").select("r.code", "r.offset", "words", "n", "items")
+
+
+def _positions(docs: DataFrame, prefixes: DataFrame, sizes: list[int], reach: int) -> DataFrame:
+    """(doc_id, mark, n_words, pos, code, around, at): for every row of docs one without pos, and one for every position that may
+    hold a prefix shingle, with the words around it, of which it begins at the at-th."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(prefixes, "code"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in packs(batches, PACK_BYTES, "text", "doc_id", "mark"):
+            starts, found = _runs([r[0] for r in rows], sizes)
+            out = [(doc_id, mark, int(n), None, None, None, None) for (_, doc_id, mark), n in zip(rows, np.diff(starts), strict=True)]
+            places = [(at[hit], c[hit]) for at, c in found.values() for hit in (_may_hold(shared.value, c),)]
+            at, code = (np.concatenate([p[i] for p in places] or [np.empty(0, np.int64)]) for i in (0, 1))
+            order = np.argsort(at, kind="stable")
+            held, words = -1, []
+            for p, c, d in zip(at[order].tolist(), code[order].astype(np.uint64).view(np.int64).tolist(), (np.searchsorted(starts, at[order], "right") - 1).tolist(), strict=True):
+                if d != held:
+                    held, words = d, rows[d][0].translate(TABLE).split()
+                p -= int(starts[d])
+                first = max(0, p - reach)
+                out.append((rows[d][1], rows[d][2], None, p, c, b" ".join(words[first : p + reach + 1]), p - first))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["doc_id", "mark", "n_words", "pos", "code", "around", "at"])
+
+    return docs.mapInArrow(run, "doc_id long, mark long, n_words long, pos long, code long, around binary, at int")
+
+
+def _plain(docs: DataFrame) -> DataFrame:
+    """(text, doc_id, mark): bytes, the id with null as the last one, and a hash of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(text.cast("binary").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.xxhash64(text).alias("mark"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(doc_id, mark, n_words, n_hit, items) for each row of docs."""
+    plain = _plain(docs)
+    every = Stored(windows(benchmark, window, shingle), "windows").df
+    sizes = sorted(r[0] for r in every.select("k").distinct().collect())  # at most `shingle` numbers
+    prefixes = Stored(_prefixes(every, plain, sizes), "prefixes").df
+    seen = Stored(_positions(plain, prefixes, sizes, window - 1), "positions").df
+    rows = seen.where("pos is null").select("doc_id", "mark", "n_words")
+    met = seen.where("pos is not null").join(prefixes, "code").withColumn("start", F.col("at") - F.col("offset"))
+    # Of the words around the position, those that the window would take.
+    taken = F.array_join(F.slice(F.split(F.col("around").cast("string"), " "), F.greatest(F.lit(1), F.col("start") + 1), F.col("n")), " ")
+    hits = met.where((F.col("start") >= 0) & (taken.cast("binary") == F.col("words")))
+    hits = hits.select("doc_id", "mark", (F.col("pos") - F.col("offset")).alias("s"), "n", "items").distinct()
+    span = F.struct("s", (F.col("s") + F.col("n")).alias("e"))
+    by_doc = hits.groupBy("doc_id", "mark").agg(_covered(F.sort_array(F.collect_list(span))).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    out = rows.join(by_doc, ["doc_id", "mark"], "left")
+    return out.select("doc_id", "mark", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _covered(spans: Column) -> Column:
+    """Positions that spans (s, e), in order, cover together."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
+    step = lambda a, p: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), p["e"] - F.greatest(a["to"], p["s"]))).alias("n"), F.greatest(a["to"], p["e"]).alias("to"))
+    return F.aggregate(spans, start, step)["n"]
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_words: int = BLOCK_WORDS) -> DataFrame:
+
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, n_words, n_hit, items) for each row of docs (doc_id, text): the words that an item's window covers.
 
-    A window is `window` consecutive words of an item, or the whole of a shorter item. Benchmarks of up to block_words
-    words are probed in one pass; larger ones in blocks, whose results are merged by row. Null or wordless texts have
-    no words and no hits; null or wordless items give no window; a null item_id hits without being listed. Repeated
-    rows are judged each; an empty benchmark hits nothing.
+    A window is `window` consecutive words of an item, or the whole of a shorter item. Null or wordless texts have no
+    words and no hits; null or wordless items give no window; a null item_id hits without being listed. Repeated rows
+    are judged each; an empty benchmark hits nothing; other columns are ignored.
     """
-    from pyspark.sql import functions as F
-
-    _, out = _passes(docs, benchmark, window, shingle, block_words)
-    return out.select("doc_id", "n_words", _covered(F.col("hit_runs")).alias("n_hit"), "items")
+    null = F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id")
+    return _found(docs, benchmark, window, shingle).select(null, "n_words", "n_hit", "items")
 
 
-def _covered(runs):
-    """Positions that [start, end) runs, flat in one array, cover together."""
-    from pyspark.sql import functions as F
-
-    n = F.size(runs)
-    pairs = F.array_sort(
-        F.transform(
-            F.when(n > 0, F.sequence(F.lit(0), (n / 2).cast("int") - 1)).otherwise(F.array().cast("array<int>")),
-            lambda i: F.struct(runs[i * 2].alias("s"), runs[i * 2 + 1].alias("e")),
-        )
-    )
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
-    return F.aggregate(
-        pairs,
-        start,
-        lambda a, p: F.struct((a["n"] + F.greatest(F.lit(0).cast("long"), p["e"] - F.greatest(a["to"], p["s"]))).alias("n"), F.greatest(a["to"], p["e"]).alias("to")),
-    )["n"]
+def _is_bad(percent: int) -> Column:
+    return (F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent)
 
 
 def judge(docs: DataFrame, benchmark: DataFrame, percent: int = 5, **how) -> DataFrame:
     """find() with n_items, items_sha256 and contaminated: at least `percent` of the words are hit."""
-    from pyspark.sql import functions as F
-
-    found = find(docs, benchmark, **how)
-    return found.select(
+    return find(docs, benchmark, **how).select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.col("n_hit") * 100 >= F.col("n_words") * percent)).alias("contaminated"),
+        _is_bad(percent).alias("contaminated"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 5, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of docs that judge() doesn't call contaminated, with their columns.
-
-    With a benchmark of one block the documents are filtered as they are read; else contaminated rows are taken out of
-    a stored, numbered copy.
-    """
-    from pyspark.sql import functions as F
-
-    parts = blocks(benchmark, block_words)
-    first = next(parts)
-    if next(parts, None) is not None:
-        rows, found = _passes(docs, benchmark, WINDOW, SHINGLE, block_words)
-        n_hit = _covered(F.col("hit_runs"))
-        bad = found.where((n_hit > 0) & (n_hit * 100 >= F.col("n_words") * percent)).select("__row")
-        return rows.join(bad, "__row", "left_anti").select(*docs.columns)
-    index = Index(first, WINDOW, SHINGLE)
-    windows = [np.array(w, np.int64) for w in index.windows]
-    known = prefixes(index, count_shingles(docs, index))
-    shared = docs.sparkSession.sparkContext.broadcast((index.vocabulary, known, windows))
-
-    def run(batches):
-        import pyarrow as pa
-
-        vocabulary, keyed, all_windows = shared.value
-        for batch, texts in _texts(batches):
-            keep = []
-            for text in texts:
-                ids = _numbered(text, vocabulary)
-                n = int(hits(ids, keyed, all_windows)[0].sum())
-                keep.append(not (n and n * 100 >= len(ids) * percent))
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = 5, **how) -> DataFrame:
+    """The rows of docs that judge() doesn't call contaminated, with their columns, whatever their names."""
+    found = _found(docs, benchmark, how.get("window", WINDOW), how.get("shingle", SHINGLE)).where(_is_bad(percent))
+    bad = Stored(found.select(F.col("doc_id").alias("__bad_id"), F.col("mark").alias("__bad_mark")).distinct(), "contaminated").df
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("__bad_id")) & (F.xxhash64(text) == F.col("__bad_mark"))
+    return docs.join(F.broadcast(bad) if small(bad, MOST_BROADCAST) else bad, same, "left_anti")

@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from structlens.llm import _hashing, decontaminate, lines, minhash, substring
+from structlens.llm import _buckets, _graph, _hashing, _link, decontaminate, lines, minhash, substring
 from structlens.llm._graph import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,20 +65,34 @@ def brute_hits(docs, items, size=13):
     return out
 
 
-@pytest.mark.parametrize("block_words", [10_000, 300])
-def test_decontamination(spark, documents, block_words):
+@pytest.mark.parametrize("blocks", [1 << 20, 1])
+def test_decontamination(spark, documents, monkeypatch, blocks):
+    """Also with a filter of one block, which lets all pass."""
+    monkeypatch.setattr(decontaminate, "MOST_BLOCKS", blocks)
     docs = [(r.doc_id, r.text) for r in documents.collect()]
     rng = random.Random(2)
     long = [t for _, t in docs if t and len(t.split()) > 40]
     items = [(i, " ".join(t.split()[k : k + n])) for i, (t, k, n) in enumerate((rng.choice(long), rng.randrange(5), rng.choice([1, 6, 13, 25])) for _ in range(12))]
     items += [(90, None), (91, ""), (92, "--- !!"), (7, items[0][1]), (None, items[1][1])]
     benchmark = spark.createDataFrame(items, "item_id LONG, text STRING")
-    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.judge(documents, benchmark, block_words=block_words).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.judge(documents, benchmark).collect()}
     assert got == brute_hits(docs, items)
-    kept = {r.doc_id for r in decontaminate.clean(documents, benchmark, block_words=block_words).collect()}
+    kept = {r.doc_id for r in decontaminate.clean(documents, benchmark).collect()}
     assert kept == {d for d, x in got.items() if not x[4]}
 
 
+def test_decontamination_of_repeated_rows_and_null_ids(spark):
+    item = " ".join(f"b{i}" for i in range(15))
+    rows = [(1, item + " tail", "k"), (1, item + " tail", "k"), (None, "x " + item, "k"), (2, "B0, b1! b2", "k"), (3, "b0 b1", "k"), (4, None, "k"), (5, item * 2, "k")]
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING, mark STRING")
+    benchmark = spark.createDataFrame([(7, item), (8, "b0 b1 b2"), (9, "b0"), (10, "b0 zz")], "item_id LONG, text STRING")
+    got = sorted(((r.doc_id or 0, r.n_words, r.n_hit, r.n_items) for r in decontaminate.judge(docs, benchmark).collect()))
+    expected = brute_hits([(d, t) for d, t, _ in rows], [(7, item), (8, "b0 b1 b2"), (9, "b0"), (10, "b0 zz")])
+    assert got == sorted((d or 0, *expected[d][:3]) for d, _, _ in rows)
+    left = decontaminate.clean(docs, benchmark)
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [4]
+
+
 def test_decontamination_without_rows(spark, documents, empty):
     none = spark.createDataFrame([], "item_id LONG, text STRING")
     assert decontaminate.judge(documents, none).where("n_hit > 0 or contaminated").count() == 0
@@ -140,6 +154,54 @@ def test_near_duplicates(documents, size):
     assert sum(not x[2] for x in got.values()) > 3
 
 
+def family(rng, n, edits):
+    """Texts that come from one by replacing words, some of them too many to be like the others."""
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    out = []
+    for _ in range(n):
+        text = list(base)
+        for _ in range(rng.randrange(*edits)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10_000)}"
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("rows_a_block", [3, 20])
+def test_blocks_lose_no_link(spark, monkeypatch, rows_a_block):
+    monkeypatch.setattr(_link, "BLOCK_ROWS", rows_a_block)
+    rng = random.Random(41)
+    texts = family(rng, 70, (0, 14)) + family(rng, 30, (4, 9)) + family(rng, 30, (0, 3))
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id LONG, text STRING")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.components(docs, shingle=2).collect()}
+    expected = brute_near(rows, 2)
+    assert got == expected and 5 < sum(x[2] for x in got.values()) < 100
+    found = {r.doc_id: (r.n_lines, list(r.removed)) for r in lines.decisions(docs).collect()}
+    assert found == brute_lines(rows) and any(x[1] for x in found.values())
+
+
+def test_packed_buckets(spark, monkeypatch):
+    rng = random.Random(42)
+    nodes = [(hashlib.md5(str(i % 90).encode()).digest(), i % 90 * 100, rng.sample(range(60), 3) if i < 90 else None) for i in range(120)]
+    nodes = [(n, b, k or nodes[i % 90][2]) for i, (n, b, k) in enumerate(nodes)] + [(hashlib.md5(f"hot{i}".encode()).digest(), 10, [7, 1000 + i, 2000 + i]) for i in range(300)]
+    spread = lambda k: (k * 0x9E3779B97F4A7C15) % (1 << 64)
+    rows = [(n, b, np.array([spread(x) for x in k], np.uint64).tobytes()) for n, b, k in nodes]
+    by_key = {}
+    for n, _, k in nodes:
+        for x in k:
+            by_key.setdefault(spread(x), set()).add(n)
+    for part, chunk in ((1 << 30, 1 << 20), (2000, 50)):
+        monkeypatch.setattr(_buckets, "PART_BYTES", part)
+        monkeypatch.setattr(_buckets, "CHUNK", chunk)
+        got = _buckets.shared(spark.createDataFrame(rows, "node BINARY, bytes LONG, bands BINARY").repartition(4), 3).collect()
+        assert len({(r.bucket, bytes(r.node)) for r in got}) == len(got) and len({(r.bucket, bytes(r.a)) for r in got}) == len({r.bucket for r in got})
+        found = {}
+        for r in got:
+            found.setdefault(r.bucket % (1 << 64), set()).update((bytes(r.a), bytes(r.node)))
+        assert found == {k: v for k, v in by_key.items() if len(v) > 1}
+    assert _buckets.shared(spark.createDataFrame([], "node BINARY, bytes LONG, bands BINARY"), 3).count() == 0
+
+
 def test_near_duplicates_edges(spark, empty):
     assert minhash.components(empty).count() == 0
     rows = spark.createDataFrame([(5, "a b c", 1), (5, "a b c", 1), (None, "a b c", 2), (9, None, 3), (2, "A B C", 0)], "doc_id LONG, text STRING, kept INT")
@@ -149,6 +211,25 @@ def test_near_duplicates_edges(spark, empty):
     assert left == [2, 9]
 
 
+def test_signatures_of_similar_lines_meet():
+    rng = random.Random(43)
+    pairs = []
+    for _ in range(2000):
+        size = rng.choice([12, 30, 80, 300])
+        a = "".join(rng.choices("abcdefgh ", k=size))
+        b = list(a)
+        for _ in range(max(1, size // 150)):
+            b[rng.choice([0, 1, size - 1, size - 2, rng.randrange(size)])] = "Z"
+        pairs.append((a, "".join(b)))
+    x, y = (lines.signatures([p[i].encode() for p in pairs]) for i in (0, 1))
+    sets = [[{t[i : i + 9] for i in range(max(1, len(t) - 8))} for t in p] for p in pairs]
+    like = [100 * len(a & b) >= 80 * len(a | b) for a, b in sets]
+    met = (x == y).any(axis=1)
+    assert sum(like) > 300 and sum(m for m, s in zip(met, like) if s) >= 0.999 * sum(like)
+    assert x.shape == (2000, lines.BANDS) and (lines.signatures([p[0].encode() for p in reversed(pairs)])[::-1] == x).all()
+    assert lines.signatures([b"", b"a", "ü".encode()]).shape == (3, lines.BANDS)
+
+
 def test_estimates_are_near_the_similarity():
     rng = np.random.default_rng(4)
     a = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
@@ -161,7 +242,7 @@ def test_estimates_are_near_the_similarity():
 
 def brute_lines(rows, percent=80):
     def shingles(line):
-        return {line[m.start() : m.start() + 9] for m in WORD.finditer(line)}
+        return {line[i : i + 9] for i in range(max(1, len(line) - 8))}
 
     every = sorted((d, i, line) for d, t in rows for i, line in enumerate((t or "").split("\n")) if WORD.search(line))
     distinct = sorted({x[2] for x in every})
@@ -194,9 +275,12 @@ def test_line_dedup_edges(spark, empty):
     assert got == [(0, 1, [0]), (1, 3, [2]), (1, 3, [2])]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("chunk", [1 << 20, 25])
+def test_components(spark, monkeypatch, chunk):
+    monkeypatch.setattr(_graph, "CHUNK", chunk)
     rng = random.Random(8)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
     nodes = {x for p in links if p[0] != p[1] for x in p}
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a LONG, b LONG")).df.collect()}
     assert got == {n: v for n, v in least(links, {x for p in links for x in p}).items() if n in nodes}
+    assert components(spark.createDataFrame([], "a BINARY, b BINARY")).df.count() == 0
