@@ -10,6 +10,8 @@ from ._common import WORD, Stored
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 MOST_EPOCHS = 3
+#: Characters per word, its blank included, that prose usually has; the least weight of a document.
+USUAL_CHARS, LEAST_WEIGHT = 6, 0.05
 #: Documents that one slice of a source's keys holds on average, and the most slices of a source.
 SLICE_ROWS, MOST_SLICES = 500, 1 << 20
 #: Rates of the exponential distributions whose mean cuts the slices: for weights between them, no slice is much fuller.
@@ -27,9 +29,12 @@ def uniform(*parts: Column) -> Column:
 
 
 def quality_weight(text: Column, size: Column) -> Column:
-    """1 for texts whose characters per word are usual in prose, 0.25 for others."""
-    per_word = F.try_divide(F.length(text), size)
-    return F.when((per_word >= 3.5) & (per_word <= 12), F.lit(1.0)).otherwise(F.lit(0.25))
+    """A graded guess at quality, from 1 down to LEAST_WEIGHT: falls with the share of characters that are neither letters
+    nor blanks, and with the distance of the characters per word from USUAL_CHARS on a logarithmic scale."""
+    chars = F.length(text)
+    odd = F.coalesce(F.try_divide(F.length(F.regexp_replace(text, r"[\p{L}\s]+", "")), chars), F.lit(1.0))
+    away = F.coalesce(F.log(F.try_divide(chars, size) / USUAL_CHARS), F.lit(9.0))
+    return F.greatest(F.lit(LEAST_WEIGHT), (1 - odd) * (1 - odd) / (1 + 4 * away * away))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_EPOCHS) -> DataFrame:
@@ -111,12 +116,27 @@ def mix(
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs as often as mix() takes them, to the nearest whole time; those it doesn't take are left out."""
+    """The rows of docs as often as mix() takes them, to the nearest whole time; those it doesn't take are left out.
+
+    Rows that are equal in doc_id, text and source share what mix() takes of them as evenly as whole times allow. Columns
+    of docs come back as they are, whatever their names. No rows give no rows.
+    """
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("source").cast("string"), F.lit("")))
-    marked = docs.withColumn("__mark", mark)
-    times = F.when(F.col("size") > 0, F.round(F.try_divide("taken", "size"))).otherwise(0).cast("int")
-    drawn = mix(marked, keep=("__mark",), **how).select(F.col("doc_id").alias("__id"), F.col("__mark").alias("__m"), times.alias("__times"))
-    drawn = drawn.where("__times > 0").groupBy("__id", "__m").agg(F.max("__times").alias("__times"))
+    marked = docs.select("doc_id", "text", "source", mark.alias("__mark"))
+    times = F.when(F.col("size") > 0, F.try_divide("taken", "size")).otherwise(0.0)
+    drawn = mix(marked, keep=("__mark",), **how).select("doc_id", "__mark", times.alias("times"))
+    drawn = drawn.groupBy(F.col("doc_id").alias("__id"), F.col("__mark").alias("__m")).agg(F.round(F.sum("times")).cast("long").alias("__times"), F.count("*").alias("__rows")).where("__times > 0")
+    drawn = Stored(drawn, "drawn").df
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    rows = docs.select("doc_id", mark.alias("__mark"), row)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("__times")))
-    return marked.join(drawn, same).select(*docs.columns, copies.alias("__copy")).drop("__copy")
+    joined = rows.join(drawn, same)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__copy")
+    single = joined.where("__rows = 1").select("__row", F.col("__times").alias("__n")).select("__row", copies).select("__row.*")
+    if drawn.where("__rows > 1").isEmpty():
+        return single
+    # Only rows that repeat are numbered.
+    nth = F.row_number().over(Window.partitionBy("__id", "__m").orderBy(F.lit(0)))
+    several = joined.where("__rows > 1").select("__row", "__times", "__rows", nth.alias("__nth"))
+    several = several.select("__row", (F.expr("__times div __rows") + (F.col("__nth") <= F.col("__times") % F.col("__rows")).cast("long")).alias("__n")).where("__n > 0")
+    return single.unionByName(several.select("__row", copies).select("__row.*"))

@@ -63,8 +63,15 @@ def repeated_words(words: Column, span: int = SPAN) -> Column:
         pairs = F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), _let(F.sort_array(pairs), twice)).otherwise(0)
 
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - span + 1), lambda i: F.xxhash64(F.slice(words, i, span)))
-    return F.when(F.size(words) > span, _let(hashes, count)).otherwise(0).cast("long")
+    def windows(each: Column) -> Column:
+        """Hashes of the windows from those of the words: words are hashed once, and no window is built."""
+        n = F.size(each) - span + 1
+        joined = F.slice(each, 1, n)
+        for k in range(1, span):
+            joined = F.zip_with(joined, F.slice(each, k + 1, n), lambda a, b: F.xxhash64(a, b))
+        return _let(joined, count)
+
+    return F.when(F.size(words) > span, _let(F.transform(words, lambda w: F.xxhash64(w)), windows)).otherwise(0).cast("long")
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -226,9 +233,8 @@ def judge(docs: DataFrame, with_rows: bool = False) -> DataFrame:
     fit = keyed.where("not base_failed").select("levels", *[f"x{i}" for i in range(DIMS)])
     found = Stored(estimates(fit), "estimates").df
     pairs = fit.select("levels").distinct()
-    whole = found.where("group = 0")
-    languages = _shrunk(found.join(pairs.select(F.col("levels")[1].alias("group"), F.lit(0).cast("long").alias("parent")).distinct(), "group"), whole)
-    groups = _shrunk(found.join(pairs.select(F.col("levels")[0].alias("group"), F.col("levels")[1].alias("parent")).distinct(), "group"), languages)
+    under = lambda i: found.join(pairs.select(F.col("levels")[i].alias("group"), F.col("levels")[i + 1].alias("parent")).distinct(), "group")
+    groups = _shrunk(under(0), _shrunk(under(1), found))
     params = Stored(_inverse(groups, "group"), "mcd").df
     out = _with(keyed.withColumn("group", F.col("levels")[0]), params, "left").withColumn("distance", _distance())
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= CUTOFF))
