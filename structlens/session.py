@@ -25,6 +25,8 @@ def session(name: str = "structlens", master: str | None = None, **conf: str) ->
 
 def _shared(spark: SparkSession) -> str:
     there = spark.conf.get("spark.checkpoint.dir", None)
+    if there is None and (set_before := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        there = set_before.get()
     if there is None:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
