@@ -202,7 +202,7 @@ def test_manifest(spark, tmp_path):
     direct, unknown = manifest.direct_dependencies(root, edges, parts)
     assert table(direct, "ref") == {("a",), ("c",)} and table(unknown) == {("gone",)}
     assert [r.license for r in manifest.licenses(parts).collect()] == ["Apache", "MIT", "MIT OR GPL"]
-    assert [tuple(r) for r in manifest.by_component(parts).collect()] == [("g:na", "1", "MIT, Apache"), ("nb", "1", "MIT OR GPL"), ("nc", "1", "")]
+    assert [tuple(r) for r in manifest.by_component(parts).collect()] == [("a", "g:na", "1", "MIT, Apache"), ("b", "nb", "1", "MIT OR GPL"), ("c", "nc", "1", "")]
     assert manifest.application(sbom).first()[0] == "g:nroot in version 1"
 
 
