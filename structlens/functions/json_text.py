@@ -54,7 +54,7 @@ _MARK = "\ue000"
 
 def repaired(text: Column) -> Column:
     """fix() of a column, by regular expressions: escaped characters are marked first, so that a bare quote is one
-    without a mark before it, and the first one that can close the value is found by its place."""
+    without a mark before it, and what stands before the first one that can close the value is the value."""
 
     def once(value: Column, body: Callable[[Column], Column]) -> Column:
         return F.transform(F.array(value), body)[0]
@@ -68,8 +68,8 @@ def repaired(text: Column) -> Column:
         return once(marked, closed)
 
     def closed(x: Column) -> Column:
-        at = F.regexp_instr(x, F.lit(rf'(?<!{_MARK}b)"[ \t\n\x0b\f\r]*(?:[,}}]|\z)'))
-        return once(at, lambda i: plain(F.concat(bare(F.when(i > 0, F.substring(x, F.lit(1), i - 1)).otherwise(x)), F.when(i > 0, F.substring(x, i, F.length(x))).otherwise(""))))
+        parts = F.split(x, rf'(?<!{_MARK}b)"[ \t\n\x0b\f\r]*(?:[,}}]|\z)', 2)
+        return once(parts, lambda p: plain(F.when(F.size(p) > 1, F.concat(bare(p[0]), F.substring(x, F.length(p[0]) + 1, F.length(x)))).otherwise(bare(x))))
 
     def bare(x: Column) -> Column:
         return F.regexp_replace(x, rf'(?<!{_MARK}b)"', r'\\"')

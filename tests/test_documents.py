@@ -24,7 +24,7 @@ def test_repair(text, fixed):
 def test_repaired_column(spark):
     rng = random.Random(8)
     texts = ['```json\n"k" : "a "b" c"\n```', None, "", '"k": "' + 'x" y ' * 20_000 + '"', '"k": "a \\\\" b"', '"k": "\\', '"k": "\ue000b" \ue000a"', '"a" : "b" , "c": "d"', "```json```"]
-    texts += ["".join(rng.choices(['"', "\\", ",", "}", " ", "\n", ":", "a", '"k": "', "\t", "\ue000", "b"], k=rng.randrange(40))) for _ in range(400)]
+    texts += ["".join(rng.choices(['"', "\\", ",", "}", " ", "\n", ":", "a", '"k": "', "\t", "\ue000", "b", "😀", "é"], k=rng.randrange(40))) for _ in range(400)]
     got = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", json_text.repaired(F.col("t")).alias("f")).collect()
     assert [r.f for r in got] == [json_text.fix(t) for t in texts]
 
