@@ -130,7 +130,8 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     rows = docs.select("doc_id", mark.alias("__mark"), row)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__m"))
-    joined = rows.join(drawn, same)
+    # The same plan at every size: what is drawn grows with the documents.
+    joined = rows.join(drawn.hint("merge"), same)
     copies = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))).alias("__copy")
     single = joined.where("__rows = 1").select("__row", F.col("__times").alias("__n")).select("__row", copies).select("__row.*")
     if drawn.where("__rows > 1").isEmpty():
