@@ -2,9 +2,9 @@
 
 Every text is cut into non-overlapping reference blocks of BLOCK words, and every rolling window of BLOCK words probes
 the index of all blocks. A repeat of WINDOW words holds a whole block of either text, so it has a hit on both sides.
-Hits are extended to maximal exact repeats: the windows of WINDOW words whose own blocks are all hit go, as 144-bit
-hashes, to a second exchange that finds the first occurrence of each; what overlapping later occurrences cover is
-removed.
+Hits are extended to maximal exact repeats: the windows of WINDOW words whose own blocks are all hit go to a second
+exchange that finds the first occurrence of each; what overlapping later occurrences cover is removed. There windows
+meet by 64 + 16 bits of their hashes and the number of their bucket.
 
 Both exchanges move packed numbers, not rows: a task packs the texts it reads, keeps one record of each hash in a
 pack (a repeat inside a pack is settled there), and sends a blob to every bucket of hashes. A hash that is very common
