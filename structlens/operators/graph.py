@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import Written, written
 
 #: Trimming goes on while a round leaves at most this share of the edges.
 LEAST_TRIMMED = 0.8
+#: Edges that one task searches in memory.
+CHUNK = 1 << 20
 
 
 def _trimmed(edges: DataFrame) -> Written:
@@ -64,11 +70,17 @@ def _reaching(edges: DataFrame, colours: DataFrame) -> Written:
 def strong_components(edges: DataFrame) -> DataFrame:
     """(component, node) of the cycles of (src, dst): components of more than one node, named by their smallest.
 
-    Nodes off every cycle are trimmed. Every other node is coloured with the smallest node that reaches it; those that
-    reach their colour's node are its component. They are taken out, and what is left is trimmed and coloured again.
-    All tables are of the size of the edges; rounds grow with the longest of the shortest paths.
+    A graph of at most CHUNK edges is searched by one task. Of a larger one, nodes off every cycle are trimmed. Every
+    other node is coloured with the smallest node that reaches it; those that reach their colour's node are its
+    component. They are taken out, and what is left is trimmed and coloured again. All tables are of the size of the
+    edges; rounds grow with the longest of the shortest paths.
     """
-    kept = _trimmed(edges.select("src", "dst").where("src <> dst").distinct())
+    plain = Written(edges.select("src", "dst").where("src <> dst").distinct())
+    if plain.df.count() <= CHUNK:
+        schema = T.StructType([T.StructField("component", plain.schema["src"].dataType), T.StructField("node", plain.schema["src"].dataType)])
+        return plain.df.repartition(1).mapInArrow(_searched, schema)
+    kept = _trimmed(plain.df)
+    plain.drop()
     out = None
     while not kept.df.isEmpty():
         colours = _colours(kept.df)
@@ -87,6 +99,50 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return out.join(several, "component", "left_semi")
 
 
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The components of the graph whose edges arrive: a depth-first order of the nodes, then a search backwards in it."""
+    ahead: dict = {}
+    back: dict = {}
+    kind = pa.int64()
+    for batch in batches:
+        kind = batch.schema.field("src").type
+        for a, b in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist(), strict=True):
+            ahead.setdefault(a, []).append(b)
+            back.setdefault(b, []).append(a)
+    order, seen = [], set()
+    for start in ahead:
+        if start in seen:
+            continue
+        seen.add(start)
+        stack = [(start, iter(ahead[start]))]
+        while stack:
+            node, rest = stack[-1]
+            following = next((x for x in rest if x not in seen), None)
+            if following is None:
+                order.append(node)
+                stack.pop()
+            else:
+                seen.add(following)
+                stack.append((following, iter(ahead.get(following, ()))))
+    placed: set = set()
+    found: list[tuple] = []
+    for start in reversed(order):
+        if start in placed:
+            continue
+        members, todo = [], [start]
+        placed.add(start)
+        while todo:
+            node = todo.pop()
+            members.append(node)
+            fresh = [x for x in back.get(node, ()) if x not in placed]
+            placed.update(fresh)
+            todo += fresh
+        if len(members) > 1:
+            name = min(members)
+            found += [(name, x) for x in members]
+    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i in (0, 1)], ["component", "node"])
+
+
 def chain_depth(classes: DataFrame) -> DataFrame:
     """(module, class, depth) of (module, class, super_class): how many superclasses a class has, those outside the module
     counting once.

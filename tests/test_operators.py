@@ -206,7 +206,10 @@ def test_manifest(spark, tmp_path):
     assert manifest.application(sbom).first()[0] == "g:nroot in version 1"
 
 
-def test_strong_components_by_brute_force(spark):
+@pytest.mark.parametrize("chunk", [1 << 20, 5])
+def test_strong_components_by_brute_force(spark, monkeypatch, chunk):
+    """In one task, and by rounds over tables."""
+    monkeypatch.setattr(graph, "CHUNK", chunk)
     rng = random.Random(5)
     for n in (20, 45):
         edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(n)] + [(100, 101), (101, 102), (102, 100), (102, 103), (103, 104), (104, 103)]
