@@ -22,7 +22,7 @@ from ._common import Stored, packs
 from ._link import Measure, link
 
 SHINGLE, PERCENT = 9, 80
-#: A pair at exactly 0.8 shares no band with probability 2e-5, one at 0.9 with 1e-9.
+#: Were minima independent, a pair at exactly 0.8 would share no band with probability 2e-5, one at 0.9 with 1e-9.
 BANDS, ROWS = 16, 3
 BINS = BANDS * ROWS
 LAST = (1 << 63) - 1
