@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, minhash, mixing, oracles, quality, secrets, sharding, substring, url_filter, warc
+from . import decontaminate, lines, minhash, mixing, oracles, quality, secrets, sharding, substring, turns, url_filter, warc
 
 RULES = [
     ("allow", "org/"),
@@ -72,8 +72,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair of all conversations after damage."""
+    conversations = table(spark, sf_dir, "conversations")
+    return turns.audit(conversations, turns.damage(conversations))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_url_filter, op4_sharding, op5_quality, op6_secrets, op7_substring_dedup, op8_minhash, op9_warc, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_url_filter, op4_sharding, op5_quality, op6_secrets, op7_substring_dedup, op8_minhash, op9_warc, op10_line_dedup, op11_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
