@@ -184,3 +184,55 @@ SQL["op6_secrets"] = OP6
 SQL["op4_sharding"] = """
 SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, sha256(text) AS text_sha256, true AS in_target FROM documents
 """
+
+
+def _op11() -> str:
+    """The repair letter by letter: for each row, of each state (begin, s, u, a) the cheapest edits and of these the least.
+
+    crc32 is computed bit by bit. Inserts stand just before the turn that needs them, since D comes before I.
+    """
+    crc = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: ascii(c)::BIGINT)),
+      lambda h, c: list_reduce(list_prepend(xor(h, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295)"""
+
+    def way(state: str, cost: str, letters: str, turns: str | None) -> str:
+        added = f"list_concat({state}.turns, {turns})" if turns else f"{state}.turns"
+        return f"{{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{letters}', 'turns': {added}}}"
+
+    name, insert = {"u": "user", "a": "assistant"}, {"u": "assistant:", "a": "user:"}
+
+    def ways(to: str) -> str:
+        out = [way(to, "4", "D", None)]
+        sources = {"b": [], "s": [("b", False)], "u": [("b", False), ("s", False), ("a", False), ("u", True)], "a": [("u", False), ("b", True), ("s", True), ("a", True)]}[to]
+        for state, added in sources:
+            more = "3 + " if added else ""
+            first = f"'{insert[to]}', " if added else ""
+            dead = "CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 WHEN fault = 'truncated' THEN 3 ELSE 0 END"
+            out.append(way(state, f"{more}{dead} + CASE WHEN initial = '{to}' THEN 0 ELSE 1000000000 END", "IK" if added else "K", f"[{first}role || ':' || text]"))
+            if to != "s":
+                out.append(way(state, f"{more}3 + {dead}", "IR" if added else "R", f"[{first}'{name[to]}:' || text]"))
+        return f"list_min([{', '.join(out)}])"
+
+    start = "{'cost': 0::BIGINT, 'audit': '', 'turns': []::VARCHAR[]}"
+    never = start.replace("0::", "1000000000000::")
+    return f"""
+WITH RECURSIVE keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS kind FROM conversations),
+damaged AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(CASE kind WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM keyed WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS initial FROM damaged),
+judged AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au') AS clash, count(*) OVER (PARTITION BY conv_id) AS n FROM placed),
+walk AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, n, {start} AS b, {never} AS s, {never} AS u, {never} AS a FROM judged
+  UNION ALL
+  SELECT w.conv_id, j.i, w.n, {ways("b")}, {ways("s")}, {ways("u")}, {ways("a")} FROM walk w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.i = w.i + 1),
+ended AS (SELECT conv_id, list_min([b, {way("s", "6", "II", "['user:', 'assistant:']")}, {way("u", "3", "I", "['assistant:']")}, a]) AS best FROM walk WHERE i = n),
+counted AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (clash) AS illegal FROM judged GROUP BY conv_id),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.turns, chr(10)), '')) AS repaired_sha256
+FROM every e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN ended d ON d.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+
+
+SQL["op11_conversation_repair"] = _op11()
