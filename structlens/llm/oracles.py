@@ -236,3 +236,24 @@ FROM every e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id LEF
 
 
 SQL["op11_conversation_repair"] = _op11()
+
+# Every group with every kept term, in 128-bit integers.
+SQL["op13_divergence"] = f"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  {lower("unnest(regexp_extract_all(coalesce(text, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'))")} AS term FROM documents),
+groups AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+kept AS (SELECT lang, term, count(*) AS total FROM d GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+langs AS (SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang),
+had AS (SELECT d.lang, d.source, d.term, count(*) AS count FROM d JOIN kept USING (lang, term) GROUP BY ALL),
+sizes AS (SELECT lang, source, sum(count)::HUGEINT AS n FROM had GROUP BY ALL),
+shares AS (SELECT g.lang, g.source, k.term, coalesce(h.count, 0) AS count, 1 + (1000000000 * (coalesce(h.count, 0)::HUGEINT + 1)) // (coalesce(s.n, 0) + l.v) AS p,
+  1 + (1000000000 * (k.total::HUGEINT + 1)) // (l.n + l.v) AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN sizes s USING (lang, source) LEFT JOIN had h ON h.lang = g.lang AND h.source = g.source AND h.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (SELECT lang, source, 'pair' AS part, item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM pairs LEFT JOIN sums USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM shares WHERE count > 0 AND p > q),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""

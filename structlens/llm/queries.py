@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, minhash, mixing, oracles, quality, secrets, sharding, simhash, substring, turns, url_filter, warc
+from . import decontaminate, divergence, lines, minhash, mixing, oracles, quality, secrets, sharding, simhash, substring, turns, url_filter, warc
 
 RULES = [
     ("allow", "org/"),
@@ -82,8 +82,12 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_url_filter, op4_sharding, op5_quality, op6_secrets, op7_substring_dedup, op8_minhash, op9_warc, op10_line_dedup, op11_conversation_repair, op12_simhash)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_mixing, op3_url_filter, op4_sharding, op5_quality, op6_secrets, op7_substring_dedup, op8_minhash, op9_warc, op10_line_dedup, op11_conversation_repair, op12_simhash, op13_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
