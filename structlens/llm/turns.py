@@ -33,6 +33,8 @@ from ._common import BLANKS, Stored
 
 #: Of a chunk: most distinct rows and, above one row, bytes of text.
 CHUNK_ROWS, CHUNK_BYTES = 4096, 1 << 20
+#: Rows of a batch that a task returns, of less than CHUNK_BYTES and a chunk.
+BATCH_ROWS = 1024
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 #: States: nothing yet, then the role of the last turn.
 BEGIN, S, U, A = range(4)
@@ -77,12 +79,12 @@ class Repair:
         """(conv_id, chunk, position, edit, role, text): the repaired turns, edit K, R or I, ordered by chunk and position."""
         schema = T.StructType([*self.schema, *T._parse_datatype_string("chunk long, position long, edit string, role string, text string")])
 
-        def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
             for row in _rows(batches):
                 out = _edit(row)[1] + _closing(row)
-                yield _batch([(row["conv_id"], row["chunk"], i, *x) for i, x in enumerate(out)], schema)
+                yield sum(len(x[2]) for x in out), [(row["conv_id"], row["chunk"], i, *x) for i, x in enumerate(out)]
 
-        return self._edited().mapInArrow(edited, schema)
+        return self._edited().mapInArrow(lambda batches: _batches(edited(batches), schema), schema)
 
     def summary(self) -> DataFrame:
         """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of each conversation with rows."""
@@ -90,16 +92,17 @@ class Repair:
         pieces = T.StructType([*self.schema, *kind])
         names = ("last", "gaps", "blank", "duplicate", "truncated", "illegal", "cost")
 
-        def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
             for row in _rows(batches):
                 audit, turns = _edit(row)
                 end = _closing(row)
                 lines = [f"{role}:{text}" for _, role, text in turns + end]
-                yield _batch([(row["conv_id"], row["chunk"], audit + "I" * len(end), "\n".join(lines).encode() if lines else None, *[row[n] for n in names])], pieces)
+                text = "\n".join(lines).encode() if lines else None
+                yield len(text or b""), [(row["conv_id"], row["chunk"], audit + "I" * len(end), text, *[row[n] for n in names])]
 
         schema = T.StructType([*self.schema, *T._parse_datatype_string("gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")])
 
-        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
             audit, digest, empty = [], hashlib.sha256(), True
             for row in _rows(batches):
                 audit.append(row["audit"])
@@ -107,11 +110,13 @@ class Repair:
                     digest.update((b"" if empty else b"\n") + row["turns"])
                     empty = False
                 if row["last"]:
-                    yield _batch([(row["conv_id"], *[row[n] for n in names[1:]], "".join(audit), digest.hexdigest())], schema)
+                    audit = "".join(audit)
+                    yield len(audit), [(row["conv_id"], *[row[n] for n in names[1:]], audit, digest.hexdigest())]
                     audit, digest, empty = [], hashlib.sha256(), True
 
-        sent = self._edited().mapInArrow(edited, pieces)
-        return sent.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(joined, schema)
+        sent = self._edited().mapInArrow(lambda batches: _batches(edited(batches), pieces), pieces)
+        sent = sent.repartition("conv_id").sortWithinPartitions("conv_id", "chunk")
+        return sent.mapInArrow(lambda batches: _batches(joined(batches), schema), schema)
 
 
 def audit(conversations: DataFrame, rows: DataFrame) -> DataFrame:
@@ -152,18 +157,18 @@ def _chunks(rows: DataFrame, kind: T.DataType) -> DataFrame:
     fields += "first_initial string, last_initial string, blank long, duplicate long, truncated long, illegal long, costs array<long>, ranks binary"
     schema = T.StructType([T.StructField("conv_id", kind), *T._parse_datatype_string(fields)])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for row in _rows(batches):
             if held and (row["conv_id"] != held[0]["conv_id"] or len(held) >= CHUNK_ROWS or size >= CHUNK_BYTES):
-                yield _batch([_chunk(held, number)], schema)
+                yield size, [_chunk(held, number)]
                 number, held, size = number + 1, [], 0
             held.append(row)
             size += len(row["text"] or "")
         if held:
-            yield _batch([_chunk(held, number)], schema)
+            yield size, [_chunk(held, number)]
 
-    return dealt.mapInArrow(cut, schema)
+    return dealt.mapInArrow(lambda batches: _batches(cut(batches), schema), schema)
 
 
 def _chunk(rows: list[dict], number: int) -> tuple:
@@ -253,18 +258,18 @@ def _planned(prices: DataFrame, kind: T.DataType) -> DataFrame:
     fields = "chunk long, state long, goal long, last boolean, gaps long, blank long, duplicate long, truncated long, illegal long, cost long"
     schema = T.StructType([T.StructField("conv_id", kind), *T._parse_datatype_string(fields)])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
         held = None
         for row in _rows(batches):
             if held is None or row["conv_id"] != held.conv:
                 if held is not None:
-                    yield _batch(held.rows(), schema)
+                    yield 0, held.rows()
                 held = _Scan(row["conv_id"])
             held.add(row)
         if held is not None:
-            yield _batch(held.rows(), schema)
+            yield 0, held.rows()
 
-    return prices.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(scan, schema)
+    return prices.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(lambda batches: _batches(scan(batches), schema), schema)
 
 
 class _Scan:
@@ -337,7 +342,18 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield from batch.to_pylist()
 
 
-def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
-    arrow = to_arrow_schema(schema)
-    columns = zip(*rows, strict=True) if rows else [[] for _ in arrow]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+def _batches(rows: Iterator[tuple[int, list[tuple]]], schema: T.StructType) -> Iterator[pa.RecordBatch]:
+    """Batches of rows that come in lists with their bytes."""
+    arrow, held, size = to_arrow_schema(schema), [], 0
+    for n, some in rows:
+        held += some
+        size += n
+        if len(held) >= BATCH_ROWS or size >= CHUNK_BYTES:
+            yield _batch(held, arrow)
+            held, size = [], 0
+    if held:
+        yield _batch(held, arrow)
+
+
+def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
