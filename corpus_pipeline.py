@@ -7,7 +7,8 @@ they are equal in id and text.
 
 The setting structlens.pipeline.output names a folder, shared by driver and executors, that keeps the product: stages
 go to folders of their own there, the shards to one with versioned manifests. A run that finds a stage complete there
-takes it as it is and goes on with the next one. Without the setting all of it is temporary.
+takes it as it is and goes on with the next one; the last stage adds the arrivals that the shards' manifest doesn't name
+yet. The folder says which input it is for, and a run with another one is refused. Without the setting all is temporary.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from structlens.llm import decontaminate, minhash, mixing, quality, sharding
-from structlens.llm._common import exists, stored
+from structlens.llm._common import contents, exists, stored, write_once
 
 #: The setting that names the folder of the product.
 OUTPUT = "structlens.pipeline.output"
@@ -65,6 +66,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document of the product is: the rows of the last stage."""
     docs, output = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.conf.get(OUTPUT, None)
+    if output is not None:
+        wanted = "\n".join(contents(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+        if (there := write_once(spark, f"{output}/input", wanted)) != wanted:
+            raise ValueError(f"{output} is the product of another input:\n{there}")
     for name, stage in STAGES[:-1]:
         if output is None:
             docs = stored(stage(spark, docs, sf_dir), name)
@@ -73,6 +78,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if not exists(spark, f"{path}/_SUCCESS"):
             stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
         docs = spark.read.schema(docs.schema).parquet(path)
-    if output is not None and exists(spark, f"{output}/shards/manifests"):
-        return sharding.locations(sharding.ShardStore(spark, f"{output}/shards"))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -60,6 +60,29 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def contents(spark: SparkSession, path: str) -> str:
+    """The name of a table's folder, with the number and bytes of its files."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at)
+    return f"{path} {found.getFileCount()} {found.getLength()}"
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> str:
+    """What a small file holds, which is text if it wasn't there; an empty one counts as lost while it was written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at) and fs.getFileStatus(at).getLen():
+        stream = fs.open(at)
+        try:
+            return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+    stream = fs.create(at, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return text
+
+
 def delete(spark: SparkSession, path: str) -> None:
     """Deletes a path of the shared folder, wherever it lives."""
     try:

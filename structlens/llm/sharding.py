@@ -7,6 +7,9 @@ committed by an atomic rename that fails if that version exists, so readers see
 that comes second takes the newer version as its base and tries again. A version names only the shards that it adds and
 removes; every SNAPSHOT versions one names all. Shards of a lost attempt are in no version.
 
+An arrival may have a name. A version says which named arrivals it adds, and one that is in the store is not added again:
+a run that was lost between two arrivals, or inside one, is run again as it is and adds what is missing.
+
 Renames without overwriting are atomic on HDFS and on local file systems. Object stores without them need a file system
 connector that has conditional writes.
 """
@@ -16,6 +19,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
@@ -80,30 +84,37 @@ class ShardStore:
             stream.close()
 
     def _manifest(self, version: int | None = None) -> dict:
-        """version, schema and shards of a version: the last snapshot up to it with the changes since."""
+        """version, schema, shards and named arrivals of a version: the last snapshot up to it with the changes since."""
         version = self.version() if version is None else version
         if not version:
-            return {"version": 0, "schema": None, "shards": []}
+            return {"version": 0, "schema": None, "shards": [], "arrivals": []}
         changes, at = [], version
         while "shards" not in (now := self._load(at)):
             changes.append(now)
             at -= 1
-        held = {s["path"]: s for s in now["shards"]}
+        held, arrivals = {s["path"]: s for s in now["shards"]}, list(now["arrivals"])
         for change in reversed(changes):
             for path in change["removed"]:
                 del held[path]
             held |= {s["path"]: s for s in change["added"]}
-        return {"version": version, "schema": (changes or [now])[0]["schema"], "shards": list(held.values())}
+            arrivals += change["arrivals"]
+        return {"version": version, "schema": (changes or [now])[0]["schema"], "shards": list(held.values()), "arrivals": arrivals}
 
     def shards(self, version: int | None = None) -> list[Shard]:
         return [Shard(**x) for x in self._manifest(version)["shards"]]
 
-    def _commit(self, base: int, added: list[Shard], removed: list[str], schema: str) -> int:
+    def arrivals(self, version: int | None = None) -> list[str]:
+        """The names of the arrivals of a version, as far as they have one."""
+        return self._manifest(version)["arrivals"]
+
+    def _commit(self, base: int, added: list[Shard], removed: list[str], schema: str, arrival: str | None = None) -> int:
         """Version base + 1 with these changes; raises Conflict if it exists."""
-        body = {"version": base + 1, "schema": schema}
+        named = [arrival] if arrival is not None else []
+        body = {"version": base + 1, "schema": schema, "arrivals": named}
         if base % SNAPSHOT == 0:
-            gone = set(removed)
-            body["shards"] = [asdict(s) for s in self.shards(base) if s.path not in gone] + [asdict(s) for s in added]
+            gone, before = set(removed), self._manifest(base)
+            body["shards"] = [x for x in before["shards"] if x["path"] not in gone] + [asdict(s) for s in added]
+            body["arrivals"] = before["arrivals"] + named
         else:
             body |= {"added": [asdict(s) for s in added], "removed": removed}
         draft, fs = self._hadoop(f"{self.folder}/manifests/.draft-{uuid.uuid4().hex}")
@@ -122,7 +133,7 @@ class ShardStore:
             raise
         return base + 1
 
-    def _change(self, change: Callable[[dict], tuple[list[Shard], list[str], str] | None]) -> int:
+    def _change(self, change: Callable[[dict], tuple | None]) -> int:
         """Commits what change makes of the newest manifest; again if another writer was first. The current version if it
         makes nothing."""
         while True:
@@ -152,31 +163,27 @@ class ShardStore:
         df.write.option("compression", "zstd").option("parquet.block.size", 32 << 20).parquet(folder)
         return self._written(folder, df.schema)
 
-    def append(self, arrival: DataFrame) -> int:
-        """Adds an arrival as small shards, in a new version."""
-        return self.append_all(arrival, 1)
-
-    def append_all(self, rows: DataFrame, arrivals: int, compacting: bool = False) -> int:
-        """Adds rows in several arrivals: all are written by one job, and their shards committed group by group, each in a
-        version of its own, with a compaction after each if asked for."""
+    def append(self, rows: DataFrame, name: str | None = None) -> int:
+        """Adds an arrival as small shards, in a new version; an arrival whose name the store has is in it already."""
         schema = rows.schema.json()
 
-        def same(now: dict) -> None:
+        def there(now: dict) -> bool:
             if now["schema"] is not None and T.StructType.fromJson(json.loads(now["schema"])).simpleString() != rows.schema.simpleString():
                 raise ValueError("the arrival has other columns than the store")
+            return name is not None and name in now["arrivals"]
 
-        same(self._manifest())
-        saved = self._save(rows)
-        version = 0
-        for i in range(max(1, min(arrivals, len(saved)))):
+        if there(now := self._manifest()):
+            return now["version"]
+        saved, late = self._save(rows), False
 
-            def add(now: dict, group: list[Shard] = saved[i::arrivals]):
-                same(now)
-                return group, [], schema
+        def add(now: dict):
+            nonlocal late
+            late = there(now)
+            return None if late else (saved, [], schema, name)
 
-            version = self._change(add)
-            if compacting:
-                version = self.compact()
+        version = self._change(add)
+        if late:  # another writer was first with it
+            self._delete(s.path for s in saved)
         return version
 
     def plan(self, shards: list[Shard]) -> list[list[Shard]]:
@@ -240,6 +247,8 @@ class ShardStore:
     def located(self, version: int | None = None) -> DataFrame:
         """(row, shard, shard_bytes): the rows of a version, all columns in one, with the name and size of their file."""
         now = self._manifest(version)
+        if now["schema"] is None:
+            raise ValueError(f"{self.folder} has no version yet")
         schema = T.StructType.fromJson(json.loads(now["schema"]))
         paths = [x["path"] for x in now["shards"]]
         row = F.struct(*[F.col(f"`{n}`") for n in schema.fieldNames()]).alias("row")
@@ -253,11 +262,14 @@ class ShardStore:
             at, fs = self._hadoop(path)
             fs.delete(at, False)
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes what only versions before the newest `keep` name; the number of shards deleted. Manifests stay from the
-        snapshot that the oldest version kept builds on."""
-        there = self.versions()
-        old, kept = there[:-keep], there[-keep:]
+    def vacuum(self, keep: int = 1, age: float = 7 * 24 * 3600) -> int:
+        """Deletes what only versions before the newest `keep` name, if the version after them is older than age seconds, so
+        that readers of an older version may end; the number of shards deleted. Manifests stay from the snapshot that the
+        oldest version kept builds on."""
+        there, limit = self.versions(), time.time() - age
+        # A version is out of date since the one after it was committed.
+        old = [v for v, after in zip(there, there[1:], strict=False) if v in there[:-keep] and self._committed(after) <= limit]
+        kept = [v for v in there if v not in old]
         held = {s.path for v in kept for s in self.shards(v)}
         gone = {s.path for v in old for s in self.shards(v)} - held
         self._delete(gone)
@@ -266,20 +278,28 @@ class ShardStore:
         self._delete(self._file(v) for v in reversed([v for v in old if v < base]))
         return len(gone)
 
+    def _committed(self, version: int) -> float:
+        at, fs = self._hadoop(self._file(version))
+        return fs.getFileStatus(at).getModificationTime() / 1000
+
 
 def shard(docs: DataFrame, target_bytes: int = TARGET_BYTES, folder: str | None = None, arrivals: int = ARRIVALS) -> DataFrame:
     """(doc_id, n_bytes, text_sha256, shard, shard_bytes) for each row of docs, read back from the newest version of the
     store in folder, to which docs come in several arrivals, with a compaction by tiers after each.
 
-    All columns of docs are stored under their own names, whatever these are. Nulls stay null (n_bytes and text_sha256
-    too); repeated rows are stored each; an empty table makes a version without rows. Without a folder the store is a
-    temporary one, deleted when the driver ends.
+    A row's arrival follows from its doc_id and text, and arrivals have names: given the same docs, a lost run is
+    completed by running it again, and a complete one adds nothing. All columns of docs are stored under their own names,
+    whatever these are. Nulls stay null (n_bytes and text_sha256 too); repeated rows are stored each; an empty table
+    makes versions without rows. Older versions stay; without a folder the store is a temporary one, deleted when the
+    driver ends.
     """
     from ._common import new_path
 
     store = ShardStore(docs.sparkSession, folder or new_path(docs.sparkSession, "shards"), target_bytes)
-    store.append_all(docs, arrivals, compacting=True)
-    store.vacuum()
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(arrivals))
+    for i in range(arrivals):
+        store.append(docs.where(turn == i), f"{i + 1} of {arrivals}")
+        store.compact()
     return locations(store)
 
 

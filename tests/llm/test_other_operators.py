@@ -119,7 +119,7 @@ def test_shards(spark, documents, tmp_path):
         store._commit(3, [], [], documents.schema.json())
     with pytest.raises(ValueError):
         store.append(documents.select("doc_id"))
-    assert store.vacuum() > 0 and same(store.read()) == same(documents)
+    assert store.vacuum() == 0 and store.vacuum(age=0) > 0 and same(store.read()) == same(documents)
 
 
 def test_versions_build_on_snapshots(spark, tmp_path):
@@ -131,7 +131,7 @@ def test_versions_build_on_snapshots(spark, tmp_path):
     assert [len(store.shards(v)) for v in store.versions()] == store.versions()
     store.compact()
     newest = store.version()
-    store.vacuum(keep=2)
+    store.vacuum(keep=2, age=0)
     assert store.read().count() == store.read(newest - 1).count() == 2 * sharding.SNAPSHOT + 3
     assert store.versions()[0] == 2 * sharding.SNAPSHOT + 1
 
@@ -171,7 +171,10 @@ def test_plan_merges_similar_sizes(spark):
 def test_arrivals_are_merged_by_tiers(spark, tmp_path):
     rows = spark.range(4000).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text")).repartition(16)
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=200_000, fanout=4)
-    store.append_all(rows, 4, compacting=True)
+    for i in range(4):
+        store.append(rows.where(F.col("id") % 4 == i), f"part {i}")
+        store.compact()
+    assert store.append(rows, "part 2") == store.version() and store.arrivals() == [f"part {i}" for i in range(4)]
     sizes, versions = [s.bytes for s in store.shards()], store.versions()
     assert versions[-1] > 4 and max(sizes) <= 200_000 and len(sizes) < 16 and store.plan(store.shards()) == []
     held = [len(store.shards(v)) for v in versions]
@@ -187,6 +190,57 @@ def test_shard_query(spark, documents, empty):
     assert sharding.shard(empty).count() == 0
 
 
+class Lost(Exception):
+    pass
+
+
+def losing(monkeypatch, at, when):
+    """Makes the at-th commit end the run: before its draft, with a draft that isn't renamed, or once it is done."""
+    real, calls = sharding.ShardStore._commit, []
+
+    def commit(self, *args):
+        calls.append(args)
+        if len(calls) != at:
+            return real(self, *args)
+        if when == "draft":
+            draft, fs = self._hadoop(f"{self.folder}/manifests/.draft-lost")
+            fs.create(draft, True).close()
+        if when == "after":
+            real(self, *args)
+        raise Lost
+
+    monkeypatch.setattr(sharding.ShardStore, "_commit", commit)
+    return calls
+
+
+@pytest.mark.parametrize("when", ["before", "draft", "after"])
+def test_lost_runs_of_shard_are_completed(spark, documents, tmp_path, monkeypatch, when):
+    """The run is lost at each commit in turn, also at those of compactions, and run again as it is."""
+    docs = documents.unionByName(documents.limit(7)).repartition(4).cache()
+    texts = Counter((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect())
+    with monkeypatch.context() as m:
+        whole = losing(m, 0, when)
+        sharding.shard(docs, 60_000, f"file://{tmp_path}/whole")
+    assert len(whole) > 4
+    for at in range(1, len(whole) + 1):
+        folder = f"file://{tmp_path}/lost-{at}"
+        with monkeypatch.context() as m:
+            losing(m, at, when)
+            with pytest.raises(Lost):
+                sharding.shard(docs, 60_000, folder)
+        if when == "draft" and at == 1:
+            with pytest.raises(ValueError):
+                sharding.ShardStore(spark, folder).read()
+        out = sharding.shard(docs, 60_000, folder)
+        store = sharding.ShardStore(spark, folder, 60_000)
+        assert Counter((r.doc_id, r.text) for r in store.read().select("doc_id", "text").collect()) == texts
+        assert store.arrivals() == [f"{i} of 4" for i in range(1, 5)] and store.plan(store.shards()) == []
+        assert {(r.shard, r.shard_bytes) for r in out.collect()} == {("/".join(x.path.split("/")[-2:]), x.bytes) for x in store.shards() if x.rows}
+        version = store.version()
+        sharding.shard(docs, 60_000, folder)
+        assert store.version() == version
+
+
 def brute_quality(text):
     w = WORD.findall(text or "")
     windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
@@ -494,10 +548,20 @@ def test_pipeline_resumes_and_keeps_its_product(spark, documents, tmp_path, monk
         with pytest.raises(RuntimeError):
             corpus_pipeline.run(spark, str(tmp_path))
         monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(n, f) for n, f in real])
+        # Lost again, in the last stage: at each commit of its arrivals.
+        for at in range(1, 5):
+            with monkeypatch.context() as m, pytest.raises(Lost):
+                losing(m, 1, "draft" if at == 1 else "before" if at == 3 else "after")
+                corpus_pipeline.run(spark, str(tmp_path))
         first = sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
-        assert ran == [n for n, _ in real] and len(first) > 20
-        assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == first and len(ran) == 5
+        mixed = spark.read.parquet(f"{output}/source_mixing")
+        assert [r[0] for r in first] == sorted(r.doc_id for r in mixed.select("doc_id").collect()) and len(first) > 20
+        assert ran == [n for n, _ in real] + ["sharding"] * 4
+        assert sorted(tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == first
         assert sharding.ShardStore(spark, f"{output}/shards").read().columns == documents.columns
+        spark.createDataFrame(rows[:5], documents.schema).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        with pytest.raises(ValueError):
+            corpus_pipeline.run(spark, str(tmp_path))
     finally:
         spark.conf.unset(corpus_pipeline.OUTPUT)
 
