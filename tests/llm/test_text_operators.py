@@ -284,3 +284,37 @@ def test_components(spark, monkeypatch, chunk):
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a LONG, b LONG")).df.collect()}
     assert got == {n: v for n, v in least(links, {x for p in links for x in p}).items() if n in nodes}
     assert components(spark.createDataFrame([], "a BINARY, b BINARY")).df.count() == 0
+
+
+def exact_pairs(sets, percent):
+    """All pairs of sets with at least this similarity, from an index of every element."""
+    index, pairs = {}, set()
+    for i, s in enumerate(sets):
+        met = Counter()
+        for x in s:
+            met.update(index.setdefault(x, []))
+            index[x].append(i)
+        pairs |= {(j, i) for j, n in met.items() if 100 * n >= percent * (len(s) + len(sets[j]) - n)}
+    return pairs
+
+
+def test_recall_of_near_copies(spark):
+    """Every pair of five-word shingle sets of 0.8 or more is in one component, and of copies with so many changed words
+    those are found whose similarity reaches it."""
+    rng = random.Random(81)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    words = [f"w{i}" for i in range(2000)]
+    for changes in range(1, 7):
+        for _ in range(60):
+            base = [rng.choice(words) for _ in range(rng.randrange(60, 400))]
+            near = list(base)
+            for at in rng.sample(range(len(base)), changes):
+                near[at] = rng.choice(words)
+            docs += [(10_000 + len(docs), " ".join(base)), (10_001 + len(docs), " ".join(near))]
+    texts = [WORD.findall(lower(t)) for _, t in docs]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in texts]
+    pairs = exact_pairs(sets, 80)
+    got = {r.doc_id: r.component_id for r in minhash.components(spark.createDataFrame(docs, "doc_id LONG, text STRING")).collect()}
+    found = sum(got[docs[i][0]] == got[docs[j][0]] for i, j in pairs)
+    assert len(pairs) > 250 and found == len(pairs)
+    assert [got[d] for d, _ in docs] == [docs[k][0] for k in (lambda label: [label[i] for i in range(len(docs))])(least(pairs, range(len(docs))))]
