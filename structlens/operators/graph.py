@@ -1,20 +1,14 @@
-"""Graph operators: strongly connected components, chain depth, task cycles."""
+"""Graph operators: strongly connected components, chain depth, layers of what needs what."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import Written, written
 
 #: Trimming goes on while a round leaves at most this share of the edges.
 LEAST_TRIMMED = 0.8
-#: Edges that one task searches in memory.
-CHUNK = 1 << 20
 
 
 def _trimmed(edges: DataFrame) -> Written:
@@ -34,113 +28,93 @@ def _trimmed(edges: DataFrame) -> Written:
     return now
 
 
-def _colours(edges: DataFrame) -> Written:
-    """(node, colour): for each node of (src, dst) the smallest node that reaches it, itself included.
+def _least(edges: DataFrame, turn: int, rounds: list) -> Written:
+    """(node, least): for each node of (src, dst) the least node that reaches it, itself included, in an order of nodes that
+    is random and new each turn; least is (rank, node).
 
-    Each round only nodes whose colour changed pass it on.
+    In each round a node takes the least of those that its predecessors know, then what that one knows in turn: such
+    shortcuts make the stretch of a path that a node knows longer by a factor, so rounds follow the logarithm of the paths.
     """
+    rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("rank"), F.col(c).alias("node"))
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    now = Written(nodes.withColumn("colour", F.col("node")).withColumn("new", F.lit(True)))
-    while True:
-        passed = now.df.where("new").join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("colour").alias("offered"))
-        both = now.df.join(passed, F.col("node") == F.col("dst"), "left")
-        after = Written(both.select("node", F.least("colour", "offered").alias("colour"), F.coalesce(F.col("offered") < F.col("colour"), F.lit(False)).alias("new")))
-        now.drop()
-        now = after
-        if now.df.where("new").isEmpty():
-            return now
-
-
-def _reaching(edges: DataFrame, colours: DataFrame) -> Written:
-    """(node, colour): the nodes that reach the node their colour is named after, over edges inside the colour."""
-    a, b = colours.select(F.col("node").alias("src"), "colour"), colours.select(F.col("node").alias("dst"), F.col("colour").alias("other"))
-    inside = Written(edges.join(a, "src").join(b, "dst").where("colour = other").select("src", "dst", "colour"))
-    now = Written(colours.where("node = colour").select("node", "colour", F.lit(True).alias("new")))
+    now = Written(nodes.withColumn("least", rank("node")).withColumn("moved", F.lit(True)))
     while True:
-        back = now.df.where("new").select(F.col("node").alias("dst")).join(inside.df, "dst").select(F.col("src").alias("node"), "colour").distinct()
-        fresh = back.join(now.df, "node", "left_anti").withColumn("new", F.lit(True))
-        after = Written(now.df.withColumn("new", F.lit(False)).unionByName(fresh))
+        rounds.append(turn)
+        offers = edges.join(now.df.where("moved"), F.col("src") == F.col("node")).groupBy("dst").agg(F.min("least").alias("offer"))
+        known = now.df.select(F.col("node").alias("at"), F.col("least").alias("theirs"))
+        step = now.df.join(known, F.col("least.node") == F.col("at")).join(offers, F.col("node") == F.col("dst"), "left")
+        step = step.select("node", F.least("least", "theirs", "offer").alias("least"), F.col("least").alias("was"))
+        changed = Observation()
+        after = Written(step.select("node", "least", (F.col("least") < F.col("was")).alias("moved")).observe(changed, F.count_if("moved").alias("n")))
         now.drop()
         now = after
-        if now.df.where("new").isEmpty():
-            inside.drop()
+        if not changed.get["n"]:
             return now
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def strong_components(edges: DataFrame, rounds: list | None = None) -> DataFrame:
     """(component, node) of the cycles of (src, dst): components of more than one node, named by their smallest.
 
-    A graph of at most CHUNK edges is searched by one task. Of a larger one, nodes off every cycle are trimmed. Every
-    other node is coloured with the smallest node that reaches it; those that reach their colour's node are its
-    component. They are taken out, and what is left is trimmed and coloured again. All tables are of the size of the
-    edges; rounds grow with the longest of the shortest paths.
+    Forward and backward search from many pivots at once. Each turn, every node learns the least node that reaches it, and
+    inside the classes of these the least that it reaches, in a random order. Where both are one, that is a component;
+    other edges go on if they are inside one class of both. The random order cuts a path at random places, so turns, too,
+    follow the logarithm. All tables are of the size of the edges, and all steps are joins and aggregations, whatever
+    the size. rounds gets an entry for each round.
     """
-    plain = Written(edges.select("src", "dst").where("src <> dst").distinct())
-    if plain.df.count() <= CHUNK:
-        schema = T.StructType([T.StructField("component", plain.schema["src"].dataType), T.StructField("node", plain.schema["src"].dataType)])
-        return plain.df.repartition(1).mapInArrow(_searched, schema)
-    kept = _trimmed(plain.df)
-    plain.drop()
-    out = None
-    while not kept.df.isEmpty():
-        colours = _colours(kept.df)
-        found = _reaching(kept.df, colours.df)
-        colours.drop()
-        part = found.df.select(F.col("colour").alias("component"), "node")
+    rounds = [] if rounds is None else rounds
+    now = _trimmed(edges.select("src", "dst").where("src <> dst").distinct())
+    out, turn = None, 0
+    while not now.df.isEmpty():
+        ahead = _least(now.df, turn, rounds)
+        inside = Written(_within(now.df, ahead.df))
+        back = _least(inside.df.select(F.col("dst").alias("src"), F.col("src").alias("dst")), turn, rounds)
+        both = Written(back.df.select("node", F.col("least").alias("to")).join(ahead.df.select("node", "least"), "node").select("node", "least", (F.col("to.node") == F.col("least.node")).alias("found"), F.struct("to", "least").alias("both")))
+        part = both.df.where("found").select(F.col("least.node").alias("root"), "node")
         out = part if out is None else out.unionByName(part)
-        gone = found.df.select("node")
-        rest = kept.df.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        left = _trimmed(rest.select("src", "dst"))
-        kept.drop()
-        kept = left
+        rest = _within(inside.df, both.df.where("not found").select("node", F.col("both").alias("least")))
+        after = _trimmed(rest)
+        for x in (now, ahead, inside, back):
+            x.drop()
+        now, turn = after, turn + 1
     if out is None:
         return edges.select(F.col("src").alias("component"), F.col("src").alias("node")).limit(0)
-    several = out.groupBy("component").count().where("count > 1").select("component")
-    return out.join(several, "component", "left_semi")
-
-
-def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The components of the graph whose edges arrive: a depth-first order of the nodes, then a search backwards in it."""
-    ahead: dict = {}
-    back: dict = {}
-    kind = pa.int64()
-    for batch in batches:
-        kind = batch.schema.field("src").type
-        for a, b in zip(batch.column("src").to_pylist(), batch.column("dst").to_pylist(), strict=True):
-            ahead.setdefault(a, []).append(b)
-            back.setdefault(b, []).append(a)
-    order, seen = [], set()
-    for start in ahead:
-        if start in seen:
-            continue
-        seen.add(start)
-        stack = [(start, iter(ahead[start]))]
-        while stack:
-            node, rest = stack[-1]
-            following = next((x for x in rest if x not in seen), None)
-            if following is None:
-                order.append(node)
-                stack.pop()
-            else:
-                seen.add(following)
-                stack.append((following, iter(ahead.get(following, ()))))
-    placed: set = set()
-    found: list[tuple] = []
-    for start in reversed(order):
-        if start in placed:
-            continue
-        members, todo = [], [start]
-        placed.add(start)
-        while todo:
-            node = todo.pop()
-            members.append(node)
-            fresh = [x for x in back.get(node, ()) if x not in placed]
-            placed.update(fresh)
-            todo += fresh
-        if len(members) > 1:
-            name = min(members)
-            found += [(name, x) for x in members]
-    yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i in (0, 1)], ["component", "node"])
+    named = out.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1").select("root", "component")
+    return out.join(named, "root").select("component", "node")
+
+
+def _within(edges: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (src, dst) inside one class of (node, least)."""
+    a, b = classes.select(F.col("node").alias("src"), "least"), classes.select(F.col("node").alias("dst"), F.col("least").alias("other"))
+    return edges.join(a, "src").join(b, "dst").where("least = other").select("src", "dst")
+
+
+def layers(needs: DataFrame) -> DataFrame:
+    """(node, level, in_cycle) of every node of (node, needs), where needs may be null: level 0 needs nothing, others lie one
+    above the highest that they need. Nodes of a cycle, and all that need one, have no level; in_cycle tells the former.
+
+    Peeling by counters: a round takes the nodes whose needs are all met and lowers the counters of what needs them, so a
+    round costs a join with the nodes just taken; rounds are as many as there are levels.
+    """
+    edges = Written(needs.where("needs is not null").select("node", "needs").distinct())
+    every = needs.select("node").union(edges.df.select("needs")).distinct()
+    counted = edges.df.groupBy("node").agg(F.count("*").alias("open"))
+    now = Written(every.join(counted, "node", "left").select("node", F.coalesce("open", F.lit(0).cast("long")).alias("open")))
+    done, level = None, 0
+    while True:
+        taken = Written(now.df.where("open = 0").select("node"))
+        if taken.df.isEmpty():
+            break
+        part = taken.df.select("node", F.lit(level).alias("level"))
+        done = part if done is None else done.unionByName(part)
+        met = edges.df.join(taken.df.withColumnRenamed("node", "needs"), "needs", "left_semi").groupBy("node").agg(F.count("*").alias("met"))
+        after = Written(now.df.where("open > 0").join(met, "node", "left").select("node", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
+        now.drop()
+        now, level = after, level + 1
+    left = now.df.select("node")
+    core = edges.df.join(left, "node", "left_semi").join(left.withColumnRenamed("node", "needs"), "needs", "left_semi")
+    cycles = strong_components(core.select(F.col("node").alias("src"), F.col("needs").alias("dst"))).select("node").union(core.where("node = needs").select("node")).distinct()
+    stuck = left.join(cycles.withColumn("in_cycle", F.lit(True)), "node", "left").select("node", F.lit(None).cast("int").alias("level"), F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"))
+    return stuck if done is None else done.withColumn("in_cycle", F.lit(False)).unionByName(stuck)
 
 
 def chain_depth(classes: DataFrame) -> DataFrame:

@@ -255,6 +255,12 @@ def runnable_tasks(v: Views) -> DataFrame:
     return tasks.runnable(needs, met)
 
 
+@query
+def task_layers(v: Views) -> DataFrame:
+    """The order in which parts can be made: each needs those of half and a third of its number, some pairs each other."""
+    return graph.layers(v.part_needs())
+
+
 @query
 def resume_anti_join(v: Views) -> DataFrame:
     items = v.table("lineitem").select(F.col("l_orderkey").cast("string").alias("task_id"), F.col("l_linenumber").alias("index")).distinct()

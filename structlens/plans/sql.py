@@ -236,3 +236,13 @@ WITH p AS (SELECT page_id, html, regexp_replace(html, '[\\\n\r\t]', ' ', 'g') AS
 c AS (SELECT *, regexp_extract(plain || '",', '(?s)^(.*?)"[ \t\n\x0b\f\r]*(?:[,}]|$)', 1) = plain AS whole FROM p)
 SELECT page_id, CASE WHEN whole THEN page_id END AS id, CASE WHEN whole THEN length(html) END AS n FROM c
 """
+SQL["task_layers"] = """
+WITH RECURSIVE need AS (SELECT DISTINCT p_partkey AS node, n.p_partkey AS needs FROM (SELECT p_partkey, unnest([p_partkey // 2, p_partkey // 3, CASE p_partkey % 64 WHEN 40 THEN p_partkey + 1 WHEN 41 THEN p_partkey - 1 END]) AS k FROM part) JOIN (SELECT p_partkey FROM part) n ON n.p_partkey = k),
+reach AS (SELECT node, needs FROM need UNION SELECT r.node, n.needs FROM reach r JOIN need n ON n.node = r.needs),
+core AS (SELECT DISTINCT node FROM reach WHERE node = needs),
+stuck AS (SELECT node FROM core UNION SELECT r.node FROM reach r JOIN core c ON c.node = r.needs),
+walk AS (SELECT p_partkey AS node, 0 AS level FROM part WHERE p_partkey NOT IN (SELECT node FROM need)
+  UNION SELECT n.node, level + 1 FROM walk w JOIN need n ON n.needs = w.node WHERE n.node NOT IN (SELECT node FROM stuck)),
+high AS (SELECT node, max(level) AS level FROM walk GROUP BY 1)
+SELECT p_partkey AS node, level, p_partkey IN (SELECT node FROM core) AS in_cycle FROM part LEFT JOIN high ON node = p_partkey
+"""

@@ -98,6 +98,15 @@ class Views:
             empty("methods").alias("methods"), F.array(F.struct(F.col("priority").alias("name"), F.lit(None).cast("string").alias("qualifiedName"))).alias("annotations"),
         )
 
+    def part_needs(self) -> DataFrame:
+        """(node, needs): a part needs those of half and of a third of its number; every 64th and the next one need each other."""
+        key = F.col("p_partkey")
+        pair = F.when(key % 64 == 40, key + 1).when(key % 64 == 41, key - 1)
+        needs = F.array_distinct(F.array(F.expr("p_partkey div 2"), F.expr("p_partkey div 3"), pair))
+        each = self.table("part").select(key.alias("node"), F.explode(F.filter(needs, lambda x: x > 0)).alias("needs"))
+        known = self.table("part").select(key.alias("needs"))
+        return each.join(known, "needs").select("node", "needs").unionByName(self.table("part").select(key.alias("node"), F.lit(None).cast("long").alias("needs")))
+
     def supplier_classes(self) -> DataFrame:
         """(module, package, class): suppliers as classes of their nation's package."""
         package = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))

@@ -206,10 +206,32 @@ def test_manifest(spark, tmp_path):
     assert manifest.application(sbom).first()[0] == "g:nroot in version 1"
 
 
-@pytest.mark.parametrize("chunk", [1 << 20, 5])
-def test_strong_components_by_brute_force(spark, monkeypatch, chunk):
-    """In one task, and by rounds over tables."""
-    monkeypatch.setattr(graph, "CHUNK", chunk)
+def test_a_long_cycle_takes_few_rounds(spark):
+    """3000 nodes in a ring, with shuffled names: rounds follow the logarithm."""
+    ring = spark.range(3000).select(F.xxhash64("id").alias("src"), F.xxhash64((F.col("id") + 1) % 3000).alias("dst"))
+    rounds = []
+    got = graph.strong_components(ring, rounds)
+    assert got.count() == 3000 and got.select("component").distinct().count() == 1 and len(rounds) < 120
+
+
+def test_layers(spark):
+    rng = random.Random(8)
+    needs = [(i, rng.randrange(i)) for i in range(1, 40) for _ in range(rng.choice([0, 1, 2]))] + [(50, 51), (51, 52), (52, 50), (53, 52), (54, 53), (54, 3), (60, 60), (0, None), (99, None)]
+    ahead = {}
+    for a, b in needs:
+        ahead.setdefault(a, set())
+        if b is not None:
+            ahead[a].add(b)
+            ahead.setdefault(b, set())
+    level = {}
+    while more := {n for n, bs in ahead.items() if n not in level and all(b in level for b in bs)}:
+        level |= {n: max((level[b] + 1 for b in ahead[n]), default=0) for n in more}
+    expected = {(n, level.get(n), n in (50, 51, 52, 60)) for n in ahead}
+    assert table(graph.layers(spark.createDataFrame(needs, "node INT, needs INT")), "node", "level", "in_cycle") == expected
+    assert graph.layers(spark.createDataFrame([], "node INT, needs INT")).count() == 0
+
+
+def test_strong_components_by_brute_force(spark):
     rng = random.Random(5)
     for n in (20, 45):
         edges = [(rng.randrange(30), rng.randrange(30)) for _ in range(n)] + [(100, 101), (101, 102), (102, 100), (102, 103), (103, 104), (104, 103)]
