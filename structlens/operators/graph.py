@@ -97,19 +97,19 @@ def layers(needs: DataFrame) -> DataFrame:
     """
     edges = Written(needs.where("needs is not null").select("node", "needs").distinct())
     every = needs.select("node").union(edges.df.select("needs")).distinct()
-    counted = edges.df.groupBy("node").agg(F.count("*").alias("open"))
-    now = Written(every.join(counted, "node", "left").select("node", F.coalesce("open", F.lit(0).cast("long")).alias("open")))
+    start = every.join(edges.df.groupBy("node").agg(F.count("*").alias("open")), "node", "left").select("node", F.coalesce("open", F.lit(0).cast("long")).alias("open"))
     done, level = None, 0
     while True:
-        taken = Written(now.df.where("open = 0").select("node"))
-        if taken.df.isEmpty():
+        taken = Observation()
+        # Of each round what is taken now (open 0) and what is still open.
+        now = Written(start.observe(taken, F.count_if(F.col("open") == 0).alias("n")))
+        if not taken.get["n"]:
             break
-        part = taken.df.select("node", F.lit(level).alias("level"))
+        part = now.df.where("open = 0").select("node", F.lit(level).alias("level"))
         done = part if done is None else done.unionByName(part)
-        met = edges.df.join(taken.df.withColumnRenamed("node", "needs"), "needs", "left_semi").groupBy("node").agg(F.count("*").alias("met"))
-        after = Written(now.df.where("open > 0").join(met, "node", "left").select("node", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open")))
-        now.drop()
-        now, level = after, level + 1
+        met = edges.df.join(part.select(F.col("node").alias("needs")), "needs", "left_semi").groupBy("node").agg(F.count("*").alias("met"))
+        start = now.df.where("open > 0").join(met, "node", "left").select("node", (F.col("open") - F.coalesce("met", F.lit(0))).alias("open"))
+        level += 1
     left = now.df.select("node")
     core = edges.df.join(left, "node", "left_semi").join(left.withColumnRenamed("node", "needs"), "needs", "left_semi")
     cycles = strong_components(core.select(F.col("node").alias("src"), F.col("needs").alias("dst"))).select("node").union(core.where("node = needs").select("node")).distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import json_text, scalars
-from ..operators import coupling, files, graph, manifest, metrics
+from ..operators import coupling, discovery, files, graph, manifest, metrics, symbols
 from ..pipeline import tasks
 from ..report import sinks
 from ..rules import facts, thresholds
@@ -228,6 +228,39 @@ def list_directory(v: Views) -> DataFrame:
     return files.in_directory(files_, first or "").select("directory", "filename", "lines")
 
 
+#: The files that make a directory of pages a module, and what counts as a language there.
+BUILD_FILES, PAGE_KINDS = {"five": ["5"], "page": [".html"], "none": ["none"]}, {"digits": ["[0-9]"], "odd": ["1", "3", "5", "7", "9"], "page": [".html"]}
+
+
+@query
+def module_tree(v: Views) -> DataFrame:
+    """Modules with their names, parents, build systems, own and rolled-up files and lines."""
+    tree = v.tree()
+    found = discovery.modules(tree, "site", BUILD_FILES)
+    return found.withColumn("build_systems", F.array_join("build_systems", ",")).join(discovery.totals(tree, found), "module")
+
+
+@query
+def module_languages(v: Views) -> DataFrame:
+    tree = v.tree()
+    return discovery.languages(tree, discovery.modules(tree, "site", BUILD_FILES), PAGE_KINDS)
+
+
+@query
+def resolve_symbols(v: Views) -> DataFrame:
+    """What the names in all orders mean, as classes of their imports, packages and wildcards."""
+    names, imports, classes = v.symbols()
+    return symbols.resolve(names.distinct(), imports, classes).select("unit", "name", "qualified", "scope", "candidates")
+
+
+@query
+def symbol_imports(v: Views) -> DataFrame:
+    """How many orders mean each class."""
+    names, imports, classes = v.symbols()
+    found = symbols.unit_imports(symbols.resolve(names, imports, classes), imports, classes)
+    return found.groupBy("import").agg(F.count("*").alias("units"))
+
+
 @query
 def sbom_direct_deps(v: Views) -> DataFrame:
     """Regions depend on their nations' suppliers; what ASIA depends on."""

@@ -237,7 +237,7 @@ c AS (SELECT *, regexp_extract(plain || '",', '(?s)^(.*?)"[ \t\n\x0b\f\r]*(?:[,}
 SELECT page_id, CASE WHEN whole THEN page_id END AS id, CASE WHEN whole THEN length(html) END AS n FROM c
 """
 SQL["task_layers"] = """
-WITH RECURSIVE need AS (SELECT DISTINCT p_partkey AS node, n.p_partkey AS needs FROM (SELECT p_partkey, unnest([p_partkey // 2, p_partkey // 3, CASE p_partkey % 64 WHEN 40 THEN p_partkey + 1 WHEN 41 THEN p_partkey - 1 END]) AS k FROM part) JOIN (SELECT p_partkey FROM part) n ON n.p_partkey = k),
+WITH RECURSIVE need AS (SELECT DISTINCT node, n.p_partkey AS needs FROM (SELECT p_partkey AS node, unnest([p_partkey // 2, p_partkey // 3, CASE p_partkey % 64 WHEN 40 THEN p_partkey + 1 WHEN 41 THEN p_partkey - 1 END]) AS k FROM part) JOIN (SELECT p_partkey FROM part) n ON n.p_partkey = k AND k > 0),
 reach AS (SELECT node, needs FROM need UNION SELECT r.node, n.needs FROM reach r JOIN need n ON n.node = r.needs),
 core AS (SELECT DISTINCT node FROM reach WHERE node = needs),
 stuck AS (SELECT node FROM core UNION SELECT r.node FROM reach r JOIN core c ON c.node = r.needs),
@@ -246,3 +246,29 @@ walk AS (SELECT p_partkey AS node, 0 AS level FROM part WHERE p_partkey NOT IN (
 high AS (SELECT node, max(level) AS level FROM walk GROUP BY 1)
 SELECT p_partkey AS node, level, p_partkey IN (SELECT node FROM core) AS in_cycle FROM part LEFT JOIN high ON node = p_partkey
 """
+_TREE = _FILES.split("globs(wildcard", 1)[0] + r"""deep AS (SELECT rtrim(regexp_replace(path, '([0-9])', '\1/', 'g'), '/') AS path, lines FROM files),
+tree AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, string_split(path, '/')[-1] AS filename, lines FROM deep),
+here AS (SELECT directory AS path, string_agg(DISTINCT CASE filename WHEN '5' THEN 'five' ELSE 'page' END, ',' ORDER BY CASE filename WHEN '5' THEN 'five' ELSE 'page' END) AS build_systems FROM tree WHERE filename IN ('5', '.html') GROUP BY 1),
+inside AS (SELECT h.path, a.path AS around FROM here h JOIN here a ON h.path = a.path OR starts_with(h.path, a.path || '/')),
+short AS (SELECT path, string_agg(string_split(around, '/')[-1], '.' ORDER BY length(around)) AS short, max(around) FILTER (around <> path) AS parent FROM inside GROUP BY 1),
+mods AS (SELECT CASE WHEN count(*) OVER (PARTITION BY short) > 1 THEN 'site.' || replace(path, '/', '.') ELSE short END AS module, path, false AS root, parent, build_systems FROM short JOIN here USING (path)),
+owned AS (SELECT t.*, m.module, m.path = max(m.path) OVER (PARTITION BY t.rowid) AS own FROM (SELECT *, row_number() OVER () AS rowid FROM tree) t JOIN mods m ON t.directory = m.path OR starts_with(t.directory, m.path || '/'))"""
+SQL["module_tree"] = f"""WITH {_TREE}, sums AS (SELECT module, count(*) FILTER (own) AS files, CAST(coalesce(sum(lines) FILTER (own), 0) AS BIGINT) AS lines, count(*) AS all_files, CAST(sum(lines) AS BIGINT) AS all_lines FROM owned GROUP BY 1)
+SELECT * FROM mods JOIN sums USING (module)"""
+SQL["module_languages"] = f"""WITH {_TREE}, kinds(language, re) AS (VALUES ('digits', '^[0-9]$'), ('odd', '^[13579]$'), ('page', '^\\.html$'))
+SELECT module, language, count(*) AS files, CAST(sum(lines) AS BIGINT) AS lines FROM owned JOIN kinds ON regexp_matches(filename, re) WHERE own GROUP BY ALL"""
+_SYMBOLS = """part_class AS (SELECT p_partkey, 'b' || substr(p_brand, 7) AS of, replace(p_name, ' ', '_') AS simple FROM part),
+used AS (SELECT 'o' || o_orderkey AS unit, 'b' || (o_custkey % 30) AS package, of, simple, l_linenumber AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part_class ON p_partkey = l_partkey),
+known AS (SELECT DISTINCT of, simple FROM part_class),
+named AS (SELECT DISTINCT unit, package, of, simple, n = 7 AS dotted FROM used),
+found AS (SELECT unit, x.simple, 2 AS rank, s.of || '.' || x.simple AS qualified FROM named x JOIN used s USING (unit) WHERE s.n = 1 AND s.simple = x.simple AND NOT dotted
+  UNION SELECT unit, x.simple, 3, k.of || '.' || k.simple FROM named x JOIN known k ON k.of = x.package AND k.simple = x.simple WHERE NOT dotted
+  UNION SELECT unit, x.simple, 4, k.of || '.' || k.simple FROM named x JOIN used w USING (unit) JOIN known k ON k.of = w.of AND k.simple = x.simple WHERE w.n IN (2, 3) AND NOT dotted),
+ranked AS (SELECT unit, simple, rank, count(*) AS candidates, min(qualified) AS qualified FROM found GROUP BY ALL),
+best AS (SELECT unit, simple, min_by(struct_pack(rank, candidates, qualified), rank) AS b FROM ranked GROUP BY ALL),
+resolved AS (SELECT DISTINCT unit, x.simple AS name, CASE WHEN b.candidates = 1 THEN b.qualified END AS qualified, CASE WHEN b.candidates = 1 THEN ['import', 'package', 'wildcard'][b.rank - 1] END AS scope, coalesce(b.candidates, 0) AS candidates
+  FROM named x LEFT JOIN best USING (unit, simple) WHERE NOT dotted
+  UNION SELECT DISTINCT unit, of || '.' || simple, of || '.' || simple, 'qualified', 1 FROM named WHERE dotted)"""
+SQL["resolve_symbols"] = f"WITH {_SYMBOLS} SELECT * FROM resolved"
+SQL["symbol_imports"] = f"""WITH {_SYMBOLS}, u AS (SELECT unit, qualified AS import FROM resolved WHERE qualified IS NOT NULL UNION SELECT unit, of || '.' || simple FROM used WHERE n = 1)
+SELECT import, count(*) AS units FROM u GROUP BY 1"""

@@ -150,3 +150,25 @@ class Views:
         name = F.substring_index("path", "/", -1)
         lines = F.length("html") - F.length(F.replace("html", F.lit("\n"), F.lit(""))) + F.when(F.col("html").endswith("\n") | (F.col("html") == ""), 0).otherwise(1)
         return page.select("page_id", "path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("directory"), name.alias("filename"), lines.cast("long").alias("lines"))
+
+    def tree(self) -> DataFrame:
+        """files() in a deeper tree: every digit of a path is a directory, the last part a file."""
+        path = F.rtrim(F.regexp_replace("path", "([0-9])", "$1/"), F.lit("/"))
+        deep = self.files().select(path.alias("path"), "lines")
+        return deep.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("directory"), F.substring_index("path", "/", -1).alias("filename"), "lines")
+
+    def symbols(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(names, imports, classes) for operators.symbols: parts are classes of their brand's package; an order is a unit that
+        names its lineitems' parts, the seventh with its package; it imports the first part, and all of the second's and
+        third's packages."""
+        package, simple = F.concat(F.lit("b"), F.expr("substring(p_brand, 7)")), F.translate("p_name", " ", "_")
+        part = self.table("part").select(F.col("p_partkey").alias("l_partkey"), package.alias("of"), simple.alias("simple"))
+        own = F.concat(F.lit("b"), (F.col("o_custkey") % 30).cast("string"))
+        order = self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("unit"), own.alias("package"))
+        each = self.table("lineitem").select("l_orderkey", "l_partkey", "l_linenumber").join(part, "l_partkey").join(order, "l_orderkey")
+        qualified = F.concat_ws(".", "of", "simple")
+        names = each.select("unit", "package", F.concat_ws(".", "package", "unit").alias("class"), F.when(F.col("l_linenumber") == 7, qualified).otherwise(F.col("simple")).alias("name"))
+        wildcard = F.col("l_linenumber") > 1
+        imports = each.where("l_linenumber <= 3").select("unit", F.when(wildcard, F.col("of")).otherwise(qualified).alias("import"), wildcard.alias("wildcard"))
+        classes = part.select(qualified.alias("unit"), F.col("of").alias("package"), qualified.alias("class")).distinct()
+        return names, imports, classes

@@ -1,6 +1,7 @@
 """Java source files as rows of a module scan, from their tokens.
 
-There is no symbol solver: imports are the file's own import declarations, types stay as written. Measures of methods:
+scan() makes report rows: imports are the file's own single imports, names that these don't have are of its package. names()
+makes a row for each name as it is written, and operators.symbols finds the classes that these mean, over all files. Measures of methods:
 complexity is 1 and one for each if, for with a header of semicolons, while, do, catch, ?:, case, && and ||; nesting is
 that of blocks of if, for, while, do, switch and try; statements are those directly in the body.
 """
@@ -225,7 +226,7 @@ def _visibility(modifiers: set[str], inside_interface: bool) -> str:
 def parse(text: str) -> dict:
     """(package, imports, classes) of a source file; a file that breaks off keeps what was read before."""
     ts = tokens(text)
-    out: dict = {"package": "", "imports": [], "classes": []}
+    out: dict = {"package": "", "imports": [], "wildcards": [], "classes": []}
     try:
         while ts.peek():
             if ts.peek() == "package":
@@ -237,6 +238,8 @@ def parse(text: str) -> dict:
                 name = _name(ts)
                 if not name.endswith("*"):
                     out["imports"].append(f"static {name}" if static else name)
+                elif not static:
+                    out["wildcards"].append(name[:-2])
             else:
                 _declaration(ts, out, out["package"], None)
     except (IndexError, KeyError, ValueError, RecursionError):
@@ -264,7 +267,7 @@ def _declaration(ts: Tokens, out: dict, prefix: str, owner: dict | None, in_inte
             name = ts.next()
             while ts.peek() == ".":
                 name += ts.next() + ts.next()
-            annotations.append({"name": name.rpartition(".")[2], "qualifiedName": name if "." in name else next((i for i in out["imports"] if i.endswith("." + name)), None)})
+            annotations.append({"written": name, "name": name.rpartition(".")[2], "qualifiedName": name if "." in name else next((i for i in out["imports"] if i.endswith("." + name)), None)})
             if ts.peek() == "(":
                 ts.group()
         elif t in MODIFIERS:
@@ -292,10 +295,13 @@ def _type(ts: Tokens, out: dict, prefix: str, kind: str, doc: str | None, annota
     name = ts.next()
     qualified = f"{prefix}.{name}" if prefix else name
     found = {"qualifiedName": qualified, "documentation": doc, "superClass": None, "interfaces": [], "annotations": annotations, "fields": [], "methods": []}
+    found["names"] = [("annotation", None, None, a["written"]) for a in annotations]
     part, words = "", []
 
     def resolved(parts: list[str]) -> list[str]:
         joined = re.sub(r"<[^<>]*(?:<[^<>]*>[^<>]*)*>", "", "".join(parts))
+        role = "super" if part == "extends" and kind == "class" else "interface" if part in ("extends", "implements") else None
+        found["names"] += [(role, None, None, n) for n in joined.split(",") if n and role]
         known = {i.rpartition(".")[2]: i for i in out["imports"]}
         return [known.get(n, n if "." in n or not out["package"] else f"{out['package']}.{n}") for n in joined.split(",") if n]
 
@@ -339,7 +345,8 @@ def _member(ts: Tokens, owner: dict, doc: str | None, annotations: list[dict], m
             words.append(ts.next())
     visibility = _visibility(modifiers, in_interface)
     if ts.peek() == "(" and words:
-        types = _types(ts.group())
+        parameters = ts.group()
+        types = _types(parameters)
         while ts.peek() not in ("{", ";", ""):
             ts.next()
         if ts.peek() == ";":
@@ -351,6 +358,9 @@ def _member(ts: Tokens, owner: dict, doc: str | None, annotations: list[dict], m
         if not body and not constructor:
             return
         n, deepest = statements(body)
+        at = f"{len(owner['methods'])}"
+        owner["names"] += [("variable", at, name, kind) for kind, name in [*_parameters(parameters), *_variables(body)]]
+        owner["names"] += [("use", at, name, None) for name in sorted(_used(body))]
         result = "void" if constructor else "".join(words[:-1])
         owner["methods"].append({
             "name": "<init>" if constructor else words[-1], "descriptor": f"({','.join(types)}){result}" if not constructor else f"<init>({','.join(types)})",
@@ -369,6 +379,7 @@ def _member(ts: Tokens, owner: dict, doc: str | None, annotations: list[dict], m
             first = words.index(",")
             kind, names = "".join(words[: first - 1]), [words[first - 1], *[w for w in words[first + 1 :] if w != ","]]
         static, final = ("static" in modifiers or in_interface), ("final" in modifiers or in_interface)
+        owner["names"] += [("field", None, n, _bare(kind)) for n in names]
         owner["fields"] += [{"name": n, "type": kind, "visibility": visibility, "isStatic": static, "isFinal": final} for n in names]
     if not ts.peek():
         raise ValueError("no end")
@@ -377,6 +388,88 @@ def _member(ts: Tokens, owner: dict, doc: str | None, annotations: list[dict], m
     ts.next()
 
 
+#: Words that are no names; fixed values of the language.
+KEYWORDS = MODIFIERS | NESTING | {
+    "abstract", "assert", "boolean", "break", "byte", "case", "catch", "char", "class", "const", "continue", "double", "else", "enum", "extends", "false", "finally", "float",
+    "goto", "implements", "import", "instanceof", "int", "interface", "long", "new", "null", "package", "return", "short", "super", "this", "throw", "throws", "true", "var",
+    "void", "yield",
+}
+#: Types that are no classes.
+PRIMITIVE = {"boolean", "byte", "char", "double", "float", "int", "long", "short", "void", "var"}
+
+
+def _is_name(t: str) -> bool:
+    return bool(re.fullmatch(r"[A-Za-z_$\u0080-\uffff][\w$]*", t)) and t not in KEYWORDS
+
+
+def _bare(kind: str) -> str | None:
+    """A type's name without type arguments and brackets; null for one that is no class."""
+    name = re.sub(r"<.*>|\[\]|\.\.\.", "", kind)
+    return None if name in PRIMITIVE or not name else name
+
+
+def _type_at(body: list[str], i: int) -> tuple[str, int] | None:
+    """(a type's name, the index after it with type arguments and brackets) if one may begin at i."""
+    if i >= len(body) or not (_is_name(body[i]) or body[i] in PRIMITIVE) or (i and body[i - 1] == "."):
+        return None
+    parts = [body[i]]
+    i += 1
+    while i + 1 < len(body) and body[i] == "." and _is_name(body[i + 1]):
+        parts.append(body[i + 1])
+        i += 2
+    if i < len(body) and body[i] == "<":
+        i = _after(body, i, "<", ">")
+    while i + 1 < len(body) and body[i] == "[" and body[i + 1] == "]":
+        i += 2
+    return ".".join(parts), i
+
+
+def _variables(body: list[str]) -> list[tuple[str | None, str]]:
+    """(type, name) of the variables that a body declares: a type, a name, and what may follow a declaration."""
+    out = []
+    for i in range(len(body)):
+        found = _type_at(body, i)
+        if found and found[1] + 1 < len(body) and _is_name(body[found[1]]) and body[found[1] + 1] in ("=", ";", ":", ")", ","):
+            out.append((_bare(found[0]), body[found[1]]))
+    return out
+
+
+def _parameters(tokens_: list[str]) -> list[tuple[str | None, str]]:
+    return _variables([*(t for t in tokens_ if t not in ("final", ".")) , ";"] if "..." in tokens_ else [*tokens_, ";"])
+
+
+def _used(body: list[str]) -> set[str]:
+    """Names in expressions that may be variables: not behind a dot, no calls."""
+    return {t for i, t in enumerate(body) if _is_name(t) and (not i or body[i - 1] not in (".", "::", "@", "new")) and (i + 1 == len(body) or body[i + 1] != "(")}
+
+
+NAMES = "module STRING, unit STRING, package STRING, class STRING, kind STRING, method STRING, name STRING, type STRING"
+
+
+def names(files: DataFrame) -> DataFrame:
+    """Names as written in (module, filename, text): a row for each class (kind class), single import, wildcard import (its
+    package as name), super class, interface, annotation (type as written), field, variable (name and type) and use."""
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            rows = []
+            for f in batch.itertuples():
+                found = parse(f.text if isinstance(f.text, str) else "")
+                stem = f.filename.removesuffix(".java")
+                unit = f"{found['package']}.{stem}" if found["package"] else stem
+                at = (f.module, unit, found["package"])
+                rows += [(*at, None, "import", None, None, n.removeprefix("static ")) for n in found["imports"] if not n.startswith("static ")]
+                rows += [(*at, None, "wildcard", None, None, n) for n in found["wildcards"]]
+                for c in found["classes"]:
+                    rows.append((*at, c["qualifiedName"], "class", None, None, None))
+                    rows += [(*at, c["qualifiedName"], *n) for n in c["names"]]
+            yield pd.DataFrame(rows, columns=["module", "unit", "package", "class", "kind", "method", "name", "type"])
+
+    return files.mapInPandas(run, NAMES)
+
+
 def scan(files: DataFrame) -> DataFrame:
     """A row for each class of (module, production, generated, filename, text): the shape that report.merge() takes, scan 1."""
     from ..schemas import CLASS
