@@ -34,19 +34,11 @@ NUMERIC = {"method_nesting_depth", "cyclomatic_complexity", "method_count"}
 
 
 def _write(reports, out: str) -> None:
-    """A CSV of each metric in a folder of its own, one file a module."""
-    from pyspark.sql import functions as F
-
+    """A CSV of each metric in a folder of its own, one file a module, all by one job."""
     from .operators import suite
-    from .report import sinks
-
-    views = suite.Reports(reports)
-    names = [r[0] for r in views.modules.collect()]
-    for metric, make in suite.METRICS.items():
-        found = make(views)
-        for module in names:
-            own = found.where(F.col("module") == module)
-            sinks.write_csv(sinks.by_category(own, metric in NUMERIC), os.path.join(out, metric), f"{module}.csv")
+    from .report import csvfiles
+
+    csvfiles.write_metrics(suite.every(reports), out, NUMERIC)
 
 
 def _analyse(args) -> int:
