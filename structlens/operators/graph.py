@@ -55,31 +55,73 @@ def _least(edges: DataFrame, turn: int, rounds: list) -> Written:
 def strong_components(edges: DataFrame, rounds: list | None = None) -> DataFrame:
     """(component, node) of the cycles of (src, dst): components of more than one node, named by their smallest.
 
+    Nodes with a single way out are followed to where these ways end, by pointers that double: what ends in a ring of such
+    nodes is known then, all others are taken out, and the ways that led to them lead to their ends. The rest is searched
+    forward and backward from many pivots at once (_searched). Then those taken out that lie on a way inside a component
+    come back. All tables are of the size of the edges, and all steps are joins and aggregations, whatever the size; rounds,
+    which gets an entry for each, follow the logarithm of the paths.
+    """
+    rounds = [] if rounds is None else rounds
+    plain = _trimmed(edges.select("src", "dst").where("src <> dst").distinct())
+    if plain.df.isEmpty():
+        return edges.select(F.col("src").alias("component"), F.col("src").alias("node")).limit(0)
+    single = plain.df.groupBy("src").agg(F.min("dst").alias("to"), F.count("*").alias("n")).where("n = 1")
+    pointers = [Written(single.select(F.col("src").alias("node"), "to", F.col("src").alias("least")))]
+    n = pointers[0].df.count()
+    while n and 1 << (len(pointers) - 1) < 2 * n:
+        rounds.append("pointers")
+        ahead = pointers[-1].df.select(F.col("node").alias("at"), F.col("to").alias("further"), F.col("least").alias("theirs"))
+        moved = Observation()
+        step = pointers[-1].df.join(ahead, F.col("to") == F.col("at"), "left").observe(moved, F.count("at").alias("n"))
+        pointers.append(Written(step.select("node", F.coalesce("further", "to").alias("to"), F.least("least", "theirs").alias("least"))))
+        if not moved.get["n"]:
+            break
+    ends = pointers[-1].df
+    ring = ends.join(ends.select(F.col("node").alias("to")), "to", "left_semi")
+    rings = ends.join(ring.select(F.col("to").alias("node")).distinct(), "node", "left_semi").select(F.col("least").alias("root"), "node")
+    exits = Written(ends.join(ends.select(F.col("node").alias("to")), "to", "left_anti").select("node", F.col("to").alias("end")))
+    # Ways from nodes with several of them, to where they end; into a ring there is no way back.
+    led = plain.df.join(ends.select(F.col("node").alias("src")), "src", "left_anti").join(exits.df.withColumnRenamed("node", "dst"), "dst", "left")
+    led = led.join(ring.select(F.col("node").alias("dst")), "dst", "left_anti")
+    led = Written(led.select("src", F.col("dst").alias("by"), F.coalesce("end", "dst").alias("dst")))
+    found = Written(_searched(led.df.select("src", "dst").where("src <> dst").distinct(), rounds))
+    root = lambda at, to: found.df.select(F.col("node").alias(at), F.col("root").alias(to))
+    inside = led.df.join(root("src", "a"), "src", "left").join(root("dst", "b"), "dst", "left").withColumn("root", F.coalesce("a", "src"))
+    inside = inside.where("root = coalesce(b, dst) and by <> dst or src = dst")
+    marked = Written(inside.select(F.col("by").alias("node"), "root").unionByName(inside.select(F.col("dst").alias("node"), "root")).distinct())
+    for level in pointers:
+        rounds.append("marks")
+        more = marked.df.join(level.df.select("node", "to"), "node").select(F.col("to").alias("node"), "root")
+        after = Written(marked.df.unionByName(more).distinct())
+        marked.drop()
+        marked = after
+    out = found.df.select("root", "node").unionByName(marked.df.select("root", "node")).unionByName(rings).distinct()
+    named = out.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1").select("root", "component")
+    return out.join(named, "root").select("component", "node")
+
+
+def _searched(edges: DataFrame, rounds: list) -> DataFrame:
+    """(root, node) of the components of (src, dst), also of one node.
+
     Forward and backward search from many pivots at once. Each turn, every node learns the least node that reaches it, and
     inside the classes of these the least that it reaches, in a random order. Where both are one, that is a component;
     other edges go on if they are inside one class of both. The random order cuts a path at random places, so turns, too,
-    follow the logarithm. All tables are of the size of the edges, and all steps are joins and aggregations, whatever
-    the size. rounds gets an entry for each round.
+    follow the logarithm.
     """
-    rounds = [] if rounds is None else rounds
-    now = _trimmed(edges.select("src", "dst").where("src <> dst").distinct())
-    out, turn = None, 0
+    now = _trimmed(edges)
+    out, turn = edges.select(F.col("src").alias("root"), F.col("src").alias("node")).limit(0), 0
     while not now.df.isEmpty():
         ahead = _least(now.df, turn, rounds)
         inside = Written(_within(now.df, ahead.df))
         back = _least(inside.df.select(F.col("dst").alias("src"), F.col("src").alias("dst")), turn, rounds)
         both = Written(back.df.select("node", F.col("least").alias("to")).join(ahead.df.select("node", "least"), "node").select("node", "least", (F.col("to.node") == F.col("least.node")).alias("found"), F.struct("to", "least").alias("both")))
-        part = both.df.where("found").select(F.col("least.node").alias("root"), "node")
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(both.df.where("found").select(F.col("least.node").alias("root"), "node"))
         rest = _within(inside.df, both.df.where("not found").select("node", F.col("both").alias("least")))
         after = _trimmed(rest)
         for x in (now, ahead, inside, back):
             x.drop()
         now, turn = after, turn + 1
-    if out is None:
-        return edges.select(F.col("src").alias("component"), F.col("src").alias("node")).limit(0)
-    named = out.groupBy("root").agg(F.min("node").alias("component"), F.count("*").alias("n")).where("n > 1").select("root", "component")
-    return out.join(named, "root").select("component", "node")
+    return out
 
 
 def _within(edges: DataFrame, classes: DataFrame) -> DataFrame:

@@ -130,6 +130,30 @@ def batch(metrics: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def expanded(rows: DataFrame, values: list[tuple[str, Column]], zeros: DataFrame | None = None) -> DataFrame:
+    """(metric, module, category, value, count): several histograms by one pass over rows (module, category, ...). values has
+    the name of a metric and a value of it, the same name as often as it has values in a row; null values aren't counted.
+    zeros (metric, module, category, value) are there with count 0 if no row has them.
+
+    Each row becomes one for each value, and these are added up before they are sent.
+    """
+    each = F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), v.cast("string").alias("value")) for m, v in values]))
+    counted = rows.select(*KEYS, each).where("value is not null").withColumn("count", F.lit(1).cast("long"))
+    if zeros is not None:
+        counted = counted.unionByName(zeros.withColumn("count", F.lit(0).cast("long")))
+    return counted.groupBy("metric", *KEYS, "value").agg(F.sum("count").alias("count"))
+
+
+def flagged(metric: str, flags: dict[str, Column]) -> list[tuple[str, Column]]:
+    """Values of expanded(): the name of each flag that is set."""
+    return [(metric, F.when(c, n)) for n, c in flags.items()]
+
+
+def grid(modules: DataFrame, metric: str, values: list[str]) -> DataFrame:
+    """zeros of expanded() for all modules and categories."""
+    return _grid(modules, values).select(F.lit(metric).alias("metric"), *KEYS, "value")
+
+
 def skipped(modules: DataFrame, reports: DataFrame) -> DataFrame:
     """(module, status, reasoning) of modules without a report."""
     gone = modules.select("module").join(reports.select("module").distinct(), "module", "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from ..operators import coupling, discovery, files, graph, manifest, metrics, sy
 from ..pipeline import tasks
 from ..report import sinks
 from ..rules import facts, thresholds
+from ..session import written
 from ..sources import report as reports
 from ..streaming import progress
 from .views import Views
@@ -157,17 +159,43 @@ def import_diversity(v: Views) -> DataFrame:
     return metrics.all_categories(metrics.import_diversity(v.imports(), names))
 
 
-#: Queries of metrics by module and category that batch_metrics puts together.
-BATCH = (
-    "dist_visibility", "dist_interface_count", "dist_param_count", "dist_loc_null_skip", "dist_nesting", "dist_complexity", "dist_field_visibility", "dist_field_count",
-    "dist_field_method_ratio", "dist_coupling", "dist_module_deps", "dist_method_count", "doc_ratio", "dist_annotation",
-)
-
-
 @query
 def batch_metrics(v: Views) -> DataFrame:
-    """The distributions of all modules at once, in one table."""
-    return metrics.batch({name: QUERIES[name](v.spark, v.sf_dir) for name in BATCH})
+    """The distributions of all modules at once: members are read and joined once, and each level - members, classes, imports
+    - is counted by one pass."""
+    modules, classes = v.modules(), v.classes()
+    base = written(v.members(with_keys=True).join(classes.select("class", "module", "category"), "class"))
+    shown, private = F.col("visibility"), F.col("visibility") == "A"
+    static, final = F.col("is_static"), F.col("is_final")
+    zeros = [metrics.grid(modules, "dist_visibility", ["STATIC", "FINAL"]), metrics.grid(modules, "dist_field_visibility", ["STATIC", "FINAL", "TOTAL"])]
+    zeros += [metrics.grid(modules, "doc_ratio", ["DOCUMENTED_METHODS", "TOTAL_METHODS", "DOCUMENTED_CLASSES", "TOTAL_CLASSES"])]
+    of_members = metrics.expanded(
+        base,
+        [
+            ("dist_visibility", shown), *metrics.flagged("dist_visibility", {"STATIC": static, "FINAL": final}),
+            ("dist_field_visibility", F.when(~private, shown)), *metrics.flagged("dist_field_visibility", {"STATIC": static & ~private, "FINAL": final & ~private, "TOTAL": ~private}),
+            ("dist_param_count", F.col("parameter_count")), ("dist_loc_null_skip", F.col("lines_of_code")), ("dist_nesting", F.col("nesting")), ("dist_complexity", F.col("complexity")),
+            *metrics.flagged("doc_ratio", {"DOCUMENTED_METHODS": F.col("documented"), "TOTAL_METHODS": F.lit(True)}), ("dist_annotation", F.col("mark")),
+        ],
+        reduce(DataFrame.unionByName, zeros),
+    )
+    part = v.table("part").select("p_partkey", F.concat_ws(".", "p_brand", "p_type", "p_name").alias("import"))
+    used = written(base.select("module", "category", "class", F.col("part").alias("p_partkey")).distinct().join(part, "p_partkey").select("module", "category", "class", "import").distinct())
+    outside = scalars.is_external(F.col("import"), F.lit("Brand#11"))
+    of_imports = metrics.expanded(used, [("dist_module_deps", F.when(F.col("import").contains(".") & outside, scalars.prefix(F.col("import"))))])
+    counted = base.groupBy("class").agg(F.count("*").alias("n_methods"), F.count_if(shown == "N").alias("n_fields"), F.countDistinct("visibility").alias("n_interfaces"))
+    whole = classes.join(counted, "class", "left").join(used.groupBy("class").agg(F.count_if(outside).alias("n_external")), "class", "left")
+    whole = whole.fillna(0, ["n_methods", "n_fields", "n_interfaces", "n_external"])
+    of_classes = metrics.expanded(
+        whole,
+        [
+            ("dist_method_count", F.col("n_methods")), ("dist_field_count", F.col("n_fields")), ("dist_interface_count", F.col("n_interfaces")), ("dist_coupling", F.col("n_external")),
+            ("dist_field_method_ratio", F.expr("if(n_methods > 0, (n_fields * 100) div n_methods, null)")), ("dist_annotation", F.col("annotation")),
+            *metrics.flagged("doc_ratio", {"DOCUMENTED_CLASSES": F.col("documented"), "TOTAL_CLASSES": F.lit(True)}),
+        ],
+    )
+    every = of_members.unionByName(of_classes).unionByName(of_imports)
+    return every.groupBy("metric", "module", "category", "value").agg(F.sum("count").alias("count"))
 
 
 @query
@@ -177,7 +205,7 @@ def rollup_metric(v: Views) -> DataFrame:
 
 @query
 def inter_module_matrix(v: Views) -> DataFrame:
-    classes = v.nested()
+    classes = written(v.nested())
     return coupling.matrix(reports.imports(classes), classes)
 
 
@@ -410,13 +438,13 @@ def _class_facts(v: Views, classes: DataFrame) -> DataFrame:
 
 @query
 def rules_classes(v: Views) -> DataFrame:
-    found = thresholds.evaluate(_class_facts(v, v.nested()), thresholds.CLASS_RULES)
+    found = thresholds.evaluate(_class_facts(v, written(v.nested())), thresholds.CLASS_RULES)
     return found.groupBy("module", "aspect", "finding", "urgency", "criticality").agg(F.count("*").alias("occurrences"))
 
 
 @query
 def rules_modules(v: Views) -> DataFrame:
-    classes = v.nested()
+    classes = written(v.nested())
     names = classes.select("module", F.when(F.col("category") == "test", "test").otherwise("production").alias("category"), F.concat(F.expr("concat('C', unit)"), F.when(F.col("category") == "test", "Test").otherwise("")).alias("name"))
     found = facts.module_facts(classes, reports.methods(classes), _class_facts(v, classes), metrics.coverage(names)[0])
     return thresholds.evaluate(found, thresholds.MODULE_RULES).drop("subject")
@@ -424,14 +452,14 @@ def rules_modules(v: Views) -> DataFrame:
 
 @query
 def rules_annotations(v: Views) -> DataFrame:
-    classes = v.nested()
+    classes = written(v.nested())
     found = facts.annotation_facts(classes, reports.methods(classes), reports.annotations(classes))
     return thresholds.evaluate(found, thresholds.ANNOTATION_RULES).drop("subject")
 
 
 @query
 def rules_imports(v: Views) -> DataFrame:
-    classes = v.nested()
+    classes = written(v.nested())
     found = facts.import_facts(reports.imports(classes), classes.select("module", F.col("package").alias("namespace")).distinct())
     return thresholds.evaluate(found, thresholds.IMPORT_RULES).drop("subject")
 

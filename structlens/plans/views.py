@@ -35,8 +35,13 @@ class Views:
         )
         return orders.join(self.units(), "unit").select("module", "category", "unit", "class", "documented", "annotation")
 
-    def members(self) -> DataFrame:
+    def members(self, with_keys: bool = False) -> DataFrame:
+        """Members; with_keys also has their part and their annotation as nested() gives it."""
+        flag = F.col("l_returnflag")
+        mark = F.when(F.col("l_quantity") <= 25, F.when(flag == "N", "Override").when(F.col("l_tax") == 0, "org.frame.Bean"))
+        keys = [F.col("l_partkey").alias("part"), mark.alias("mark")] if with_keys else []
         return self.table("lineitem").select(
+            *keys,
             F.col("l_orderkey").alias("class"), F.col("l_returnflag").alias("visibility"), (F.col("l_linestatus") == "F").alias("is_static"), (F.col("l_discount") == 0).alias("is_final"),
             F.col("l_linenumber").alias("parameter_count"), F.when(F.col("l_tax") != 0, F.col("l_quantity").cast("int")).alias("lines_of_code"), F.col("l_linenumber").alias("complexity"),
             (F.col("l_linenumber") - 1).alias("nesting"), (F.col("l_tax") > 0).alias("documented"), F.when(F.col("l_returnflag") == "N", F.col("l_linestatus")).otherwise(F.col("l_returnflag")).alias("annotation"),
