@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import json_text, scalars
+from ..functions import json_text, scalars, tables
 from ..operators import coupling, discovery, files, graph, manifest, metrics, symbols
 from ..pipeline import tasks
 from ..report import sinks
@@ -289,6 +289,30 @@ def symbol_imports(v: Views) -> DataFrame:
     return found.groupBy("import").agg(F.count("*").alias("units"))
 
 
+@query
+def sql_prefix_counts(v: Views) -> DataFrame:
+    """Orders by the beginnings of the names of their parts, all in SQL with table functions."""
+    tables.register(v.spark)
+    named = v.table("part").selectExpr("p_partkey", "concat_ws('.', p_brand, p_type, replace(p_name, ' ', '.')) AS name")
+    return v.spark.sql(
+        """
+        WITH prefixes AS (SELECT p_partkey, segments, prefix FROM prefixes_of(TABLE({named}), 'name')),
+        used AS (SELECT l_returnflag, prefix FROM {lineitem} JOIN prefixes ON l_partkey = p_partkey WHERE segments < 4)
+        SELECT key AS returned, value AS prefix, sum(count) AS count FROM values_of(TABLE(SELECT * FROM used), 'l_returnflag', 'prefix') GROUP BY ALL
+        """,
+        named=named, lineitem=v.table("lineitem"),
+    )
+
+
+@query
+def sql_json_problems(v: Views) -> DataFrame:
+    """Events whose properties don't fit a schema, by SQL."""
+    tables.register(v.spark)
+    schema = '{"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "maximum": 90}}}'
+    found = v.spark.sql("SELECT event_id, size(problems) AS problems FROM json_problems(TABLE(SELECT event_id, props FROM {events}), 'props', :schema)", args={"schema": schema}, events=v.table("events"))
+    return found.where("problems > 0").withColumn("problems", F.col("problems").cast("long"))
+
+
 @query
 def sbom_direct_deps(v: Views) -> DataFrame:
     """Regions depend on their nations' suppliers; what ASIA depends on."""
@@ -470,6 +494,47 @@ def rules_cycles(v: Views) -> DataFrame:
     return thresholds.evaluate(found, thresholds.CYCLE_RULES, "module", "component")
 
 
+def _estate(v: Views) -> dict[str, DataFrame]:
+    """The estate with its lines written once; its views read what they need of them."""
+    return {name: written(df) if name in ("classes", "methods", "fields", "imports") else df for name, df in v.estate().items()}
+
+
+def _occurrences(table: str, found: DataFrame) -> DataFrame:
+    return found.groupBy("module", "aspect", "finding", "urgency", "criticality").agg(F.count("*").alias("occurrences")).withColumn("rules", F.lit(table))
+
+
+@query
+def rules_estate(v: Views) -> DataFrame:
+    """Every rule of every table over large classes of many kinds, with the number of its findings in each module."""
+    e = _estate(v)
+    depths = graph.chain_depth(e["classes"].select("module", "class", "super_class"))
+    of_classes = written(facts.class_facts(e["classes"], e["fields"], e["imports"], depths))
+    of_modules = facts.module_facts(e["classes"], e["methods"], of_classes, metrics.coverage(e["names"])[0])
+    of_annotations = facts.annotation_facts(e["classes"], e["methods"], e["annotations"])
+    stability = coupling.instability(e["edges"], e["modules"])
+    found = {
+        "methods": thresholds.evaluate(e["methods"], thresholds.METHOD_RULES), "classes": thresholds.evaluate(of_classes, thresholds.CLASS_RULES),
+        "modules": thresholds.evaluate(of_modules, thresholds.MODULE_RULES), "annotations": thresholds.evaluate(of_annotations, thresholds.ANNOTATION_RULES),
+        "imports": thresholds.evaluate(facts.import_facts(e["imports"], e["namespaces"]), thresholds.IMPORT_RULES), "stability": thresholds.evaluate(stability, thresholds.STABILITY_RULES),
+    }
+    return reduce(DataFrame.unionByName, [_occurrences(n, df) for n, df in found.items()])
+
+
+@query
+def unstable_estate(v: Views) -> DataFrame:
+    """Stable modules (under 30) that depend on unstable ones (over 70)."""
+    e = v.estate()
+    edges = written(e["edges"])
+    return thresholds.unstable_dependencies(edges, coupling.instability(edges, e["modules"]))
+
+
+@query
+def rules_package_cycles(v: Views) -> DataFrame:
+    """Cycles of packages, by the imports of all their classes."""
+    found = facts.cycle_facts(graph.strong_components(graph.package_graph(v.supplier_imports(), v.supplier_classes())))
+    return thresholds.evaluate(found, thresholds.CYCLE_RULES, "module", "component")
+
+
 @query
 def rules_grouped(v: Views) -> DataFrame:
     stability = coupling.instability(coupling.weights(v.module_surplus()), v.modules())

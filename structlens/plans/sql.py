@@ -272,3 +272,49 @@ resolved AS (SELECT DISTINCT unit, x.simple AS name, CASE WHEN b.candidates = 1
 SQL["resolve_symbols"] = f"WITH {_SYMBOLS} SELECT * FROM resolved"
 SQL["symbol_imports"] = f"""WITH {_SYMBOLS}, u AS (SELECT unit, qualified AS import FROM resolved WHERE qualified IS NOT NULL UNION SELECT unit, of || '.' || simple FROM used WHERE n = 1)
 SELECT import, count(*) AS units FROM u GROUP BY 1"""
+_ESTATE = """cust AS (SELECT c_custkey AS k, CASE WHEN c_custkey < 16 THEN c_custkey ELSE c_custkey >> CAST(length(bin(c_custkey)) - 4 AS BIGINT) END AS m FROM customer),
+cu AS (SELECT k, m, 'M' || m AS module, CASE WHEN k % 5 = 0 AND m % 4 <> 1 THEN 'test' ELSE 'production' END AS category FROM cust),
+ln AS (SELECT module, m, category, k, l_quantity > 40 AS is_field,
+  CASE WHEN m % 5 = 0 OR (m % 5 = 1 AND l_linenumber <= 5) OR l_returnflag = 'N' THEN 'PUBLIC' WHEN l_returnflag = 'A' THEN 'PRIVATE' ELSE 'PROTECTED' END AS vis,
+  CASE WHEN m % 3 = 0 THEN l_linestatus = 'F' ELSE l_discount = 0 END AS stat, l_discount = 0 AS fin, l_linenumber + CAST(floor(l_quantity) AS INTEGER) % 4 AS params,
+  CASE WHEN l_tax <> 0 THEN CAST(floor(l_quantity) AS INTEGER) * 2 END AS loc, l_partkey % 25 AS cc, l_suppkey % 8 AS nest, l_linenumber % 5 AS bools,
+  CASE WHEN l_returnflag = 'N' AND (m % 2 = 0 OR l_linenumber = 7) THEN 'Override' WHEN l_tax = 0 OR m % 6 = 1 THEN 'org.frame.Bean' END AS mark,
+  CASE WHEN m % 4 = 3 THEN 'org.lib.P' || l_partkey WHEN m % 4 = 1 THEN CASE WHEN l_linenumber % 2 = 1 THEN 'java.util.P' || l_partkey ELSE 'com.v' || (l_partkey % 5) || '.Q' END
+       WHEN l_linenumber > 1 THEN 'pkg.m' || m || '.C' || l_partkey ELSE 'org.x' || (l_partkey % 9) || '.Y' END AS import, l_partkey AS part
+  FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN cu ON k = o_custkey),
+each_line AS (SELECT *, NOT starts_with(import, 'pkg.m' || m || '.') AS outside FROM ln),
+sums AS (SELECT k, count(*) FILTER (is_field) AS n_fields, count(*) FILTER (NOT is_field) AS n_methods, count(*) FILTER (is_field AND vis = 'PUBLIC' AND NOT (stat AND fin)) AS n_open, count(*) FILTER (outside) AS n_external FROM each_line GROUP BY 1),
+cl AS (SELECT cu.*, coalesce(n_fields, 0) AS n_fields, coalesce(n_methods, 0) AS n_methods, coalesce(n_open, 0) AS n_open, coalesce(n_external, 0) AS n_external, k % 8 AS n_interfaces, k % 7 = 0 AS is_data_class,
+  m % 2 = 0 OR k % 3 = 0 AS documented, CASE WHEN k % 4 <> 3 AND m <> 8 AND k >= 16 THEN k // 2 END AS parent FROM cu LEFT JOIN sums USING (k)),
+chain AS (SELECT k AS class, parent AS up, CASE WHEN parent IS NULL THEN 0 ELSE 1 END AS depth FROM cl UNION ALL SELECT class, c.parent, depth + 1 FROM chain JOIN cl c ON c.k = up WHERE c.parent IS NOT NULL),
+cf AS (SELECT cl.*, d.depth FROM cl JOIN (SELECT class, max(depth) AS depth FROM chain GROUP BY 1) d ON class = k),
+mm AS (SELECT module, count(*) AS n_all, count(*) FILTER (vis = 'PUBLIC') AS n_public, count(*) FILTER (vis = 'PRIVATE') AS n_private, count(*) FILTER (vis = 'PROTECTED') AS n_protected, count(*) FILTER (stat) AS n_static
+  FROM ln WHERE NOT is_field AND category = 'production' GROUP BY 1),
+mk AS (SELECT module, count(*) FILTER (category = 'production') AS n_classes, count(*) FILTER (category = 'production' AND documented) AS n_documented, count(*) FILTER (category = 'test') AS n_tests,
+  max(depth) FILTER (category = 'production') AS max_depth, sum(n_external) FILTER (category = 'production') AS n_external FROM cf GROUP BY 1),
+cov AS (SELECT p.module, count(t.k) * 100 // count(*) AS coverage FROM cl p LEFT JOIN cl t ON t.category = 'test' AND t.module = p.module AND t.k + 1 = p.k WHERE p.category = 'production' GROUP BY 1),
+mf AS (SELECT * FROM mk LEFT JOIN mm USING (module) LEFT JOIN cov USING (module)),
+an AS (SELECT module, count(*) AS n, count(*) FILTER (mark = 'org.frame.Bean') AS n_framework FROM ln WHERE mark IS NOT NULL AND NOT is_field GROUP BY 1),
+heirs AS (SELECT l.module, count(*) AS n_overridable, count(*) FILTER (mark = 'Override') AS n_overriding FROM ln l JOIN cl USING (k) WHERE NOT is_field AND (parent IS NOT NULL OR n_interfaces > 0) GROUP BY 1),
+sized AS (SELECT module, count(*) AS n_classes, coalesce(max(n), 0) AS n, coalesce(max(n_framework), 0) AS n_framework FROM cl LEFT JOIN an USING (module) GROUP BY 1),
+af AS (SELECT s.*, coalesce(n_overridable, 0) AS n_overridable, coalesce(n_overriding, 0) AS n_overriding, sum(n) OVER () AS all_n, sum(n_classes) OVER () AS all_classes FROM sized s LEFT JOIN heirs USING (module)),
+ip AS (SELECT module, array_to_string(string_split(import, '.')[1:2], '.') AS prefix, count(*) AS n, count(*) FILTER (outside) AS outside, count(*) FILTER (outside AND starts_with(import, 'java.')) AS java FROM each_line GROUP BY ALL),
+imf AS (SELECT module, sum(n) AS n_imports, sum(outside) AS n_external, sum(java) AS n_java, max(outside) AS n_top FROM ip GROUP BY 1),
+edges AS (SELECT module AS "from", 'M' || (part % 16) AS "to", count(*) AS n FROM ln WHERE (m <> 5 AND part % 16 <> 5 AND part % 16 < m) OR (m = 1 AND part % 16 = 15) GROUP BY ALL),
+st AS (SELECT module, ce, ca, CASE WHEN ce + ca > 0 THEN ce * 100 // (ce + ca) ELSE 0 END AS instability FROM (SELECT DISTINCT module, (SELECT count(DISTINCT "to") FROM edges WHERE "from" = module) AS ce, (SELECT count(DISTINCT "from") FROM edges WHERE "to" = module) AS ca FROM cu))"""
+_IMPORT_RULES_OF_ALL = [(a, "10 * n_java > 4 * n_external" if c == "false" else c, *rest) for a, c, *rest in _IMPORT_RULES]
+_TABLES = {
+    "methods": ("(SELECT * FROM ln WHERE NOT is_field)", [*_RULES, ("booleans", "bools >= 3", "three or more boolean parameters", "LOW", "LOW")]), "classes": ("cf", _CLASS_RULES), "modules": ("mf", _MODULE_RULES),
+    "annotations": ("af", _ANNOTATION_RULES), "imports": ("imf", _IMPORT_RULES_OF_ALL), "stability": ("st", [("stability", *r) for r in _STABLE]),
+}
+SQL["rules_estate"] = f"WITH RECURSIVE {_ESTATE} " + " UNION ALL ".join(f"SELECT *, '{n}' AS rules FROM ({_found(rows, rules)})" for n, (rows, rules) in _TABLES.items())
+SQL["unstable_estate"] = f"""WITH RECURSIVE {_ESTATE} SELECT e."from", e."to" FROM edges e JOIN st a ON a.module = e."from" JOIN st b ON b.module = e."to" WHERE a.ce + a.ca > 0 AND a.instability < 30 AND b.instability > 70"""
+SQL["rules_package_cycles"] = SQL["package_tangles"].rsplit(" SELECT a.component, l.src", 1)[0] + """, sized AS (SELECT component, count(*) AS size FROM scc GROUP BY 1)
+SELECT 'all' AS module, component AS subject, 'cycles' AS aspect, 'cycle' AS finding, 'HIGH' AS urgency, 'HIGH' AS criticality FROM sized
+UNION ALL SELECT 'all', component, 'cycles', 'cycle of more than 3', 'HIGH', 'HIGH' FROM sized WHERE size > 3"""
+SQL["sql_prefix_counts"] = """
+WITH named AS (SELECT p_partkey, string_split(p_brand || '.' || p_type || '.' || replace(p_name, ' ', '.'), '.') AS parts FROM part),
+prefixes AS (SELECT p_partkey, array_to_string(parts[1:i], '.') AS prefix FROM named, generate_series(1, 3) t(i) WHERE i <= len(parts))
+SELECT l_returnflag AS returned, prefix, count(*) AS count FROM lineitem JOIN prefixes ON l_partkey = p_partkey GROUP BY ALL
+"""
+SQL["sql_json_problems"] = "SELECT event_id, 1::BIGINT AS problems FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 90"

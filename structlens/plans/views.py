@@ -177,3 +177,43 @@ class Views:
         imports = each.where("l_linenumber <= 3").select("unit", F.when(wildcard, F.col("of")).otherwise(qualified).alias("import"), wildcard.alias("wildcard"))
         classes = part.select(qualified.alias("unit"), F.col("of").alias("package"), qualified.alias("class")).distinct()
         return names, imports, classes
+
+    def estate(self) -> dict[str, DataFrame]:
+        """Flattened views with large classes of many kinds, so that every rule has findings: customers are classes, their
+        lineitems members and imports. A customer's module is that of half its number, so superclasses stay inside; what
+        members are like depends on the module m."""
+        k, module = F.col("c_custkey"), lambda m: F.concat(F.lit("M"), m.cast("string"))
+        m = F.expr("if(c_custkey < 16, c_custkey, shiftright(c_custkey, length(bin(c_custkey)) - 4))")
+        named = lambda x: F.concat(F.lit("C"), x.cast("string"))
+        category = F.when((k % 5 == 0) & (m % 4 != 1), "test").otherwise("production")
+        customer = self.table("customer").select(k.alias("k"), m.cast("long").alias("m"), category.alias("category"))
+        each = self.table("lineitem").join(self.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("k")), "l_orderkey").join(customer, "k")
+        flag, m, part = F.col("l_returnflag"), F.col("m"), F.col("l_partkey")
+        override = (flag == "N") & ((m % 2 == 0) | (F.col("l_linenumber") == 7))
+        mark = F.when(override, "Override").when((F.col("l_tax") == 0) | (m % 6 == 1), "org.frame.Bean")
+        visibility = F.when((m % 5 == 0) | (m % 5 == 1) & (F.col("l_linenumber") <= 5), "PUBLIC").when(flag == "N", "PUBLIC").when(flag == "A", "PRIVATE").otherwise("PROTECTED")
+        static = F.when(m % 3 == 0, F.col("l_linestatus") == "F").otherwise(F.col("l_discount") == 0)
+        used = F.when(m % 4 == 3, F.concat(F.lit("org.lib.P"), part.cast("string"))).when(
+            m % 4 == 1, F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("java.util.P"), part.cast("string"))).otherwise(F.concat(F.lit("com.v"), (part % 5).cast("string"), F.lit(".Q")))
+        ).otherwise(F.when(F.col("l_linenumber") > 1, F.concat(F.lit("pkg.m"), m.cast("string"), F.lit(".C"), part.cast("string"))).otherwise(F.concat(F.lit("org.x"), (part % 9).cast("string"), F.lit(".Y"))))
+        lines = each.select(
+            module(m).alias("module"), "m", "category", named(F.col("k")).alias("class"), "k", (F.col("l_quantity") > 40).alias("is_field"), visibility.alias("visibility"), static.alias("is_static"),
+            (F.col("l_discount") == 0).alias("is_final"), (F.col("l_linenumber") + (F.col("l_quantity").cast("int") % 4)).alias("parameter_count"),
+            F.when(F.col("l_tax") != 0, F.col("l_quantity").cast("int") * 2).alias("lines_of_code"), (part % 25).alias("complexity"), (F.col("l_suppkey") % 8).alias("nesting"),
+            (F.col("l_linenumber") % 5).alias("n_booleans"), mark.alias("mark"), used.alias("import"), F.concat(F.lit("pkg.m"), m.cast("string")).alias("package"), part.alias("part"),
+        )
+        sizes = lines.groupBy("k").agg(F.count_if("is_field").alias("n_fields"), F.count_if(~F.col("is_field")).alias("n_methods"))
+        above = F.when((F.col("k") % 4 != 3) & (F.col("m") != 8) & (F.col("k") >= 16), named(F.expr("k div 2")))
+        classes = customer.join(sizes, "k", "left").fillna(0, ["n_fields", "n_methods"]).select(
+            module(F.col("m")).alias("module"), "m", "category", named(F.col("k")).alias("class"), above.alias("super_class"), (F.col("k") % 8).alias("n_interfaces"), "n_fields", "n_methods",
+            ((F.col("m") % 2 == 0) | (F.col("k") % 3 == 0)).alias("documented"), (F.col("k") % 7 == 0).alias("is_data_class"), F.concat(F.lit("pkg.m"), F.col("m").cast("string")).alias("package"), "k",
+        )
+        methods = lines.where("not is_field").withColumn("annotations", F.when(F.col("mark").isNotNull(), F.array(F.struct(F.col("mark").alias("name")))).otherwise(F.array().cast("array<struct<name:string>>")))
+        tests = F.when(F.col("category") == "test", F.concat(named(F.col("k") + 1), F.lit("Test"))).otherwise(F.col("class"))
+        to = F.col("part") % 16
+        edges = lines.where((F.col("m") != 5) & (to != 5) & (to < F.col("m")) | (F.col("m") == 1) & (to == 15)).groupBy(F.col("module").alias("from"), module(to).alias("to")).agg(F.count("*").alias("import_count"))
+        return {
+            "classes": classes, "methods": methods, "fields": lines.where("is_field"), "imports": lines.select("module", "category", "class", "package", "import"),
+            "annotations": methods.where("mark is not null").select("module", "category", F.col("mark").alias("name")), "names": classes.select("module", "category", tests.alias("name")),
+            "namespaces": classes.select("module", F.col("package").alias("namespace")).distinct(), "edges": edges, "modules": classes.select("module").distinct(),
+        }

@@ -55,3 +55,15 @@ def test_module_uses_count_every_lineitem(spark, name):
 def test_csv_has_the_rows_of_every_module(spark, tables):
     got = benchmark.QUERIES["csv_by_category"](spark, SF).toPandas()
     assert got.module.nunique() == 25 and got.Count.sum() == tables.sql("SELECT count(*) FROM lineitem JOIN orders ON l_orderkey = o_orderkey").fetchall()[0][0]
+
+
+def test_every_rule_finds_something(spark):
+    from structlens.rules import thresholds
+
+    sf = "/root/testdata/sf0.01"
+    got = {(r.rules, r.finding) for r in benchmark.QUERIES["rules_estate"](spark, sf).collect()}
+    tables = {"methods": thresholds.METHOD_RULES, "classes": thresholds.CLASS_RULES, "modules": thresholds.MODULE_RULES, "annotations": thresholds.ANNOTATION_RULES}
+    tables |= {"imports": thresholds.IMPORT_RULES, "stability": thresholds.STABILITY_RULES}
+    assert got == {(name, r.finding) for name, rules in tables.items() for r in rules}
+    assert {r.finding for r in benchmark.QUERIES["rules_package_cycles"](spark, sf).collect()} == {r.finding for r in thresholds.CYCLE_RULES}
+    assert benchmark.QUERIES["unstable_estate"](spark, sf).count() > 0
