@@ -13,9 +13,9 @@ from ..operators import coupling, discovery, files, graph, manifest, metrics, sy
 from ..pipeline import tasks
 from ..report import sinks
 from ..rules import facts, thresholds
-from ..session import written
+from ..session import new_path, written
 from ..sources import report as reports
-from ..streaming import progress
+from ..streaming import progress, state
 from .views import Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -428,6 +428,20 @@ def progress_windows(v: Views) -> DataFrame:
     return out.select("start", "event_type", "n", F.round("total", 2).alias("total"))
 
 
+@query
+def done_indices(v: Views) -> DataFrame:
+    """A stream of events as done indices of their users, in two runs over one checkpoint: the second knows what the first
+    has seen, and sees some of it again."""
+    spark = state.session_for_state(v.spark)
+    events = v.table("events").select(F.col("user_id").alias("task_id"), (F.col("event_id") % 5000).alias("index"))
+    folder = new_path(spark)
+    for part in (F.col("index") < 3000, F.col("index") > 2000):
+        events.where(part).write.mode("append").parquet(f"{folder}/in")
+        items = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        state.run_to_end(state.new_indices(items), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.schema("task_id LONG, index LONG").parquet(f"{folder}/out")
+
+
 @query
 def labels(v: Views) -> DataFrame:
     return v.table("orders").select(

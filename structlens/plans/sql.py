@@ -318,3 +318,4 @@ prefixes AS (SELECT p_partkey, array_to_string(parts[1:i], '.') AS prefix FROM n
 SELECT l_returnflag AS returned, prefix, count(*) AS count FROM lineitem JOIN prefixes ON l_partkey = p_partkey GROUP BY ALL
 """
 SQL["sql_json_problems"] = "SELECT event_id, 1::BIGINT AS problems FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) > 90"
+SQL["done_indices"] = "SELECT DISTINCT user_id AS task_id, event_id % 5000 AS index FROM events WHERE event_id IS NOT NULL"

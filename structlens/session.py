@@ -44,13 +44,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def new_path(spark: SparkSession) -> str:
+    """A fresh path in the folder that all executors share, deleted when the driver's Python ends."""
+    path = f"{_shared(spark).rstrip('/')}/step-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 class Written:
     """A table in the folder that all executors share: cuts lineage and survives lost executors."""
 
     def __init__(self, df: DataFrame):
         self.spark, self.schema = df.sparkSession, df.schema
-        self.path = f"{_shared(self.spark).rstrip('/')}/step-{uuid.uuid4().hex}"
-        atexit.register(_delete, self.spark, self.path)
+        self.path = new_path(self.spark)
         df.write.parquet(self.path)
 
     @property

@@ -40,3 +40,20 @@ def test_json_problems(spark, t):
 def test_wrong_arguments_are_refused_when_the_query_is_analysed(spark, t, call):
     with pytest.raises(Exception, match="(?i)column|TABLE|constant|Expecting|UNRESOLVED"):
         spark.sql(f"SELECT * FROM {call}").schema  # noqa: B018
+
+
+def test_done_indices_survive_restarts(spark, tmp_path):
+    import random
+
+    from structlens.streaming import state
+
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "a", "b", None]), rng.choice([0, 1, 4095, 4096, 9000, rng.randrange(20_000), None, -1])) for _ in range(300)]
+    other = state.session_for_state(spark)
+    for i in range(3):
+        # Each run sees some rows that earlier ones saw, too.
+        other.createDataFrame(rows[80 * i : 80 * i + 140], "task_id STRING, index LONG").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = other.readStream.schema("task_id STRING, index LONG").option("maxFilesPerTrigger", 2).parquet(f"{tmp_path}/in")
+        state.run_to_end(state.new_indices(stream), f"{tmp_path}/out", f"{tmp_path}/check")
+        got = [tuple(r) for r in other.read.parquet(f"{tmp_path}/out").collect()]
+        assert len(got) == len(set(got)) and set(got) == {r for r in rows[: 80 * i + 140] if r[1] is not None and r[1] >= 0}
