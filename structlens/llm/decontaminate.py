@@ -8,7 +8,10 @@ starts by the shingle's offsets in a join of positions with windows (positional
 ending past it are dropped (length bound), and the remaining windows are verified word by word.
 
 Both passes let only those positions go that a Bloom filter of bounded size may hold; fuller filters pass more, never
-less, and the joins are exact. Neither windows nor positions are ever gathered in the driver or in one task.
+less, and the joins are exact. Neither windows nor positions are ever gathered in the driver or in one task. Shingles
+that are common for the prefix they are (a common one-word item has no other) are cut into parts, as many as their
+counts ask for. Where a window is one shingle, a document sends it once, with all its places. Items are known by numbers
+of their windows and come in only where a document's hits are known.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from ._common import Stored, packs, small
 WINDOW, SHINGLE = 13, 5
 LAST = (1 << 63) - 1
 PACK_BYTES = 1 << 20
+#: A key of the join of positions has at most this share of them, or so many; so at most SHARE codes need parts.
+SHARE, LEAST_PART = 10_000, 4096
 #: Blocks of 64 bits of a filter at most.
 MOST_BLOCKS = 1 << 20
 #: Contaminated documents that a broadcast takes; more are taken out by a shuffled join.
@@ -83,8 +88,8 @@ def _may_hold(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
-    """(words, n, k, codes, items): the distinct windows of benchmark (item_id, text), their words joined by blanks; the codes
-    of their shingles of k words in order, and the items that have them."""
+    """(words, n, k, codes, item): a row for each window of each item of benchmark (item_id, text), its words joined by blanks,
+    and the codes of its shingles of k words in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in packs(batches, PACK_BYTES, "text", "item"):
@@ -102,8 +107,7 @@ def windows(benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["words", "n", "k", "codes", "item"])
 
     plain = benchmark.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.col("item_id").cast("string").alias("item"))
-    each = plain.mapInArrow(run, "words binary, n int, k int, codes array<long>, item string")
-    return each.groupBy("words").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.first("codes").alias("codes"), F.collect_set("item").alias("items"))
+    return plain.mapInArrow(run, "words binary, n int, k int, codes array<long>, item string")
 
 
 def _runs(texts: list[bytes], sizes: list[int]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
@@ -132,37 +136,64 @@ def _rarity(docs: DataFrame, shingles: DataFrame, sizes: list[int]) -> DataFrame
 
 
 def _prefixes(found: DataFrame, docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """(code, offset, words, n, items): every window under its rarest shingle; windows with one that no document has are left
-    out, as no document has them."""
-    each = found.select("words", F.posexplode("codes").alias("offset", "code"))
+    """(code, offset, words, n, window, whole, count): every window of (words, n, k, codes, window) under its rarest shingle,
+    which is the whole of it or not; windows with one that no document has are left out, as no document has them."""
+    each = found.select("window", F.posexplode("codes").alias("offset", "code"))
     counted = each.join(_rarity(docs, found.select(F.explode("codes").alias("code")).distinct(), sizes), "code", "left")
-    rarest = counted.groupBy("words").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "code", "offset")).alias("r")).where("r.count > 0")
-    return found.select("words", "n", "items").join(rarest, "words").select("r.code", "r.offset", "words", "n", "items")
+    rarest = counted.groupBy("window").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "code", "offset")).alias("r")).where("r.count > 0")
+    return found.select("words", "n", (F.col("n") == F.col("k")).alias("whole"), "window").join(rarest, "window").select("r.code", "r.offset", "words", "n", "window", "whole", "r.count")
 
 
-def _positions(docs: DataFrame, prefixes: DataFrame, sizes: list[int], reach: int) -> DataFrame:
-    """(doc_id, mark, n_words, pos, code, around, at): for every row of docs one without pos, and one for every position that may
-    hold a prefix shingle, with the words around it, of which it begins at the at-th."""
-    shared = docs.sparkSession.sparkContext.broadcast(_filter(prefixes, "code"))
+def _parts(prefixes: DataFrame) -> dict[int, int]:
+    """Into how many parts the positions of a code are cut, for codes with more than a part: at most SHARE of them, since each
+    has more than that share of all."""
+    counts = prefixes.groupBy("code").agg(F.max("count").alias("count"))
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    most = max(LEAST_PART, total // SHARE)
+    return {r["code"]: -(-r["count"] // most) for r in counts.where(F.col("count") > most).collect()}
+
+
+def _positions(docs: DataFrame, prefixes: DataFrame, sizes: list[int], reach: int, parts: dict[int, int]) -> DataFrame:
+    """(doc_id, mark, n_words, code, part, whole, around, at, places): for every row of docs one without code, and one for every
+    position that may hold a prefix shingle of a longer window, with the words around it, of which it begins at the at-th.
+    For windows that are one shingle, one with whole for all places of the shingle's words in a document (of more than
+    LEAST_PART, several)."""
+    share = docs.sparkSession.sparkContext.broadcast
+    longer, whole, cut = share(_filter(prefixes.where("not whole"), "code")), share(_filter(prefixes.where("whole"), "code")), share(parts)
+
+    def of(texts: list[bytes]) -> tuple[np.ndarray, list[tuple[int, int, int, bool]]]:
+        """(where texts begin, (place, code, size, whole) in order of places)."""
+        starts, found = _runs(texts, sizes)
+        hits = [(at[hit], c[hit], k, w) for k, (at, c) in found.items() for w, filled in ((False, longer), (True, whole)) for hit in (_may_hold(filled.value, c),)]
+        return starts, sorted((p, c, k, w) for at, code, k, w in hits for p, c in zip(at.tolist(), code.view(np.int64).tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in packs(batches, PACK_BYTES, "text", "doc_id", "mark"):
-            starts, found = _runs([r[0] for r in rows], sizes)
-            out = [(doc_id, mark, int(n), None, None, None, None) for (_, doc_id, mark), n in zip(rows, np.diff(starts), strict=True)]
-            places = [(at[hit], c[hit]) for at, c in found.values() for hit in (_may_hold(shared.value, c),)]
-            at, code = (np.concatenate([p[i] for p in places] or [np.empty(0, np.int64)]) for i in (0, 1))
-            order = np.argsort(at, kind="stable")
-            held, words = -1, []
-            for p, c, d in zip(at[order].tolist(), code[order].astype(np.uint64).view(np.int64).tolist(), (np.searchsorted(starts, at[order], "right") - 1).tolist(), strict=True):
+            starts, places = of([r[0] for r in rows])
+            out = [(doc_id, mark, int(n), *[None] * 6) for (_, doc_id, mark), n in zip(rows, np.diff(starts), strict=True)]
+            documents = (np.searchsorted(starts, [p[0] for p in places], "right") - 1).tolist()
+            held, words, same = -1, [], {}
+            for (p, c, k, is_whole), d in zip(places, documents, strict=True):
                 if d != held:
                     held, words = d, rows[d][0].translate(TABLE).split()
                 p -= int(starts[d])
-                first = max(0, p - reach)
-                out.append((rows[d][1], rows[d][2], None, p, c, b" ".join(words[first : p + reach + 1]), p - first))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["doc_id", "mark", "n_words", "pos", "code", "around", "at"])
+                if is_whole:
+                    same.setdefault((d, c, b" ".join(words[p : p + k])), []).append(p)
+                else:
+                    first, (_, doc_id, mark) = max(0, p - reach), rows[d]
+                    out.append((doc_id, mark, None, c, _part(cut.value, c, doc_id + p), False, b" ".join(words[first : p + reach + 1]), p - first, [p]))
+            for (d, c, shingle), at in same.items():
+                for i in range(0, len(at), LEAST_PART):
+                    out.append((rows[d][1], rows[d][2], None, c, _part(cut.value, c, rows[d][1] + i), True, shingle, 0, at[i : i + LEAST_PART]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
+            names = ["doc_id", "mark", "n_words", "code", "part", "whole", "around", "at", "places"]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names)
+
+    return docs.mapInArrow(run, "doc_id long, mark long, n_words long, code long, part int, whole boolean, around binary, at int, places array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, mark long, n_words long, pos long, code long, around binary, at int")
+def _part(parts: dict[int, int], code: int, at: int) -> int:
+    return at % parts.get(code, 1)
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -174,19 +205,26 @@ def _plain(docs: DataFrame) -> DataFrame:
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, shingle: int) -> DataFrame:
     """(doc_id, mark, n_words, n_hit, items) for each row of docs."""
     plain = _plain(docs)
-    every = Stored(windows(benchmark, window, shingle), "windows").df
+    each = Stored(windows(benchmark, window, shingle), "item-windows").df
+    every = each.groupBy("words").agg(F.max("n").alias("n"), F.max("k").alias("k"), F.first("codes").alias("codes"))
+    every = Stored(every.withColumn("window", F.monotonically_increasing_id()), "windows").df
+    items = each.where("item is not null").join(every.select("words", "window"), "words").select("window", "item").distinct()
     sizes = sorted(r[0] for r in every.select("k").distinct().collect())  # at most `shingle` numbers
     prefixes = Stored(_prefixes(every, plain, sizes), "prefixes").df
-    seen = Stored(_positions(plain, prefixes, sizes, window - 1), "positions").df
-    rows = seen.where("pos is null").select("doc_id", "mark", "n_words")
-    met = seen.where("pos is not null").join(prefixes, "code").withColumn("start", F.col("at") - F.col("offset"))
+    parts = _parts(prefixes)
+    seen = Stored(_positions(plain, prefixes, sizes, window - 1, parts), "positions").df
+    rows = seen.where("code is null").select("doc_id", "mark", "n_words")
+    cut = docs.sparkSession.createDataFrame(list(parts.items()), "code LONG, parts INT")  # at most SHARE rows
+    dealt = prefixes.join(F.broadcast(cut), "code", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    met = seen.where("code is not null").join(dealt.drop("parts", "count"), ["code", "part", "whole"]).withColumn("start", F.col("at") - F.col("offset"))
     # Of the words around the position, those that the window would take.
     taken = F.array_join(F.slice(F.split(F.col("around").cast("string"), " "), F.greatest(F.lit(1), F.col("start") + 1), F.col("n")), " ")
     hits = met.where((F.col("start") >= 0) & (taken.cast("binary") == F.col("words")))
-    hits = hits.select("doc_id", "mark", (F.col("pos") - F.col("offset")).alias("s"), "n", "items").distinct()
+    hits = Stored(hits.select("doc_id", "mark", F.explode("places").alias("pos"), "offset", "n", "window").select("doc_id", "mark", (F.col("pos") - F.col("offset")).alias("s"), "n", "window").distinct(), "hits").df
     span = F.struct("s", (F.col("s") + F.col("n")).alias("e"))
-    by_doc = hits.groupBy("doc_id", "mark").agg(_covered(F.sort_array(F.collect_list(span))).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-    out = rows.join(by_doc, ["doc_id", "mark"], "left")
+    by_doc = hits.select("doc_id", "mark", "s", "n").distinct().groupBy("doc_id", "mark").agg(_covered(F.sort_array(F.collect_list(span))).alias("n_hit"))
+    listed = hits.select("doc_id", "mark", "window").distinct().join(items, "window").groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    out = rows.join(by_doc, ["doc_id", "mark"], "left").join(listed, ["doc_id", "mark"], "left")
     return out.select("doc_id", "mark", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from structlens.llm import _buckets, _graph, _hashing, _link, decontaminate, lines, minhash, substring
 from structlens.llm._graph import components
@@ -93,6 +94,29 @@ def test_decontamination_of_repeated_rows_and_null_ids(spark):
     assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [4]
 
 
+@pytest.mark.parametrize("most", [4096, 3])
+def test_common_items_and_shared_windows(spark, monkeypatch, most):
+    """One-word items that every document has many times, items that share a window, very long items; also with parts so
+    small that codes and places are cut. A one-word item's places are one row a document, without words around."""
+    monkeypatch.setattr(decontaminate, "LEAST_PART", most)
+    rng = random.Random(83)
+    words = ["the", "of", "a", *[f"w{i}" for i in range(50)]]
+    docs = [(i, " ".join(rng.choices(words, weights=[30, 20, 10, *[1] * 50], k=rng.randrange(5, 120)))) for i in range(120)]
+    shared = " ".join(f"s{i}" for i in range(13))
+    docs += [(500 + i, f"the {shared} of") for i in range(5)]
+    items = [(1, "the"), (2, "of the"), (3, "The"), (4, "the of a the of"), (5, docs[3][1] + " more " * 3000), (6, " ".join(docs[7][1].split()[:6]))]
+    items += [(100 + i, f"{shared} t{i}") for i in range(300)]
+    benchmark = spark.createDataFrame(items, "item_id LONG, text STRING")
+    got = {r.doc_id: tuple(r)[1:] for r in decontaminate.judge(spark.createDataFrame(docs, "doc_id LONG, text STRING").repartition(3), benchmark).collect()}
+    assert got == brute_hits(docs, items) and got[500][2] == 302
+    if most > 5:
+        plain = decontaminate._plain(spark.createDataFrame(docs, "doc_id LONG, text STRING"))
+        one = decontaminate.windows(benchmark.where("item_id = 1")).withColumn("window", F.lit(0).cast("long"))
+        prefixes = decontaminate._prefixes(one, plain, [1]).cache()
+        sent = decontaminate._positions(plain, prefixes, [1], 12, {}).where("code is not null")
+        assert sent.where("whole").count() == sent.count() == sum("the" in t.split() for _, t in docs)
+
+
 def test_decontamination_without_rows(spark, documents, empty):
     none = spark.createDataFrame([], "item_id LONG, text STRING")
     assert decontaminate.judge(documents, none).where("n_hit > 0 or contaminated").count() == 0
