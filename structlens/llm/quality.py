@@ -28,8 +28,9 @@ CUTOFF = 25.74
 CORE, CONSISTENCY = 0.75, 1.41
 #: Starts: medians and quartile ranges; the same with half of the group in the first step; means and covariances.
 STARTS = ("quartiles", "half", "moments")
-#: Concentration steps end when no logarithm of a determinant moves further, or after so many.
-SETTLED, MOST_STEPS = 1e-2, 8
+#: A start of a group is settled when a step, from the third on, doesn't lower the logarithm of its determinant by more.
+#: The floors bound determinants from below, so steps end; no other group's steps matter.
+SETTLED, FREE_STEPS = 1e-2, 2
 #: Documents that a parent's estimate weighs in its groups' estimates.
 PRIOR = 50
 #: Characters a word about which short texts are damped: their averages vary more.
@@ -188,17 +189,22 @@ def estimates(rows: DataFrame) -> DataFrame:
     flat = rows.select(F.explode("levels").alias("group"), *[f"x{i}" for i in range(DIMS)])
     now = Stored(_inverse(_starts(rows), "group", "start"), "mcd").df
     order, group = Window.partitionBy("group", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("group", "start")
-    for step in range(MOST_STEPS):
+    names, done, step = ["group", "start", "all", *_MEANS, *_COVS, "det"], [], 0
+    while not now.isEmpty():
         near = _with(flat, now).select("group", "start", *[f"x{i}" for i in range(DIMS)], F.floor(F.log1p(_distance()) * 64).alias("bin"))
         per_bin = near.groupBy("group", "start", "bin").agg(*_sums())
         share = F.when((F.col("start") == 1) & F.lit(step == 0), 0.5).otherwise(CORE)
         core = per_bin.withColumns({"before": F.coalesce(F.sum("n").over(order), F.lit(0)), "all": F.sum("n").over(group)}).where(F.col("before") < F.col("all") * share)
         sums = core.groupBy("group", "start").agg(*[F.sum(c).alias(c) for c in _TOTALS], F.max("all").alias("all"))
-        after = Stored(_inverse(_moments(sums, CONSISTENCY, "group", "start", "all"), "group", "start", "all", *_COVS), "mcd").df
-        moved = after.join(now.select("group", "start", F.col("det").alias("was")), ["group", "start"])
-        now = after
-        if moved.where(F.abs(F.col("det") - F.col("was")) > SETTLED).isEmpty():
-            break
+        after = _inverse(_moments(sums, CONSISTENCY, "group", "start", "all"), "group", "start", "all", *_COVS)
+        after = Stored(after.join(now.select("group", "start", F.col("det").alias("was")), ["group", "start"]), "mcd").df
+        going = F.col("det") < F.col("was") - SETTLED if step >= FREE_STEPS else F.lit(True)
+        ended = after.where(~going)
+        done.append(ended.where("det <= was").select(names))
+        if step >= FREE_STEPS:
+            done.append(now.join(ended.where("det > was").select("group", "start"), ["group", "start"], "left_semi").select(names))
+        now, step = after.where(going), step + 1
+    now = Stored(reduce(DataFrame.unionByName, done), "mcd").df if done else now.withColumns({c: F.lit(None).cast("double") for c in ("all", *_COVS)})
     best = now.groupBy("group").agg(F.min_by("start", F.struct("det", "start")).alias("start"))
     return now.join(best, ["group", "start"]).select("group", F.col("all").alias("n"), *_MEANS, *_COVS)
 

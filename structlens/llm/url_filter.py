@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._bloom import MOST_BLOCKS, blocks_for, bloom, probed
-from ._common import ascii_lower
+from ._common import Stored, ascii_lower
 
 #: More rules than this are joined as a table instead of being conditions of the plan.
 MOST_RULES = 200
+#: A URL with more than this share of the possible hits, or more than so many of them, is cut into parts.
+SHARE, LEAST_PART = 10_000, 1 << 16
 
 
 def host_of(url: Column) -> Column:
@@ -73,7 +75,6 @@ def filter_urls(
     rules: list[tuple[str, str]] | DataFrame,
     url: str = "url",
     listed_url: str = "url",
-    salts: int = 16,
 ) -> DataFrame:
     """Adds host, path, rule, verdict to the rows of pages, instead of columns of these names; all other columns come back as
     they are, whatever their names.
@@ -82,7 +83,7 @@ def filter_urls(
     table, are joined. The longest fitting rule decides (of equal verdicts for one rule the first listed, in a table the
     smallest); without one, a page whose canonical URL is listed is blocked and any other allowed. The Bloom filter is
     broadcast (its size is bounded by MOST_BLOCKS); pages it rejects are final, possible hits go to a hash join on the
-    canonical URL, salted because one URL may be very common. Null URLs and URLs without "://" have empty host and path,
+    canonical URL, where URLs with more than a share of them are cut into as many parts as that asks for. Null URLs and URLs without "://" have empty host and path,
     fit nothing and are allowed. Repeated rows are each judged; an empty list blocks nothing.
     """
     spark, added = pages.sparkSession, ["host", "path", "rule", "verdict"]
@@ -102,7 +103,13 @@ def filter_urls(
     flagged = probed(base, "canon", bloom(known, "canon", blocks), blocks)
     out = ["row.*", *added]
     rest = flagged.where(~F.col("__maybe")).withColumn("verdict", F.coalesce("verdict", F.lit("allow"))).select(*out)
-    maybe = flagged.where("__maybe").withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-    exact = known.select(F.col("canon").alias("listed"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("at"))
-    hits = maybe.join(exact, (maybe["canon"] == exact["listed"]) & (maybe["salt"] == exact["at"]), "left")
+    maybe = flagged.where("__maybe")
+    counted = Stored(maybe.groupBy("canon").agg(F.count("*").alias("n")), "hits").df
+    most = max(LEAST_PART, (counted.agg(F.sum("n")).first()[0] or 0) // SHARE)
+    # Each has more than that share of all possible hits, so these are at most SHARE.
+    cut = F.broadcast(counted.where(F.col("n") > most).select("canon", F.ceil(F.col("n") / most).cast("long").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    maybe = maybe.join(cut, "canon", "left").withColumn("salt", F.pmod(F.monotonically_increasing_id(), parts))
+    exact = known.join(cut, "canon", "left").select(F.col("canon").alias("listed"), F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("at"))
+    hits = maybe.join(exact.hint("shuffle_hash"), (maybe["canon"] == exact["listed"]) & (maybe["salt"] == exact["at"]), "left")
     return rest.unionByName(hits.withColumn("verdict", F.when(F.col("listed").isNotNull(), F.lit("block")).otherwise(F.lit("allow"))).select(*out))

@@ -1,6 +1,7 @@
 """Mixing, URL filters, sharding, quality rules, secrets, WARC packages and the pipeline."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -103,6 +104,19 @@ def test_many_rules_decide_like_few(spark, monkeypatch):
     assert {r.verdict for r in url_filter.filter_urls(pages, listed, table.limit(0)).collect()} == {"allow", "block"}
 
 
+def test_a_listed_url_that_most_pages_have(spark, monkeypatch):
+    """Cut into parts, by a hash join without a broadcast."""
+    monkeypatch.setattr(url_filter, "LEAST_PART", 20)
+    urls = ["http://hot.net/x"] * 500 + [f"http://a.net/{i}" for i in range(60)] + ["http://b.net/1"] * 25 + [None, "no"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id LONG, url STRING").repartition(4)
+    listed = spark.createDataFrame([("https://www.hot.net/x/",), ("http://a.net/7",), ("http://b.net/1",)], "url STRING")
+    out = url_filter.filter_urls(pages, listed, [])
+    got = {r.page_id: r.verdict for r in out.collect()}
+    blocked = {i for i, u in enumerate(urls) if u in ("http://hot.net/x", "http://a.net/7", "http://b.net/1")}
+    assert len(got) == len(urls) and {i for i, v in got.items() if v == "block"} == blocked
+    assert "ShuffledHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shards(spark, documents, tmp_path):
     store = sharding.ShardStore(spark, f"file://{tmp_path}/store", target_bytes=60_000, fanout=3)
     assert store.version() == 0
@@ -289,26 +303,27 @@ def brute_estimate(x):
     middle = np.array([quantile(x[:, i], 0.5) for i in range(d)])
     spread = np.array([(quantile(x[:, i], 0.75) - quantile(x[:, i], 0.25)) / 1.349 for i in range(d)])
     now = {"quartiles": (middle, np.diag(spread**2) + floors), "half": (middle, np.diag(spread**2) + floors), "moments": (x.mean(0), cov(x, 1.0))}
-    for step in range(quality.MOST_STEPS):
-        after = {}
-        for name, (m, c) in now.items():
+    det = lambda e: np.linalg.slogdet(e[1])[1]
+
+    def settled(name, now):
+        for step in itertools.count():
+            m, c = now
             away = x - m
             bins = np.floor(np.log1p(np.einsum("ij,jk,ik->i", away, np.linalg.inv(c), away)) * 64)
             share = 0.5 if name == "half" and step == 0 else quality.CORE
             core = x[[(bins < b).sum() < len(x) * share for b in bins]]
-            after[name] = core.mean(0), cov(core, quality.CONSISTENCY)
-        moved = max(abs(np.linalg.slogdet(after[k][1])[1] - np.linalg.slogdet(now[k][1])[1]) for k in now)
-        now = after
-        if moved <= quality.SETTLED:
-            break
-    return min(now.values(), key=lambda e: np.linalg.slogdet(e[1])[1])
+            after = core.mean(0), cov(core, quality.CONSISTENCY)
+            if step >= quality.FREE_STEPS and not det(after) < det(now) - quality.SETTLED:
+                return after if det(after) <= det(now) else now
+            now = after
+
+    return min((settled(name, start) for name, start in now.items()), key=det)
 
 
 def brute_distances(rows):
     """{doc_id: squared distance} of (doc_id, lang, source, vector)."""
     by = lambda key: {k: np.array([r[3] for r in rows if key(r) == k]) for k in {key(r) for r in rows}}
     mix = lambda n, e, parent: tuple((n * a + quality.PRIOR * b) / (n + quality.PRIOR) for a, b in zip(e, parent))
-    # Steps end together for all groups of all levels, so here every group takes as many as it needs and no more change.
     whole = brute_estimate(np.array([r[3] for r in rows]))
     lang = {k: mix(len(x), brute_estimate(x), whole) for k, x in by(lambda r: r[1]).items()}
     own = {k: mix(len(x), brute_estimate(x), lang[k[0]]) for k, x in by(lambda r: r[1:3]).items()}
@@ -316,8 +331,17 @@ def brute_distances(rows):
     return {k: a @ i @ a for k, (a, i) in away.items()}
 
 
-def test_distances_by_brute_force(spark, empty, monkeypatch):
-    monkeypatch.setattr(quality, "SETTLED", -1.0)  # the same number of steps for every group
+def test_another_language_changes_no_estimate_of_a_group(spark):
+    rng = random.Random(32)
+    vectors = [[rng.gauss(7000 if i < 90 else 9000, 900), *[int(abs(rng.gauss(300, 200))) for _ in range(4)]] for i in range(130)]
+    rows = [([1, 0], *[int(v) for v in x]) for x in vectors]
+    other = [([2, 0], *[rng.randrange(5000) for _ in range(5)]) for _ in range(100)]
+    schema = "levels ARRAY<LONG>, " + ", ".join(f"x{i} LONG" for i in range(5))
+    alone, both = ({r.group: tuple(r)[1:] for r in quality.estimates(spark.createDataFrame(x, schema)).collect()} for x in (rows, rows + other))
+    assert alone[1] == both[1] and alone[0] != both[0] and quality.estimates(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_distances_by_brute_force(spark, empty):
     rng = random.Random(31)
     word = lambda: "".join(rng.choice("aeioubcdlmnrst#") for _ in range(rng.randrange(2, 9)))
     rows = [(i, "\n".join(" ".join(word() for _ in range(rng.randrange(5, 60))) for _ in range(rng.randrange(1, 6))), rng.choice(["en", "en", "de", None]), rng.choice(["a", "a", "a", "b", None]), 0) for i in range(150)]
