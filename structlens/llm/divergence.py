@@ -1,13 +1,14 @@
 """How the words of sources diverge from each other and from their language, in whole numbers.
 
-Terms are counted by language and source; a language keeps those in at least MIN_DOCUMENTS of its documents (rows). With V
+Terms are counted by language and source, over Arrow batches: a task packs its counts by the hash of language and term, and
+what reads a hash adds the packs up, so a term's counts of all sources meet in one row; a language keeps those in at least MIN_DOCUMENTS of its documents (rows). With V
 kept terms and N occurrences of them, a group or language gives a term p = 1 + floor(10^9 (count + 1) / (N + V)), and p
 against q contributes floor((p - q)^2 / q).
 
 Pairs of sources sum this over all kept terms, but no table of groups times terms is made: where neither source has a term,
 its contribution is the same baseline. So V baselines are corrected by the terms of either source alone, which only count by
-how often each count occurs, and by the terms that both have, which meet in a join. Both corrections are sums that map
-sides combine.
+how often each count occurs, and by the terms that both have, a row for each two sources of a term. Both corrections are
+sums that map sides combine.
 
 The highest terms of each group are found by radix selection: histograms over the bits of the value (first how many there
 are, then 12 at a time) narrow each group to the bin that holds its TOP-th term, then, among equal values, histograms over
@@ -20,54 +21,108 @@ Null texts, languages and sources are ''. Rows that repeat count each time. A la
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import Stored
+from ._deal import buckets, even_keys
 
 MIN_DOCUMENTS, TOP, SCALE = 3, 200, 1_000_000_000
-#: Terms that a group may have left beyond its highest when they are ranked; bits of a bin; terms that a task counts at once.
-SETTLED, BITS, HELD = 1000, 12, 1 << 17
+#: Terms that a group may have left beyond its highest when they are ranked; bits of a bin; bytes of texts that a task counts
+#: at once, and the most documents of them; rows of packs that are added up at once.
+SETTLED, BITS, HELD, DOCUMENTS, ADDED = 1000, 12, 12 << 20, 1 << 14, 1 << 18
 #: Every byte but letters and those above ASCII is a blank; A-Z are lower-cased.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 GROUP = ["lang", "source"]
+_PACK = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("count", pa.int64()), ("documents", pa.int64())])
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, count, documents): how often terms occur, and in how many documents of the group."""
+def kept_terms(docs: DataFrame) -> DataFrame:
+    """(lang, term, total, sources) of the terms that a language keeps: how often it has them, and for each source that does
+    (source, count), in the order of sources."""
     texts = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    keys = even_keys(docs.sparkSession, buckets(texts))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        in_: dict[tuple[str, str], Counter] = defaultdict(Counter)
-        size = 0
         for batch in batches:
-            for group, text in zip(zip(*[batch.column(c).to_pylist() for c in GROUP], strict=True), batch.column("text"), strict=True):
-                found = Counter(text.as_buffer().to_pybytes().translate(_LETTERS).split())
-                all_[group].update(found)
-                in_[group].update(found.keys())
-                size += len(found)
-                if size >= HELD:
-                    yield from _counted(all_, in_)
-                    size = 0
-        yield from _counted(all_, in_)
-
-    partial = texts.mapInArrow(count, "lang string, source string, term string, count long, documents long")
-    return partial.groupBy(*GROUP, "term").agg(F.sum("count").alias("count"), F.sum("documents").alias("documents"))
-
-
-def _counted(all_: dict, in_: dict) -> Iterator[pa.RecordBatch]:
-    for group, found in all_.items():
-        terms = list(found)
-        columns = [pa.array([g] * len(terms), pa.string()) for g in group]
-        columns += [pa.array(terms, pa.binary()).cast(pa.string()), pa.array(found.values(), pa.int64()), pa.array([in_[group][t] for t in terms], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, [*GROUP, "term", "count", "documents"])
-    all_.clear()
-    in_.clear()
+            start, size = 0, 0
+            for i, n in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+                if i > start and (size + n > HELD or i - start == DOCUMENTS):
+                    yield _packs(batch.slice(start, i - start), keys)
+                    start, size = i, 0
+                size += n
+            if batch.num_rows:
+                yield _packs(batch.slice(start), keys)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, held, rows = _PACK.empty_table(), [], 0
+        for batch in batches:
+            for data in batch.column("data"):
+                held.append(pa.ipc.read_record_batch(data.as_buffer(), _PACK))
+                rows += held[-1].num_rows
+                if rows >= max(ADDED, sums.num_rows):
+                    sums, held, rows = _sums([*sums.to_batches(), *held]), [], 0
+        yield from _rows(_sums([*sums.to_batches(), *held]))
+
+    packs = texts.mapInArrow(count, "part long, data binary").repartition(len(keys), "part")
+    return packs.mapInArrow(add, "lang string, term string, total long, sources array<struct<source: string, count: long>>")
+
+
+def _packs(batch: pa.RecordBatch, keys: list[int]) -> pa.RecordBatch:
+    """(part, data): how often groups have terms, and in how many rows, of all rows of a batch (lang, source, text); a pack for
+    each part of the hashes of language and term."""
+    letters = pa.array([t.as_buffer().to_pybytes().translate(_LETTERS) for t in batch.column("text")], pa.binary())
+    words = pc.ascii_split_whitespace(letters.cast(pa.string()))
+    encoded = words.flatten().dictionary_encode()
+    terms, codes = encoded.dictionary, encoded.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(words).to_numpy())
+    langs, sources = (batch.column(c).dictionary_encode() for c in GROUP)
+    pairs, group = np.unique(langs.indices.to_numpy().astype(np.int64) * len(sources.dictionary) + sources.indices.to_numpy(), return_inverse=True)
+    # Group, term and row in one number: at most 14, 31 and 15 bits.
+    row_bits, term_bits = batch.num_rows.bit_length(), len(terms).bit_length()
+    every = (group[row] << term_bits | codes) << row_bits | row
+    blank = pc.index(terms, "").as_py()
+    every = np.sort(every if blank < 0 else every[codes != blank])
+    new = np.ones(len(every), bool)
+    new[1:] = every[1:] != every[:-1]
+    which = every >> row_bits
+    starts = np.flatnonzero(np.concatenate((new[:1], which[1:] != which[:-1])))
+    which = which[starts]
+    counts = np.diff(np.append(starts, len(every)))
+    documents = np.add.reduceat(new.astype(np.int64), starts) if len(starts) else counts
+    group, code = which >> term_bits, which & ((1 << term_bits) - 1)
+    lang, source = np.divmod(pairs[group], len(sources.dictionary))
+    hashes = lambda values: np.array([zlib.crc32(v.as_buffer()) for v in values], np.uint64)
+    part = ((hashes(terms)[code] << np.uint64(32) | hashes(langs.dictionary)[lang]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(len(keys))
+    order = np.argsort(part, kind="stable")
+    columns = [langs.dictionary.take(pa.array(lang[order])), sources.dictionary.take(pa.array(source[order])), terms.take(pa.array(code[order])), pa.array(counts[order]), pa.array(documents[order])]
+    dealt = pa.RecordBatch.from_arrays(columns, schema=_PACK)
+    ends = np.searchsorted(part[order], np.arange(len(keys) + 1, dtype=np.uint64)).tolist()
+    found = [(keys[i], dealt.slice(a, b - a).serialize().to_pybytes()) for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)) if a < b]
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())], ["part", "data"])
+
+
+def _sums(packs: list[pa.RecordBatch]) -> pa.Table:
+    sums = pa.Table.from_batches(packs, _PACK).group_by([*GROUP, "term"], use_threads=False).aggregate([("count", "sum"), ("documents", "sum")])
+    return sums.select([*GROUP, "term", "count_sum", "documents_sum"]).rename_columns(_PACK.names)
+
+
+def _rows(sums: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The rows of kept_terms() of a part."""
+    sums = sums.take(pc.sort_indices(sums.column("source")))
+    terms = sums.group_by(["lang", "term"], use_threads=False).aggregate([("count", "sum"), ("documents", "sum"), ("source", "list"), ("count", "list")])
+    terms = terms.filter(pc.greater_equal(terms.column("documents_sum"), MIN_DOCUMENTS))
+    for batch in terms.to_batches(1 << 14):
+        lists = batch.column("source_list")
+        ends = pa.array(np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy())), pa.int32())
+        each = pa.StructArray.from_arrays([lists.flatten(), batch.column("count_list").flatten()], ["source", "count"])
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("term"), batch.column("count_sum"), pa.ListArray.from_arrays(ends, each)], ["lang", "term", "total", "sources"])
 
 
 def share(count: str, n: str, v: str) -> str:
@@ -83,29 +138,27 @@ def contribution(p: str, q: str) -> str:
 def audit(docs: DataFrame) -> DataFrame:
     """(lang, source, part, item, value, rank): for every source of a language its other sources (part pair) and its
     highest TOP terms (part term), by value from high to low, then by item."""
-    counted = Stored(counts(docs), "counts")
-    terms = counted.df.groupBy("lang", "term").agg(F.sum("count").alias("total"), F.sum("documents").alias("documents"))
-    kept = terms.where(F.col("documents") >= MIN_DOCUMENTS).select("lang", "term", "total")
-    entries = Stored(counted.df.join(kept, ["lang", "term"]).select(*GROUP, "term", "count", "total"), "entries")
-    # Of a language, terms once each: the totals.
-    langs = Stored(kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n")), "langs")
+    terms = Stored(kept_terms(docs), "terms").df
+    entries = terms.select("lang", "term", "total", F.explode("sources").alias("of")).select("lang", "of.source", "term", "of.count", "total")
+    # How often a group has each count; of a language, terms once each.
+    often = Stored(entries.groupBy(*GROUP, "count").agg(F.count("*").alias("terms")), "often").df
+    langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("total").alias("lang_n"))
     every = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in GROUP]).distinct()
-    sizes = entries.df.groupBy(*GROUP).agg(F.sum("count").alias("n"))
-    groups = every.join(langs.df, "lang", "left").join(sizes, GROUP, "left").fillna(0, ["v", "lang_n", "n"])
+    sizes = often.groupBy(*GROUP).agg(F.sum(F.col("count") * F.col("terms")).alias("n"))
+    groups = every.join(langs, "lang", "left").join(sizes, GROUP, "left").fillna(0, ["v", "lang_n", "n"])
     base = F.when(F.col("v") > 0, F.expr(share("0", "n", "v"))).otherwise(1)
     groups = Stored(groups.withColumn("base", base), "groups").df
-    counted.drop()
-    pair = _pairs(entries.df, groups)
+    pair = _pairs(terms, often, groups)
     by_value = Window.partitionBy(*GROUP).orderBy(F.desc("value"), "item")
     pair = pair.withColumn("rank", F.row_number().over(by_value)).withColumn("part", F.lit("pair"))
-    shares = entries.df.join(groups, GROUP).select(*GROUP, "term", F.expr(share("count", "n", "v")).alias("p"), F.expr(share("total", "lang_n", "v")).alias("q"))
+    shares = entries.join(groups, GROUP).select(*GROUP, "term", F.expr(share("count", "n", "v")).alias("p"), F.expr(share("total", "lang_n", "v")).alias("q"))
     values = Stored(shares.where("p > q").select(*GROUP, "term", F.expr(contribution("p", "q")).alias("value")), "values")
     top = highest(values.df).withColumnRenamed("term", "item").withColumn("part", F.lit("term"))
     columns = ["lang", "source", "part", "item", "value", "rank"]
     return pair.select(columns).unionByName(top.select(columns))
 
 
-def _pairs(entries: DataFrame, groups: DataFrame) -> DataFrame:
+def _pairs(terms: DataFrame, often: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value) of all pairs of sources of a language."""
     other = groups.select("lang", F.col("source").alias("item"), F.col("n").alias("item_n"), F.col("base").alias("item_base"))
     pairs = groups.join(other, "lang").where("source <> item").withColumn("both_base", F.expr(contribution("base", "item_base")))
@@ -113,14 +166,17 @@ def _pairs(entries: DataFrame, groups: DataFrame) -> DataFrame:
     exact = lambda e: F.sum(F.expr(f"cast({e} as decimal(38,0))"))
     keys = ["lang", "source", "item"]
     # Terms of one of the two: their counts alone matter, so equal ones are one row.
-    often = Stored(entries.groupBy(*GROUP, "count").agg(F.count("*").alias("terms")), "often").df
     p, q = share("count", "n", "v"), share("count", "item_n", "v")
     mine = pairs.join(often, GROUP).select(*keys, F.expr(f"cast(terms as decimal(18,0)) * ({contribution(p, 'item_base')} - both_base)").alias("more"))
     theirs = pairs.join(often.withColumnRenamed("source", "item"), ["lang", "item"])
     theirs = theirs.select(*keys, F.expr(f"cast(terms as decimal(18,0)) * ({contribution('base', q)} - both_base)").alias("more"))
     # Terms of both: what the two corrections counted twice.
-    both = entries.select(*GROUP, "term", "count").join(entries.select("lang", F.col("source").alias("item"), "term", F.col("count").alias("other")), ["lang", "term"]).where("source <> item")
-    both = both.groupBy(*keys, "count", "other").agg(F.count("*").alias("terms")).join(pairs, keys)
+    # Each two sources of a term once, then in both orders.
+    first = terms.select("lang", "sources", F.posexplode("sources").alias("at", "a"))
+    two = first.select("lang", "a", F.explode(F.expr("slice(sources, at + 2, size(sources))")).alias("b"))
+    two = two.groupBy("lang", F.col("a.source").alias("x"), F.col("b.source").alias("y"), F.col("a.count").alias("m"), F.col("b.count").alias("n")).agg(F.count("*").alias("terms"))
+    orders = F.expr("inline(array(struct(x AS source, y AS item, m AS count, n AS other), struct(y AS source, x AS item, n AS count, m AS other)))")
+    both = two.select("lang", "terms", orders).join(pairs, keys)
     q = share("other", "item_n", "v")
     twice = f"{contribution(p, q)} - {contribution(p, 'item_base')} - {contribution('base', q)} + both_base"
     both = both.select(*keys, F.expr(f"cast(terms as decimal(18,0)) * ({twice})").alias("more"))

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,3 +81,29 @@ def test_selection_by_radix(spark, monkeypatch, top, settled, bits):
         ordered = sorted((r for r in rows if r[1] == source), key=lambda r: (-r[3], r[2].encode()))[:top]
         want += [(*r, i) for i, r in enumerate(ordered, 1)]
     assert sorted((r["lang"], r["source"], r["term"], r["value"], r["rank"]) for r in got) == sorted(want)
+
+
+def test_counts_travel_in_packs():
+    """A batch makes a row for each part of the hashes at most, not for each term of a group; packs hold every count."""
+    rows = [(t or "", lang or "", source or "") for t, lang, source in corpus(3, 60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in (1, 2, 0)], ["lang", "source", "text"])
+    packs = divergence._packs(batch, [10, 20, 30, 40])
+    assert packs.column("part").to_pylist() == [10, 20, 30, 40]
+    tables = [pa.ipc.read_record_batch(d.as_buffer(), divergence._PACK) for d in packs.column("data")]
+    places = [{(r["lang"], r["term"]) for r in t.to_pylist()} for t in tables]
+    assert sum(map(len, places)) == len(set().union(*places))
+    want, documents = Counter(), Counter()
+    for text, lang, source in rows:
+        words = TERM.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+        want.update((lang, source, w) for w in words)
+        documents.update((lang, source, w) for w in set(words))
+    got = [(r["lang"], r["source"], r["term"], r["count"], r["documents"]) for t in tables for r in t.to_pylist()]
+    assert sorted(got) == sorted((*k, n, documents[k]) for k, n in want.items())
+
+
+def test_packs_of_all_sizes_add_up(spark, monkeypatch):
+    rows = corpus(4, 80)
+    for held, documents, added in ((1, 1, 1), (500, 3, 7), (1 << 20, 1 << 14, 50)):
+        for name, value in (("HELD", held), ("DOCUMENTS", documents), ("ADDED", added)):
+            monkeypatch.setattr(divergence, name, value)
+        assert result(spark, rows) == brute(rows)
