@@ -14,20 +14,22 @@ from ._common import Stored
 CHUNK = 1 << 20
 
 
-def components(edges: DataFrame) -> Stored:
+def components(edges: DataFrame, contract: bool = True) -> Stored:
     """(node, label): for each node of edges (a, b) the smallest node it reaches.
 
     Tasks contract chunks of at most about CHUNK edges to forests whose nodes point at their roots. Where there are
     several chunks, union-find goes on by alternating star operations: every node's larger neighbours move to its
     smallest neighbour, then its smaller ones do, until every node but the roots points at one root. Each round is a few
     aggregations and joins over the edges and is written out; rounds grow with the logarithm of the longest path, and no
-    adjacency list is ever gathered.
+    adjacency list is ever gathered. Without contract, all is done by these rounds, in DataFrame operations.
     """
-    first = Stored(_oriented(edges), "edges")
-    chunks = -(-max(1, first.df.count()) // CHUNK)
-    now = Stored(_contracted(first.df, chunks), "edges")
-    first.drop()
-    while chunks > 1 and not _is_forest(now.df):
+    now = Stored(_oriented(edges), "edges")
+    rounds = True
+    if contract:
+        chunks, first = -(-max(1, now.df.count()) // CHUNK), now
+        now, rounds = Stored(_contracted(first.df, chunks), "edges"), chunks > 1
+        first.drop()
+    while rounds and not _is_forest(now.df):
         both = now.df.unionByName(now.df.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(least, both["a"] == least["k"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

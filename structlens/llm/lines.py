@@ -1,39 +1,43 @@
 """Fuzzy line dedup by MinHash over character shingles.
 
 Equal lines are one node from the start. A line's shingles are the SHINGLE characters from each of its characters on,
-blanks included; a shorter line is one shingle. Their hashes fall into BANDS * ROWS bins by one permutation, whose
-minima are the signature; an empty bin borrows from others in an order of its own. BANDS bands of ROWS minima propose
-candidates, the exact Jaccard similarity of the shingle sets confirms them, and distributed union-find makes components,
-of which the first occurrence stays. Signatures and comparisons run over Arrow batches, all else in SQL operators.
+blanks included; a shorter line is one shingle. Their hashes fall into BANDS parts by one of their digits; a band is the
+minima of a part in ROWS orders. Lines that share a band are candidates, parities of their sets rule out most, the exact
+Jaccard similarity of the shingle sets confirms the rest, and distributed union-find makes components, of which the first
+occurrence stays. DataFrame operations only.
+
+`signatures` and `shingle_sets` are numpy forms of bands and sets for lines that are at hand; no query runs them.
 """
 
 from __future__ import annotations
 
-import hashlib
+from functools import reduce
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _hashing
+from . import _hashing, _link
 from ._bloom import blocks_for, bloom, probed
-from ._common import Stored, packs
-from ._link import Measure, link
+from ._common import Stored
+from ._deal import buckets
+from ._graph import components
 
 SHINGLE, PERCENT = 9, 80
 #: Were minima independent, a pair at exactly 0.8 would share no band with probability 2e-5, one at 0.9 with 1e-9.
+#: BANDS is a power of two.
 BANDS, ROWS = 16, 3
 BINS = BANDS * ROWS
 LAST = (1 << 63) - 1
-#: Bytes of text whose lines are signed together.
-PACK_BYTES = 256 << 10
+#: Of a set's parities: how many, in how many longs (a power of two).
+WORDS = 8
+PARITIES = 64 * WORDS
+_WORDED = r"[^\x20\x09-\x0D]"
 _RANDOM = np.random.default_rng(12)
 #: Of each bin, the order in which it looks for another when empty; what tells borrowed values apart; a seed of each band.
 _ORDER = np.stack([_RANDOM.permutation(BINS) for _ in range(BINS)])
 _SALT = _RANDOM.integers(0, 1 << 32, size=BINS, dtype=np.uint64).astype(np.uint32)
 _SEED = _RANDOM.integers(0, 1 << 63, size=BANDS, dtype=np.uint64)
-_KIND = "doc_id long, mark long, pos int, node binary, bytes long, bands binary"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -52,7 +56,7 @@ def _windows(codes: np.ndarray, size: int) -> np.ndarray:
         factor, step = factor * factor, step * 2
 
 
-def _codes(lines: list[bytes]) -> tuple[np.ndarray, list[int]]:
+def _numbers(lines: list[bytes]) -> tuple[np.ndarray, list[int]]:
     """The code points of lines one after the other, each plus one, and where each line ends; lines hold no newline."""
     codes = np.frombuffer(b"\n".join(lines).decode(errors="replace").encode("utf-32-le"), np.uint32) + np.uint32(1)
     return codes, np.append(np.flatnonzero(codes == 11), len(codes)).tolist()
@@ -67,7 +71,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def signatures(lines: list[bytes]) -> np.ndarray:
     """A key of each band for each line."""
-    codes, ends = _codes(lines)
+    codes, ends = _numbers(lines)
     hashes = _mixed(_windows(codes, SHINGLE))
     valid, counts, start = np.ones(len(codes), bool), np.ones(len(lines), np.int64), 0
     for i, end in enumerate(ends):
@@ -104,7 +108,7 @@ def signatures(lines: list[bytes]) -> np.ndarray:
 
 def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
     """Sorted distinct 64-bit hashes of the shingles of each line; lines hold no newline."""
-    codes, ends = _codes(lines)
+    codes, ends = _numbers(lines)
     codes = codes.astype(np.uint64)
     hashes = _hashing.mix(_windows(codes, SHINGLE))
     out, start = [], 0
@@ -125,49 +129,178 @@ def _marked(docs: DataFrame) -> DataFrame:
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, pos, node, bytes, bands) of every line with a word, and for every row of docs one without node, with
-    pos -1 and the number of such lines in bytes.
+    """(doc_id, mark, pos, node, n_lines) of every line with a word, and for every row of docs one without node, with pos -1.
 
-    node is the line's MD5. bands is null where a line was signed before in the same pack. Null ids come last.
+    node is the line's MD5, n_lines the number of such lines in the document. Null ids come last.
     """
+    parts = _marked(docs).select("doc_id", "mark", F.split("text", "\n").alias("parts"))
+    counted = parts.select("doc_id", "mark", "parts", F.size(F.filter("parts", lambda x: x.rlike(_WORDED))).cast("long").alias("n_lines"))
+    each = counted.select("doc_id", "mark", "n_lines", F.posexplode(F.concat(F.array(F.lit(None).cast("string")), "parts")).alias("at", "line"))
+    worded = each.where(F.col("line").isNull() | F.col("line").rlike(_WORDED))
+    return worded.select("doc_id", "mark", (F.col("at") - 1).alias("pos"), F.unhex(F.md5("line")).alias("node"), "n_lines")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(id, line) of every line with a word; id is 64 bits of hash, by which candidates are found."""
+    each = _marked(docs).select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(_WORDED))
+    return each.select(F.xxhash64("line").alias("id"), "line")
+
+
+def _codes(line: Column) -> Column:
+    """A line with four bytes a character, so that a shingle is cut out without counting from the line's beginning."""
+    return F.encode(line, "UTF-32")
+
+
+def _starts(codes: Column) -> Column:
+    return F.sequence(F.lit(1), F.greatest(F.length(codes) - 4 * SHINGLE + 4, F.lit(1)), F.lit(4))
+
+
+def _hash(codes: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(codes, start, 4 * SHINGLE))
+
+
+def shingle_hashes(line: Column) -> Column:
+    """The distinct 64-bit hashes of a line's shingles. The codes are bound by a lambda, so they are made once a line."""
+    return F.transform(F.array(_codes(line)), lambda c: F.array_distinct(F.transform(_starts(c), lambda i: _hash(c, i))))[0]
+
+
+def band_keys(lines: DataFrame) -> DataFrame:
+    """(bucket, id): the keys of distinct lines (id, line), partitioned by id: one for each of BANDS parts of a line's
+    shingles, of the minima of the part in ROWS orders."""
+    coded = lines.select("id", _codes(F.col("line")).alias("codes"))
+    each = coded.select("id", "codes", F.explode(_starts(F.col("codes"))).alias("start"))
+    hashed = each.select("id", _hash(F.col("codes"), F.col("start")).alias("h"))
+    turned = lambda n: F.call_function("shiftleft", F.col("h"), F.lit(n)).bitwiseOR(F.shiftrightunsigned("h", 64 - n)) if n else F.col("h")
+    minima = [F.min(turned(21 * r)).alias(f"m{r}") for r in range(ROWS)]
+    least = hashed.groupBy("id", F.col("h").bitwiseAND(BANDS - 1).alias("band")).agg(*minima)
+    return least.select(F.xxhash64("band", *[f"m{r}" for r in range(ROWS)]).alias("bucket"), "id")
+
+
+def members(docs: DataFrame) -> DataFrame:
+    """(bucket, id) of the lines of docs that share a bucket with another line."""
+    parts = buckets(docs)
+    # By a number of parts, so that a part's minima fit in memory however short its lines are.
+    distinct = _lines(docs).repartition(parts, "id").groupBy("id").agg(F.min("line").alias("line"))
+    keys = band_keys(distinct).repartition(parts, "bucket")
+    # Of the two columns of keys, so that both sides of the join read one exchange.
+    several = keys.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    return keys.join(several.hint("shuffle_hash"), "bucket").select("bucket", "id")
+
+
+def facts(texts: DataFrame) -> DataFrame:
+    """(node, n, w0, ...) of texts (node, line): the size of each line's shingle set and its parities: of each of PARITIES
+    classes of shingles, whether the set has an odd number."""
+    sets = texts.select("node", shingle_hashes(F.col("line")).alias("all"))
+    # Of a plain explode Spark infers a filter, which would make the sets a second time before the exchange.
+    each = sets.select("node", F.size("all").alias("n"), F.explode_outer("all").alias("h"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(WORDS - 1)
+    return each.groupBy("node").agg(F.max("n").alias("n"), *[F.bit_xor(F.when(word == w, one).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)])
+
 
-    def run(batches):
-        for rows in packs(batches, PACK_BYTES, "text", "doc_id", "mark"):
-            seen: set[bytes] = set()
-            lines, found = [], []
-            for text, doc_id, mark in rows:
-                held = len(found)
-                for pos, line in enumerate(text.split(b"\n")):
-                    if line.strip(b" \t\x0b\x0c\r"):
-                        node = hashlib.md5(line).digest()
-                        new = node not in seen
-                        if new:
-                            seen.add(node)
-                            lines.append(line)
-                        found.append((doc_id, mark, pos, node, len(line), len(lines) - 1 if new else -1))
-                found.append((doc_id, mark, -1, None, len(found) - held, -1))
-            keys, size = signatures(lines).tobytes() if lines else b"", 8 * BANDS
-            bands = pa.array([keys[x[5] * size : (x[5] + 1) * size] if x[5] >= 0 else None for x in found], pa.binary())
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in found], k) for i, k in enumerate(kinds)), bands], ["doc_id", "mark", "pos", "node", "bytes", "bands"])
-
-    plain = _marked(docs)
-    return plain.select(F.col("text").cast("binary").alias("text"), "doc_id", "mark").mapInArrow(run, _KIND)
+def _differ() -> Column:
+    """In how many classes the parities of lines x and y differ."""
+    return reduce(Column.__add__, [F.bit_count(F.col(f"x.w{w}").bitwiseXOR(F.col(f"y.w{w}"))) for w in range(WORDS)])
+
+
+def _may_link(percent: int) -> Column:
+    """Whether lines x and y can reach the similarity. Their parities differ in no more classes than there are shingles that
+    only one has; where that many would collide, five standard deviations above what is expected of them is enough."""
+    x, y = F.col("x.n"), F.col("y.n")
+    most = (100 - percent) * (x + y) / (100 + percent)
+    usual = F.lit(PARITIES / 2) * (1 - F.exp(-2 * most / PARITIES))
+    far = (_differ() <= most) & (_differ() <= usual + 5 * F.sqrt(usual * (1 - usual / PARITIES)) + 1)
+    return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & far
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of which the shingle sets have the similarity, confirmed on the whole lines."""
+    both = pairs
+    for c in "ab":
+        both = both.join(texts.select(F.col("node").alias(c), F.col("line").alias(f"{c}_line")), c)
+        both = both.join(known.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n")), c)
+    met = F.size(F.array_intersect(shingle_hashes(F.col("a_line")), shingle_hashes(F.col("b_line"))))
+    return both.where(met * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b")
+
+
+def _stars(placed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each line b, the nearest of the smallest members a of its buckets, if one may be linked.
+
+    A head travels with its facts in an aggregate, so pairs that cannot be links fail the join's own condition. All
+    other pairs are left to the blocks.
+    """
+    facts = ["node", "n", *[f"w{w}" for w in range(WORDS)]]
+    all_ = placed.join(known, "node").select("bucket", *facts)
+    heads = all_.groupBy("bucket").agg(F.min(F.struct(*facts)).alias("head")).select("bucket", "head.*")
+    met = heads.alias("x").join(all_.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") != F.col("y.node")) & _may_link(percent))
+    near = met.groupBy(F.col("y.node").alias("b")).agg(F.min(F.struct(_differ().alias("differ"), F.col("x.node").alias("a"))).alias("near"))
+    return near.select("near.a", "b")
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """For each line, the pair (a, b) with the one that differs least."""
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "differ"))
+    near = both.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("near")).select("near.a", "b")
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _blocks(placed: DataFrame, known: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b, differ): members of a bucket across the components of labels that may be linked.
+
+    A bucket is cut into blocks of bounded size, and every two blocks are one key of a join, so a large bucket is many
+    keys. What cannot be a link fails the join's own condition and becomes no row.
+    """
+    labelled = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of = labelled.groupBy("bucket").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / _link.BLOCK_ROWS).alias("parts"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("v"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("w"),
+    )
+    # Of buckets with the same members one is enough.
+    still = of.where("low <> high").groupBy("v", "w", "n").agg(F.min("bucket").alias("bucket"), F.max("parts").alias("parts"))
+    block = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))
+    dealt = labelled.join(still.select("bucket", "parts"), "bucket").select("node", "label", "bucket", block.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"))
+    sent = Stored(dealt.select("node", "label", "bucket", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), (F.col("i") > F.col("j")).alias("second")).join(known, "node"), "open").df
+    x, y = sent.where("not second").alias("x"), sent.where("second or p = q").alias("y")
+    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
+    new = F.col("x.label") != F.col("y.label")
+    once = (F.col("x.p") < F.col("x.q")) | (F.col("x.node") < F.col("y.node"))
+    return x.hint("merge").join(y, same & new & once & _may_link(percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), _differ().alias("differ")).distinct()
 
 
 def groups(docs: DataFrame, seen: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(node, label): for each line of seen, the occurrences of docs, that repeats or is similar to others, the smallest node
     of its component."""
-
-    def texts(wanted: DataFrame) -> DataFrame:
-        blocks = blocks_for(wanted.count())
-        lines = _marked(docs).select(F.explode(F.split("text", "\n")).alias("line")).select(F.unhex(F.md5("line")).alias("node"), "line")
-        some = probed(lines, "node", bloom(wanted, "node", blocks), blocks).where("__maybe").drop("__maybe").join(wanted, "node", "left_semi")
-        return some.groupBy("node").agg(F.min("line").cast("binary").alias("data"))
-
-    labels = link(seen.where("bands is not null").select("node", "bytes", "bands"), BANDS, texts, Measure(shingle_sets, percent))
+    shared = Stored(members(docs), "members")
+    wanted = shared.df.select("id").distinct()
+    blocks = blocks_for(wanted.count())
+    some = probed(_lines(docs), "id", bloom(wanted, "id", blocks), blocks).where("__maybe").select("id", F.unhex(F.md5("line")).alias("node"), "line")
+    texts = Stored(some.join(wanted, "id", "left_semi").groupBy("id", "node").agg(F.min("line").alias("line")), "texts")
+    known = Stored(facts(texts.df.select("node", "line").repartition(buckets(docs), "node")), "facts")
+    placed = Stored(shared.df.join(texts.df.select("id", "node"), "id").select("bucket", "node"), "placed")
+    stars = Stored(_stars(placed.df, known.df, percent), "stars")
+    edges = Stored(_confirmed(stars.df, texts.df, known.df, percent), "links")
+    labels = components(edges.df, contract=False)
+    across = Stored(_blocks(placed.df, known.df, labels.df, percent), "across")
+    kept = [shared, texts, known, placed, stars, edges, across]
+    # The nearest pairs come first: what they join need not be compared any more.
+    for nearest in (True, False):
+        if nearest:
+            pairs = _nearest(across.df)
+        else:
+            of = lambda c: labels.df.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: B023, E731
+            pairs = across.df.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            pairs = pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b").join(_nearest(across.df), ["a", "b"], "left_anti")
+        more = Stored(_confirmed(pairs, texts.df, known.df, percent), "links")
+        kept.append(more)
+        if not more.df.isEmpty():
+            edges = Stored(edges.df.unionByName(more.df), "links")
+            kept.append(edges)
+            labels.drop()
+            labels = components(edges.df, contract=False)
+    for x in kept:
+        x.drop()
     repeated = seen.where("node is not null").groupBy("node").count().where("count > 1").select("node")
-    return repeated.join(labels, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
+    return repeated.join(labels.df, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
 
 
 def decisions(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -184,7 +317,7 @@ def decisions(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     kept = grouped.groupBy("label").agg(F.min(F.struct("doc_id", "mark", "pos")).alias("kept"))
     gone = grouped.join(kept, "label").where(F.struct("doc_id", "mark", "pos") != F.col("kept")).select("doc_id", "mark", "pos").distinct()
     by_doc = gone.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("pos")).alias("removed"))
-    rows = seen.where("node is null").select("doc_id", "mark", F.col("bytes").alias("n_lines"))
+    rows = seen.where("node is null").select("doc_id", "mark", "n_lines")
     out = rows.join(by_doc, ["doc_id", "mark"], "left")
     return out.select(F.when(F.col("doc_id") != LAST, F.col("doc_id")).alias("doc_id"), "mark", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
