@@ -2,8 +2,8 @@
 
 Equal lines are one node from the start. A line's shingles are the SHINGLE characters from each of its characters on,
 blanks included; a shorter line is one shingle. Their hashes fall into BANDS parts by one of their digits; a band is the
-minima of a part in ROWS orders. Lines that share a band are candidates, parities of their sets rule out most, the exact
-Jaccard similarity of the shingle sets confirms the rest, and distributed union-find makes components, of which the first
+minima of a part in ROWS orders. Lines that share a band are candidates, sketches and parities of their sets rule out most,
+the exact Jaccard similarity of the shingle sets confirms the rest, and distributed union-find makes components, of which the first
 occurrence stays. DataFrame operations only.
 
 `signatures` and `shingle_sets` are numpy forms of bands and sets for lines that are at hand; no query runs them.
@@ -29,10 +29,11 @@ SHINGLE, PERCENT = 9, 80
 BANDS, ROWS = 16, 3
 BINS = BANDS * ROWS
 LAST = (1 << 63) - 1
-#: Of a set's parities: how many, in how many longs (a power of two).
+#: Of a line's sketch and parities: how many classes, in how many longs (a power of two).
 WORDS = 8
-PARITIES = 64 * WORDS
+CLASSES = 64 * WORDS
 _WORDED = r"[^\x20\x09-\x0D]"
+_WIDE = r"[^\x00-\xFF]"
 _RANDOM = np.random.default_rng(12)
 #: Of each bin, the order in which it looks for another when empty; what tells borrowed values apart; a seed of each band.
 _ORDER = np.stack([_RANDOM.permutation(BINS) for _ in range(BINS)])
@@ -146,125 +147,181 @@ def _lines(docs: DataFrame) -> DataFrame:
     return each.select(F.xxhash64("line").alias("id"), "line")
 
 
-def _codes(line: Column) -> Column:
-    """A line with four bytes a character, so that a shingle is cut out without counting from the line's beginning."""
-    return F.encode(line, "UTF-32")
+def _coded(line: Column) -> Column:
+    """A line as bytes of which a shingle is cut out without counting from the line's beginning: one a character if it has
+    none above U+00FF, else four. step is how many."""
+    wide = line.rlike(_WIDE)
+    codes = F.when(wide, F.encode(line, "UTF-32")).otherwise(F.encode(line, "ISO-8859-1"))
+    return F.struct(codes.alias("codes"), F.when(wide, F.lit(4)).otherwise(F.lit(1)).alias("step"))
 
 
-def _starts(codes: Column) -> Column:
-    return F.sequence(F.lit(1), F.greatest(F.length(codes) - 4 * SHINGLE + 4, F.lit(1)), F.lit(4))
+def _size(coded: Column) -> Column:
+    """How many shingles begin in a line, repeats included."""
+    return F.greatest((F.length(coded["codes"]) / coded["step"]).cast("int") - SHINGLE + 1, F.lit(1))
 
 
-def _hash(codes: Column, start: Column) -> Column:
-    return F.xxhash64(F.substring(codes, start, 4 * SHINGLE))
+def _starts(coded: Column) -> Column:
+    return F.sequence(F.lit(1), (_size(coded) - 1) * coded["step"] + 1, coded["step"])
+
+
+def _hash(coded: Column, start: Column) -> Column:
+    """The hash of a shingle, the same in whichever form its line is."""
+    piece = F.substring(coded["codes"], start, 4 * SHINGLE)
+    text = F.decode(piece, "UTF-32")
+    wide = F.when(text.rlike(_WIDE), F.xxhash64(piece)).otherwise(F.xxhash64(F.encode(text, "ISO-8859-1")))
+    return F.when(coded["step"] == 1, F.xxhash64(F.substring(coded["codes"], start, SHINGLE))).otherwise(wide)
+
+
+def _exploded(lines: DataFrame) -> DataFrame:
+    """(id, size, first, h): a row for each shingle of lines (id, line), repeats included, with their number."""
+    coded = lines.select("id", _coded(F.col("line")).alias("c")).select("id", "c.codes", "c.step")
+    parts = {"codes": F.col("codes"), "step": F.col("step")}
+    each = coded.select("id", "codes", "step", _size(parts).alias("size"), F.explode(_starts(parts)).alias("start"))
+    return each.select("id", "size", (F.col("start") == 1).alias("first"), _hash(parts, F.col("start")).alias("h"))
 
 
 def shingle_hashes(line: Column) -> Column:
     """The distinct 64-bit hashes of a line's shingles. The codes are bound by a lambda, so they are made once a line."""
-    return F.transform(F.array(_codes(line)), lambda c: F.array_distinct(F.transform(_starts(c), lambda i: _hash(c, i))))[0]
+    return F.transform(F.array(_coded(line)), lambda c: F.array_distinct(F.transform(_starts(c), lambda i: _hash(c, i))))[0]
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
     """(bucket, id): the keys of distinct lines (id, line), partitioned by id: one for each of BANDS parts of a line's
     shingles, of the minima of the part in ROWS orders."""
-    coded = lines.select("id", _codes(F.col("line")).alias("codes"))
-    each = coded.select("id", "codes", F.explode(_starts(F.col("codes"))).alias("start"))
-    hashed = each.select("id", _hash(F.col("codes"), F.col("start")).alias("h"))
     turned = lambda n: F.call_function("shiftleft", F.col("h"), F.lit(n)).bitwiseOR(F.shiftrightunsigned("h", 64 - n)) if n else F.col("h")
     minima = [F.min(turned(21 * r)).alias(f"m{r}") for r in range(ROWS)]
-    least = hashed.groupBy("id", F.col("h").bitwiseAND(BANDS - 1).alias("band")).agg(*minima)
+    least = _exploded(lines).select("id", "h").groupBy("id", F.col("h").bitwiseAND(BANDS - 1).alias("band")).agg(*minima)
     return least.select(F.xxhash64("band", *[f"m{r}" for r in range(ROWS)]).alias("bucket"), "id")
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """(bucket, id) of the lines of docs that share a bucket with another line."""
+    """(bucket, id, low) of the lines of docs that share a bucket with another line; low is the bucket's smallest id."""
     parts = buckets(docs)
     # By a number of parts, so that a part's minima fit in memory however short its lines are.
-    distinct = _lines(docs).repartition(parts, "id").groupBy("id").agg(F.min("line").alias("line"))
+    distinct = _lines(docs).repartition(parts, "id").distinct()
     keys = band_keys(distinct).repartition(parts, "bucket")
     # Of the two columns of keys, so that both sides of the join read one exchange.
     several = keys.groupBy("bucket").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
-    return keys.join(several.hint("shuffle_hash"), "bucket").select("bucket", "id")
+    return keys.join(several.hint("shuffle_hash"), "bucket").select("bucket", "id", "low")
+
+
+def _words(of, digits: int, h: Column) -> list[Column]:
+    """A digit of h as one bit of CLASSES in WORDS longs, aggregated by of."""
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, digits).bitwiseAND(63).cast("int"))
+    word = F.shiftrightunsigned(h, digits + 6).bitwiseAND(WORDS - 1)
+    return [of(F.when(word == w, one).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
 
 
-def facts(texts: DataFrame) -> DataFrame:
-    """(node, n, w0, ...) of texts (node, line): the size of each line's shingle set and its parities: of each of PARITIES
+def sketches(texts: DataFrame) -> DataFrame:
+    """(id, size, w0, ...) of texts (id, line): how many shingles a line has, repeats included, and of one in four of them by
+    hash, which of CLASSES classes they fall into."""
+    one_in_four = F.col("h").bitwiseAND(3) == 0
+    each = _exploded(texts).where(F.col("first") | one_in_four)
+    return each.groupBy("id").agg(F.max("size").alias("size"), *_words(F.bit_or, 2, F.when(one_in_four, F.col("h"))))
+
+
+def parities(texts: DataFrame) -> DataFrame:
+    """(id, size, w0, ...) of texts (id, line): the size of each line's shingle set and its parities: of each of CLASSES
     classes of shingles, whether the set has an odd number."""
-    sets = texts.select("node", shingle_hashes(F.col("line")).alias("all"))
+    sets = texts.select("id", shingle_hashes(F.col("line")).alias("all"))
     # Of a plain explode Spark infers a filter, which would make the sets a second time before the exchange.
-    each = sets.select("node", F.size("all").alias("n"), F.explode_outer("all").alias("h"))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(63).cast("int"))
-    word = F.shiftrightunsigned("h", 6).bitwiseAND(WORDS - 1)
-    return each.groupBy("node").agg(F.max("n").alias("n"), *[F.bit_xor(F.when(word == w, one).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)])
+    each = sets.select("id", F.size("all").alias("size"), F.explode_outer("all").alias("h"))
+    return each.groupBy("id").agg(F.max("size").alias("size"), *_words(F.bit_xor, 0, F.col("h")))
 
 
 def _differ() -> Column:
-    """In how many classes the parities of lines x and y differ."""
+    """In how many classes lines x and y differ."""
     return reduce(Column.__add__, [F.bit_count(F.col(f"x.w{w}").bitwiseXOR(F.col(f"y.w{w}"))) for w in range(WORDS)])
 
 
+def _most(percent: int) -> Column:
+    """Of similar lines x and y, how many shingles only one may have."""
+    return (100 - percent) * (F.col("x.size") + F.col("y.size")) / (100 + percent)
+
+
+def _sketched(percent: int) -> Column:
+    """Whether lines x and y can reach the similarity by their sketches, which differ in no more classes than there are
+    sampled shingles that only one has: five standard deviations above what is expected of these is enough."""
+    return _differ() <= _most(percent) / 4 + 5 * F.sqrt(_most(percent) * 3 / 16) + 1
+
+
 def _may_link(percent: int) -> Column:
     """Whether lines x and y can reach the similarity. Their parities differ in no more classes than there are shingles that
     only one has; where that many would collide, five standard deviations above what is expected of them is enough."""
-    x, y = F.col("x.n"), F.col("y.n")
-    most = (100 - percent) * (x + y) / (100 + percent)
-    usual = F.lit(PARITIES / 2) * (1 - F.exp(-2 * most / PARITIES))
-    far = (_differ() <= most) & (_differ() <= usual + 5 * F.sqrt(usual * (1 - usual / PARITIES)) + 1)
+    x, y, most = F.col("x.size"), F.col("y.size"), _most(percent)
+    usual = F.lit(CLASSES / 2) * (1 - F.exp(-2 * most / CLASSES))
+    far = (_differ() <= most) & (_differ() <= usual + 5 * F.sqrt(usual * (1 - usual / CLASSES)) + 1)
     return (F.least(x, y) * 100 >= F.greatest(x, y) * percent) & far
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of which the shingle sets have the similarity, confirmed on the whole lines."""
-    both = pairs
-    for c in "ab":
-        both = both.join(texts.select(F.col("node").alias(c), F.col("line").alias(f"{c}_line")), c)
-        both = both.join(known.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n")), c)
-    met = F.size(F.array_intersect(shingle_hashes(F.col("a_line")), shingle_hashes(F.col("b_line"))))
-    return both.where(met * (100 + percent) >= (F.col("a_n") + F.col("b_n")) * percent).select("a", "b")
+def _similar(x: Column, y: Column, percent: int) -> Column:
+    """Whether sets of hashes have the similarity."""
+    close = F.least(F.size(x), F.size(y)) * 100 >= F.greatest(F.size(x), F.size(y)) * percent
+    return close & (F.size(F.array_intersect(x, y)) * (100 + percent) >= (F.size(x) + F.size(y)) * percent)
 
 
-def _stars(placed: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """(a, b): for each line b, the nearest of the smallest members a of its buckets, if one may be linked.
+def _stars(shared: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(a, b): the links of lines b with a, of the smallest members of its buckets the one in most of them.
 
-    A head travels with its facts in an aggregate, so pairs that cannot be links fail the join's own condition. All
-    other pairs are left to the blocks.
+    Confirmed on the whole lines. All other pairs are left to the blocks, also those of few common buckets.
     """
-    facts = ["node", "n", *[f"w{w}" for w in range(WORDS)]]
-    all_ = placed.join(known, "node").select("bucket", *facts)
-    heads = all_.groupBy("bucket").agg(F.min(F.struct(*facts)).alias("head")).select("bucket", "head.*")
-    met = heads.alias("x").join(all_.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.node") != F.col("y.node")) & _may_link(percent))
-    near = met.groupBy(F.col("y.node").alias("b")).agg(F.min(F.struct(_differ().alias("differ"), F.col("x.node").alias("a"))).alias("near"))
-    return near.select("near.a", "b")
+    met = shared.where("id <> low").groupBy("id", "low").count().where(F.col("count") >= BANDS / 4)
+    pairs = met.groupBy("id").agg(F.max_by("low", "count").alias("low"))
+    for c, k in (("a", "low"), ("b", "id")):
+        pairs = pairs.join(texts.select(F.col("id").alias(k), F.col("node").alias(c), F.col("line").alias(f"{c}_line")), k)
+    sets = F.array(F.struct(shingle_hashes(F.col("a_line")).alias("x"), shingle_hashes(F.col("b_line")).alias("y")))
+    return pairs.where(F.transform(sets, lambda s: _similar(s["x"], s["y"], percent))[0]).select("a", "b")
 
 
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """For each line, the pair (a, b) with the one that differs least."""
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "differ"))
-    near = both.groupBy("b").agg(F.min(F.struct("differ", "a")).alias("near")).select("near.a", "b")
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (bucket, id, parts) cut into blocks of bounded size, and every two blocks are a key (bucket, p, q), so that a
+    large bucket is many keys; second tells one block's members from the other's."""
+    block = F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts"))
+    each = rows.withColumn("i", block).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return each.withColumns({"p": F.least("i", "j"), "q": F.greatest("i", "j"), "second": F.col("i") > F.col("j")}).drop("i", "j", "parts")
 
 
-def _blocks(placed: DataFrame, known: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b, differ): members of a bucket across the components of labels that may be linked.
+def _parts() -> Column:
+    return F.ceil(F.count("*") / _link.BLOCK_ROWS).alias("parts")
 
-    A bucket is cut into blocks of bounded size, and every two blocks are one key of a join, so a large bucket is many
-    keys. What cannot be a link fails the join's own condition and becomes no row.
-    """
-    labelled = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+def _meet() -> Column:
+    """Whether x and y are of two labels and in one key, each in its own block unless that is one."""
+    key = reduce(Column.__and__, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("bucket", "p", "q")])
+    return key & (F.col("x.label") != F.col("y.label")) & ((F.col("x.p") == F.col("x.q")) | (F.col("x.second") != F.col("y.second")))
+
+
+def _first() -> Column:
+    """Whether the bucket is the first of those that x and y share."""
+    return F.array_min(F.array_intersect("x.mine", "y.mine")) == F.col("x.bucket")
+
+
+def _open(labelled: DataFrame, known: DataFrame, may: Column) -> DataFrame:
+    """(bucket, id, label, mine) of labelled (bucket, id, label, ...): members that may be linked with another one of their
+    bucket and of another label, and all such buckets of the member. A semi-join, so no pair becomes a row."""
     of = labelled.groupBy("bucket").agg(
-        F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / _link.BLOCK_ROWS).alias("parts"), F.count("*").alias("n"),
-        F.bit_xor(F.xxhash64("node")).alias("v"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("w"),
-    )
+        F.min("label").alias("low"), F.max("label").alias("high"), _parts(), F.count("*").alias("n"), F.bit_xor("id").alias("v"), F.bit_xor(F.xxhash64("id")).alias("w")
+    )
     # Of buckets with the same members one is enough.
     still = of.where("low <> high").groupBy("v", "w", "n").agg(F.min("bucket").alias("bucket"), F.max("parts").alias("parts"))
-    block = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))
-    dealt = labelled.join(still.select("bucket", "parts"), "bucket").select("node", "label", "bucket", block.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("j"))
-    sent = Stored(dealt.select("node", "label", "bucket", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), (F.col("i") > F.col("j")).alias("second")).join(known, "node"), "open").df
-    x, y = sent.where("not second").alias("x"), sent.where("second or p = q").alias("y")
-    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.p") == F.col("y.p")) & (F.col("x.q") == F.col("y.q"))
-    new = F.col("x.label") != F.col("y.label")
-    once = (F.col("x.p") < F.col("x.q")) | (F.col("x.node") < F.col("y.node"))
-    return x.hint("merge").join(y, same & new & once & _may_link(percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"), _differ().alias("differ")).distinct()
+    sent = Stored(_dealt(labelled.join(still.select("bucket", "parts"), "bucket")).join(known, "id"), "open")
+    found = Stored(sent.df.alias("x").hint("merge").join(sent.df.alias("y"), _meet() & may, "left_semi").select("bucket", "id", "label").distinct(), "near")
+    sent.drop()
+    return found.df.join(found.df.groupBy("id").agg(F.collect_list("bucket").alias("mine")), "id")
+
+
+def _blocks(open_: DataFrame, texts: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all links across labels among the members of the buckets of open_ (bucket, id, label, mine), each in the
+    first bucket that both are in.
+
+    The similarity of the whole sets is part of the join's condition, so what is no link becomes no row. Members travel
+    as lines; the sets, which are larger, are made where they meet.
+    """
+    sent = Stored(_dealt(open_.join(open_.groupBy("bucket").agg(_parts()), "bucket")).join(texts, "id").join(known, "id"), "sent")
+    full = sent.df.repartition("bucket", "p", "q").withColumn("set", shingle_hashes(F.col("line"))).drop("line")
+    once = (F.col("x.p") < F.col("x.q")) & ~F.col("x.second") | (F.col("x.p") == F.col("x.q")) & (F.col("x.node") < F.col("y.node"))
+    met = full.alias("x").hint("merge").join(full.alias("y"), _meet() & once & _may_link(percent) & _first() & _similar(F.col("x.set"), F.col("y.set"), percent))
+    return met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def groups(docs: DataFrame, seen: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -274,30 +331,23 @@ def groups(docs: DataFrame, seen: DataFrame, percent: int = PERCENT) -> DataFram
     wanted = shared.df.select("id").distinct()
     blocks = blocks_for(wanted.count())
     some = probed(_lines(docs), "id", bloom(wanted, "id", blocks), blocks).where("__maybe").select("id", F.unhex(F.md5("line")).alias("node"), "line")
-    texts = Stored(some.join(wanted, "id", "left_semi").groupBy("id", "node").agg(F.min("line").alias("line")), "texts")
-    known = Stored(facts(texts.df.select("node", "line").repartition(buckets(docs), "node")), "facts")
-    placed = Stored(shared.df.join(texts.df.select("id", "node"), "id").select("bucket", "node"), "placed")
-    stars = Stored(_stars(placed.df, known.df, percent), "stars")
-    edges = Stored(_confirmed(stars.df, texts.df, known.df, percent), "links")
+    texts = Stored(some.join(wanted, "id", "left_semi").distinct(), "texts")
+    edges = Stored(_stars(shared.df, texts.df, percent), "links")
     labels = components(edges.df, contract=False)
-    across = Stored(_blocks(placed.df, known.df, labels.df, percent), "across")
-    kept = [shared, texts, known, placed, stars, edges, across]
-    # The nearest pairs come first: what they join need not be compared any more.
-    for nearest in (True, False):
-        if nearest:
-            pairs = _nearest(across.df)
-        else:
-            of = lambda c: labels.df.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: B023, E731
-            pairs = across.df.join(of("a"), "a", "left").join(of("b"), "b", "left")
-            pairs = pairs.where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b").join(_nearest(across.df), ["a", "b"], "left_anti")
-        more = Stored(_confirmed(pairs, texts.df, known.df, percent), "links")
-        kept.append(more)
-        if not more.df.isEmpty():
-            edges = Stored(edges.df.unionByName(more.df), "links")
-            kept.append(edges)
-            labels.drop()
-            labels = components(edges.df, contract=False)
-    for x in kept:
+    of = texts.df.select("id", "node").join(labels.df, "node").groupBy("id").agg(F.min(F.xxhash64("label")).alias("label"))
+    labelled = shared.df.select("bucket", "id").join(of, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    # Sketches are made by less work than parities and rule out most lines.
+    sketched = Stored(sketches(texts.df.select("id", "line").repartition(buckets(docs), "id")), "facts")
+    near = Stored(_open(labelled, sketched.df, _sketched(percent)), "mine")
+    some = texts.df.join(near.df.select("id").distinct(), "id", "left_semi")
+    known = Stored(parities(some.select("id", "line").repartition(buckets(docs), "id")), "facts")
+    # With the buckets of before: a pair meets in the first of them that both share, and in the end only there.
+    open_ = Stored(_open(near.df, known.df, _may_link(percent) & _first()), "mine")
+    more = Stored(_blocks(open_.df, texts.df, known.df, percent), "links")
+    if not more.df.isEmpty():
+        labels.drop()
+        labels = components(edges.df.unionByName(more.df), contract=False)
+    for x in (shared, texts, edges, sketched, near, known, open_, more):
         x.drop()
     repeated = seen.where("node is not null").groupBy("node").count().where("count > 1").select("node")
     return repeated.join(labels.df, "node", "full").select("node", F.coalesce("label", "node").alias("label"))
